@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than space and \t \n \v \f \r.
@@ -41,3 +41,19 @@ def tasks_for(df: DataFrame, rows: int, rows_per_task: int) -> int:
     """Partitions for a shuffle of ``rows`` rows: at least the session's number, more as rows grow."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-rows // rows_per_task))
+
+
+def running_total(rows: DataFrame, by: list[str], order: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the same ``by`` with a smaller ``order``.
+
+    ``order`` is an integer >= 0, unique within ``by``; ``by`` holds no nulls.
+    Sums run within chunks of ``order`` and then over the chunks, so no task
+    sees more than ``chunk`` rows of a group, or one row for each of its chunks.
+    """
+    rows = rows.withColumn("__chunk", F.floor(F.col(order) / chunk))
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "__chunk").agg(F.sum(value).alias("__sum"))
+    starts = starts.select(*by, "__chunk", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(*by, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return rows.join(starts, [*by, "__chunk"]).withColumn(name, F.col("__start") + F.col("__within")).drop("__chunk", "__start", "__within")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .mixing import mix_sources
+from .packing import pack_documents
 from .sharding import shard_documents
+from .token_counts import count_tokens
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +21,19 @@ def op4_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 24)
 
 
+def op7_pack_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_jump_hash_shards": op4_jump_hash_shards,
+    "op7_pack_round_robin": op7_pack_round_robin,
+    "op8_count_tokens": op8_count_tokens,
 }
 
 _MIX = r"""
