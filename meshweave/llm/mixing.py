@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
     with a third of all rows is ranked by many tasks.
     """
     narrow = checkpointed(docs.select("doc_id", "source", *keep, word_count(F.col("text")).alias("size"), random_number(F.col("doc_id"), seed).alias("u")))
-    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
+    targets = checkpointed(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("whole", F.floor(times).cast("bigint")).withColumn("r", times - F.floor(times))
     targets = targets.withColumn("wanted", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")).withColumnRenamed("source", "__source")
