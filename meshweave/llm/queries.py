@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .ann import nearest_neighbours
+from .common import documents, embeddings
+from .exact_topk import exact_top_k
 from .mixing import mix_sources
 from .packing import pack_documents
 from .sharding import shard_documents
@@ -21,6 +24,10 @@ def op4_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 24)
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(embeddings(spark, sf_dir), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op7_pack_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
@@ -29,11 +36,17 @@ def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def op9_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(embeddings(spark, sf_dir), F.pmod("vec_id", F.lit(100)) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_jump_hash_shards": op4_jump_hash_shards,
+    "op5_cross_polytope": op5_cross_polytope,
     "op7_pack_round_robin": op7_pack_round_robin,
     "op8_count_tokens": op8_count_tokens,
+    "op9_pivot_top_k": op9_pivot_top_k,
 }
 
 _MIX = r"""
@@ -69,4 +82,16 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 FROM (SELECT *, whole + CASE WHEN r > 0 AND (2 * first + size)::DOUBLE <= 2 * wanted THEN 1 ELSE 0 END AS copies FROM placed)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": _MIX}
+_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id, max(list_dot_product(q.vec, x.vec)::BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id AND len(q.vec) = len(x.vec) WHERE q.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": _MIX, "op9_pivot_top_k": _TOP_K}
