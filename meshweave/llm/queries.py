@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from .ann import nearest_neighbours
 from .common import documents, embeddings
 from .exact_topk import exact_top_k
+from .langid import predict_languages
 from .mixing import mix_sources
 from .packing import pack_documents
 from .sharding import shard_documents
 from .token_counts import count_tokens
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
@@ -41,6 +46,7 @@ def op9_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_mixture": op2_language_mixture,
     "op3_mix_sources": op3_mix_sources,
     "op4_jump_hash_shards": op4_jump_hash_shards,
     "op5_cross_polytope": op5_cross_polytope,
