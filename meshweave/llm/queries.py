@@ -12,6 +12,7 @@ from .common import documents, embeddings
 from .exact_topk import exact_top_k
 from .langid import predict_languages
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -45,6 +46,10 @@ def op9_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(embeddings(spark, sf_dir), F.pmod("vec_id", F.lit(100)) == 0)
 
 
+def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_mixture": op2_language_mixture,
     "op3_mix_sources": op3_mix_sources,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pack_round_robin": op7_pack_round_robin,
     "op8_count_tokens": op8_count_tokens,
     "op9_pivot_top_k": op9_pivot_top_k,
+    "op10_chosen_path_dedup": op10_chosen_path_dedup,
 }
 
 _MIX = r"""
