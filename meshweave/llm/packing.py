@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, running_total
-from .tokens import RunEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 WINDOW = 4096
 #: The id that ends a document.
@@ -40,11 +40,11 @@ def encode_documents(docs: DataFrame, path: str, buckets: int) -> DataFrame:
     rows = docs.select("doc_id", queue.alias("queue"), body.alias("body"), F.pmod(F.xxhash64("doc_id", F.crc32(body)), F.lit(buckets)).cast("int").alias("bucket"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RunEncoder(path)
+        own = encoder(path)
         for batch in batches:
             for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(first, TEXTS_AT_ONCE)
-                ids = [np.append(x, np.uint32(END)) for x in encoder.encode(part.column("body").to_pylist())]
+                ids = [np.append(x, np.uint32(END)) for x in own.encode(part.column("body").to_pylist())]
                 data = [zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), part.column("bucket"), pa.array([len(x) for x in ids], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "queue", "bucket", "n", "ids"])
 

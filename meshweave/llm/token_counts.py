@@ -42,7 +42,8 @@ def count_tokens(docs: DataFrame, *, limit: int = 2048, path: str | None = None)
                 own = words_of(data.as_py())
                 new = [w for w in own if w not in known]
                 if new:
-                    known.update(zip(new, map(len, encode_runs(path, [w.decode("utf-8") for w in new])), strict=True))
+                    runs, pieces, _ = encode_runs(path, new)
+                    known.update(zip(runs, pieces.tolist(), strict=True))
                 values.append(pack(np.fromiter(map(known.__getitem__, own), np.uint32, len(own))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(values, pa.binary())], ["block", "bucket", "value"])
 

@@ -15,7 +15,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct runs an encoder remembers before it starts afresh; bounds a task's memory.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -40,8 +40,36 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
-def encode_runs(path: str, runs: list[str]) -> list[list[int]]:
-    return [e.ids for e in load_tokenizer(path).encode_batch_fast(runs, add_special_tokens=False)]
+#: A special string of the tokenizer.  It splits a text into parts encoded apart, so it can separate many runs in one call.
+SEPARATOR = "<|endoftext|>"
+RUNS_AT_ONCE = 256
+
+
+def encode_runs(path: str, runs: Iterable[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The runs in the order in which they were encoded, their numbers of ids, and all ids one after another."""
+    tokenizer = load_tokenizer(path)
+    separator = tokenizer.token_to_id(SEPARATOR)
+    plain, odd = [], []
+    for run in runs:
+        (odd if separator is None or b"<|" in run else plain).append(run)
+    joined = [b" ".join(plain[i : i + RUNS_AT_ONCE]).decode("utf-8").replace(" ", SEPARATOR) for i in range(0, len(plain), RUNS_AT_ONCE)]
+    alone = [r.decode("utf-8") for r in odd]
+    encoded = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined + alone, add_special_tokens=False)]
+    lengths, ids = [], []
+    for part in encoded[: len(joined)]:
+        cuts = np.flatnonzero(part == separator)
+        lengths.append(np.diff(np.concatenate([[-1], cuts, [len(part)]])) - 1)
+        ids.append(np.delete(part, cuts))
+    lengths += [np.array([len(x)]) for x in encoded[len(joined) :]]
+    ids += encoded[len(joined) :]
+    if not ids:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    return plain + odd, np.concatenate(lengths).astype(np.int64), np.concatenate(ids)
+
+
+def fold(text: bytes) -> bytes:
+    """A-Z folded where it cannot make a special string; the tokenizer folds them anyway."""
+    return text if b"<|" in text else text.lower()
 
 
 class RunEncoder:
@@ -57,10 +85,8 @@ class RunEncoder:
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[bytes]) -> None:
-        encoded = encode_runs(self.path, [x.decode("utf-8") for x in new])
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(lengths.sum()))
+    def _learn(self, new: Iterable[bytes]) -> None:
+        new, lengths, flat = encode_runs(self.path, new)
         first = len(self.places)
         self.places.update(zip(new, range(first, first + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
@@ -69,12 +95,12 @@ class RunEncoder:
 
     def encode(self, texts: Iterable[bytes]) -> list[np.ndarray]:
         """Ids (uint32) of each text; call it with some hundred texts at a time."""
-        split = [text.split() for text in texts]
+        split = [fold(text).split() for text in texts]
         if len(self.places) > self.remembered:
             self._forget()
         new = set().union(*split).difference(self.places) if split else set()
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
         out = []
         for runs in split:
             at = np.fromiter(map(self.places.__getitem__, runs), np.int64, len(runs))
@@ -83,3 +109,13 @@ class RunEncoder:
             total = int(ends[-1]) if len(ends) else 0
             out.append(self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)])
         return out
+
+
+_encoders: dict[str, RunEncoder] = {}
+
+
+def encoder(path: str) -> RunEncoder:
+    """This Python worker's encoder, with the runs it remembers from earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = RunEncoder(path)
+    return _encoders[path]
