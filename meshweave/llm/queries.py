@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
+from .suffix_dedup import repeat_digests
 from .token_counts import count_tokens
 
 
@@ -34,6 +35,10 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(embeddings(spark, sf_dir), F.pmod("vec_id", F.lit(20)) == 0)
 
 
+def op6_merge_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(documents(spark, sf_dir))
+
+
 def op7_pack_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_jump_hash_shards": op4_jump_hash_shards,
     "op5_cross_polytope": op5_cross_polytope,
+    "op6_merge_transforms": op6_merge_transforms,
     "op7_pack_round_robin": op7_pack_round_robin,
     "op8_count_tokens": op8_count_tokens,
     "op9_pivot_top_k": op9_pivot_top_k,
