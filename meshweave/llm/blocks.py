@@ -27,17 +27,18 @@ _BUCKET = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("flagged",
 _ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("pairs", pa.binary()), ("buckets", pa.list_(_BUCKET))])
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """uint32 arrays of one length, byte planes apart, compressed."""
-    return zlib.compress(b"".join(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in arrays), 1)
+def pack(*arrays: np.ndarray, kind: str = "<u4") -> bytes:
+    """Arrays of one length as unsigned integers, byte planes apart, compressed."""
+    width = np.dtype(kind).itemsize
+    return zlib.compress(b"".join(a.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes() for a in arrays), 1)
 
 
-def unpack(data: bytes, n: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(n, 4, -1)
-    return [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
+def unpack(data: bytes, n: int, kind: str = "<u4") -> list[np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(n, np.dtype(kind).itemsize, -1)
+    return [np.ascontiguousarray(p.T).view(kind).ravel() for p in planes]
 
 
-def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], places: dict[bytes, int]) -> pa.RecordBatch:
+def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], places: dict[bytes, int], ordered: bool) -> pa.RecordBatch:
     words = list(places)
     hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
     order = np.argsort(hashed, kind="stable")
@@ -45,7 +46,8 @@ def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], pl
     rank[order] = np.arange(len(words))
     lengths = np.array([len(d[3]) for d in docs], np.int64)
     size = max(1, len(words))
-    flat = np.repeat(np.arange(len(docs)), lengths) * size + rank[np.concatenate([d[3] for d in docs])]
+    sequence = rank[np.concatenate([d[3] for d in docs])]
+    flat = np.repeat(np.arange(len(docs)), lengths) * size + sequence
     pairs, often = np.unique(flat, return_counts=True)
     of, at = pairs // size, pairs % size
     flags = np.array([d[2] for d in docs], bool)
@@ -55,14 +57,15 @@ def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], pl
     for b in np.flatnonzero(np.diff(starts)):
         part = order[starts[b] : starts[b + 1]]
         buckets.append({"bucket": int(b), "words": zlib.compress(b" ".join([words[i] for i in part]), 1), "flagged": pack(flagged[starts[b] : starts[b + 1]])})
-    row = {"block": number, "doc_ids": [d[0] for d in docs], "n_bytes": [d[1] for d in docs], "n_words": lengths.tolist(), "flags": flags.tolist(), "pairs": pack(of, at, often), "buckets": buckets}
+    row = {"block": number, "doc_ids": [d[0] for d in docs], "n_bytes": [d[1] for d in docs], "n_words": lengths.tolist(), "flags": flags.tolist(), "pairs": pack(sequence) if ordered else pack(of, at, often), "buckets": buckets}
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
 
-def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Block rows of all documents.  ``flag`` marks documents whose frequencies are also summed by word.
 
-    ``lower`` folds A-Z.  A null text counts as empty, a null key stays null.
+    ``lower`` folds A-Z.  ``ordered`` keeps all words in their order (as places among the block's
+    words) in place of the pairs.  A null text counts as empty, a null key stays null.
     """
     columns = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), flag.alias("f"))
 
@@ -79,10 +82,10 @@ def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, key: str = "doc_
                 docs.append((k, len(t), f, np.fromiter(map(places.__getitem__, words), np.int64, len(words))))
                 size += len(t)
                 if size >= BLOCK_BYTES:
-                    yield _block(number := number + 1, docs, places)
+                    yield _block(number := number + 1, docs, places, ordered)
                     docs, places, size = [], {}, 0
         if docs:
-            yield _block(number + 1, docs, places)
+            yield _block(number + 1, docs, places, ordered)
 
     return columns.mapInArrow(build, SCHEMA)
 

@@ -11,6 +11,7 @@ from .ann import nearest_neighbours
 from .common import documents, embeddings
 from .exact_topk import exact_top_k
 from .langid import predict_languages
+from .lm import score_documents
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -19,6 +20,10 @@ from .suffix_dedup import repeat_digests
 from .token_counts import count_tokens
 
 
+def op1_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(documents(spark, sf_dir))
 
@@ -56,6 +61,7 @@ def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gru_scores": op1_gru_scores,
     "op2_language_mixture": op2_language_mixture,
     "op3_mix_sources": op3_mix_sources,
     "op4_jump_hash_shards": op4_jump_hash_shards,
