@@ -209,3 +209,13 @@ def predict_languages(docs: DataFrame, *, key: str = "doc_id", **options) -> Dat
     model = learn(docs.where(~held_out(F.col(key))))
     found = identify(docs, model, keep=[key], **options)
     return found.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__mixture").alias("mixture"))
+
+
+#: Share below which no language of a document is its language.
+LEAST_SHARE = 0.4
+
+
+def in_a_language(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and a language with LEAST_SHARE of it or more."""
+    found = identify(docs, learn(docs.where(~held_out(F.col(key)))), keep=docs.columns, **options)
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SHARE)).select(*docs.columns)

@@ -85,3 +85,17 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
     copies = F.col("whole") + F.when((F.col("r") > 0) & nearer, 1).otherwise(0)
     rows = rows.withColumn("copies", copies.cast("int"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *keep)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows that repeat an id and its text share their copies.
+    """
+    named = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__hash": F.xxhash64("text", "source")})
+    taken = mix_sources(named, keep=("__id", "__hash"), **options).groupBy("__id", "__hash").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    taken = checkpointed(taken)
+    single = named.join(taken.where("__rows = 1 AND __copies > 0"), ["__id", "__hash"])
+    if not taken.where("__rows > 1").isEmpty():
+        single = single.unionByName(named.join(taken.where("__rows > 1 AND __copies > 0"), ["__id", "__hash"]).dropDuplicates(["__id", "__hash"]))
+    return single.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).select(*docs.columns)

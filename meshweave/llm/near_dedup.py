@@ -55,8 +55,8 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class (digest of the set, null if empty), signature."""
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    """doc_id, text_hash, n_shingles, class (digest of the set, null if empty), signature."""
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,9 +66,9 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 n.append(len(tokens))
                 digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
                 signed.append(signature(tokens).tobytes() if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "n_shingles", "class", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "text_hash", "n_shingles", "class", "signature"])
 
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary, signature binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, class binary, signature binary")
 
 
 def _branch(node: np.ndarray, signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def _chunk_pairs(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text) for every row.
 
     component_id is the least id that a chain of links reaches; kept is doc_id = component_id.
     A null or empty text has no shingles and is linked with nothing.  Rows
@@ -252,9 +252,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     least = _labelled(classes.select("class", "least"), labels)
     ids = least.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = least.join(ids, "label").select("class", "component_id")
-    found = sketched.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
+    found = sketched.select("doc_id", "text_hash", "n_shingles", "class").join(by_class, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), "text_hash")
 
 
 def _joined(links: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -283,3 +283,20 @@ def _bodies(docs: DataFrame, rows: DataFrame, classes: DataFrame, needed: DataFr
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["class", "body"])
 
     return found.mapInArrow(run, "class binary, body binary").dropDuplicates(["class"])
+
+
+def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that are linked to a smaller id.
+
+    Of rows that repeat an id and its text one stays; rows without id or without words all stay.
+    """
+    found = checkpointed(near_duplicates(docs, key=key, text=text))
+    named = docs.withColumns({"__id": F.col(key).cast("bigint"), "__hash": F.xxhash64(text)})
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    left = named.join(gone, ["__id", "__hash"], "left_anti")
+    repeated = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).count().where("count > 1").drop("count")
+    if not repeated.isEmpty():
+        repeated = checkpointed(repeated)
+        once = left.join(repeated, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+        left = left.join(repeated, ["__id", "__hash"], "left_anti").unionByName(once)
+    return left.select(*docs.columns)

@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -401,3 +402,22 @@ def repeat_digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     found = remove_repeats(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("__text")), keep=["doc_id"], text="__text")
     return found.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__body", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their texts' repeats removed and n_chars, if there, counted anew.
+
+    What is left of a character that a removed span cuts goes too; a null text stays null.
+    """
+    named = docs.withColumn("__null", F.col(text).isNull())
+    rest = [c for c in docs.columns if c != text]
+    found = remove_repeats(named, keep=[*rest, "__null"], key=key, text=text)
+
+    @F.pandas_udf("string")
+    def readable(body: pd.Series) -> pd.Series:
+        return body.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+
+    found = found.withColumn(text, F.when(~F.col("__null"), readable("__body")))
+    if "n_chars" in rest:
+        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
