@@ -44,6 +44,34 @@ def spherical_areas(rings: np.ndarray, size: np.ndarray) -> np.ndarray:
     return total
 
 
+#: Caps are enlarged by this factor, so that rounding excludes no neighbour.
+SLACK = 1.0001
+
+
+def angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles between unit vectors, in radians."""
+    return np.arctan2(np.linalg.norm(np.cross(a, b), axis=-1), (a * b).sum(axis=-1))
+
+
+def caps(rings: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Center and radius (radians) of a spherical cap around each ring's vertices and edge midpoints.
+
+    The center is the normalized mean of the vertices; where that vanishes the cap is the whole sphere.
+    """
+    real = np.arange(rings.shape[1])[None, :] < size[:, None]
+    total = (rings * real[:, :, None]).sum(axis=1)
+    length = np.linalg.norm(total, axis=1)
+    whole = length < 1e-12
+    center = np.where(whole[:, None], [0.0, 0.0, 1.0], total / np.maximum(length, 1e-300)[:, None])
+    radius = np.zeros(len(rings))
+    for k in range(rings.shape[1]):
+        a, b = _at(rings, size, k), _at(rings, size, k + 1)
+        middle = a + b
+        middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-300)
+        radius = np.maximum(radius, np.where(k < size, np.maximum(angles(center, a), angles(center, middle)), 0))
+    return center, np.where(whole, np.nextafter(np.pi, 4), radius * SLACK)
+
+
 def counterclockwise(rings: np.ndarray, size: np.ndarray, spherical: bool) -> np.ndarray:
     signed = spherical_areas(rings, size) if spherical else planar_areas(rings, size)
     turned = rings.copy()

@@ -6,11 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..manifold import Manifold
-from .points import distance, dot, cross, midpoint
-
-#: Caps are enlarged by this factor, so that rounding excludes no neighbour.
-SLACK = 1.0001
-
+from .points import cross, distance, dot
 
 def following(ring: Column) -> Column:
     """The ring turned by one vertex."""
@@ -45,24 +41,6 @@ def box(ring: Column) -> dict[str, Column]:
     return {"xmin": F.array_min(xs), "xmax": F.array_max(xs), "ymin": F.array_min(ys), "ymax": F.array_max(ys)}
 
 
-def cap(ring: Column) -> Column:
-    """Spherical cap around a ring: center and radius (radians).
-
-    The center is the normalized mean of the vertices; the radius covers
-    vertices and edge midpoints.  A ring whose mean vanishes gets the whole sphere.
-    """
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    total = F.aggregate(ring, zero, lambda s, p: F.struct((s["x"] + p["x"]).alias("x"), (s["y"] + p["y"]).alias("y"), (s["z"] + p["z"]).alias("z")))
-    size = F.sqrt(dot(total, total))
-    pole = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))
-    own = F.struct((total["x"] / size).alias("x"), (total["y"] / size).alias("y"), (total["z"] / size).alias("z"))
-    center = F.when(size > 1e-12, own).otherwise(pole)
-    ends = F.zip_with(ring, following(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    middles = F.transform(F.filter(ends, lambda e: distance(e["a"], e["b"]) > 0), lambda e: midpoint(e["a"], e["b"]))
-    reach = F.array_max(F.transform(F.concat(ring, middles), lambda p: distance(center, p))) * SLACK
-    return F.struct(center.alias("center"), F.when(size > 1e-12, reach).otherwise(F.lit(3.1415926535897936)).alias("radius"))
-
-
 def boxes_overlap(a: str, b: str) -> Column:
     """Closed overlap of two bounding boxes, columns prefixed by ``a`` and ``b``."""
     c = F.col

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..manifold import Manifold, common_manifold
-from ..sources.grid import Grid, as_grid
+from ..sources.grid import as_grid, rings_of
 from .candidates import all_pairs, candidate_pairs
 
 #: A callable (src ring, dst ring) -> area, on lists of coordinate tuples.
@@ -146,12 +146,6 @@ def _summed(weights: DataFrame) -> DataFrame:
     return weights.groupBy("dst", "src").agg(F.sum("area").alias("area"))
 
 
-def _rings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    points = column.values
-    coordinates = np.column_stack([points.field(i).to_numpy(zero_copy_only=False) for i in range(points.type.num_fields)]) if len(points) else np.zeros((0, points.type.num_fields))
-    return kernels.padded(column.offsets.to_numpy(), coordinates)
-
-
 def _overlaps(pairs: DataFrame, manifold: Manifold, operator: Operator | None) -> DataFrame:
     """dst, src, area of candidate pairs, with the areas that are positive."""
     holes = [c for c in ("src_holes", "dst_holes") if c in pairs.columns]
@@ -164,8 +158,8 @@ def _overlaps(pairs: DataFrame, manifold: Manifold, operator: Operator | None) -
                 rings = [[[tuple(p.values()) for p in ring] for ring in batch.column(c).to_pylist()] for c in ("src_ring", "dst_ring")]
                 area = np.array([float(operator(s, d)) for s, d in zip(*rings, strict=True)])
             else:
-                s, n = _rings(batch.column("src_ring"))
-                d, m = _rings(batch.column("dst_ring"))
+                s, n = rings_of(batch.column("src_ring"))
+                d, m = rings_of(batch.column("dst_ring"))
                 area = np.concatenate([kernels.intersection_areas(s[i : i + 4096], n[i : i + 4096], d[i : i + 4096], m[i : i + 4096], manifold.spherical) for i in range(0, len(n), 4096)])
                 area *= manifold.radius**2 if manifold.spherical else 1.0
                 if holes:

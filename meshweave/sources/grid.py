@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import polygons
+from ..functions import kernels, polygons
 from ..manifold import Manifold
 
 
@@ -58,7 +61,7 @@ class Grid:
     def extents(self) -> DataFrame:
         """The cells with their bounding boxes, or caps on a sphere."""
         if self.manifold.spherical:
-            return self.cells.withColumn("cap", polygons.cap(F.col("ring")))
+            return _with_caps(self.cells)
         return self.cells.withColumns(polygons.box(F.col("ring")))
 
     def with_ids(self, permutation: DataFrame) -> Grid:
@@ -70,6 +73,32 @@ class Grid:
         return replace(self, cells=self.cells.withColumn("cell_id", F.col("cell_id") + offset))
 
 
+CAP = "struct<center: struct<x: double, y: double, z: double>, radius: double>"
+
+
+def rings_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rings of an Arrow column as a padded array, with their numbers of vertices."""
+    points = column.flatten()
+    coordinates = np.column_stack([points.field(i).to_numpy(zero_copy_only=False) for i in range(points.type.num_fields)])
+    sizes = np.diff(column.offsets.to_numpy())
+    return kernels.padded(np.concatenate([[0], np.cumsum(sizes)]), coordinates)
+
+
+def _with_caps(cells: DataFrame) -> DataFrame:
+    """Adds cap; in numpy, since it needs every vertex several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                center, radius = kernels.caps(*rings_of(batch.column("ring")))
+                centers = pa.StructArray.from_arrays([pa.array(center[:, k]) for k in range(3)], ["x", "y", "z"])
+                cap = pa.StructArray.from_arrays([centers, pa.array(radius)], ["center", "radius"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, cap], [*batch.schema.names, "cap"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
+    return cells.mapInArrow(run, f"{fields}, cap {CAP}")
+
+
 def linear_to_cartesian(cell_id: Column, n1: int) -> tuple[Column, Column]:
     """Column-major: i runs first."""
     zero = cell_id - 1
@@ -97,8 +126,6 @@ def union_grids(parts: list[Grid], *, faces: bool = False) -> Grid:
 
 def as_grid(obj, spark: SparkSession | None = None, manifold: Manifold | None = None) -> Grid:
     """A grid from a grid, a pair of edge vectors, a matrix of corner points, or polygons."""
-    import numpy as np
-
     from .grids import corner_grid, polygon_grid, regular_grid
 
     if isinstance(obj, Grid):
