@@ -36,11 +36,11 @@ ANCHOR = 40
 #: Occurrences from which a minimiser is too frequent for one task.
 HOT = 20_000
 #: Text of a block of documents; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Text for each of the tasks that minimisers are dealt to, and the most of them.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 65_536
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 65_536
 #: Bytes of pieces in one shard, and in one merge.
-SHARD_BYTES, MERGE_BYTES = 1 << 19, 1 << 22
+SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 20
 #: Symbols that one round of refinement takes; divides LENGTH.
 STEP = 4
 #: Low bits of a hash that give way to its position, to tell two places of one minimiser.
