@@ -6,7 +6,7 @@ picks one or two coordinates of the signature (1 / threshold on average), and a
 class goes to the child of each picked coordinate's token, so that similar sets
 share a leaf with the recall that the number of trees sets.  Small nodes compare
 all their members.  A larger node compares each member with one member of its
-chunk; where that has not made one component of it, it branches on.
+chunk; where what was found then has not made one component of it, it branches on.
 
 Candidates whose signatures agree enough are confirmed on full sets.  A link between two classes
 that are connected already can change no component and is not looked at again.
@@ -37,8 +37,10 @@ FIRST_DEPTH = 2
 SMALL = 32
 #: Members of a larger node that are compared with one of them in one task.
 CHUNK = 4096
-#: Levels after which larger nodes are compared exhaustively, chunk by chunk.
-LEVELS = 8
+#: Levels after which larger nodes are compared exhaustively, block by block.
+LEVELS = 4
+#: Members of one side of such a comparison; every two blocks of a node meet in one task.
+BLOCK = 1024
 #: Agreeing coordinates from which a pair is confirmed: 4.5 standard deviations below the threshold.
 AGREEING = int(COORDINATES * PERCENT / 100 - 4.5 * (COORDINATES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
 _SHIFT = np.random.default_rng(77).integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -111,9 +113,11 @@ def _candidates(members: DataFrame) -> DataFrame:
     ``members``: node, part, n, class, label, signature, where (node, part)
     has all members of a small node or a chunk of a larger one.  Rows stream through in the order of (node, part).
     """
+    members = members.select("node", "part", "n", "class", "label", "signature")
     ordered = members.repartition("node", "part").sortWithinPartitions("node", "part", "class")
 
-    def compare(node, small, names, labels, signed) -> tuple[list[bytes], list[bytes]]:
+    def compare(node, n, names, labels, signed) -> tuple[list[bytes], list[bytes]]:
+        small = (n >= 0) & (n <= SMALL)
         starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         size = np.diff(np.append(starts, len(node)))
         a, b = [], []
@@ -133,6 +137,13 @@ def _candidates(members: DataFrame) -> DataFrame:
             if not len(i):
                 break
             check(i, i + lag)
+        for first, count in zip(starts[n[starts] < 0].tolist(), size[n[starts] < 0].tolist(), strict=True):
+            # members of the most common label need no comparison with each other
+            own = np.arange(first, first + count)
+            kinds, inverse, often = np.unique(labels[own], return_inverse=True, return_counts=True)
+            for i in own[inverse != often.argmax()].tolist():
+                others = own[own != i]
+                check(np.minimum(i, others), np.maximum(i, others))
         a, b = np.concatenate(a) if a else np.zeros(0, int), np.concatenate(b) if b else np.zeros(0, int)
         return names[a].tolist(), names[b].tolist()
 
@@ -145,7 +156,7 @@ def _candidates(members: DataFrame) -> DataFrame:
                 names = np.array(table.column("class").to_pylist(), object)
                 labels = np.array(table.column("label").to_pylist(), object)
                 signed = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(names), -1)
-                a, b = compare(node, table.column("n").to_numpy() <= SMALL, names, labels, signed)
+                a, b = compare(node, table.column("n").to_numpy(), names, labels, signed)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
         for batch in batches:
@@ -194,12 +205,15 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, name: str = "class", la
 
 
 def _chunk_pairs(members: DataFrame) -> DataFrame:
-    """Members of nodes that stayed large, so that every two chunks of a node meet in a (node, part) of their own."""
-    chunks = F.ceil(F.col("n") / (SMALL // 2)).cast("bigint")
+    """Members of nodes that stayed large, so that every two blocks of a node meet in a (node, part) of their own.
+
+    A negative n tells that all of them are to be compared.
+    """
+    chunks = F.ceil(F.col("n") / BLOCK).cast("bigint")
     cut = members.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("class"), "chunks"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     part = F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")
-    return cut.withColumn("part", part).withColumn("n", F.lit(2).cast("bigint")).drop("chunks", "own", "other")
+    return cut.withColumn("part", part).withColumn("n", -F.col("n")).drop("chunks", "own", "other")
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
@@ -212,43 +226,37 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sketched = checkpointed(sketch_documents(docs, key, text))
     rows = sketched.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = checkpointed(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("signature").alias("signature")))
-    low = F.col("signature")
-    bodies, labels, links = None, None, None
-    nodes = _expand(classes, FIRST_DEPTH, trees)
-    for level in range(LEVELS + 1):
-        nodes = checkpointed(nodes)
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = _labelled(nodes.join(sizes, "node"), labels)
-        if labels is not None:  # a node whose members are connected already has nothing to find
-            mixed = members.groupBy("node").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("node")
-            members = members.join(mixed, "node")
-        members = checkpointed(members)
+    sketches = classes.select("class", _low_bytes(F.col("signature")).alias("signature"))
+    members = _members(_expand(classes, FIRST_DEPTH, trees), None)
+    part = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("class", "node"), F.ceil(F.col("n") / CHUNK))).otherwise(F.lit(0).cast("bigint"))
+    pairs = checkpointed(_candidates(members.join(sketches, "class").withColumn("part", part)))
+    bodies = checkpointed(_bodies(docs, classes, pairs, key, text))
+    # one pair for each class first: most others then lie within a component
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = checkpointed(_confirmed(first, bodies))
+    labels = checkpointed(components(links))
+    links = links.unionByName(checkpointed(_confirmed(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), bodies)))
+    labels = checkpointed(components(links))
+    later = []
+    for level in range(1, LEVELS + 1):
+        large = members.where(F.col("n") > SMALL).select("node", "class")
+        members = _members(_expand(large.join(classes, "class").select("node", "class", "signature"), 1, None), labels)
         if members.isEmpty():
             break
-        signed = members.join(classes.select("class", _low_bytes(low).alias("signature")), "class")
+        signed = members.join(sketches, "class")
         if level < LEVELS:
-            part = F.when(F.col("n") > SMALL, F.pmod(F.xxhash64("class", "node"), F.ceil(F.col("n") / CHUNK))).otherwise(F.lit(0).cast("bigint"))
             signed = signed.withColumn("part", part)
         else:
             signed = _chunk_pairs(signed.where(F.col("n") > SMALL)).unionByName(signed.where(F.col("n") <= SMALL).withColumn("part", F.lit(0).cast("bigint")))
-        pairs = checkpointed(_candidates(signed.select("node", "part", "n", "class", "label", "signature")))
+        later.append(checkpointed(_candidates(signed)))
+    if later:
+        pairs = later[0]
+        for more in later[1:]:
+            pairs = pairs.unionByName(more)
+        pairs = checkpointed(pairs.distinct())
         if not pairs.isEmpty():
-            needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-            bodies = checkpointed(_bodies(docs, rows, classes, needed, key, text))
-            # one pair for each class first: most others then lie within a component
-            first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            links = _joined(links, checkpointed(_confirmed(first, bodies)))
+            links = links.unionByName(checkpointed(_confirmed(pairs, checkpointed(_bodies(docs, classes, pairs, key, text)))))
             labels = checkpointed(components(links))
-            rest = pairs.join(first, ["a", "b"], "left_anti")
-            rest = _labelled(_labelled(rest, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b")
-            more = checkpointed(_confirmed(rest, bodies))
-            if not more.isEmpty():
-                links = _joined(links, more)
-                labels = checkpointed(components(links))
-        large = members.where(F.col("n") > SMALL).select("node", "class", "label")
-        if level == LEVELS or large.isEmpty():
-            break
-        nodes = _expand(large.join(classes, "class").select("node", "class", "signature"), 1, None)
     least = _labelled(classes.select("class", "least"), labels)
     ids = least.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = least.join(ids, "label").select("class", "component_id")
@@ -257,8 +265,20 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), "text_hash")
 
 
-def _joined(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if links is None else links.unionByName(more)
+def _members(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, n, class, label of nodes with two members or more that are not all connected already."""
+    nodes = checkpointed(nodes)
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = _labelled(nodes.join(sizes, "node"), labels)
+    if labels is not None:
+        mixed = members.groupBy("node").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("node")
+        members = members.join(mixed, "node")
+    return checkpointed(members.select("node", "n", "class", "label"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    return _labelled(_labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b")
 
 
 def _low_bytes(signed):
@@ -266,8 +286,9 @@ def _low_bytes(signed):
     return F.unhex(F.regexp_replace(F.hex(signed), "(..)......", "$1"))
 
 
-def _bodies(docs: DataFrame, rows: DataFrame, classes: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
-    """class, body (compressed text) of one document of each needed class."""
+def _bodies(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    """class, body (compressed text) of one document of each class in ``pairs``."""
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     chosen = classes.select("class", "least").join(needed, "class").select(F.col("class").alias("__class"), F.col("least").alias("__id"))
     texts = docs.select(F.col(key).cast("bigint").alias("__key"), F.col(text).cast("binary").alias("body"))
     found = texts.join(chosen, F.col("__key") == F.col("__id")).select(F.col("__class").alias("class"), "body")
