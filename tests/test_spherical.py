@@ -3,10 +3,10 @@ from math import pi
 import numpy as np
 import pytest
 from meshweave.functions import fields
-from meshweave.functions.points import lonlat
 from meshweave.functions.quadrature import fan_triangulate, gauss_lobatto, lagrange, planar_triangle_area, reference_rule, spherical_mean
 from meshweave.manifold import sphere
 from meshweave.operators import build_regridder
+from meshweave.operators.fields import sample
 from meshweave.operators.metrics import average_coincident, error_metrics, integral, mirror_fold
 from meshweave.sources import corner_grid, cubed_sphere, fold_grid, healpix_grid, latlon_grid, ring_grid, rotated_latlon_grid
 from meshweave.sources.grids import healpix_nested_to_ring
@@ -108,13 +108,7 @@ def test_quadrature():
 def test_fields_and_metrics(spark):
     grids = every_grid(spark)
     src, dst = grids["latlon"], grids["ring"]
-    middle = F.struct(*[(F.aggregate("ring", F.lit(0.0), lambda s, p, n=n: s + p[n])).alias(n) for n in "xyz"])
-
-    def sampled(grid, f):
-        cells = grid.cells.select("cell_id", middle.alias("m")).withColumn("m", F.struct(*[(F.col(f"m.{n}") / F.sqrt(F.col("m.x") ** 2 + F.col("m.y") ** 2 + F.col("m.z") ** 2)).alias(n) for n in "xyz"]))
-        at = lonlat(F.col("m"))
-        return cells.select("cell_id", f(at["lon"], at["lat"]).alias("value"))
-
+    sampled = lambda grid, f: sample(grid, f).data
     r = build_regridder(dst, src).persist()
     for f, most in ((fields.sinusoid_field(), 0.05), (fields.vortex_field(), 0.5), (fields.gulf_stream_field(), 0.1)):
         row = error_metrics(r.regrid(sampled(src, f)), sampled(dst, f)).first()
