@@ -30,6 +30,8 @@ WORDS = 4094
 END, OTHER = 0, 1
 ROUNDS = 4
 SMOOTHING = 0.1
+#: Partitions among which the most frequent words are looked for.
+TOP_PARTITIONS = 32
 #: Parameters averaged as one row.
 PART = 8192
 
@@ -81,7 +83,9 @@ def _frequent(dictionary: DataFrame, most: int) -> tuple[list[bytes], list[int]]
         keep = np.lexsort((np.arange(len(words)), -counts))[: most + 1]
         yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in keep], pa.binary()), pa.array(counts[keep], pa.int64())], ["word", "n"])
 
-    rows = dictionary.select("words", "counts").mapInArrow(top, "word binary, n bigint").where("n > 0").orderBy(F.desc("n"), "word").limit(most + 1).collect()
+    found = dictionary.select("words", "counts").mapInArrow(top, "word binary, n bigint").where("n > 0")
+    # every partition sends its own most frequent words to the driver: a fixed number of them bounds that
+    rows = found.repartition(TOP_PARTITIONS).orderBy(F.desc("n"), "word").limit(most + 1).collect()
     least = rows[most]["n"] if len(rows) > most else 0
     rows = [r for r in rows if r["n"] > least]
     return [bytes(r["word"]) for r in rows], [r["n"] for r in rows]
