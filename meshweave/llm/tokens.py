@@ -14,8 +14,10 @@ from collections.abc import Iterable
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct runs an encoder remembers before it starts afresh; bounds a task's memory.
-REMEMBERED = 800_000
+#: Distinct runs an encoder remembers before it forgets the rare ones; bounds a Python worker's memory.
+REMEMBERED = 300_000
+#: Uses from which a run is not rare.
+OFTEN = 4
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -77,20 +79,34 @@ class RunEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.path, self.remembered = path, remembered
-        self._forget()
-
-    def _forget(self) -> None:
         self.places: dict[bytes, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.starts = self.lengths = self.used = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _forget(self) -> None:
+        """Keeps the runs that were used often, or none if those are too many as well."""
+        kept = np.flatnonzero(self.used >= OFTEN)
+        kept = kept[: 0 if len(kept) > self.remembered // 2 else None]
+        runs = list(self.places)
+        self.places = {runs[i]: n for n, i in enumerate(kept.tolist())}
+        self.ids = self._ids(kept)
+        self.lengths = self.lengths[kept]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.used = self.used[kept] // 2
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the runs at these places, one after another."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
+
     def _learn(self, new: Iterable[bytes]) -> None:
         new, lengths, flat = encode_runs(self.path, new)
         first = len(self.places)
         self.places.update(zip(new, range(first, first + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
         self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, texts: Iterable[bytes]) -> list[np.ndarray]:
@@ -104,10 +120,8 @@ class RunEncoder:
         out = []
         for runs in split:
             at = np.fromiter(map(self.places.__getitem__, runs), np.int64, len(runs))
-            lengths = self.lengths[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(total)])
+            np.add.at(self.used, at, 1)
+            out.append(self._ids(at))
         return out
 
 

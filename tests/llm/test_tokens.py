@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from meshweave.llm.packing import pack_documents
 from meshweave.llm.token_counts import count_tokens
-from meshweave.llm.tokens import load_tokenizer, tokenizer_path
+from meshweave.llm.tokens import RunEncoder, load_tokenizer, tokenizer_path
 
 
 def ids_of(text):
@@ -57,3 +57,11 @@ def test_windows_keep_the_mixture(small_docs):
     for end in range(8, pieces.sequence_id.max(), 8):
         seen = pieces[pieces.sequence_id < end].groupby("source").length.sum()
         assert (share * 1024 * end - seen).max() <= longest + 1024
+
+
+@pytest.mark.parametrize("remembered", [0, 300, 10**6])
+def test_an_encoder_that_forgets(small_docs, remembered):
+    texts = [r.text or "" for r in small_docs.collect()]
+    own = RunEncoder(tokenizer_path(), remembered)
+    got = [ids for i in range(0, len(texts), 20) for ids in own.encode([t.encode() for t in texts[i : i + 20]])]
+    assert [x.tolist() for x in got] == [ids_of(t) for t in texts]
