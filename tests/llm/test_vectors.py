@@ -80,3 +80,22 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert exact_top_k(none, F.col("vec_id") == 0).collect() == []
     assert nearest_neighbours(none, F.col("vec_id") == 0).collect() == []
+
+
+@pytest.mark.parametrize("lengths", ["few", "long", "longest", "spread"])
+def test_recall_with_unequal_norms_and_few_rows(spark, lengths):
+    rng = np.random.default_rng(8)
+    n = 15 if lengths == "few" else 3000
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "spread":
+        x *= rng.lognormal(0, 0.5, (n, 1))
+    elif lengths != "few":
+        x[7] *= 3 if lengths == "long" else 20
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    every = 3 if lengths == "few" else 20
+    want = {(q, i) for q, v in brute(rows, every, 20, False).items() for i, _ in v}
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in nearest_neighbours(docs, F.pmod("vec_id", F.lit(every)) == 0).collect()}
+    assert len(got) == len(want)
+    assert len(got & want) >= (len(want) if lengths == "few" else 0.9 * len(want))
