@@ -53,12 +53,16 @@ def minimisers(data: bytes, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarra
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashed = Substrings(data).windows(anchor)
-    hashed = (hashed & ~PLACE) | (np.arange(len(hashed), dtype=np.uint64) & PLACE)
     width = LENGTH - anchor + 1
+    # places wrap where a stretch of ``width`` ends, so that within one they are in order
+    places = np.uint64((int(PLACE) + 1) // width * width)
+    hashed = (hashed & ~PLACE) | (np.arange(len(hashed), dtype=np.uint64) % places)
     padded = np.concatenate([hashed, np.full(-len(hashed) % width, 2**64 - 1, np.uint64)]).reshape(-1, width)
     ahead = np.minimum.accumulate(padded, axis=1).ravel()
     back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    back, ahead = back[:n], ahead[width - 1 : width - 1 + n]
+    # of equals the first: then starts of equal strings never share a place
+    least = np.where((back | PLACE) <= (ahead | PLACE), back, ahead)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     return least[first] & ~PLACE, first, np.diff(np.append(first, n))
 

@@ -89,3 +89,16 @@ def test_merged_order_is_that_of_all_suffixes():
             expected.append(s[i : i + LENGTH] in seen)
             seen.add(s[i : i + LENGTH])
     assert repeat.tolist() == expected
+
+
+@pytest.mark.parametrize("period", [1, 2, 16, 33])
+def test_periodic_runs_across_wrapped_places(spark, period):
+    rng = random.Random(4)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    rows = []
+    for length in (101, 120, 130, 160):
+        for border in (3904, 4096, 8192):
+            for before in (20, 60, 75, 100):
+                unit = chr(33 + len(rows)) + prose(period - 1)  # found in no other row
+                rows.append((len(rows), prose(border - before) + (unit * length)[:length] + prose(200)))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
