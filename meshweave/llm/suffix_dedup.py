@@ -282,18 +282,19 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
                 strings = [texts[d][s : s + k + LENGTH - 1] for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)]
                 ids = np.array(row["ids"], np.int64)
                 least = _least(strings, ids[doc], start) if strings else np.zeros(0, bool)
+                # known already: a group of the block's own, below all buckets
                 done = _packed(doc=doc[~least], start=start[~least], n=n[~least])
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([done], pa.binary()), pa.array([None], pa.binary())], ["bucket", "block", "pieces", "strings"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - row["block"]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([done], pa.binary()), pa.array([None], pa.binary())], ["bucket", "block", "pieces", "strings"])
                 kept = np.flatnonzero(least)
                 present, order, begins = _dealt(anchor[kept], buckets)
                 for b, x, y in zip(present.tolist(), begins, begins[1:], strict=False):
                     own = kept[order[x:y]]
                     pieces = _packed(anchor=anchor[own].view(np.int64), id=ids[doc[own]], doc=doc[own], start=start[own], n=n[own])
                     data = zlib.compress(b"".join([strings[i] for i in own]), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([pieces], pa.binary()), pa.array([data], pa.binary())], ["bucket", "block", "pieces", "strings"])
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([pieces], pa.binary()), pa.array([data], pa.binary())], ["bucket", "block", "pieces", "strings"])
 
     joined = blocks.select("block", "ids", "sizes", "body").join(kinds, "block")
-    cut = joined.mapInArrow(candidates, "bucket int, block bigint, pieces binary, strings binary")
+    cut = joined.mapInArrow(candidates, "bucket bigint, block bigint, pieces binary, strings binary")
     ranges = cut.groupBy("bucket").applyInArrow(_merge_bucket, "block bigint, ranges binary")
     return blocks.join(ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges")), "block", "left")
 

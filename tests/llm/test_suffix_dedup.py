@@ -102,3 +102,17 @@ def test_periodic_runs_across_wrapped_places(spark, period):
                 unit = chr(33 + len(rows)) + prose(period - 1)  # found in no other row
                 rows.append((len(rows), prose(border - before) + (unit * length)[:length] + prose(200)))
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_no_task_gathers_the_repeats_within_all_blocks(spark, monkeypatch):
+    plain = suffix_dedup._merge_bucket
+
+    def merge(table):
+        known = [b for b, s in zip(table.column("block").to_pylist(), table.column("strings").to_pylist(), strict=True) if s is None]
+        assert len(known) < 2 and (not known or table.num_rows == 1)
+        return plain(table)
+
+    monkeypatch.setattr(suffix_dedup, "_merge_bucket", merge)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    rows = planted()
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
