@@ -87,6 +87,26 @@ def arrange(codes: np.ndarray, before: np.ndarray, lengths: np.ndarray, order: n
     return target, previous, goes_on, text
 
 
+def laid_out(codes: np.ndarray, before: np.ndarray, lengths: np.ndarray, order: np.ndarray, width: int = LANES):
+    """The arrays of ``arrange`` window by window, of lanes that have not ended; beyond a window, memory follows the words."""
+    lane, at = lanes(lengths, order, width)
+    texts = np.lexsort((at, lane))
+    texts = texts[lengths[texts] > 0]
+    n = lengths[texts]
+    own = np.repeat(np.cumsum(lengths)[texts] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    text, first = np.repeat(texts, n), np.zeros(len(own), bool)
+    first[np.cumsum(n) - n] = True
+    target, before = codes[own], before[own]
+    size = np.bincount(lane, lengths).astype(np.int64)
+    begins = np.cumsum(size) - size
+    for t in range(0, int(size.max()), WINDOW):
+        live = int((size > t).sum())  # longer lanes have smaller numbers
+        steps = np.arange(t, min(t + WINDOW, int(size[0])))[:, None]
+        real = steps < size[:live]
+        place = np.where(real, begins[:live] + steps, 0)
+        yield np.where(real, target[place], -1), np.where(real, before[place], 0), (real & ~first[place]).astype(np.float32), np.where(real, text[place], 0)
+
+
 def windows(target: np.ndarray):
     """Window by window: its steps, and the lanes that have not ended."""
     for t in range(0, len(target), WINDOW):
@@ -183,13 +203,13 @@ def score(p: Parameters, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.zeros(len(lengths))
     if not len(codes):
         return total
-    target, before, goes_on, text = arrange(codes, previous(codes, lengths), lengths, np.argsort(-lengths, kind="stable"))
-    state = np.zeros((target.shape[1], WIDTH), np.float32)
-    for step, lane in windows(target):
-        states, state, _ = _recur(p, before[step, lane], goes_on[step, lane], state[lane], False)
-        real = target[step, lane] >= 0
-        log_p, _, _ = _predict(p, states[real], target[step, lane][real], False)
-        total += np.bincount(text[step, lane][real], log_p.astype(np.float64), minlength=len(total))
+    state = None
+    for target, before, goes_on, text in laid_out(codes, previous(codes, lengths), lengths, np.argsort(-lengths, kind="stable")):
+        state = np.zeros((target.shape[1], WIDTH), np.float32) if state is None else state[: target.shape[1]]
+        states, state, _ = _recur(p, before, goes_on, state, False)
+        real = target >= 0
+        log_p, _, _ = _predict(p, states[real], target[real], False)
+        total += np.bincount(text[real], log_p.astype(np.float64), minlength=len(total))
     return total
 
 

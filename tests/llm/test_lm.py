@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -82,3 +83,15 @@ def test_gradients_equal_differences():
             less = loss()
             learner.p[k][at] = keep
             assert np.isclose((more - less) / 2e-3, g[at], atol=2e-3, rtol=2e-2), k
+
+
+def test_memory_of_scoring_follows_the_words():
+    p = small_model()
+    lengths = np.array([40_000] + [3] * 600)
+    codes = np.random.default_rng(1).integers(0, 10, lengths.sum())
+    tracemalloc.start()
+    got = gru.score(p, codes, lengths)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6
+    assert np.allclose(got[[0, 7]], [gru.score(p, codes[:40_000], lengths[:1])[0], gru.score(p, codes[40_018:40_021], lengths[7:8])[0]], rtol=1e-4)
