@@ -120,7 +120,7 @@ def _em(likely: np.ndarray, first: np.ndarray, of: np.ndarray, allowed: np.ndarr
     return share, np.add.reduceat(np.log((likely * share[of]).sum(axis=1)), first)
 
 
-def mixtures(log_word: np.ndarray, first: np.ndarray, *, penalty: float, rounds: int, most: int) -> np.ndarray:
+def mixtures(log_word: np.ndarray, first: np.ndarray, *, penalty: float, rounds: int, most: int | None = None) -> np.ndarray:
     """(text, language) proportions under each text's chosen set of languages.
 
     ``log_word``: (word, language) log likelihoods; ``first``: each text's first word, every text has one.
@@ -149,7 +149,14 @@ def mixtures(log_word: np.ndarray, first: np.ndarray, *, penalty: float, rounds:
     share, _ = _em(words, starts, of, np.ones((len(left), langs)), rounds)
     order = np.argsort(-share, axis=1, kind="stable")
     score = value[left]
-    for k in range(2, min(most, langs) + 1):
+    for k in range(2, (langs if most is None else min(most, langs)) + 1):
+        # no fit is above 0, so a text whose score the cost of k languages has reached is settled
+        going = np.flatnonzero(-(k - 1) * cost[left] > score)
+        if not len(going):
+            break
+        if len(going) < len(left):
+            left, order, score = left[going], order[going], score[going]
+            words, starts, of = part(left)
         allowed = np.zeros((len(left), langs))
         np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
         share, fit = _em(words, starts, of, allowed, rounds)
@@ -159,7 +166,7 @@ def mixtures(log_word: np.ndarray, first: np.ndarray, *, penalty: float, rounds:
     return chosen
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str], text: str = "text", penalty: float = 3.0, rounds: int = 12, most: int = 4) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str], text: str = "text", penalty: float = 3.0, rounds: int = 12, most: int | None = None) -> DataFrame:
     """The columns in ``keep`` and __lang, __score (its proportion) and __mixture of every row.
 
     ``und`` with score 0 stands for a null text, a text without letters, or a
@@ -215,7 +222,13 @@ def predict_languages(docs: DataFrame, *, key: str = "doc_id", **options) -> Dat
 LEAST_SHARE = 0.4
 
 
-def in_a_language(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and a language with LEAST_SHARE of it or more."""
-    found = identify(docs, learn(docs.where(~held_out(F.col(key)))), keep=docs.columns, **options)
+def in_a_language(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and a language with LEAST_SHARE of it or more.
+
+    All labelled rows teach; where none does, all rows with letters stay.
+    """
+    model = learn(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model, keep=docs.columns, **options)
     return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SHARE)).select(*docs.columns)

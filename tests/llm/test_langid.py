@@ -1,5 +1,7 @@
+import zlib
+
 import numpy as np
-from meshweave.llm.langid import identify, learn, mixtures, predict_languages
+from meshweave.llm.langid import identify, in_a_language, learn, mixtures, predict_languages
 
 
 def test_held_out_accuracy(spark):
@@ -47,3 +49,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     blank = spark.createDataFrame([(1, "12 … !", "xx"), (4, "\U0001f600", "xx"), (7, "abc", "xx"), (10, "Ωμέγα", "xx")], "doc_id long, text string, lang string")
     kinds = {r.doc_id: r.lang_pred for r in predict_languages(blank).collect()}
     assert kinds[1] == kinds[4] == "und" and kinds[7] == "xx" and kinds[10] == "xx"
+
+
+def test_more_than_four_languages():
+    log_word = np.full((600, 7), -12.0)
+    log_word[np.arange(600), np.arange(600) % 6] = -1.0
+    got = mixtures(log_word, np.array([0]), penalty=3.0, rounds=12)
+    assert np.allclose(got, [[1 / 6] * 6 + [0]], atol=0.01)
+
+
+def test_rows_stay_without_learnt_languages(spark):
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, f"some words here {i}", None) for i in range(6)] + [(6, "12 !", None), (7, None, None)]
+    assert sorted(r.doc_id for r in in_a_language(spark.createDataFrame(rows, schema)).collect()) == list(range(6))
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1]
+    labelled = spark.createDataFrame([(i, "some words here", "en") for i in held], schema)
+    assert in_a_language(labelled).count() == len(held)
