@@ -4,7 +4,8 @@ A document whose source must be taken e times has floor(e) certain copies;
 the rest r = e - floor(e) is an inclusion probability.  Documents are ranked by
 their random odds divided by their inclusion odds, u(1-r) / ((1-u)r), and each
 source takes the shortest-off prefix of that order: the sample size is fixed in
-words, and inclusion probabilities differ with r.
+words.  r is one number for a source, so inclusion probabilities are equal within a
+source, whose order is that of u, and differ between sources.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
     return ranked.select("source", "rank", "source_size", target.alias("target"))
 
 
+def order_bucket(odds: Column, r: Column, buckets: int) -> Column:
+    """Buckets of equal width in u, computed from the odds so that they never fall where odds grow."""
+    return F.least(F.floor(buckets / (1 + (1 - r) / (odds * r))), F.lit(buckets - 1)).cast("int")
+
+
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, buckets: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
     """How many words the mix takes of every document.
 
@@ -60,7 +66,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
     and other columns are ignored.
 
     Only sums leave a source: the order is cut into ``buckets`` of equal
-    width, a prefix sum over their words finds the one bucket in which the
+    width in u, hence of about as many rows, a prefix sum over their words finds the one bucket in which the
     sample ends, and ranking happens inside (source, bucket), so that a source
     with a third of all rows is ranked by many tasks.
     """
@@ -72,7 +78,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
     odds = (F.col("u") * (1 - F.col("r"))) / ((1 - F.col("u")) * F.col("r"))
     rows = narrow.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rows = rows.withColumn("odds", F.when(F.col("r") > 0, odds))
-    bucket = F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * buckets), F.lit(buckets - 1)).cast("int")
+    bucket = order_bucket(F.col("odds"), F.col("r"), buckets)
     rows = rows.withColumn("bucket", F.coalesce(bucket, F.pmod(F.xxhash64("u"), F.lit(buckets)).cast("int")))
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from meshweave.llm.mixing import mix_sources
+from meshweave.llm.mixing import mix_sources, order_bucket
 from meshweave.llm.queries import ORACLE_SQL, QUERIES
 from meshweave.llm.sharding import jump_hash, shard_documents
 from pyspark.sql import functions as F
@@ -114,3 +114,11 @@ def test_query_equals_sql(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     columns = ", ".join(df.columns)
     assert sorted(map(tuple, df.collect())) == sorted(con.sql(f"SELECT {columns} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
+def test_buckets_of_a_source_hold_about_as_many_rows(spark):
+    u = (F.col("id") + 0.5) / 40_000
+    rows = spark.range(40_000).crossJoin(spark.createDataFrame([(1e-7,), (1e-4,), (0.5,), (0.9999,)], "r double"))
+    rows = rows.withColumn("odds", u * (1 - F.col("r")) / ((1 - u) * F.col("r")))
+    got = rows.groupBy("r", order_bucket(F.col("odds"), F.col("r"), 100).alias("bucket")).count().collect()
+    assert len(got) == 400 and all(399 <= r["count"] <= 401 for r in got)
