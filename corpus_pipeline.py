@@ -32,7 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into windows that have its proportions."""
+    """Packs the mix into windows; whole documents keep its proportions over the stream."""
     return pack_documents(docs)
 
 
