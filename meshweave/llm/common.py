@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +18,57 @@ WORD = r"[^\x20\x09-\x0D]+"
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where none is configured (local tests).
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Where
+    none is configured a temporary one serves a local session, whose tasks share
+    this machine's disk; a cluster without the setting is an error.  Spark removes the
+    files of tables that are no longer referenced with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_once: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with where each begins (and the end), from batches sorted by integer ``keys``.
+
+    A table has all groups that end in one batch; with ``at_once``, that many groups at most.
+    """
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        table = pa.Table.from_batches(held)
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            values = table.column(k).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        new[0] = True
+        begins = np.append(np.flatnonzero(new), table.num_rows)
+        for first in range(0, len(begins) - 1, at_once or len(begins)):
+            own = begins[first : first + (at_once or len(begins)) + 1]
+            yield table.slice(own[0], own[-1] - own[0]), own - own[0]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = np.ones(batch.num_rows, bool)
+        for k in keys:
+            values = batch.column(k).to_numpy()
+            same &= values == values[-1]
+        last = int(same.argmax())  # the first row of the batch's last group
+        if held and (last or any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys)):
+            yield from cut([*held, *([batch.slice(0, last)] if last else [])])
+            held = []
+        elif last:
+            yield from cut([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield from cut(held)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

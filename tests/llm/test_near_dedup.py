@@ -75,20 +75,51 @@ def planted():
     return [(7 * i + 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("chunk", [near_dedup.CHUNK, 40])
-def test_equals_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+@pytest.mark.parametrize(("small", "chunk", "size"), [(32, 2048, 32 << 20), (4, 2048, 32 << 20), (8, 40, 32 << 20), (4, 2048, 40_000)])
+def test_equals_brute_force(spark, monkeypatch, small, chunk, size):
+    for name, value in (("SMALL", small), ("CHUNK", chunk), ("NODE_BYTES", size)):
+        monkeypatch.setattr(near_dedup, name, value)
     rows = planted()
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
-def test_every_level_and_the_exhaustive_end(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
-    monkeypatch.setattr(near_dedup, "LEVELS", 2)
-    rows = planted()
+def copies(number):
+    """Copies of one text with few or many changed words: some are linked to it, some to others, some to none."""
+    rng = random.Random(number)
+    base = [rng.choice([f"w{i}" for i in range(400)]) for _ in range(150)]
+    rows = [" ".join(base)]
+    for i in range(number - 1):
+        copy = list(base)
+        for at in rng.sample(range(150), 1 + i % 9):
+            copy[at] = f"x{rng.randrange(3000)}"
+        rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    return [(3 * i + 1, t) for i, t in enumerate(rows)]
+
+
+def test_a_large_group_of_near_copies(spark):
+    rows = copies(700)
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_candidates_of_near_copies_grow_in_proportion(spark):
+    numbers = []
+    for size in (1000, 4000):
+        docs = spark.createDataFrame(copies(size), "doc_id long, text string")
+        classes = near_dedup.sketch_documents(docs).where("class IS NOT NULL").persist()
+        members = near_dedup._members(near_dedup._expand(classes, near_dedup.FIRST_DEPTH, near_dedup.TREES))
+        numbers.append((members.count(), near_dedup._candidates(members, classes.select("class", "signature")).count()))
+        classes.unpersist()
+    assert numbers[1][0] < 4.5 * numbers[0][0] and numbers[1][1] < numbers[1][0]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 777, "h", 5), (2, "a b c d e f", 778, "h", 6), (2, "other words of a text", 779, "i", 7), (2, "other words of a text", 779, "i", 7)], "doc_id long, text string, __id long, __hash string, id long")
+    got = near_dedup.drop_near_duplicates(docs)
+    assert got.dtypes == docs.dtypes
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d e f", 777, "h", 5), (2, "other words of a text", 779, "i", 7)]
+
+
 def test_equals_brute_force_on_the_test_table(spark, small_docs):
     assert found(small_docs) == brute([(r.doc_id, r.text) for r in small_docs.collect()])
 
