@@ -23,6 +23,7 @@ BLOCK_BYTES = 24 << 20
 #: Hash buckets of words: the unit in which words are looked up.
 BUCKETS = 4096
 SCHEMA = "block bigint, doc_ids array<bigint>, n_bytes array<bigint>, n_words array<bigint>, flags array<boolean>, pairs binary, buckets array<struct<bucket: int, words: binary, flagged: binary>>"
+Units = Callable[[list[bytes]], tuple[list[bytes], np.ndarray, np.ndarray]]
 _BUCKET = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("flagged", pa.binary())])
 _ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("flags", pa.list_(pa.bool_())), ("pairs", pa.binary()), ("buckets", pa.list_(_BUCKET))])
 
@@ -38,18 +39,29 @@ def unpack(data: bytes, n: int, kind: str = "<u4") -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view(kind).ravel() for p in planes]
 
 
-def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], places: dict[bytes, int], ordered: bool) -> pa.RecordBatch:
-    words = list(places)
+def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], places: dict[bytes, int], ordered: bool, units: Units | None) -> pa.RecordBatch:
+    words, own = list(places), None
+    if units:
+        words, *own = units(words)
     hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
     order = np.argsort(hashed, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     lengths = np.array([len(d[3]) for d in docs], np.int64)
-    size = max(1, len(words))
-    sequence = rank[np.concatenate([d[3] for d in docs])]
+    size = max(1, len(words), len(places))
+    sequence = np.concatenate([d[3] for d in docs])
+    if not own:
+        sequence = rank[sequence]
     flat = np.repeat(np.arange(len(docs)), lengths) * size + sequence
     pairs, often = np.unique(flat, return_counts=True)
     of, at = pairs // size, pairs % size
+    if own:  # from the words' frequencies to their units'
+        which, n = own
+        first, times = (np.cumsum(n) - n)[at], n[at]
+        at = rank[which[np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]]
+        pairs, inverse = np.unique(np.repeat(of, times) * size + at, return_inverse=True)
+        often = np.bincount(inverse, np.repeat(often, times), minlength=len(pairs)).astype(np.int64)
+        of, at = pairs // size, pairs % size
     flags = np.array([d[2] for d in docs], bool)
     flagged = np.bincount(at[flags[of]], often[flags[of]], minlength=len(words)).astype(np.uint32)
     starts = np.searchsorted(hashed[order], np.arange(BUCKETS + 1))
@@ -61,11 +73,12 @@ def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], pl
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
 
-def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool = False, units: Units | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Block rows of all documents.  ``flag`` marks documents whose frequencies are also summed by word.
 
     ``lower`` folds A-Z.  ``ordered`` keeps all words in their order (as places among the block's
-    words) in place of the pairs.  A null text counts as empty, a null key stays null.
+    words) in place of the pairs.  ``units`` cuts words into the units that take their place (names,
+    places of the words' units, number of units of each).  A null text counts as empty, a null key stays null.
     """
     columns = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), flag.alias("f"))
 
@@ -82,10 +95,10 @@ def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool =
                 docs.append((k, len(t), f, np.fromiter(map(places.__getitem__, words), np.int64, len(words))))
                 size += len(t)
                 if size >= BLOCK_BYTES:
-                    yield _block(number := number + 1, docs, places, ordered)
+                    yield _block(number := number + 1, docs, places, ordered, units)
                     docs, places, size = [], {}, 0
         if docs:
-            yield _block(number + 1, docs, places, ordered)
+            yield _block(number + 1, docs, places, ordered, units)
 
     return columns.mapInArrow(build, SCHEMA)
 

@@ -4,12 +4,15 @@ Space and \\t \\n \\v \\f \\r are dropped by the tokenizer's pre-tokenizer, no
 pre-token or special string contains them, and neither normalisation nor case
 folding reaches across them.  A text's ids are therefore the ids of its runs
 between them, one after another, and a run seen before need not be encoded again.
+A very long run is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -42,31 +45,105 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
-#: A special string of the tokenizer.  It splits a text into parts encoded apart, so it can separate many runs in one call.
-SEPARATOR = "<|endoftext|>"
-RUNS_AT_ONCE = 256
-
-
-def encode_runs(path: str, runs: Iterable[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The runs in the order in which they were encoded, their numbers of ids, and all ids one after another."""
-    tokenizer = load_tokenizer(path)
-    separator = tokenizer.token_to_id(SEPARATOR)
-    plain, odd = [], []
-    for run in runs:
-        (odd if separator is None or b"<|" in run else plain).append(run)
-    joined = [b" ".join(plain[i : i + RUNS_AT_ONCE]).decode("utf-8").replace(" ", SEPARATOR) for i in range(0, len(plain), RUNS_AT_ONCE)]
-    alone = [r.decode("utf-8") for r in odd]
-    encoded = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined + alone, add_special_tokens=False)]
-    lengths, ids = [], []
-    for part in encoded[: len(joined)]:
-        cuts = np.flatnonzero(part == separator)
-        lengths.append(np.diff(np.concatenate([[-1], cuts, [len(part)]])) - 1)
-        ids.append(np.delete(part, cuts))
-    lengths += [np.array([len(x)]) for x in encoded[len(joined) :]]
-    ids += encoded[len(joined) :]
-    if not ids:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    return plain + odd, np.concatenate(lengths).astype(np.int64), np.concatenate(ids)
+RUNS_AT_ONCE = 1024
+
+
+def _kinds() -> np.ndarray:
+    """0: white space, 1: letter, 2: digit, 3: any other."""
+    table = np.full(256, 3, np.uint8)
+    table[128:] = 1
+    table[ord("a") : ord("z") + 1] = table[ord("A") : ord("Z") + 1] = 1
+    table[ord("0") : ord("9") + 1] = 2
+    table[32] = 0
+    return table
+
+
+KINDS = _kinds()
+#: A pre-token of clean runs.
+PRETOKEN = re.compile(rb"[a-zA-Z\x80-\xff]+|[0-9]|[^a-zA-Z0-9\x80-\xff ]+")
+
+
+def _odd_bytes() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[:33] = table[[ord("'"), 127]] = True
+    table[192:] = True
+    table[[32, 0xC3, 0xC4, 0xC5]] = False
+    return table
+
+
+ODD = _odd_bytes()
+#: Two bytes that are no letter, that folding makes two letters, or that may begin a special string.
+ODD_PAIRS = [(0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (ord("<"), ord("|"))]
+
+
+def clean_and_odd(runs: Iterable[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Runs of ASCII without apostrophe and of letters up to U+017F that folding keeps single, and all others.
+
+    Clean runs fall into pre-tokens where letters, digits and other characters meet, and at every digit.
+    """
+    runs = list(runs)
+    data = np.frombuffer(b" ".join(runs), np.uint8)
+    odd = ODD[data]
+    for one, two in ODD_PAIRS:
+        odd[:-1] |= (data[:-1] == one) & (data[1:] == two)
+    bad = np.zeros(len(runs), bool)
+    bad[np.searchsorted(np.flatnonzero(data == 32), np.flatnonzero(odd))] = True
+    which = bad.tolist()
+    return [r for r, x in zip(runs, which, strict=True) if not x], [r for r, x in zip(runs, which, strict=True) if x]
+
+
+def pretoken_starts(joined: bytes) -> np.ndarray:
+    """Where pre-tokens begin in clean runs that single spaces separate."""
+    kind = KINDS[np.frombuffer(joined, np.uint8)]
+    new = np.empty(len(kind), bool)
+    new[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    return (new & (kind > 0)) | (kind == 2)
+
+
+_word_ends: dict[str, np.ndarray] = {}
+
+
+def word_ends(path: str) -> np.ndarray:
+    """Which ids end a pre-token."""
+    if path not in _word_ends:
+        tokenizer = load_tokenizer(path)
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            for token, i in tokenizer.get_vocab().items():
+                ends[i] = token.endswith(suffix)
+        _word_ends[path] = ends
+    return _word_ends[path]
+
+
+def encode_runs(path: str, clean: list[bytes], odd: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The runs in the order in which they were encoded, their numbers of ids, and all ids one after another.
+
+    Clean runs are encoded many in a call.  An id that ends a pre-token tells where the next begins;
+    should their number not be the runs' own, those runs are encoded one by one as odd ones are.
+    """
+    tokenizer, ends, odd = load_tokenizer(path), word_ends(path), list(odd)
+    if not ends.any():
+        clean, odd = [], clean + odd
+    groups = [clean[i : i + RUNS_AT_ONCE] for i in range(0, len(clean), RUNS_AT_ONCE)]
+    joined = [b" ".join(g) for g in groups]
+    done, lengths, ids = [], [], []
+    for group, text, e in zip(groups, joined, tokenizer.encode_batch_fast([j.decode("utf-8") for j in joined], add_special_tokens=False), strict=True):
+        own, starts = np.array(e.ids, np.uint32), pretoken_starts(text)
+        cuts = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), len(text))
+        pretokens = np.cumsum(starts)[cuts - 1]  # of the runs up to each
+        last = np.flatnonzero(ends[own])
+        if len(last) != pretokens[-1]:
+            odd += group
+            continue
+        done += group
+        lengths.append(np.diff(last[pretokens - 1] + 1, prepend=0))
+        ids.append(own)
+    encoded = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast([r.decode("utf-8") for r in odd], add_special_tokens=False)]
+    lengths.append(np.array([len(x) for x in encoded], np.int64))
+    ids += encoded
+    return done + odd, np.concatenate(lengths).astype(np.int64), np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
 
 def fold(text: bytes) -> bytes:
@@ -74,55 +151,104 @@ def fold(text: bytes) -> bytes:
     return text if b"<|" in text else text.lower()
 
 
-class RunEncoder:
-    """Ids of whole texts; every distinct run is encoded once."""
+def pretokens_of(path: str, runs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of the runs, the places among them of each run's own, one run after another, and their number for each run."""
+    clean, odd = clean_and_odd(runs)
+    if not word_ends(path).any():
+        clean, odd = [], runs
+    joined = b" ".join(clean)
+    found = PRETOKEN.findall(joined)
+    names = list(dict.fromkeys(chain(found, odd)))
+    places = dict(zip(names, range(len(names)), strict=True))
+    cuts = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))[: len(clean)]
+    number = dict(zip(chain(clean, odd), chain(np.diff(np.cumsum(pretoken_starts(joined))[cuts - 1], prepend=0).tolist(), [1] * len(odd)), strict=True))
+    # found and odd have the runs in another order than ``runs``
+    begin, at = {}, 0
+    for run in chain(clean, odd):
+        begin[run] = at
+        at += number[run]
+    flat = np.fromiter(map(places.__getitem__, chain(found, odd)), np.int64, at)
+    n = np.fromiter(map(number.__getitem__, runs), np.int64, len(runs))
+    first = np.fromiter(map(begin.__getitem__, runs), np.int64, len(runs))
+    return names, flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.path, self.remembered = path, remembered
+
+class Remembered:
+    """Ids of byte strings seen before, in one flat array."""
+
+    def __init__(self, most: int):
+        self.most = most
         self.places: dict[bytes, int] = {}
         self.starts = self.lengths = self.used = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _forget(self) -> None:
-        """Keeps the runs that were used often, or none if those are too many as well."""
+    def forget(self) -> None:
+        """Beyond the most, keeps the strings that were used often, or none if those are too many as well."""
+        if len(self.places) <= self.most:
+            return
         kept = np.flatnonzero(self.used >= OFTEN)
-        kept = kept[: 0 if len(kept) > self.remembered // 2 else None]
-        runs = list(self.places)
-        self.places = {runs[i]: n for n, i in enumerate(kept.tolist())}
-        self.ids = self._ids(kept)
+        kept = kept[: 0 if len(kept) > self.most // 2 else None]
+        names = list(self.places)
+        self.places = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.ids = self.take(kept)
         self.lengths = self.lengths[kept]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.used = self.used[kept] // 2
 
-    def _ids(self, at: np.ndarray) -> np.ndarray:
-        """Ids of the runs at these places, one after another."""
+    def add(self, names: list[bytes], lengths: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.places)
+        self.places.update(zip(names, range(first, first + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.used = np.concatenate([self.used, np.zeros(len(names), np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def find(self, names: Iterable[bytes], count: int) -> np.ndarray:
+        at = np.fromiter(map(self.places.__getitem__, names), np.int64, count)
+        self.used += np.bincount(at, minlength=len(self.used))
+        return at
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the strings at these places, one after another."""
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         return self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
 
+
+class RunEncoder:
+    """Ids of whole texts; every distinct pre-token of clean runs, and every distinct other run, is encoded once."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.path = path
+        self.runs, self.pretokens = Remembered(remembered), Remembered(remembered)
+
     def _learn(self, new: Iterable[bytes]) -> None:
-        new, lengths, flat = encode_runs(self.path, new)
-        first = len(self.places)
-        self.places.update(zip(new, range(first, first + len(new)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
-        self.ids = np.concatenate([self.ids, flat])
+        clean, odd = clean_and_odd(new)
+        if not word_ends(self.path).any():
+            clean, odd = [], clean + odd
+        if clean:
+            joined = b" ".join(clean)
+            found = PRETOKEN.findall(joined)
+            self.pretokens.forget()
+            self.pretokens.add(*encode_runs(self.path, list(set(found).difference(self.pretokens.places)), []))
+            at = self.pretokens.find(found, len(found))
+            cuts = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+            pretokens = np.cumsum(pretoken_starts(joined))[cuts - 1]
+            self.runs.add(clean, np.diff(np.cumsum(self.pretokens.lengths[at])[pretokens - 1], prepend=0), self.pretokens.take(at))
+        if odd:
+            self.runs.add(*encode_runs(self.path, [], odd))
 
-    def encode(self, texts: Iterable[bytes]) -> list[np.ndarray]:
-        """Ids (uint32) of each text; call it with some hundred texts at a time."""
+    def encode(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (uint32) of the texts one after another, and the number of each; call it with some hundred texts at a time."""
         split = [fold(text).split() for text in texts]
-        if len(self.places) > self.remembered:
-            self._forget()
-        new = set().union(*split).difference(self.places) if split else set()
+        self.runs.forget()
+        new = set().union(*split).difference(self.runs.places) if split else set()
         if new:
             self._learn(new)
-        out = []
-        for runs in split:
-            at = np.fromiter(map(self.places.__getitem__, runs), np.int64, len(runs))
-            np.add.at(self.used, at, 1)
-            out.append(self._ids(at))
-        return out
+        sizes = np.array([len(runs) for runs in split], np.int64)
+        at = self.runs.find(chain.from_iterable(split), int(sizes.sum()))
+        ends = np.concatenate([[0], np.cumsum(self.runs.lengths[at])])
+        return self.runs.take(at), np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
 
 
 _encoders: dict[str, RunEncoder] = {}
