@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, whole_groups
+from .common import checkpointed, sliced, whole_groups
 from .components import components
 from .hashing import mix, shingles
 
@@ -97,9 +97,7 @@ def _expand(rows: DataFrame, depth: int, trees: int | None) -> DataFrame:
     """node, class, n_shingles: of each row's own node ``depth`` levels down, or from the roots of ``trees``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 1024):
             signed = _signatures(batch.column("signature"))
             if trees is None:
                 at, node = np.arange(batch.num_rows), batch.column("node").to_numpy().view(np.uint64)
@@ -136,8 +134,8 @@ def _pairs_by_lag(signed: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.nda
     """Resembling pairs i, i + lag, where ``rest`` is the number of rows from i to the end of its group."""
     for lag in range(1, int(rest.max(initial=0))):
         every = np.flatnonzero(rest > lag)
-        for first in range(0, len(every), 65_536):
-            i = every[first : first + 65_536]
+        for first in range(0, len(every), 8192):
+            i = every[first : first + 8192]
             agree = np.count_nonzero(signed[i] == signed[i + lag], axis=1)
             hit = agree >= AGREEING
             yield i[hit], i[hit] + lag, agree[hit]
@@ -190,7 +188,7 @@ def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
         rows = rows.unionByName(best.select("node", every.alias("part"), "n", "best.class", "best.signature", F.lit(True).alias("hub")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begins in whole_groups(batches, ["node", "part"]):
+        for table, begins in whole_groups(batches, ["node", "part"], at_once=1024):
             signed, names = _signatures(table.column("signature")), table.column("class").combine_chunks()
             size = np.diff(begins)
             rest = np.repeat(begins[1:], size) - np.arange(len(signed))
