@@ -13,13 +13,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 BLOCK_BYTES = 24 << 20
+TEXTS_AT_ONCE = 256
 #: Hash buckets of words: the unit in which words are looked up.
 BUCKETS = 4096
 SCHEMA = "block bigint, doc_ids array<bigint>, n_bytes array<bigint>, n_words array<bigint>, flags array<boolean>, pairs binary, buckets array<struct<bucket: int, words: binary, flagged: binary>>"
@@ -49,7 +53,7 @@ def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], pl
     rank[order] = np.arange(len(words))
     lengths = np.array([len(d[3]) for d in docs], np.int64)
     size = max(1, len(words), len(places))
-    sequence = np.concatenate([d[3] for d in docs])
+    sequence = np.concatenate([d[3] for d in docs]).astype(np.int64)
     if not own:
         sequence = rank[sequence]
     flat = np.repeat(np.arange(len(docs)), lengths) * size + sequence
@@ -73,6 +77,16 @@ def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], pl
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
 
+def _runs(sizes: list[int], begun: int) -> Iterator[tuple[int, int]]:
+    """Rows [first, last) that go on with a block of ``begun`` bytes, or with the next one."""
+    first = 0
+    for i, n in enumerate(sizes):
+        begun += n
+        if begun >= BLOCK_BYTES or i == len(sizes) - 1:
+            yield first, i + 1
+            first, begun = i + 1, 0 if begun >= BLOCK_BYTES else begun
+
+
 def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool = False, units: Units | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Block rows of all documents.  ``flag`` marks documents whose frequencies are also summed by word.
 
@@ -87,13 +101,16 @@ def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool =
 
         number = (TaskContext.get().partitionId() << 32) - 1
         docs, places, size = [], {}, 0
-        for batch in batches:
-            for k, t, f in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = (t.lower() if lower else t).split()
-                for w in set(words).difference(places):
-                    places[w] = len(places)
-                docs.append((k, len(t), f, np.fromiter(map(places.__getitem__, words), np.int64, len(words))))
-                size += len(t)
+        for batch in sliced(batches, TEXTS_AT_ONCE):
+            keys, texts, flags = (batch.column(i).to_pylist() for i in range(3))
+            for first, last in _runs(list(map(len, texts)), size):
+                split = [(t.lower() if lower else t).split() for t in texts[first:last]]
+                new = set().union(*split).difference(places)
+                places.update(zip(new, range(len(places), len(places) + len(new)), strict=True))
+                n = [len(x) for x in split]
+                flat = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.uint32, sum(n))
+                docs += zip(keys[first:last], map(len, texts[first:last]), flags[first:last], np.split(flat, np.cumsum(n)[:-1]), strict=True)
+                size += sum(map(len, texts[first:last]))
                 if size >= BLOCK_BYTES:
                     yield _block(number := number + 1, docs, places, ordered, units)
                     docs, places, size = [], {}, 0

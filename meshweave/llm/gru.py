@@ -3,7 +3,8 @@
 Word w of class k has probability p(k | state) * p(w | k, state).  Classes hold
 words of neighbouring frequency, about as many classes as words in a class.
 Texts run side by side in lanes; a lane's state goes on from window to window
-and starts afresh with a text, and gradients stop at a window's edge.
+and starts afresh with a text, and gradients stop at a window's edge.  For learning, long texts
+are cut into parts, each of which starts from the state that its text has there.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ UPDATES, LEAST_LANES = 60, 16
 RATE = 0.2
 #: Gradients are means over a full window times this; with squares that start at 0.1, small ones take small steps.
 SCALE = 16.0
-#: Words after which learning starts a text's state afresh, so that lanes end together.
+#: Words of a part of a text.  Parts are learnt from in any order, so that lanes end together; each starts from the
+#: state that the parameters before this learning give at its place in the text.
 SEGMENT = 512
 Parameters = dict[str, np.ndarray]
 
@@ -76,14 +78,14 @@ def lanes(lengths: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def arrange(codes: np.ndarray, before: np.ndarray, lengths: np.ndarray, order: np.ndarray, width: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(step, lane) arrays: target word (-1: none), word before it, whether the text goes on, and number of the text."""
+    """(step, lane) arrays for parts of texts: target word (-1: none), word before it, whether the part goes on, and its number where it begins."""
     lane, at = lanes(lengths, order, width)
     of = np.repeat(np.arange(len(lengths)), lengths)
     step = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     place = (at[of] + step, lane[of])
     size = (int(place[0].max()) + 1, int(lane.max()) + 1)
-    target, previous, text, goes_on = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.float32)
-    target[place], previous[place], text[place], goes_on[place] = codes, before, of, step > 0
+    target, previous, text, goes_on = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.full(size, -1, np.int64), np.zeros(size, np.float32)
+    target[place], previous[place], text[place], goes_on[place] = codes, before, np.where(step > 0, -1, of), step > 0
     return target, previous, goes_on, text
 
 
@@ -137,12 +139,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _recur(p: Parameters, before: np.ndarray, goes_on: np.ndarray, state: np.ndarray, keep: bool):
+def _recur(p: Parameters, before: np.ndarray, goes_on: np.ndarray, state: np.ndarray, keep: bool, begins: np.ndarray | None = None, carried: np.ndarray | None = None):
+    """States of all steps.  Where ``begins`` is not 0, a text goes on from that row of ``carried``."""
     gx = (p["embed"] @ p["wx"] + p["b"])[before] if before.size > len(p["embed"]) else p["embed"][before] @ p["wx"] + p["b"]
     out = np.empty((*before.shape, WIDTH), np.float32)
     kept = []
     for t in range(len(before)):
         h = state * goes_on[t][:, None]
+        if begins is not None and begins[t].any():
+            lane = np.flatnonzero(begins[t])
+            h[lane] = carried[begins[t, lane]]
         g = h @ p["wh"]
         zr = _sigmoid(gx[t, :, : 2 * WIDTH] + g[:, : 2 * WIDTH])
         n = np.tanh(gx[t, :, 2 * WIDTH :] + zr[:, WIDTH:] * g[:, 2 * WIDTH :])
@@ -203,16 +209,49 @@ def score(p: Parameters, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = np.zeros(len(lengths))
     if not len(codes):
         return total
-    state = None
+    state, held, size = None, [], 0
+
+    def predict() -> None:
+        states, target, text = (np.concatenate(x) for x in zip(*held, strict=True))
+        log_p, _, _ = _predict(p, states, target, False)
+        np.add(total, np.bincount(text, log_p.astype(np.float64), minlength=len(total)), out=total)
+        held.clear()
+
     for target, before, goes_on, text in laid_out(codes, previous(codes, lengths), lengths, np.argsort(-lengths, kind="stable")):
         state = np.zeros((target.shape[1], WIDTH), np.float32) if state is None else state[: target.shape[1]]
         states, state, _ = _recur(p, before, goes_on, state, False)
         real = target >= 0
-        log_p, _, _ = _predict(p, states[real], target[real], False)
-        total += np.bincount(text[real], log_p.astype(np.float64), minlength=len(total))
+        held.append((states[real], target[real], text[real]))
+        size += len(held[-1][1])
+        if size >= LANES * WINDOW:
+            predict()
+            size = 0
+    if held:
+        predict()
     return total
 
 
+def states_between(p: Parameters, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """State before each part but the first of every text, text by text; a first row of zeros."""
+    more = np.maximum(-(-lengths // SEGMENT) - 1, 0)
+    out = np.zeros((1 + int(more.sum()), WIDTH), np.float32)
+    row = 1 + np.cumsum(more) - more
+    words, begin = previous(codes, lengths), np.cumsum(lengths) - lengths
+    long = np.argsort(-more, kind="stable")[: int((more > 0).sum())]
+    for first in range(0, len(long), LANES):
+        own = long[first : first + LANES]
+        state = np.zeros((len(own), WIDTH), np.float32)
+        for part in range(int(more[own[0]])):
+            own = own[more[own] > part]
+            state = state[: len(own)]
+            for t in range(part * SEGMENT, (part + 1) * SEGMENT, 64):
+                goes_on = np.ones((64, len(own)), np.float32)
+                goes_on[0] = t > 0
+                _, state, _ = _recur(p, words[begin[own] + np.arange(t, t + 64)[:, None]], goes_on, state, False)
+            out[row[own] + part] = state
+    return out
+
+
 class Learner:
     """Truncated backpropagation through time with adaptive steps (Adagrad)."""
 
@@ -221,34 +260,40 @@ class Learner:
         self.squares = {k: np.full_like(v, 0.1) for k, v in p.items()}
         self.words = 0
 
-    def gradients(self, target, before, goes_on, state):
+    def gradients(self, target, before, goes_on, state, begins=None, carried=None):
         p = self.p
-        states, last, kept = _recur(p, before, goes_on, state, True)
+        states, last, kept = _recur(p, before, goes_on, state, True, begins, carried)
         real = target >= 0
         log_p, back, grads = _predict(p, states[real], target[real], True)
         dout = np.zeros_like(states)
         dout[real] = back
         carry = np.zeros_like(state)
         dgx, dg, hs = np.empty((*before.shape, 3 * WIDTH), np.float32), np.empty((*before.shape, 3 * WIDTH), np.float32), np.empty_like(states)
+        back_h = np.ascontiguousarray(p["wh"].T)
         for t in range(len(target) - 1, -1, -1):
             h, zr, n, gn = kept[t]
             z, r = zr[:, :WIDTH], zr[:, WIDTH:]
             dh = dout[t] + carry
-            dn = dh * (1 - z) * (1 - n * n)
-            dgx[t, :, :WIDTH] = dh * (h - n) * z * (1 - z)
-            dgx[t, :, WIDTH : 2 * WIDTH] = dn * gn * r * (1 - r)
-            dgx[t, :, 2 * WIDTH :] = dn
-            dg[t] = dgx[t]
+            through = dh * z
+            dn = (dh - through) * (1 - n * n)
+            own = dgx[t]
+            own[:, :WIDTH] = (through - through * z) * (h - n)
+            own[:, WIDTH : 2 * WIDTH] = dn * gn * (r - r * r)
+            own[:, 2 * WIDTH :] = dn
+            dg[t] = own
             dg[t, :, 2 * WIDTH :] *= r
-            carry = (dh * z + dg[t] @ p["wh"].T) * goes_on[t][:, None]
+            carry = (through + dg[t] @ back_h) * goes_on[t][:, None]
             hs[t] = h
-        flat = dgx.reshape(-1, 3 * WIDTH)
         grads["wh"] = hs.reshape(-1, WIDTH).T @ dg.reshape(-1, 3 * WIDTH)
-        grads["b"] = flat.sum(0)
-        grads["wx"] = p["embed"][before].reshape(-1, WIDTH).T @ flat
-        order = np.argsort(before.ravel(), kind="stable")
-        words, first = np.unique(before.ravel()[order], return_index=True)
-        grads["embed"] = (words, np.add.reduceat((flat @ p["wx"].T)[order], first, axis=0))
+        # summed by word first: a window has far fewer words than tokens
+        order = np.argsort(before.ravel().astype(np.uint16) if len(p["embed"]) <= 2**16 else before.ravel(), kind="stable")
+        ordered = before.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        words = ordered[first]
+        by_word = np.add.reduceat(dgx.reshape(-1, 3 * WIDTH)[order], first, axis=0)
+        grads["b"] = by_word.sum(0)
+        grads["wx"] = p["embed"][words].T @ by_word
+        grads["embed"] = (words, by_word @ p["wx"].T)
         return grads, last, int(real.sum()), float(log_p.sum())
 
     def learn(self, codes: np.ndarray, lengths: np.ndarray, rate: float = RATE) -> None:
@@ -257,10 +302,15 @@ class Learner:
         parts = segments(lengths)
         order = np.random.default_rng(len(codes)).permutation(len(parts))
         width = int(np.clip(len(codes) // (WINDOW * UPDATES), LEAST_LANES, LANES))
-        target, before, goes_on, _ = arrange(codes, previous(codes, lengths), parts, order, width)
+        target, before, goes_on, part = arrange(codes, previous(codes, lengths), parts, order, width)
+        carried = states_between(self.p, codes, lengths)
+        later = np.ones(len(parts), bool)  # parts that do not begin their text
+        number = -(-lengths // SEGMENT)
+        later[(np.cumsum(number) - number)[number > 0]] = False
+        begins = np.where(part >= 0, (np.cumsum(later) * later)[part], 0)
         state = np.zeros((target.shape[1], WIDTH), np.float32)
         for step, lane in windows(target):
-            grads, state, n, _ = self.gradients(target[step, lane], before[step, lane], goes_on[step, lane], state[lane])
+            grads, state, n, _ = self.gradients(target[step, lane], before[step, lane], goes_on[step, lane], state[lane], begins[step, lane], carried)
             self.words += n
             for k, g in grads.items():
                 at = slice(None)

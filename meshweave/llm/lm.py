@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +25,22 @@ from . import gru
 from .blocks import build_blocks, pack, unpack, words_of
 from .common import checkpointed, crc_fold, tasks_for
 
-#: Words with an output of their own; the parameters' size follows from it.
-WORDS = 4094
 #: Outputs before the words: the end of a text, and any other word.
 END, OTHER = 0, 1
 ROUNDS = 4
 SMOOTHING = 0.1
 #: Partitions among which the most frequent words are looked for.
 TOP_PARTITIONS = 32
-#: Parameters averaged as one row.
-PART = 8192
+#: Parameters averaged as one row, and rows added in one task.
+PART, FAN_IN = 8192, 64
+
+
+def words_for(tokens: int) -> int:
+    """Words with an output of their own: they grow with the cube root of the training tokens.
+
+    Work for a token grows with the square root of the words, the parameters in proportion to them.
+    """
+    return max(254, int(2 * tokens ** (1 / 3)))
 
 
 def held_out(key: Column) -> Column:
@@ -168,31 +175,34 @@ def train(coded: DataFrame, start: gru.Parameters, rounds: int = ROUNDS) -> gru.
                     learner.learn(*_of_texts(unpack(row["codes"], 1)[0].astype(np.int64), np.array(row["lengths"], np.int64), which))
             if learner.words:
                 flat = gru.flatten(learner.p).astype(np.float64) * learner.words
-                parts = [flat[i : i + PART].tolist() for i in range(0, len(flat), PART)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([learner.words] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["part", "words", "total"])
-
-        def add(rows):
-            import pandas as pd
-
-            return pd.DataFrame({"part": rows["part"].iloc[:1], "words": [rows["words"].sum()], "total": [np.sum(np.stack(rows["total"].to_list()), axis=0)]})
-
-        schema = "part int, words bigint, total array<double>"
-        learnt = coded.select("flags", "lengths", "codes").mapInArrow(learn, schema)
-        # two steps, so that no group has a row of every task
-        learnt = learnt.withColumn("few", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("part", "few").applyInPandas(add, schema)
-        found = sorted(learnt.groupBy("part").applyInPandas(add, schema).collect(), key=lambda r: r["part"])
+                parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([learner.words] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "words", "total"])
+
+        learnt = coded.select("flags", "lengths", "codes").mapInArrow(learn, "part int, words bigint, total binary")
+        learnt, tasks = learnt.withColumn("task", F.spark_partition_id()), coded.rdd.getNumPartitions()
+        while tasks > 1:  # no task adds more than FAN_IN rows
+            learnt = learnt.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(_added, "part int, words bigint, total binary, task int")
+            tasks = -(-tasks // FAN_IN)
+        found = sorted(learnt.collect(), key=lambda r: r["part"])
         shared.unpersist()
         if found:
-            parameters = gru.unflatten(np.concatenate([np.array(r["total"]) / r["words"] for r in found]), start)
+            parameters = gru.unflatten(np.concatenate([np.frombuffer(r["total"]) / r["words"] for r in found]), start)
     return parameters
 
 
-def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
+def _added(rows: pa.Table) -> pa.Table:
+    total = np.sum([np.frombuffer(x.as_py()) for x in rows.column("total")], axis=0)
+    first = rows.slice(0, 1)
+    return pa.table({"part": first.column("part"), "words": pa.array([pa.compute.sum(rows.column("words")).as_py()], pa.int64()), "total": pa.array([total.tobytes()], pa.binary()), "task": first.column("task")})
+
+
+def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Scores are log10 probabilities.  A null or empty text is its end alone; a
     null id counts as the empty text in the fold; repeated rows are documents of
-    their own; other columns are ignored.  With no training documents every
+    their own; words that tie in frequency are all in the network's vocabulary or none; a very long text is scored
+    whole, in a lane of its own; other columns are ignored.  ``words`` sets the network's vocabulary in place of ``words_for``.  With no training documents every
     token is unknown and score is that of the network before training; an empty table gives an empty result.
     """
     blocks = checkpointed(build_blocks(docs, lower=True, flag=~held_out(F.col(key)), ordered=True, key=key, text=text))
@@ -201,7 +211,7 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sums = dictionary.agg(F.sum("total"), F.sum("distinct")).first()
     ends = blocks.agg(F.sum(F.size(F.filter("flags", lambda x: x)))).first()[0] or 0
     n, v = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
-    frequent, counts = _frequent(dictionary, words)
+    frequent, counts = _frequent(dictionary, words or words_for(n))
     least = counts[-1] if counts else 1
     n_rest, v_rest = (sums[0] or 0) - sum(counts), (sums[1] or 0) - len(counts)
     codes = {w: i + 2 for i, w in enumerate(frequent)}

@@ -85,6 +85,65 @@ def test_gradients_equal_differences():
             assert np.isclose((more - less) / 2e-3, g[at], atol=2e-3, rtol=2e-2), k
 
 
+def plain_states(p, codes):
+    """The state after each word, one word at a time in double precision."""
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h, before, out = np.zeros(gru.WIDTH), 0, []
+    for w in codes:
+        x, g = p["embed"][before] @ p["wx"] + p["b"], h @ p["wh"]
+        k = gru.WIDTH
+        z, r = sigmoid(x[:k] + g[:k]), sigmoid(x[k : 2 * k] + g[k : 2 * k])
+        n = np.tanh(x[2 * k :] + r * g[2 * k :])
+        h = (1 - z) * n + z * h
+        out.append(h)
+        before = w
+    return out
+
+
+def plain_score(p, codes):
+    members = p["ww"].shape[2]
+    total = 0.0
+    for h, w in zip(plain_states(p, codes), codes, strict=True):
+        a, b = h @ p["wc"] + p["bc"], h @ p["ww"][w // members] + p["bw"][w // members]
+        total += a[w // members] - np.log(np.exp(a).sum()) + b[w % members] - np.log(np.exp(b).sum())
+    return total
+
+
+def test_scores_and_carried_states_equal_a_plain_loop():
+    p = small_model()
+    p["wc"] += np.random.default_rng(5).normal(0, 0.5, p["wc"].shape).astype(np.float32)
+    rng = np.random.default_rng(6)
+    lengths = np.array([1, 700, 0, 30, 1600, 512, 513])
+    codes = rng.integers(0, 10, lengths.sum())
+    texts = np.split(codes, np.cumsum(lengths)[:-1])
+    assert np.allclose(gru.score(p, codes, lengths), [plain_score(p, t) for t in texts], rtol=1e-4)
+    want = [plain_states(p, t)[at - 1] for t in texts for at in range(gru.SEGMENT, len(t), gru.SEGMENT)]
+    got = gru.states_between(p, codes, lengths)
+    assert not got[0].any() and np.allclose(got[1:], want, atol=1e-4)
+
+
+def test_learning_lowers_the_loss_of_long_texts():
+    p = gru.initial(np.ones(10))
+    codes = np.tile([3, 1, 4, 1, 5, 9, 2, 6], 2000)
+    lengths = np.array([12_000, 3_000, 1_000])
+    learner = gru.Learner(p)
+    learner.learn(codes, lengths)
+    assert learner.words == 16_000
+    assert gru.score(learner.p, codes, lengths).sum() > 0.7 * gru.score(p, codes, lengths).sum()
+
+
+def test_a_text_of_a_million_words_beside_short_ones():
+    p = small_model()
+    lengths = np.array([1_000_000] + [40] * 511)
+    codes = np.random.default_rng(1).integers(0, 10, lengths.sum())
+    tracemalloc.start()
+    got = gru.score(p, codes, lengths)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6 and np.isfinite(got).all()
+
+
 def test_memory_of_scoring_follows_the_words():
     p = small_model()
     lengths = np.array([40_000] + [3] * 600)
