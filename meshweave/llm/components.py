@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Edges for each task of a round: a short list needs neither many tasks nor an exchange.
+EDGES_PER_TASK = 200_000
+
+
+def _each(rows: DataFrame, *edges: tuple[str, str]) -> DataFrame:
+    """a, b: several edges from each row, without those from a node to itself."""
+
+    def edge(a: str, b: str) -> Column:
+        return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+
+    return rows.select(F.explode(F.array(*[edge(*e) for e in edges])).alias("e")).select("e.a", "e.b").where("a <> b")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = _each(edges, ("a", "b"), ("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("of"), F.least("a", "least").alias("least"))
     return both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    joined = edges.join(least, "a")
-    moved = joined.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
-    return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
+    least = edges.groupBy("a").agg(F.min("b").alias("least")).withColumnRenamed("a", "of")
+    return _each(edges.join(least, F.col("a") == F.col("of")), ("b", "least"), ("a", "least")).distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,9 +45,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = checkpointed(edges)
     mark = _mark(edges)
-    while True:
-        edges = checkpointed(_small_star(_large_star(edges)))
+    while mark[0]:
+        tasks = -(-mark[0] // EDGES_PER_TASK)
+        edges = checkpointed(_small_star(_large_star(edges.coalesce(tasks))).coalesce(tasks))
         now = _mark(edges)
         if now == mark:
-            return edges.select(F.col("a").alias("member"), F.col("b").alias("root"))
+            break
         mark = now
+    return edges.select(F.col("a").alias("member"), F.col("b").alias("root"))

@@ -19,6 +19,7 @@ already can change no component and is not looked for.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -44,6 +45,8 @@ SMALL = 32
 CHUNK, NODE_BYTES = 2048, 32 << 20
 #: A member is a hub while it resembles this share of the rest of its node.
 HUB = 1 / 64
+#: Pairs whose full sets one task compares.
+PAIRS_PER_TASK = 2000
 #: Agreeing coordinates from which a pair is confirmed: 4.5 standard deviations below the threshold.
 AGREEING = int(COORDINATES * PERCENT / 100 - 4.5 * (COORDINATES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
 _SHIFT = np.random.default_rng(77).integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -207,8 +210,8 @@ def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough.  a may be in any number of them."""
+def _confirmed(pairs: DataFrame, bodies: DataFrame, most: int) -> DataFrame:
+    """The pairs (``most`` at most) whose full sets are similar enough.  a may be in any number of them."""
     one = bodies.select(F.col("class").alias("a"), F.col("body").alias("body_a"))
     other = bodies.select(F.col("class").alias("b"), F.col("body").alias("body_b"))
     joined = pairs.select("a", "b").join(other, "b").join(one, "a")
@@ -225,7 +228,7 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                 kept.append(100 * both >= PERCENT * (len(own) + len(known) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return joined.select("a", "b", "body_a", "body_b").mapInArrow(run, "a binary, b binary")
+    return checkpointed(joined.select("a", "b", "body_a", "body_b").coalesce(-(-most // PAIRS_PER_TASK) or 1).mapInArrow(run, "a binary, b binary"))
 
 
 def _links_of_node(labels: np.ndarray, signed: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -314,20 +317,21 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(larger.select("class")).distinct()
     bodies = checkpointed(_bodies(docs, classes, needed, key, text))
     # the nearest for each class first: most other pairs then lie within a component
+    count = pairs.count()
     first = pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select("best.a", "b")
-    labels = checkpointed(components(checkpointed(_confirmed(first, bodies))))
-    links = checkpointed(_confirmed(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), bodies))
-    labels = _connected(labels, links)
-    mixed = checkpointed(_mixed(larger, labels))
-    ready = None
-    fits = (F.col("n") <= CHUNK) & (8 * F.col("shingles") <= NODE_BYTES)
-    while not mixed.isEmpty():
-        small = mixed.where(fits | (F.col("n") == 2)).select("node", "class", "label")
-        ready = small if ready is None else ready.unionByName(small)
-        larger = mixed.where(~fits & (F.col("n") > 2)).select("node", "class")
-        mixed = checkpointed(_mixed(_members(_expand(larger.join(classes, "class").select("node", "class", "n_shingles", "signature"), 1, None)), labels))
-    if ready is not None:
-        labels = _connected(labels, checkpointed(_links_within(ready, sketches, bodies)))
+    labels = components(_confirmed(first, bodies, count))
+    labels = _connected(labels, _confirmed(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels), bodies, count))
+    fits = (F.col("n") <= CHUNK) & (8 * F.col("shingles") <= NODE_BYTES) | (F.col("n") == 2)
+    ready = []
+    while not larger.isEmpty():
+        mixed = checkpointed(_mixed(larger, labels))
+        ready.append(mixed.where(fits).select("node", "class", "label"))
+        parents = mixed.where(~fits).select("node", "class")
+        if parents.isEmpty():
+            break
+        larger = _members(_expand(parents.join(classes, "class").select("node", "class", "n_shingles", "signature"), 1, None))
+    if ready:
+        labels = _connected(labels, checkpointed(_links_within(functools.reduce(DataFrame.unionByName, ready), sketches, bodies)))
     least = _labelled(classes.select("class", "least"), labels)
     ids = least.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = least.join(ids, "label").select("class", "component_id")
@@ -340,7 +344,7 @@ def _connected(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after more links."""
     if links.isEmpty():
         return labels
-    return checkpointed(components(labels.select(F.col("member").alias("a"), F.col("root").alias("b")).unionByName(links)))
+    return components(labels.select(F.col("member").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def _bodies(docs: DataFrame, classes: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
