@@ -1,8 +1,12 @@
 """Pairs of cells whose extents overlap, by an equi-join on bins instead of a nested loop.
 
-Cells are put in every bin that their extent touches, in the plane or, on a sphere,
-in space (where there are neither poles nor a date line).  A pair is kept only in the
-first bin that both extents share, so no exchange is needed to drop duplicates.
+Bins come in levels of doubling width.  A cell is put in the bins that its extent touches, at
+the first level whose bins are at least as wide as it is (two bins an axis at most), and once more at each wider
+level that the other grid's cells have; a pair meets at the wider one of its cells' levels.  So a cell takes a bounded
+number of rows however much coarser or finer the other grid is.  Bins are squares in the
+plane and, on a sphere, cubes in space (where there are neither poles nor a date line).
+
+A pair is kept only in the first bin that both extents share, so no exchange is needed to drop duplicates.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.polygons import boxes_overlap, caps_overlap
 from ..sources.grid import Grid
 
-#: Bins are at least this share of the whole extent, which bounds the bins of one cell.
-LEAST_SHARE = 1 / 4096
+#: Cells narrower than this share of their distance from the origin are binned as if they were as wide.
+LEAST_SHARE = 2.0**-40
 
 
 def _boxes(grid: Grid, side: str) -> DataFrame:
@@ -32,41 +36,50 @@ def _boxes(grid: Grid, side: str) -> DataFrame:
     return cells.select(F.col("cell_id").alias(f"{side}id"), F.col("ring").alias(f"{side}ring"), *holes, *own, F.array(*low).alias(f"{side}low"), F.array(*high).alias(f"{side}high"))
 
 
-def bin_width(dst: Grid, src: Grid) -> float:
-    """The mean extent of the finer grid's cells, or a bounded share of everything if that is more."""
-    found = []
-    for grid in (dst, src):
-        boxes = _boxes(grid, "")
-        size = F.array_max(F.zip_with("high", "low", lambda a, b: a - b))
-        row = boxes.agg(F.avg(size), F.max(F.array_max("high")), F.min(F.array_min("low"))).first()
-        if row[0] is not None:
-            found.append((row[0], row[1] - row[2]))
-    if not found:
-        return 1.0
-    return max(min(w for w, _ in found), max(span for _, span in found) * LEAST_SHARE, 1e-300)
-
-
-def _binned(boxes: DataFrame, side: str, width: float, axes: int) -> DataFrame:
-    first = F.transform(f"{side}low", lambda v: F.floor(v / width).cast("bigint"))
-    last = F.transform(f"{side}high", lambda v: F.floor(v / width).cast("bigint"))
-    out = boxes.withColumns({f"{side}first": first, f"{side}last": last})
+def _levelled(boxes: DataFrame, side: str, width: float | None) -> DataFrame:
+    """Adds the level of each cell: its bins are ``width`` (or 1) times 2 ** level wide."""
+    size = F.array_max(F.zip_with(f"{side}high", f"{side}low", lambda a, b: a - b))
+    far = F.greatest(*[F.array_max(F.transform(c, F.abs)) for c in (f"{side}low", f"{side}high")])
+    size = F.greatest(size, far * F.lit(LEAST_SHARE), F.lit(2.0**-900))
+    level = F.ceil(F.log2(size / F.lit(width or 1.0)))
+    return boxes.withColumn(f"{side}level", (F.greatest(level, F.lit(0)) if width else level).cast("int"))
+
+
+def _levels(levelled: DataFrame, side: str) -> list[int]:
+    """The levels that cells of a grid have: one for each doubling of their widths, so a short list."""
+    return [r[0] for r in levelled.select(f"{side}level").where(f"{side}level IS NOT NULL").distinct().collect()]
+
+
+def _binned(levelled: DataFrame, side: str, others: list[int], width: float | None, axes: int) -> DataFrame:
+    at = F.array_distinct(F.transform(F.array(*[F.lit(x) for x in others]), lambda x: F.greatest(x, F.col(f"{side}level"))))
+    out = levelled.withColumn("level", F.explode(at))
+    wide = F.lit(width or 1.0) * F.pow(F.lit(2.0), F.col("level"))
+    first = F.transform(f"{side}low", lambda v: F.floor(v / wide).cast("bigint"))
+    last = F.transform(f"{side}high", lambda v: F.floor(v / wide).cast("bigint"))
+    out = out.withColumns({f"{side}first": first, f"{side}last": last})
     for k in range(axes):
         out = out.withColumn(f"bin{k}", F.explode(F.sequence(F.get(f"{side}first", F.lit(k)), F.get(f"{side}last", F.lit(k)))))
     return out.drop(f"{side}low", f"{side}high", f"{side}last")
 
 
+def binned_pair(dst: Grid, src: Grid, *, width: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of both grids that are joined on level and bins."""
+    axes = 3 if dst.manifold.spherical else 2
+    a, b = _levelled(_boxes(dst, "dst_"), "dst_", width), _levelled(_boxes(src, "src_"), "src_", width)
+    of_a, of_b = _levels(a, "dst_"), _levels(b, "src_")
+    return _binned(a, "dst_", of_b or [0], width, axes), _binned(b, "src_", of_a or [0], width, axes)
+
+
 def candidate_pairs(dst: Grid, src: Grid, *, width: float | None = None) -> DataFrame:
     """dst_id, dst_ring, src_id, src_ring (and holes) of cells whose extents overlap, each pair once.
 
-    The result does not depend on ``width``; ghosts take no part.
+    ``width`` sets the narrowest bins; the result does not depend on it; ghosts take no part.
     """
     spherical, axes = dst.manifold.spherical, 3 if dst.manifold.spherical else 2
-    width = width or bin_width(dst, src)
-    a, b = _binned(_boxes(dst, "dst_"), "dst_", width, axes), _binned(_boxes(src, "src_"), "src_", width, axes)
-    bins = [f"bin{k}" for k in range(axes)]
-    joined = a.join(b, bins)
+    a, b = binned_pair(dst, src, width=width)
+    joined = a.join(b, ["level", *[f"bin{k}" for k in range(axes)]])
     overlap = caps_overlap(F.col("dst_cap"), F.col("src_cap")) if spherical else boxes_overlap("dst_", "src_")
-    once: Column = overlap
+    once: Column = (F.col("level") == F.greatest("dst_level", "src_level")) & overlap
     for k in range(axes):
         once = once & (F.col(f"bin{k}") == F.greatest(F.get("dst_first", F.lit(k)), F.get("src_first", F.lit(k))))
     return joined.where(once).select(*[c for c in ("dst_id", "dst_ring", "dst_holes", "src_id", "src_ring", "src_holes") if c in joined.columns])
