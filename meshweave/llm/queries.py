@@ -76,9 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _MIX = r"""
 WITH narrow AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5(concat_ws(':', '17', doc_id::VARCHAR)), 1, 13))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    (('0x' || substr(md5(concat_ws(':', '17', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))), 1, 13))::UBIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
-sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM narrow GROUP BY source),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size, count(*)::BIGINT AS n FROM narrow GROUP BY source),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sizes),
 weighed AS (
@@ -92,14 +92,17 @@ capped AS (SELECT *, weight * level > 3 * source_size::DOUBLE AS is_capped FROM
 settled AS (
   SELECT *, (SELECT level FROM capped WHERE NOT is_capped ORDER BY source_size::DOUBLE / weight::DOUBLE, rank LIMIT 1) AS common FROM capped),
 targets AS (
-  SELECT source, rank, source_size, CASE WHEN is_capped THEN 3::DOUBLE * source_size ELSE weight * common END AS target FROM settled),
+  SELECT source, rank, source_size, greatest(1, ceil(source_size::DOUBLE / n::DOUBLE))::BIGINT AS mean, CASE WHEN is_capped THEN 3::DOUBLE * source_size ELSE weight * common END AS target FROM settled),
 times AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0::DOUBLE END AS times FROM targets),
 parts AS (
   SELECT *, floor(times)::BIGINT AS whole, times - floor(times) AS r, target - (floor(times)::BIGINT * source_size)::DOUBLE AS wanted FROM times),
-odds AS (
-  SELECT n.doc_id, n.size, p.*, CASE WHEN r > 0 THEN (u * (1 - r)) / ((1 - u) * r) END AS odds
+classed AS (
+  SELECT n.doc_id, n.size, n.u, p.*, floor((1024 * n.size)::DOUBLE / (n.size + p.mean)::DOUBLE)::BIGINT AS class
   FROM narrow n JOIN parts p ON n.source IS NOT DISTINCT FROM p.source),
+chances AS (
+  SELECT *, CASE WHEN r > 0 THEN r * (1 + (1 - r) * (((sum(size * class) OVER (PARTITION BY rank))::BIGINT::DOUBLE / source_size::DOUBLE - class::DOUBLE) / 1024::DOUBLE)) END AS p FROM classed),
+odds AS (SELECT *, (u * (1 - p)) / ((1 - u) * p) AS odds FROM chances),
 placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY odds NULLS FIRST, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM odds)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::INTEGER AS copies

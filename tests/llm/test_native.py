@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-from meshweave.llm.mixing import mix_sources, order_bucket
+from meshweave.llm.mixing import mix_sources, mixed_documents, order_bucket, random_number
 from meshweave.llm.queries import ORACLE_SQL, QUERIES
 from meshweave.llm.sharding import jump_hash, shard_documents
 from pyspark.sql import functions as F
@@ -92,14 +92,46 @@ def test_mix(name, request):
     assert sorted(map(repr, again)) == sorted(map(repr, got))
 
 
-def test_order_is_by_random_odds(spark):
-    docs = spark.createDataFrame([(i, "one two", "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
+def test_order_is_by_random_odds_over_inclusion_odds(spark):
+    docs = spark.createDataFrame([(i, "one " * (1 + i % 40), "ab"[i % 2]) for i in range(800)], "doc_id long, text string, source string")
     rows = [r for r in mix_sources(docs).collect() if r.doc_id % 2]
-    rest = rows[0].target / rows[0].source_size % 1
+    rest, total = rows[0].target / rows[0].source_size % 1, rows[0].source_size
+    mean = -(-total // len(rows))
+    grade = {r.doc_id: 1024 * r.size // (r.size + mean) for r in rows}
+    middle = sum(r.size * grade[r.doc_id] for r in rows) / total
     u = {r.doc_id: (int(hashlib.md5(f"17:{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13 for r in rows}
-    odds = {i: x * (1 - rest) / ((1 - x) * rest) for i, x in u.items()}
-    taken = [odds[r.doc_id] for r in rows if r.copies == max(x.copies for x in rows)]
-    assert len({r.copies for r in rows}) == 2 and max(taken) < min(odds[r.doc_id] for r in rows if r.copies < max(x.copies for x in rows))
+    p = {i: rest * (1 + (1 - rest) * (middle - g) / 1024) for i, g in grade.items()}
+    assert sum(p[r.doc_id] * r.size for r in rows) == pytest.approx(rest * total) and max(p.values()) > 1.15 * min(p.values())
+    odds = {i: x * (1 - p[i]) / ((1 - x) * p[i]) for i, x in u.items()}
+    most = max(r.copies for r in rows)
+    taken = [odds[r.doc_id] for r in rows if r.copies == most]
+    assert len({r.copies for r in rows}) == 2 and max(taken) < min(odds[r.doc_id] for r in rows if r.copies < most)
+    assert [r.doc_id for r in sorted(rows, key=lambda r: odds[r.doc_id])] != [r.doc_id for r in sorted(rows, key=lambda r: u[r.doc_id])]
+
+
+def test_inclusion_frequencies_are_the_probabilities(spark):
+    docs = spark.createDataFrame([(1000 * s + i, "one " * (1 + 6 * i), f"s{s:03d}") for s in range(600) for i in range(24)], "doc_id long, text string, source string")
+    got = mix_sources(docs, keep=("source",)).toPandas()
+    got["i"], got["kind"] = got.doc_id % 1000, got.source.str[1:].astype(int) % 3
+    checked = 0
+    for _, own in got.groupby("kind"):
+        rest = own.target.iloc[0] / own.source_size.iloc[0] % 1
+        if rest == 0:
+            continue
+        size = own.groupby("i")["size"].first()
+        grade = 1024 * size // (size + -(-size.sum() // 24))
+        p = rest * (1 + (1 - rest) * ((size * grade).sum() / size.sum() - grade) / 1024)
+        often = own.groupby("i").copies.mean() - own.copies.min()
+        assert (often - p).abs().max() < 0.12 and (often - p).abs().mean() < 0.04
+        checked += 1
+    assert checked >= 2
+
+
+def test_rows_without_id_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, f"word {i}", "a", i, str(i)) for i in range(60)] + [(1, "x", "a", 5, "k")], "doc_id long, text string, source string, copies long, id string")
+    u = docs.select(random_number(F.col("doc_id"), F.col("text"), 17).alias("u")).distinct().count()
+    got = mixed_documents(docs)
+    assert u == 61 and got.dtypes == docs.dtypes and got.count() == 61 and {(r.text, r.copies, r.id) for r in got.collect()} == {(r.text, r.copies, r.id) for r in docs.collect()}
 
 
 def test_no_rows(no_docs):
