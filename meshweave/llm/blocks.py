@@ -24,8 +24,6 @@ from .common import sliced
 
 BLOCK_BYTES = 24 << 20
 TEXTS_AT_ONCE = 256
-#: Hash buckets of words: the unit in which words are looked up.
-BUCKETS = 4096
 SCHEMA = "block bigint, doc_ids array<bigint>, n_bytes array<bigint>, n_words array<bigint>, flags array<boolean>, pairs binary, buckets array<struct<bucket: int, words: binary, flagged: binary>>"
 Units = Callable[[list[bytes]], tuple[list[bytes], np.ndarray, np.ndarray]]
 _BUCKET = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("flagged", pa.binary())])
@@ -43,11 +41,20 @@ def unpack(data: bytes, n: int, kind: str = "<u4") -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view(kind).ravel() for p in planes]
 
 
-def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], places: dict[bytes, int], ordered: bool, units: Units | None) -> pa.RecordBatch:
+def buckets_for(docs: DataFrame, text: str = "text") -> int:
+    """Hash buckets of words, the unit in which words are looked up: they grow with the square root of the corpus.
+
+    A block's words then fall into buckets of several words at every size, and the words of all blocks into ever more buckets.
+    """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(1024, 1 << int(np.ceil(np.log2(max(1.0, size**0.5 / 64)))))
+
+
+def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], places: dict[bytes, int], ordered: bool, units: Units | None, most: int) -> pa.RecordBatch:
     words, own = list(places), None
     if units:
         words, *own = units(words)
-    hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % BUCKETS
+    hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % most
     order = np.argsort(hashed, kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
@@ -68,7 +75,7 @@ def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], pl
         of, at = pairs // size, pairs % size
     flags = np.array([d[2] for d in docs], bool)
     flagged = np.bincount(at[flags[of]], often[flags[of]], minlength=len(words)).astype(np.uint32)
-    starts = np.searchsorted(hashed[order], np.arange(BUCKETS + 1))
+    starts = np.searchsorted(hashed[order], np.arange(most + 1))
     buckets = []
     for b in np.flatnonzero(np.diff(starts)):
         part = order[starts[b] : starts[b + 1]]
@@ -94,6 +101,7 @@ def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool =
     words) in place of the pairs.  ``units`` cuts words into the units that take their place (names,
     places of the words' units, number of units of each).  A null text counts as empty, a null key stays null.
     """
+    most = buckets_for(docs, text)
     columns = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), flag.alias("f"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,10 +120,10 @@ def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool =
                 docs += zip(keys[first:last], map(len, texts[first:last]), flags[first:last], np.split(flat, np.cumsum(n)[:-1]), strict=True)
                 size += sum(map(len, texts[first:last]))
                 if size >= BLOCK_BYTES:
-                    yield _block(number := number + 1, docs, places, ordered, units)
+                    yield _block(number := number + 1, docs, places, ordered, units, most)
                     docs, places, size = [], {}, 0
         if docs:
-            yield _block(number + 1, docs, places, ordered, units)
+            yield _block(number + 1, docs, places, ordered, units, most)
 
     return columns.mapInArrow(build, SCHEMA)
 
@@ -131,7 +139,7 @@ def totals_by_document(blocks: DataFrame, looked_up: DataFrame, weigh: Callable[
     that bucket).  ``weigh`` turns the block's values into float64 arrays, one
     for each name in ``totals``; each is summed with the document's frequencies.
     Returns doc_id, n_bytes, n_words, flag and the totals (double).  A block
-    has at most ``BUCKETS`` values to gather.
+    has at most a value for each bucket to gather.
     """
     gathered = looked_up.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("values"))
     joined = blocks.drop("buckets").join(gathered, "block", "left")

@@ -29,6 +29,10 @@ SMOOTHING = 0.5
 #: UTF-8 bytes worked on at once; a longer document is worked on alone.
 BATCH_BYTES = 1 << 20
 UNKNOWN = "und"
+#: Expectation-maximisation goes on until proportions change by no more; the rounds are a guard that texts do not reach.
+TOLERANCE, ROUNDS = 1e-3, 1000
+#: Languages that a model can have: its size is a megabyte for each.
+MOST_LANGUAGES = 512
 
 
 def _classes() -> np.ndarray:
@@ -95,6 +99,8 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Languag
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int64()), pa.array(row[seen], pa.int64())], ["lang", "trigram", "n"])
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would be too large to send to every task")
     counted = rows.mapInArrow(count, "lang string, trigram bigint, n bigint").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     if not languages:
@@ -110,17 +116,27 @@ def _em(likely: np.ndarray, first: np.ndarray, of: np.ndarray, allowed: np.ndarr
     """Proportions (text, language) and log likelihood (without each word's maximum) of each text.
 
     ``likely``: (word, language), each word's largest is 1.  ``allowed``: (text, language) booleans.
+    A text is done when a round changes none of its proportions by more than TOLERANCE.
     """
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    n = np.diff(np.append(first, len(likely)))[:, None]
+    n = np.diff(np.append(first, len(likely)))
+    left, words, starts, whose = np.arange(len(first)), likely, first, of
     for _ in range(rounds):
-        part = likely * share[of]
+        before = share[left]
+        part = words * before[whose]
         part /= part.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(part, first, axis=0) / n
+        share[left] = np.add.reduceat(part, starts, axis=0) / n[left, None]
+        going = np.abs(share[left] - before).max(axis=1) > TOLERANCE
+        if not going.any():
+            break
+        if going.sum() < 0.75 * len(left):
+            own = going[whose]
+            words, whose, left = words[own], (np.cumsum(going) - 1)[whose[own]], left[going]
+            starts = np.cumsum(n[left]) - n[left]
     return share, np.add.reduceat(np.log((likely * share[of]).sum(axis=1)), first)
 
 
-def mixtures(log_word: np.ndarray, first: np.ndarray, *, penalty: float, rounds: int, most: int | None = None) -> np.ndarray:
+def mixtures(log_word: np.ndarray, first: np.ndarray, *, penalty: float, rounds: int = ROUNDS, most: int | None = None) -> np.ndarray:
     """(text, language) proportions under each text's chosen set of languages.
 
     ``log_word``: (word, language) log likelihoods; ``first``: each text's first word, every text has one.
@@ -166,11 +182,12 @@ def mixtures(log_word: np.ndarray, first: np.ndarray, *, penalty: float, rounds:
     return chosen
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str], text: str = "text", penalty: float = 3.0, rounds: int = 12, most: int | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str], text: str = "text", penalty: float = 3.0, rounds: int = ROUNDS, most: int | None = None) -> DataFrame:
     """The columns in ``keep`` and __lang, __score (its proportion) and __mixture of every row.
 
     ``und`` with score 0 stands for a null text, a text without letters, or a
-    model without languages.  Repeated rows, empty tables and other columns need no care.
+    model without languages.  Equal proportions go to the language that sorts first.  Repeated rows, empty tables and
+    other columns need no care; a very long text is worked on alone, whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"))
@@ -212,7 +229,11 @@ def held_out(key: Column) -> Column:
 
 
 def predict_languages(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, mixture: learnt from the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score, mixture: learnt from the rows that are not held out.
+
+    Nulls, empty and very long texts, ties, repeated rows and empty tables are as in ``identify``; a null id
+    counts as the empty text in the fold.
+    """
     model = learn(docs.where(~held_out(F.col(key))))
     found = identify(docs, model, keep=[key], **options)
     return found.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__mixture").alias("mixture"))
@@ -225,10 +246,11 @@ LEAST_SHARE = 0.4
 def in_a_language(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text has letters and a language with LEAST_SHARE of it or more.
 
-    All labelled rows teach; where none does, all rows with letters stay.
+    All labelled rows teach; where none does, all rows with letters stay.  Null and empty texts go, repeated
+    rows are judged alike; columns may have any names.
     """
     model = learn(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = identify(docs, model, keep=docs.columns, **options)
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SHARE)).select(*docs.columns)
+    found = identify(docs.select(F.struct("*").alias("row"), "text"), model, keep=["row"], **options)
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SHARE)).select("row.*")

@@ -37,8 +37,8 @@ ANCHOR = 40
 HOT = 20_000
 #: Text of a block of documents; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Text for each of the tasks that minimisers are dealt to, and the most of them.
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 65_536
+#: Text for each of the groups that minimisers are dealt to; their number grows with the corpus.
+BUCKET_BYTES = 8 << 20
 #: Bytes of pieces in one shard, and in one merge.
 SHARD_BYTES, MERGE_BYTES = 1 << 18, 1 << 20
 #: Symbols that one round of refinement takes; divides LENGTH.
@@ -241,7 +241,7 @@ def _dealt(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np
 def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """block, kept, ids, sizes, body, ranges (packed document, start, number of repeated starts) of every block."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(1, -(-total // BUCKET_BYTES)))
+    buckets = max(1, -(-total // BUCKET_BYTES))
     blocks = checkpointed(text_blocks(docs, keep, key, text))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +374,7 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", tex
 
     A null text counts as empty; a null id comes before all others; rows that
     share an id share its places, so they are not earlier than one another.
-    Texts shorter than LENGTH keep everything, an empty table gives an empty result, other columns are ignored.
+    Texts shorter than LENGTH keep everything, a very long text is a block of its own, an empty table gives an empty result, other columns are ignored.
     """
     found = find_repeats(docs, keep=keep, key=key, text=text).select("kept", "sizes", "body", "ranges")
     kind = docs.select(F.struct(*keep).alias("kept")).schema["kept"].dataType.simpleString()
@@ -412,17 +412,19 @@ def repeat_digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with their texts' repeats removed and n_chars, if there, counted anew.
 
-    What is left of a character that a removed span cuts goes too; a null text stays null.
+    What is left of a character that a removed span cuts goes too; a null text stays null, an empty one empty.
+    Nulls in other columns, repeated rows, ties and very long texts are as in ``remove_repeats``; columns may have any names.
     """
-    named = docs.withColumn("__null", F.col(text).isNull())
     rest = [c for c in docs.columns if c != text]
-    found = remove_repeats(named, keep=[*rest, "__null"], key=key, text=text)
+    named = docs.select(F.struct(*rest).alias("row"), F.col(text).isNull().alias("null"), F.col(key).alias("id"), F.col(text).alias("text"))
+    found = remove_repeats(named, keep=["row", "null"], key="id")
 
     @F.pandas_udf("string")
     def readable(body: pd.Series) -> pd.Series:
         return body.map(lambda x: bytes(x).decode("utf-8", "ignore"))
 
-    found = found.withColumn(text, F.when(~F.col("__null"), readable("__body")))
+    found = found.withColumn("left", F.when(~F.col("null"), readable("__body")))
+    columns = {c: F.col("row").getField(c) for c in rest} | {text: F.col("left")}
     if "n_chars" in rest:
-        found = found.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("__n_removed") > 0, F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return found.select(*[columns[c].alias(c) for c in docs.columns])

@@ -1,7 +1,8 @@
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
-from meshweave.llm.langid import identify, in_a_language, learn, mixtures, predict_languages
+from meshweave.llm.langid import CLASSES, SYMBOLS, identify, in_a_language, learn, mixtures, predict_languages
 
 
 def test_held_out_accuracy(spark):
@@ -54,7 +55,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_more_than_four_languages():
     log_word = np.full((600, 7), -12.0)
     log_word[np.arange(600), np.arange(600) % 6] = -1.0
-    got = mixtures(log_word, np.array([0]), penalty=3.0, rounds=12)
+    got = mixtures(log_word, np.array([0]), penalty=3.0)
     assert np.allclose(got, [[1 / 6] * 6 + [0]], atol=0.01)
 
 
@@ -65,3 +66,73 @@ def test_rows_stay_without_learnt_languages(spark):
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1]
     labelled = spark.createDataFrame([(i, "some words here", "en") for i in held], schema)
     assert in_a_language(labelled).count() == len(held)
+
+
+def plain_predictions(rows):
+    """language, largest share of each text, with dictionaries and loops."""
+
+    def words(text):
+        """Trigrams of each word: a symbol and the two before it, and the end of the word."""
+        symbols = [0, 0, *(int(CLASSES[b]) for b in (text or "").lower().encode()), 0]
+        found = []
+        for g in zip(symbols, symbols[1:], symbols[2:], strict=False):
+            if g[2] and not g[1]:
+                found.append([])
+            if g[1] or g[2]:
+                found[-1].append(g)
+        return found
+
+    counts, before = defaultdict(Counter), defaultdict(Counter)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and text is not None and lang is not None:
+            for word in words(text):
+                for g in word:
+                    counts[lang][g] += 1
+                    before[lang][g[:2]] += 1
+    languages = sorted(counts)
+
+    def fit(table, allowed):
+        share = np.full(len(allowed), 1 / len(allowed))
+        for _ in range(2000):
+            part = table[:, allowed] * share
+            new = (part / part.sum(1, keepdims=True)).mean(0)
+            if np.abs(new - share).max() <= 1e-5:
+                break
+            share = new
+        return new, np.log((table[:, allowed] * new).sum(1)).sum()
+
+    out = {}
+    for i, text, _ in rows:
+        own = words(text)
+        if not own or not any(map(str.isalpha, text)):
+            out[i] = ("und", 0.0)
+            continue
+        log_p = np.array([[sum(np.log((counts[x][g] + 0.5) / (before[x][g[:2]] + 0.5 * SYMBOLS)) for g in w) for x in languages] for w in own])
+        table = np.exp(np.maximum(log_p - log_p.max(1, keepdims=True), -60))
+        alone = np.log(table).sum(0)
+        best, score, share = [int(alone.argmax())], alone.max(), np.array([1.0])
+        order = np.argsort(-fit(table, list(range(len(languages))))[0], kind="stable").tolist()
+        for k in range(2, len(languages) + 1):
+            own_share, value = fit(table, order[:k])
+            value -= (k - 1) * 3.0 * np.log(len(own) + 1)
+            if value > score:
+                best, score, share = order[:k], value, own_share
+        out[i] = (languages[best[int(share.argmax())]], float(share.max()))
+    return out
+
+
+def test_predictions_equal_a_plain_version(spark, small_docs):
+    rows = [(r.doc_id, r.text, r.lang) for r in small_docs.orderBy("doc_id").limit(70).collect()]
+    by = {lang: [t for _, t, x in rows if x == lang and t] for lang in ("en", "fr", "de")}
+    rows += [(1000 + k, " ".join(" ".join(by[x][k % len(by[x])].split()[: 40 + 20 * k]) for x in ("en", "fr", "de")[: 2 + k % 2]), None) for k in range(6)]
+    rows += [(2000, None, "en"), (2001, "", "fr"), (2002, "12 !", None)]
+    want = plain_predictions(rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got.keys() == want.keys() and any(0.3 < s < 0.9 for _, s in got.values())
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 0.02 for i in want)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some words here", "en", "x", 3), (4, None, "en", "y", 4)], "doc_id long, text string, lang string, __lang string, __score int")
+    got = in_a_language(docs)
+    assert got.dtypes == docs.dtypes and [tuple(r) for r in got.collect()] == [(1, "some words here", "en", "x", 3)]
