@@ -28,8 +28,10 @@ class Field:
     def regrid(self, regridder: Regridder, grid: Grid, **options) -> Field:
         """The field on ``grid``; ghost cells of a folded grid get the values of their twins."""
         out = regridder.regrid(self.data, **options)
-        if grid.kind == "fold" and not options.get("by"):
-            out = mirror_fold(out, *grid.shape)
+        if grid.kind == "fold":
+            by, values = (([x] if isinstance(x, str) else list(x)) for x in (options.get("by", []), options.get("values", "value")))
+            for value in values:
+                out = mirror_fold(out, *grid.shape, value, by=by)
         return Field(grid, out)
 
 

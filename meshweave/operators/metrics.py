@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.points import divided
+
 
 def integral(field: DataFrame, areas: DataFrame, *, by: list[str] = ()) -> DataFrame:
     """``by``, integral and mean of a field (cell_id, value) over a grid's areas."""
     joined = field.join(areas, "cell_id").groupBy(*by)
-    return joined.agg(F.sum(F.col("value") * F.col("area")).alias("integral"), (F.sum(F.col("value") * F.col("area")) / F.sum("area")).alias("mean"))
+    return joined.agg(F.sum(F.col("value") * F.col("area")).alias("integral"), divided(F.sum(F.col("value") * F.col("area")), F.sum("area")).alias("mean"))
 
 
 def error_metrics(found: DataFrame, true: DataFrame) -> DataFrame:
     """One row: mean, largest and root-mean-square misfit, and how far the extremes of ``found`` go beyond those of ``true``."""
     joined = found.select("cell_id", F.col("value").alias("a")).join(true.select("cell_id", F.col("value").alias("b")), "cell_id")
     off = F.abs(F.col("a") - F.col("b")) / F.when(F.col("b") == 0, 1.0).otherwise(F.abs("b"))
-    return joined.agg(F.avg(off).alias("mean_misfit"), F.max(off).alias("max_misfit"), F.sqrt(F.avg(off * off)).alias("rms_misfit"), ((F.min("b") - F.min("a")) / F.max(F.abs("b"))).alias("l_min"), ((F.max("a") - F.max("b")) / F.max(F.abs("b"))).alias("l_max"))
+    return joined.agg(F.avg(off).alias("mean_misfit"), F.max(off).alias("max_misfit"), F.sqrt(F.avg(off * off)).alias("rms_misfit"), divided(F.min("b") - F.min("a"), F.max(F.abs("b"))).alias("l_min"), divided(F.max("a") - F.max("b"), F.max(F.abs("b"))).alias("l_max"))
 
 
-def mirror_fold(field: DataFrame, nx: int, ny: int, value: str = "value") -> DataFrame:
-    """The last row's ghost cells get the values of the real cells they mirror: r and nx + 1 - r are one cell."""
+def mirror_fold(field: DataFrame, nx: int, ny: int, value: str = "value", *, by: list[str] = ()) -> DataFrame:
+    """The last row's ghost cells get the values of the real cells they mirror: r and nx + 1 - r are one cell, for each ``by``."""
     place = F.col("cell_id") - (ny - 1) * nx
     real = place.between(1, nx // 4) | place.between(nx // 2 + 1, nx // 2 + nx // 4)
-    twins = field.where(real).select((F.lit((ny - 1) * nx + nx + 1) - place).cast("bigint").alias("cell_id"), F.col(value).alias("__twin"), F.lit(True).alias("__mirrored"))
-    return field.join(twins, "cell_id", "left").withColumn(value, F.when(F.col("__mirrored"), F.col("__twin")).otherwise(F.col(value))).select(*field.columns)
+    twins = field.where(real).select((F.lit((ny - 1) * nx + nx + 1) - place).cast("bigint").alias("__of"), *[F.col(c).alias(f"__{c}") for c in by], F.col(value).alias("__twin"), F.lit(True).alias("__mirrored"))
+    match = F.col("cell_id") == F.col("__of")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return field.join(twins, match, "left").withColumn(value, F.when(F.col("__mirrored"), F.col("__twin")).otherwise(F.col(value))).select(*field.columns)
 
 
 def average_coincident(nodes: DataFrame, *, node: str = "global_node", value: str = "value", weight: str = "weight") -> DataFrame:
     """Weighted mean over the copies that neighbouring elements have of one node."""
     own = Window.partitionBy(node)
-    return nodes.withColumn(value, F.sum(F.col(value) * F.col(weight)).over(own) / F.sum(weight).over(own))
+    return nodes.withColumn(value, divided(F.sum(F.col(value) * F.col(weight)).over(own), F.sum(weight).over(own)))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.points import divided
 from ..manifold import Manifold, common_manifold
 from ..sources.grid import as_grid, rings_of
 from .candidates import all_pairs, candidate_pairs
@@ -54,6 +55,11 @@ class Regridder:
             table.persist()
         return self
 
+    def unpersist(self) -> Regridder:
+        for table in (self.weights, self.dst_areas, self.src_areas):
+            table.unpersist()
+        return self
+
     def transpose(self) -> Regridder:
         """The way back: sides and areas swapped, nothing computed."""
         if self.kind == "spectral":
@@ -137,11 +143,6 @@ class Regridder:
         return Regridder(_summed(weights), dst_areas, src_areas, dst_areas.count(), src_areas.count(), manifold)
 
 
-def divided(a: Column, b: Column) -> Column:
-    """a / b; NaN where b is 0."""
-    return F.when(b == 0, F.lit(float("nan"))).otherwise(a / F.when(b == 0, 1.0).otherwise(b))
-
-
 def _summed(weights: DataFrame) -> DataFrame:
     return weights.groupBy("dst", "src").agg(F.sum("area").alias("area"))
 
@@ -156,7 +157,8 @@ def _overlaps(pairs: DataFrame, manifold: Manifold, operator: Operator | None) -
                 continue
             if operator is not None:
                 rings = [[[tuple(p.values()) for p in ring] for ring in batch.column(c).to_pylist()] for c in ("src_ring", "dst_ring")]
-                area = np.array([float(operator(s, d)) for s, d in zip(*rings, strict=True)])
+                ids = zip(batch.column("src_id").to_pylist(), batch.column("dst_id").to_pylist(), strict=True)
+                area = np.array([_applied(operator, s, d, *own) for s, d, own in zip(*rings, ids, strict=True)])
             else:
                 s, n = rings_of(batch.column("src_ring"))
                 d, m = rings_of(batch.column("dst_ring"))
@@ -170,6 +172,13 @@ def _overlaps(pairs: DataFrame, manifold: Manifold, operator: Operator | None) -
     return pairs.mapInArrow(run, "dst bigint, src bigint, area double")
 
 
+def _applied(operator: Operator, src: list[tuple], dst: list[tuple], src_id: int, dst_id: int) -> float:
+    try:
+        return float(operator(src, dst))
+    except Exception as e:
+        raise ValueError(f"the operator failed for source cell {src_id} and destination cell {dst_id}") from e
+
+
 def _without_holes(batch: pa.RecordBatch, area: np.ndarray) -> np.ndarray:
     """Overlaps of exteriors, less those with holes, plus those of two holes."""
 

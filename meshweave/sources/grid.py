@@ -125,12 +125,14 @@ def union_grids(parts: list[Grid], *, faces: bool = False) -> Grid:
 
 
 def as_grid(obj, spark: SparkSession | None = None, manifold: Manifold | None = None) -> Grid:
-    """A grid from a grid, a pair of edge vectors, a matrix of corner points, or polygons."""
+    """A grid from a grid, a pair of edge vectors, a matrix of corner points, polygons, or a table cell_id, ring."""
     from .grids import corner_grid, polygon_grid, regular_grid
 
     if isinstance(obj, Grid):
         return replace(obj, manifold=manifold) if manifold else obj
     spark = spark or SparkSession.getActiveSession()
+    if isinstance(obj, DataFrame) and {"cell_id", "ring"} <= set(obj.columns):
+        return polygon_grid(spark, obj, manifold=manifold)
     if isinstance(obj, tuple) and len(obj) == 2 and all(np.ndim(x) == 1 for x in obj):
         return regular_grid(spark, *obj, manifold=manifold)
     if isinstance(obj, np.ndarray) and obj.ndim == 3 and obj.dtype.kind in "fiu" and obj.shape[2] in (2, 3):

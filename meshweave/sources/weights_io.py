@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.points import divided
 from ..manifold import Manifold
 
 
@@ -14,11 +15,11 @@ def esmf_tables(regridder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """weights (row, col, S), source (cell_id, area_a, frac_a) and destination (cell_id, area_b, frac_b)."""
     dst, src = regridder.marginals()
     weights = regridder.weights.join(regridder.dst_areas.withColumnRenamed("area", "__area"), F.col("dst") == F.col("cell_id"))
-    weights = weights.select(F.col("dst").alias("row"), F.col("src").alias("col"), (F.col("area") / F.col("__area")).alias("S"))
+    weights = weights.select(F.col("dst").alias("row"), F.col("src").alias("col"), divided(F.col("area"), F.col("__area")).alias("S"))
     return weights, src.select("cell_id", F.col("area").alias("area_a"), F.col("frac").alias("frac_a")), dst.select("cell_id", F.col("area").alias("area_b"), F.col("frac").alias("frac_b"))
 
 
-def save_esmf_weights(path: str, regridder, *, src_grid_name: str | None = None, dst_grid_name: str | None = None, src_shape: tuple | None = None, dst_shape: tuple | None = None, created_at: str | None = None) -> str:
+def save_esmf_weights(path: str, regridder, *, src_grid_name: str = "source", dst_grid_name: str = "destination", src_shape: tuple | None = None, dst_shape: tuple | None = None, created_at: str | None = None) -> str:
     """Writes weights/, src/, dst/ and attrs/ below ``path``; attributes that are not given are left out."""
     weights, src, dst = esmf_tables(regridder)
     for name, table in (("weights", weights), ("src", src), ("dst", dst)):

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
-from meshweave.plans.queries import ORACLE_SQL, QUERIES
+from meshweave.plans import coverage, queries
 
+QUERIES = queries.QUERIES | coverage.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | coverage.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

@@ -47,6 +47,7 @@ def test_pairs_conserve(spark, pair):
     assert np.isclose(integral(out, r.dst_areas).first().integral, integral(field, r.src_areas).first().integral, rtol=1e-8)
     ones = r.regrid(field.withColumn("value", F.lit(1.0)))
     assert np.allclose(column(ones, "value"), 1, atol=1e-7)
+    r.unpersist()
 
 
 def test_healpix_orders(spark):
@@ -113,6 +114,7 @@ def test_fields_and_metrics(spark):
     for f, most in ((fields.sinusoid_field(), 0.05), (fields.vortex_field(), 0.5), (fields.gulf_stream_field(), 0.1)):
         row = error_metrics(r.regrid(sampled(src, f)), sampled(dst, f)).first()
         assert row.mean_misfit < most and row.rms_misfit <= row.max_misfit
+    r.unpersist()
     at = spark.createDataFrame([(0.0, 0.0), (10.0, 45.0)], "lon double, lat double")
     value = lambda f: [r[0] for r in at.select(f(F.col("lon"), F.col("lat"))).collect()]
     assert value(fields.longitude_field()) == [0.0, 10.0]
