@@ -63,9 +63,11 @@ def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], pl
     sequence = np.concatenate([d[3] for d in docs]).astype(np.int64)
     if not own:
         sequence = rank[sequence]
-    flat = np.repeat(np.arange(len(docs)), lengths) * size + sequence
-    pairs, often = np.unique(flat, return_counts=True)
-    of, at = pairs // size, pairs % size
+    flags = np.array([d[2] for d in docs], bool)
+    of = at = often = np.zeros(0, np.int64)
+    if not ordered:
+        pairs, often = np.unique(np.repeat(np.arange(len(docs)), lengths) * size + sequence, return_counts=True)
+        of, at = pairs // size, pairs % size
     if own:  # from the words' frequencies to their units'
         which, n = own
         first, times = (np.cumsum(n) - n)[at], n[at]
@@ -73,8 +75,10 @@ def _block(number: int, docs: list[tuple[int | None, int, bool, np.ndarray]], pl
         pairs, inverse = np.unique(np.repeat(of, times) * size + at, return_inverse=True)
         often = np.bincount(inverse, np.repeat(often, times), minlength=len(pairs)).astype(np.int64)
         of, at = pairs // size, pairs % size
-    flags = np.array([d[2] for d in docs], bool)
-    flagged = np.bincount(at[flags[of]], often[flags[of]], minlength=len(words)).astype(np.uint32)
+    if ordered:
+        flagged = np.bincount(sequence[np.repeat(flags, lengths)], minlength=len(words)).astype(np.uint32)
+    else:
+        flagged = np.bincount(at[flags[of]], often[flags[of]], minlength=len(words)).astype(np.uint32)
     starts = np.searchsorted(hashed[order], np.arange(most + 1))
     buckets = []
     for b in np.flatnonzero(np.diff(starts)):

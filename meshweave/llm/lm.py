@@ -123,11 +123,14 @@ def _looked_up(blocks: DataFrame, dictionary: DataFrame, codes: dict[bytes, int]
     return rows.mapInArrow(look_up, "block bigint, bucket int, value binary")
 
 
-def _coded(blocks: DataFrame, values: DataFrame, least: int, base: float, rest: float, ends: int) -> DataFrame:
-    """One row per block: its documents' totals and their network codes, each document closed by END."""
+def _coded(blocks: DataFrame, values: DataFrame, least: int, base: float, rest: float, ends: int, rounds: int) -> DataFrame:
+    """One row per block: its documents' totals, and the network codes of those that each round learns from.
+
+    A document is closed by END; document i is learnt from in round i modulo ``rounds``.
+    """
     gathered = values.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("values"))
     joined = blocks.drop("buckets").join(gathered, "block", "left")
-    names = ["doc_ids", "flags", "lengths", "n_known", "base", "rest", "codes"]
+    names = ["doc_ids", "flags", "lengths", "n_known", "base", "rest", "codes", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,16 +151,19 @@ def _coded(blocks: DataFrame, values: DataFrame, least: int, base: float, rest:
                 inner = np.ones(len(codes), bool)
                 inner[closed] = False
                 codes[inner] = own[sequence]
+                kind = "<u2" if codes.max(initial=0) < 2**16 else "<u4"
+                turn = np.repeat(np.arange(len(lengths)) % rounds, lengths + 1)
+                packed = [pack(codes[turn == k], kind=kind) for k in range(rounds)]
                 known = total((counts > 0).astype(np.float64)) + (ends > 0)
                 data = [row["doc_ids"], row["flags"], (lengths + 1).tolist(), known.astype(np.int64).tolist(), basic.tolist(), other.tolist()]
                 kinds = [pa.list_(k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(data, kinds, strict=True)] + [pa.array([pack(codes)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(data, kinds, strict=True)] + [pa.array([packed], pa.list_(pa.binary())), pa.array([kind])], names)
 
-    return joined.mapInArrow(run, "doc_ids array<bigint>, flags array<boolean>, lengths array<bigint>, n_known array<bigint>, base array<double>, rest array<double>, codes binary")
+    return joined.mapInArrow(run, "doc_ids array<bigint>, flags array<boolean>, lengths array<bigint>, n_known array<bigint>, base array<double>, rest array<double>, codes array<binary>, kind string")
 
 
-def _of_texts(codes: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return codes[np.repeat(which, lengths)], lengths[which]
+def _codes(data: bytes, kind: str) -> np.ndarray:
+    return unpack(data, 1, kind)[0].astype(np.int64)
 
 
 def train(coded: DataFrame, start: gru.Parameters, rounds: int = ROUNDS) -> gru.Parameters:
@@ -171,14 +177,14 @@ def train(coded: DataFrame, start: gru.Parameters, rounds: int = ROUNDS) -> gru.
             learner = gru.Learner(gru.unflatten(shared.value, start))
             for batch in batches:
                 for row in batch.to_pylist():
-                    which = np.array(row["flags"], bool) & (np.arange(len(row["flags"])) % rounds == number)
-                    learner.learn(*_of_texts(unpack(row["codes"], 1)[0].astype(np.int64), np.array(row["lengths"], np.int64), which))
+                    which, lengths = np.array(row["flags"], bool)[number::rounds], np.array(row["lengths"], np.int64)[number::rounds]
+                    learner.learn(_codes(row["codes"], row["kind"])[np.repeat(which, lengths)], lengths[which])
             if learner.words:
                 flat = gru.flatten(learner.p).astype(np.float64) * learner.words
                 parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([learner.words] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "words", "total"])
 
-        learnt = coded.select("flags", "lengths", "codes").mapInArrow(learn, "part int, words bigint, total binary")
+        learnt = coded.select("flags", "lengths", F.get("codes", F.lit(number)).alias("codes"), "kind").mapInArrow(learn, "part int, words bigint, total binary")
         learnt, tasks = learnt.withColumn("task", F.spark_partition_id()), coded.rdd.getNumPartitions()
         while tasks > 1:  # no task adds more than FAN_IN rows
             learnt = learnt.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(_added, "part int, words bigint, total binary, task int")
@@ -217,7 +223,7 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     codes = {w: i + 2 for i, w in enumerate(frequent)}
     base = np.log10(n + SMOOTHING * (v + 1))
     rest = np.log10(n_rest + SMOOTHING * (v_rest + 1))
-    coded = checkpointed(_coded(blocks, _looked_up(blocks, dictionary, codes, tasks), least, float(base), float(rest), ends))
+    coded = checkpointed(_coded(blocks, _looked_up(blocks, dictionary, codes, tasks), least, float(base), float(rest), ends, rounds))
     learnt = train(coded, gru.initial(np.array([ends, n_rest, *counts], np.float64)), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(gru.flatten(learnt))
     like = learnt
@@ -227,8 +233,10 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for i in range(batch.num_rows):
                 lengths = np.array(batch.column("lengths")[i].as_py(), np.int64)
-                own = gru.score(parameters, unpack(batch.column("codes")[i].as_py(), 1)[0].astype(np.int64), lengths) / np.log(10)
-                own += np.array(batch.column("rest")[i].as_py())
+                order = np.concatenate([np.arange(k, len(lengths), rounds) for k in range(rounds)])
+                codes = np.concatenate([_codes(x, batch.column("kind")[i].as_py()) for x in batch.column("codes")[i].as_py()])
+                own = np.array(batch.column("rest")[i].as_py())
+                own[order] += gru.score(parameters, codes, lengths[order]) / np.log(10)
                 columns = [batch.column(c)[i].values for c in ("doc_ids", "flags", "lengths", "n_known", "base")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.float64())], ["doc_id", "flag", "n_tokens", "n_known", "base_score", "score"])
 
