@@ -126,8 +126,8 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, *, k: int = 20, tables
     """query_id, rank (from 1), vec_id, score: the k largest inner products found for every query row.
 
     ``is_query`` is a condition on ``vec_id``.  Rows with the query's own id are
-    no candidates of it; a candidate id counts once, with its best score; ties go to
-    the smaller id.  Vectors that are null, empty, zero or hold a null or
+    no candidates of it; a candidate id counts once, with its best score; of several vectors of
+    a query's id the least (component by component) asks; ties go to the smaller id.  Vectors that are null, empty, zero or hold a null or
     non-finite component take no part, nor do rows without id; vectors of
     another length are never compared.  An empty table gives an empty result.
 
@@ -175,6 +175,23 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, *, k: int = 20, tables
     return found.join(full, "query_id", "left_semi").unionByName(more)
 
 
+def best_in_order(q: np.ndarray, x: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, repeated: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and scores of the k best rows that are candidates (their score is not -inf).
+
+    ``scores`` come from a matrix product, whose last bits depend on its shape.  Every row that is within their error of
+    the k-th best is scored again with its sum in one fixed order, so that equal vectors tie everywhere.
+    """
+    at = best(scores, ids, k, repeated)
+    at = at[scores[at] > -np.inf]
+    if not len(at):
+        return at, np.zeros(0)
+    error = 1e-12 * len(q) * np.abs(q).max() * np.abs(x).max()
+    near = np.flatnonzero((scores >= scores[at[-1]] - error) & (scores > -np.inf))
+    again = (x[near] * q).sum(axis=1)
+    at = best(again, ids[near], k, repeated)
+    return near[at], again[at]
+
+
 def _met(entries: DataFrame, probed: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score: a query's k best rows in each block that it meets."""
     group = ["dim", "band", "table", "bucket"]
@@ -194,13 +211,12 @@ def _met(entries: DataFrame, probed: DataFrame, k: int) -> DataFrame:
             repeated = len(np.unique(ids)) < len(ids)
             for first in range(0, len(q), 256):
                 scores = q[first : first + 256] @ x.T
-                for s, i in zip(scores, own[first : first + 256], strict=True):
+                for v, s, i in zip(q[first : first + 256], scores, own[first : first + 256], strict=True):
                     s[ids == i] = -np.inf
-                    at = best(s, ids, k, repeated)
-                    at = at[ids[at] != i]
+                    at, score = best_in_order(v, x, s, ids, k, repeated)
                     out["query_id"].append(np.full(len(at), i))
                     out["vec_id"].append(ids[at])
-                    out["score"].append(s[at])
+                    out["score"].append(score)
         return pa.table({n: np.concatenate(v) if v else np.zeros(0, np.float64 if n == "score" else np.int64) for n, v in out.items()})
 
     return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(rank, "query_id bigint, vec_id bigint, score double")

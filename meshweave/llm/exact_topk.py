@@ -4,7 +4,8 @@ Every row's distances to a set of pivots are computed once.  By the triangle
 inequality the largest difference of a query's and a row's distances to a pivot is
 a lower bound of their own distance, hence an upper bound of their score.  A
 query evaluates rows in bound order and stops once no bound reaches its k-th
-best score.
+best score.  A first floor under that score comes from a sample of the rows, the same
+for all tasks; only rows that reach it leave a task.
 
 Largest inner product is made a nearest-point question by one more coordinate,
 sqrt(M^2 - |x|^2) for rows (M: the largest norm) and 0 for queries.
@@ -24,7 +25,9 @@ from .vectors import best, matrix, usable
 
 #: Pivots for a dimension; fixed, so their vectors can go to every task.
 PIVOTS = 48
-ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 1024, 2048
+ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 8192, 512
+#: Rows of a dimension, by a hash of their ids, among which a query's first k-th best score is found.
+FLOOR_ROWS = 4096
 #: Rows that a query evaluates at first; doubled until it may stop.
 FIRST_ROWS = 64
 
@@ -49,7 +52,8 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
 
     Components become floor(scale * x).  ``is_query`` is a condition on
     ``vec_id``.  Rows with the query's own id are no candidates; an id that
-    occurs more than once counts with its best score; ties go to the smaller id.
+    occurs more than once counts with its best score; of several vectors of a query's id the least
+    (component by component) asks; ties go to the smaller id.
     Vectors that are null, empty or hold a null or non-finite component take no
     part, nor do rows without id; vectors of another length are never compared.
     Sums must fit a long.  An empty table gives an empty result.
@@ -58,10 +62,11 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
     vectors = vectors.select("vec_id", "dim", F.transform("vec", lambda x: F.floor(x * scale).cast("bigint")).alias("vec"))
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     largest = {r["dim"]: r["most"] for r in vectors.groupBy("dim").agg(F.max(square).alias("most")).collect()}
-    chosen: dict[int, list] = {}
+    chosen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in largest:  # by a hash of the id, so that every run has the same ones
-        own = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(pivots)
-        chosen[dim] = [r["vec"] for r in own.collect()]
+        own = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(max(pivots, FLOOR_ROWS)).collect()
+        chosen[dim] = np.array([r["vec"] for r in own], np.int64), np.array([r["vec_id"] for r in own])
+    shared = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def measure(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,13 +75,15 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
                 for dim in np.unique(dims):
                     part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                     x = matrix(part.column("vec"))
-                    d = pivot_distances(x, (x * x).sum(1), np.array(chosen[int(dim)], np.float64), largest[int(dim)], query)
+                    d = pivot_distances(x, (x * x).sum(1), shared.value[int(dim)][0][:pivots].astype(np.float64), largest[int(dim)], query)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
-                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("dim"), part.column("vec"), lists], ["vec_id", "dim", "vec", "far"])
+                    sample, names = shared.value[int(dim)]
+                    floor = [floor_of(v, i, sample, names, k) for v, i in zip(x.astype(np.int64), part.column("vec_id").to_pylist(), strict=True)] if query else np.zeros(len(x), np.int64)
+                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("dim"), part.column("vec"), lists, pa.array(floor, pa.int64())], ["vec_id", "dim", "vec", "far", "floor"])
 
         return run
 
-    schema = "vec_id bigint, dim int, vec array<bigint>, far array<double>"
+    schema = "vec_id bigint, dim int, vec array<bigint>, far array<double>, floor bigint"
     index = checkpointed(vectors.mapInArrow(measure(False), schema))
     asked = vectors.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec")).select("vec_id", F.size("vec").alias("dim"), "vec")
     asked = checkpointed(asked.mapInArrow(measure(True), schema))
@@ -87,7 +94,7 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
     left = index.select("dim", "vec_id", "vec", "far", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).alias("row_block"), every(query_blocks).alias("query_block"))
-    right = asked.select("dim", F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.col("far").alias("query_far"), every(row_blocks).alias("row_block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("query_block"))
+    right = asked.select("dim", F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), F.col("far").alias("query_far"), "floor", every(row_blocks).alias("row_block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("query_block"))
 
     def search(found: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -96,7 +103,8 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
             far = np.ascontiguousarray(matrix(found.column("far")).T)
             most = largest[found.column("dim")[0].as_py()]
             q = matrix(queries.column("query")).astype(np.int64)
-            for v, d, i in zip(q, matrix(queries.column("query_far")), queries.column("query_id").to_numpy(), strict=True):
+            floors = queries.column("floor").to_numpy()
+            for v, d, i, floor in zip(q, matrix(queries.column("query_far")), queries.column("query_id").to_numpy(), floors, strict=True):
                 bound = np.abs(far[0] - d[0])
                 for p in range(1, len(far)):
                     np.maximum(bound, np.abs(far[p] - d[p]), out=bound)
@@ -104,7 +112,9 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
                 upper = (length + most - bound * bound) / 2
                 upper += 1e-9 * (length + most) + 1e-6
                 upper[ids == i] = -np.inf
+                upper[upper < floor] = -np.inf
                 at, score = bounded_search(v, x, ids, upper, k)
+                at, score = at[score >= floor], score[score >= floor]
                 out["query_id"].append(np.full(len(at), i))
                 out["vec_id"].append(ids[at])
                 out["score"].append(score)
@@ -116,6 +126,14 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def floor_of(q: np.ndarray, own: int, sample: np.ndarray, ids: np.ndarray, k: int) -> int:
+    """The k-th best score among the sampled rows of other ids; the least long if there are fewer."""
+    scores = exact_scores(q, sample)
+    at = best(scores, ids, k + 1, repeated=len(np.unique(ids)) < len(ids))
+    at = at[ids[at] != own][:k]
+    return int(scores[at[-1]]) if len(at) == k else -(2**63)
+
+
 def bounded_search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, upper: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores of the k best, evaluated in the order of their bounds until none can enter.
 
