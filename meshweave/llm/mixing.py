@@ -86,10 +86,13 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
     targets = targets.withColumn("wanted", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")).withColumnRenamed("source", "__source")
     mean = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("rows"))).cast("bigint")
     targets = checkpointed(targets.withColumn("mean", mean).drop("rows"))
-    rows = narrow.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    rows = rows.withColumn("class", length_class(F.col("size"), F.col("mean")))
-    classes = rows.groupBy(F.col("rank").alias("of")).agg(F.sum(F.col("size") * F.col("class")).alias("classes"))
-    rows = rows.join(checkpointed(classes), F.col("rank") == F.col("of"))
+
+    def classed(targets: DataFrame) -> DataFrame:
+        rows = narrow.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        return rows.withColumn("class", length_class(F.col("size"), F.col("mean")))
+
+    classes = classed(targets).groupBy("rank").agg(F.sum(F.col("size") * F.col("class")).alias("classes"))
+    rows = classed(checkpointed(targets.join(classes, "rank")))
     h = (F.col("classes").cast("double") / F.col("source_size").cast("double") - F.col("class").cast("double")) / F.lit(1024.0)
     rows = rows.withColumn("p", F.when(F.col("r") > 0, F.col("r") * (1 + (1 - F.col("r")) * h)))
     rows = rows.withColumn("odds", (F.col("u") * (1 - F.col("p"))) / ((1 - F.col("u")) * F.col("p")))
