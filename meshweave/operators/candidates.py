@@ -85,6 +85,20 @@ def candidate_pairs(dst: Grid, src: Grid, *, width: float | None = None) -> Data
     return joined.where(once).select(*[c for c in ("dst_id", "dst_ring", "dst_holes", "src_id", "src_ring", "src_holes") if c in joined.columns])
 
 
+def interval_overlaps(dst: DataFrame, src: DataFrame) -> DataFrame:
+    """dst, src, length of intervals (k, low, high) that overlap, by the same join in one dimension."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return _levelled(rows.select(F.col("k").alias(f"{name}id"), *[F.array(c).alias(f"{name}{c}") for c in ("low", "high")], F.col("low").alias(f"{name}from"), F.col("high").alias(f"{name}to")), name, None)
+
+    a, b = side(dst, "dst_"), side(src, "src_")
+    of_a, of_b = _levels(a, "dst_"), _levels(b, "src_")
+    joined = _binned(a, "dst_", of_b or [0], None, 1).join(_binned(b, "src_", of_a or [0], None, 1), ["level", "bin0"])
+    once = (F.col("level") == F.greatest("dst_level", "src_level")) & (F.col("bin0") == F.greatest(F.get("dst_first", F.lit(0)), F.get("src_first", F.lit(0))))
+    length = F.least("dst_to", "src_to") - F.greatest("dst_from", "src_from")
+    return joined.where(once & (length > 0)).select(F.col("dst_id").alias("dst"), F.col("src_id").alias("src"), length.alias("length"))
+
+
 def all_pairs(dst: Grid, src: Grid) -> DataFrame:
     """The same pairs by a nested loop, for grids of a few thousand cells at most."""
     a, b = _boxes(dst, "dst_"), _boxes(src, "src_")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.points import divided
 from ..manifold import Manifold, common_manifold
-from ..sources.grid import as_grid, rings_of
-from .candidates import all_pairs, candidate_pairs
+from ..sources.grid import Grid, as_grid, rings_of
+from .candidates import all_pairs, candidate_pairs, interval_overlaps
 
 #: A callable (src ring, dst ring) -> area, on lists of coordinate tuples.
 Operator = Callable[[list[tuple], list[tuple]], float]
@@ -199,17 +199,22 @@ def _without_holes(batch: pa.RecordBatch, area: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rectangles(pairs: DataFrame) -> DataFrame:
-    """Overlaps of axis-parallel rectangles, without leaving the JVM."""
-    corner = lambda ring, k, axis: F.get(ring, F.lit(k))[axis]
+def _lattice_overlaps(dst: Grid, src: Grid) -> DataFrame:
+    """dst, src, area between two outer products of edges: lengths of overlap along each axis, and their products."""
 
-    def side(axis: str) -> Column:
-        ends = [(F.least(corner(r, 0, axis), corner(r, 2, axis)), F.greatest(corner(r, 0, axis), corner(r, 2, axis))) for r in ("dst_ring", "src_ring")]
-        return F.least(ends[0][1], ends[1][1]) - F.greatest(ends[0][0], ends[1][0])
+    def along(one: str, other: str, axis: str) -> DataFrame:
+        def intervals(grid: Grid) -> DataFrame:
+            ends = [F.get("ring", F.lit(k))[axis] for k in (0, 2)]
+            return grid.cells.where(F.col(other) == 1).select(F.col(one).alias("k"), F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
 
-    x, y = side("x"), side("y")
-    area = F.when((x > 0) & (y > 0), x * y).otherwise(0.0)
-    return pairs.select(F.col("dst_id").alias("dst"), F.col("src_id").alias("src"), area.alias("area")).where((F.col("area") > 0) & ~F.isnan("area"))
+        found = interval_overlaps(intervals(dst), intervals(src))
+        return found.select(F.col("dst").alias(one), F.col("src").alias(f"src_{one}"), F.col("length").alias(f"length_{one}"))
+
+    cells = dst.cells.select(F.col("cell_id").alias("dst"), "i", "j")
+    met = cells.join(along("i", "j", "x"), "i").join(along("j", "i", "y"), "j")
+    source = src.cells.select(F.col("cell_id").alias("src"), F.col("i").alias("src_i"), F.col("j").alias("src_j"))
+    area = F.col("length_i") * F.col("length_j")
+    return met.join(source, ["src_i", "src_j"]).select("dst", "src", area.alias("area")).where("area > 0 AND NOT isnan(area)")
 
 
 def build_regridder(dst, src, *, manifold: Manifold | None = None, normalize: bool = False, operator: Operator | None = None, width: float | None = None, nested_loop: bool = False) -> Regridder:
@@ -224,10 +229,9 @@ def build_regridder(dst, src, *, manifold: Manifold | None = None, normalize: bo
         if grid.manifold.spherical != manifold.spherical:
             raise ValueError(f"a {grid.manifold.kind} grid has no cells on a {manifold.kind} manifold: convert its points first")
     dst, src = replace(dst, manifold=manifold), replace(src, manifold=manifold)
-    pairs = all_pairs(dst, src) if nested_loop else candidate_pairs(dst, src, width=width)
     if operator is None and not manifold.spherical and dst.kind == src.kind == "regular":
-        weights = _rectangles(pairs)
+        weights = _lattice_overlaps(dst, src)
     else:
-        weights = _overlaps(pairs, manifold, operator)
+        weights = _overlaps(all_pairs(dst, src) if nested_loop else candidate_pairs(dst, src, width=width), manifold, operator)
     found = Regridder(weights, dst.areas(), src.areas(), dst.n_cells, src.n_cells, manifold)
     return found.normalize() if normalize else found
