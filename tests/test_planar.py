@@ -3,7 +3,7 @@ import pytest
 from meshweave.manifold import PLANAR, common_manifold, sphere
 from meshweave.operators import build_regridder
 from meshweave.operators.candidates import all_pairs, candidate_pairs
-from meshweave.operators.metrics import integral
+from meshweave.operators.metrics import error_metrics, integral
 from meshweave.operators.regridder import Regridder
 from meshweave.sources import as_grid, corner_grid, polygon_grid, regular_grid, union_grids
 from meshweave.sources.weights_io import load_attrs, load_regridder, save_esmf_weights
@@ -155,6 +155,21 @@ def test_manifolds_and_unknown_grids(spark):
     assert as_grid(([0, 1], [0, 1, 2]), spark).shape == (1, 2)
 
 
+def test_a_failing_operator_names_both_cells(spark):
+    def broken(src, dst):
+        raise RuntimeError("no area")
+
+    r = build_regridder(regular_grid(spark, [0, 1], [0, 1]), regular_grid(spark, [0, 1], [0, 1]), operator=broken)
+    with pytest.raises(Exception, match="source cell 1 and destination cell 1"):
+        r.weights.collect()
+
+
+def test_areas_of_zero_divide_nothing(spark):
+    flat = spark.createDataFrame([(1, 0.0)], "cell_id long, area double")
+    field = spark.createDataFrame([(1, 0.0)], "cell_id long, value double")
+    assert np.isnan(integral(field, flat).first()["mean"]) and np.isnan(error_metrics(field, field).first()["l_min"])
+
+
 def test_weights_round_trip(small, spark, tmp_path):
     path = save_esmf_weights(str(tmp_path / "deep" / "w"), small, src_grid_name="parts")
     again = load_regridder(spark, path)

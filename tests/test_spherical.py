@@ -6,6 +6,7 @@ from meshweave.functions import fields
 from meshweave.functions.quadrature import fan_triangulate, gauss_lobatto, lagrange, planar_triangle_area, reference_rule, spherical_mean
 from meshweave.manifold import sphere
 from meshweave.operators import build_regridder
+from meshweave.operators.candidates import binned_pair
 from meshweave.operators.fields import sample
 from meshweave.operators.metrics import average_coincident, error_metrics, integral, mirror_fold
 from meshweave.sources import corner_grid, cubed_sphere, fold_grid, healpix_grid, latlon_grid, ring_grid, rotated_latlon_grid
@@ -50,6 +51,14 @@ def test_pairs_conserve(spark, pair):
     r.unpersist()
 
 
+def test_bin_rows_do_not_grow_with_the_ratio_of_the_grids(spark):
+    coarse, rows = cubed_sphere(spark, 2), []
+    for nside in (4, 16):
+        a, b = binned_pair(coarse, healpix_grid(spark, nside))
+        rows.append((a.count() / 24, b.count() / (12 * nside**2)))
+    assert all(max(r) <= 16 for r in rows) and rows[1][0] <= 1.5 * rows[0][0] and rows[1][1] <= 1.5 * rows[0][1]
+
+
 def test_healpix_orders(spark):
     for nside in (1, 2, 8):
         rows = spark.range(12 * nside**2).select("id", healpix_nested_to_ring(F.col("id"), nside).alias("r")).collect()
