@@ -75,7 +75,7 @@ def planted():
     return [(7 * i + 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("small", "chunk", "size"), [(32, 2048, 32 << 20), (4, 2048, 32 << 20), (8, 40, 32 << 20), (4, 2048, 40_000)])
+@pytest.mark.parametrize(("small", "chunk", "size"), [(32, 2048, 32 << 20), (4, 2048, 40_000), (8, 40, 32 << 20)])
 def test_equals_brute_force(spark, monkeypatch, small, chunk, size):
     for name, value in (("SMALL", small), ("CHUNK", chunk), ("NODE_BYTES", size)):
         monkeypatch.setattr(near_dedup, name, value)
