@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 from collections.abc import Iterator
@@ -32,6 +34,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few_files(df: DataFrame, rows: int, rows_per_task: int = 20_000) -> DataFrame:
+    """``df`` of about so many rows in no more tasks, and so files, than they are worth; large tables stay as they are."""
+    return df.coalesce(max(1, -(-rows // rows_per_task)))
+
+
+def give_back() -> None:
+    """Returns freed memory of this Python worker, which may stay idle beside others, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_once: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with where each begins (and the end), from batches sorted by integer ``keys``.
 

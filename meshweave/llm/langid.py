@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, give_back
 
 #: Symbols of words: 0 ends a word, a to z, and the bytes of other letters folded onto the rest.
 SYMBOLS = 64
@@ -220,6 +220,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str], text: st
                 lang, score, mixed = predict(texts[part])
                 kept = batch.column("kept").slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, kind)], names)
+        give_back()
 
     return rows.mapInArrow(run, schema).select("kept.*", *names[1:])
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, few_files
 
 #: Bits of md5 used for a document's random number.
 RANDOM_HEX = 13
@@ -92,7 +92,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), cap: i
         return rows.withColumn("class", length_class(F.col("size"), F.col("mean")))
 
     classes = classed(targets).groupBy("rank").agg(F.sum(F.col("size") * F.col("class")).alias("classes"))
-    rows = classed(checkpointed(targets.join(classes, "rank")))
+    rows = classed(checkpointed(targets.join(classes, "rank").coalesce(16)))  # a row a source
     h = (F.col("classes").cast("double") / F.col("source_size").cast("double") - F.col("class").cast("double")) / F.lit(1024.0)
     rows = rows.withColumn("p", F.when(F.col("r") > 0, F.col("r") * (1 + (1 - F.col("r")) * h)))
     rows = rows.withColumn("odds", (F.col("u") * (1 - F.col("p"))) / ((1 - F.col("u")) * F.col("p")))
@@ -119,7 +119,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     named = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), F.xxhash64("text", "source").alias("hash"))
     taken = mix_sources(named, keep=("id", "hash"), **options).groupBy("id", "hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    taken = checkpointed(taken)
+    taken = checkpointed(few_files(taken, named.count()))
     single = named.join(taken.where("rows = 1 AND copies > 0"), ["id", "hash"])
     if not taken.where("rows > 1").isEmpty():
         single = single.unionByName(named.join(taken.where("rows > 1 AND copies > 0"), ["id", "hash"]).dropDuplicates(["id", "hash"]))

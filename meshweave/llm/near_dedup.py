@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sliced, whole_groups
+from .common import checkpointed, few_files, give_back, sliced, whole_groups
 from .components import components
 from .hashing import mix, shingles
 
@@ -79,6 +79,7 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
                 signed.append(signature(tokens).tobytes() if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "text_hash", "n_shingles", "class", "signature"])
+        give_back()
 
     return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, class binary, signature binary")
 
@@ -116,10 +117,10 @@ def _expand(rows: DataFrame, depth: int, trees: int | None) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, class binary, n_shingles bigint")
 
 
-def _members(nodes: DataFrame) -> DataFrame:
+def _members(nodes: DataFrame, rows: int) -> DataFrame:
     """node, n, shingles (both of the node), class, n_shingles of nodes with two members or more."""
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
-    return checkpointed(nodes.join(sizes, "node").select("node", "n", "shingles", "class", "n_shingles"))
+    return checkpointed(few_files(nodes.join(sizes, "node").select("node", "n", "shingles", "class", "n_shingles"), rows))
 
 
 def _agreement(signed: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -275,6 +276,7 @@ def _links_within(members: DataFrame, sketches: DataFrame, bodies: DataFrame) ->
                 found = [(names[first + i], names[first + j]) for i, j in _links_of_node(labels, signed[of], sets)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
+        give_back()
 
     dealt = rows.select("node", "class", "label", "signature", "body").repartition("node").sortWithinPartitions("node")
     return dealt.mapInArrow(run, "a binary, b binary")
@@ -309,13 +311,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     sketched = checkpointed(sketch_documents(docs, key, text))
     rows = sketched.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = checkpointed(rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")))
+    size = sketched.count()
+    classes = rows.groupBy("class").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature"))
+    classes = checkpointed(few_files(classes, size))
     sketches = classes.select("class", "signature")
-    members = _members(_expand(classes, FIRST_DEPTH, trees))
-    pairs = checkpointed(_candidates(members, sketches))
+    members = _members(_expand(classes, FIRST_DEPTH, trees), size)
+    pairs = checkpointed(few_files(_candidates(members, sketches), size))
     larger = members.where(F.col("n") > SMALL)
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(larger.select("class")).distinct()
-    bodies = checkpointed(_bodies(docs, classes, needed, key, text))
+    bodies = checkpointed(few_files(_bodies(docs, classes, needed, key, text), size))
     # the nearest for each class first: most other pairs then lie within a component
     count = pairs.count()
     first = pairs.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select("best.a", "b")
@@ -324,14 +328,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     fits = (F.col("n") <= CHUNK) & (8 * F.col("shingles") <= NODE_BYTES) | (F.col("n") == 2)
     ready = []
     while not larger.isEmpty():
-        mixed = checkpointed(_mixed(larger, labels))
+        mixed = checkpointed(few_files(_mixed(larger, labels), size))
         ready.append(mixed.where(fits).select("node", "class", "label"))
         parents = mixed.where(~fits).select("node", "class")
         if parents.isEmpty():
             break
-        larger = _members(_expand(parents.join(classes, "class").select("node", "class", "n_shingles", "signature"), 1, None))
+        larger = _members(_expand(parents.join(classes, "class").select("node", "class", "n_shingles", "signature"), 1, None), size)
     if ready:
-        labels = _connected(labels, checkpointed(_links_within(functools.reduce(DataFrame.unionByName, ready), sketches, bodies)))
+        labels = _connected(labels, checkpointed(few_files(_links_within(functools.reduce(DataFrame.unionByName, ready), sketches, bodies), size)))
     least = _labelled(classes.select("class", "least"), labels)
     ids = least.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = least.join(ids, "label").select("class", "component_id")
@@ -373,13 +377,14 @@ def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     words (null, empty) all stay.  Columns may have any names.
     """
     found = checkpointed(near_duplicates(docs, key=key, text=text))
+    size = found.count()
     named = docs.select(F.struct("*").alias("row"), F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("hash"))
     pair = [F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")]
     gone = found.where("NOT kept").select(*pair).distinct()
     left = named.join(gone, ["id", "hash"], "left_anti")
     repeated = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy(*pair).count().where("count > 1").drop("count")
     if not repeated.isEmpty():
-        repeated = checkpointed(repeated)
+        repeated = checkpointed(few_files(repeated, size))
         once = left.join(repeated, ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
         left = left.join(repeated, ["id", "hash"], "left_anti").unionByName(once)
-    return left.select("row.*")
+    return few_files(left.select("row.*"), size)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, give_back
 from .hashing import Substrings
 
 LENGTH = 100
@@ -366,6 +366,7 @@ def _merge_bucket(table: pa.Table) -> pa.Table:
         for name, a, b in zip(names.tolist(), at, np.append(at[1:], len(piece)), strict=True):
             blocks.append(name)
             packed.append(_packed(doc=doc[piece[a:b]], start=start[piece[a:b]] + offset[a:b], n=times[a:b]))
+    give_back()
     return pa.table({"block": pa.array(blocks, pa.int64()), "ranges": pa.array(packed, pa.binary())})
 
 

@@ -18,7 +18,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct runs an encoder remembers before it forgets the rare ones; bounds a Python worker's memory.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Uses from which a run is not rare.
 OFTEN = 4
 

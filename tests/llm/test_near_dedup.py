@@ -107,7 +107,7 @@ def test_candidates_of_near_copies_grow_in_proportion(spark):
     for size in (1000, 4000):
         docs = spark.createDataFrame(copies(size), "doc_id long, text string")
         classes = near_dedup.sketch_documents(docs).where("class IS NOT NULL").persist()
-        members = near_dedup._members(near_dedup._expand(classes, near_dedup.FIRST_DEPTH, near_dedup.TREES))
+        members = near_dedup._members(near_dedup._expand(classes, near_dedup.FIRST_DEPTH, near_dedup.TREES), size)
         numbers.append((members.count(), near_dedup._candidates(members, classes.select("class", "signature")).count()))
         classes.unpersist()
     assert numbers[1][0] < 4.5 * numbers[0][0] and numbers[1][1] < numbers[1][0]
