@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import give_back, sliced
 
 BLOCK_BYTES = 24 << 20
 TEXTS_AT_ONCE = 256
@@ -128,6 +128,8 @@ def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool =
                     docs, places, size = [], {}, 0
         if docs:
             yield _block(number + 1, docs, places, ordered, units, most)
+        del docs, places
+        give_back()
 
     return columns.mapInArrow(build, SCHEMA)
 

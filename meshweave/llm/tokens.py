@@ -76,19 +76,23 @@ ODD = _odd_bytes()
 ODD_PAIRS = [(0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (ord("<"), ord("|"))]
 
 
-def clean_and_odd(runs: Iterable[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """Runs of ASCII without apostrophe and of letters up to U+017F that folding keeps single, and all others.
+def odd_runs(runs: list[bytes]) -> np.ndarray:
+    """Which runs are not of ASCII without apostrophe and of letters up to U+017F that folding keeps single.
 
-    Clean runs fall into pre-tokens where letters, digits and other characters meet, and at every digit.
+    All others, the clean ones, fall into pre-tokens where letters, digits and other characters meet, and at every digit.
     """
-    runs = list(runs)
     data = np.frombuffer(b" ".join(runs), np.uint8)
     odd = ODD[data]
     for one, two in ODD_PAIRS:
         odd[:-1] |= (data[:-1] == one) & (data[1:] == two)
     bad = np.zeros(len(runs), bool)
     bad[np.searchsorted(np.flatnonzero(data == 32), np.flatnonzero(odd))] = True
-    which = bad.tolist()
+    return bad
+
+
+def clean_and_odd(runs: Iterable[bytes]) -> tuple[list[bytes], list[bytes]]:
+    runs = list(runs)
+    which = odd_runs(runs).tolist()
     return [r for r, x in zip(runs, which, strict=True) if not x], [r for r, x in zip(runs, which, strict=True) if x]
 
 
@@ -153,23 +157,18 @@ def fold(text: bytes) -> bytes:
 
 def pretokens_of(path: str, runs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct pre-tokens of the runs, the places among them of each run's own, one run after another, and their number for each run."""
-    clean, odd = clean_and_odd(runs)
-    if not word_ends(path).any():
-        clean, odd = [], runs
-    joined = b" ".join(clean)
+    bad = odd_runs(runs) if word_ends(path).any() else np.ones(len(runs), bool)
+    order = np.argsort(bad, kind="stable")  # clean runs, then odd ones
+    clean = int((~bad).sum())
+    joined, odd = b" ".join([runs[i] for i in order[:clean].tolist()]), [runs[i] for i in order[clean:].tolist()]
     found = PRETOKEN.findall(joined)
     names = list(dict.fromkeys(chain(found, odd)))
     places = dict(zip(names, range(len(names)), strict=True))
-    cuts = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))[: len(clean)]
-    number = dict(zip(chain(clean, odd), chain(np.diff(np.cumsum(pretoken_starts(joined))[cuts - 1], prepend=0).tolist(), [1] * len(odd)), strict=True))
-    # found and odd have the runs in another order than ``runs``
-    begin, at = {}, 0
-    for run in chain(clean, odd):
-        begin[run] = at
-        at += number[run]
-    flat = np.fromiter(map(places.__getitem__, chain(found, odd)), np.int64, at)
-    n = np.fromiter(map(number.__getitem__, runs), np.int64, len(runs))
-    first = np.fromiter(map(begin.__getitem__, runs), np.int64, len(runs))
+    flat = np.fromiter(map(places.__getitem__, chain(found, odd)), np.int64, len(found) + len(odd))
+    cuts = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))[:clean]
+    number = np.concatenate([np.diff(np.cumsum(pretoken_starts(joined))[cuts - 1], prepend=0), np.ones(len(odd), np.int64)])
+    n, first = np.empty(len(runs), np.int64), np.empty(len(runs), np.int64)
+    n[order], first[order] = number, np.cumsum(number) - number
     return names, flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
 
