@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest_neighbours
+from .collocations import collocations
 from .common import documents, embeddings
 from .exact_topk import exact_top_k
 from .langid import predict_languages
@@ -15,7 +16,9 @@ from .lm import score_documents
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .product_codes import product_codes
 from .sharding import shard_documents
+from .simhash import simhash_duplicates
 from .suffix_dedup import repeat_digests
 from .token_counts import count_tokens
 
@@ -60,6 +63,18 @@ def op10_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
 
+def op11_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op13_va_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes(embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gru_scores": op1_gru_scores,
     "op2_language_mixture": op2_language_mixture,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_count_tokens": op8_count_tokens,
     "op9_pivot_top_k": op9_pivot_top_k,
     "op10_chosen_path_dedup": op10_chosen_path_dedup,
+    "op11_pivot_simhash": op11_pivot_simhash,
+    "op12_collocations": op12_collocations,
+    "op13_va_codes": op13_va_codes,
 }
 
 _MIX = r"""
@@ -155,4 +173,49 @@ SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": _MIX, "op6_merge_transforms": _REPEATS, "op9_pivot_top_k": _TOP_K, "op10_chosen_path_dedup": _NEAR}
+_PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+spot AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+f AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM spot, range(1, 6) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, u.cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * u.a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1:u.cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[u.cut + 1:], ' ') JOIN totals t ON t.lang = u.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS most FROM c, range(2, 5) x(s), range(1, 5) y(i) WHERE s < k AND i + s - 1 <= k GROUP BY ALL)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase)::BIGINT AS rank, w.phrase, a, l, r, n, score::BIGINT AS score
+FROM weakest w LEFT JOIN longer g ON g.lang = w.lang AND g.phrase = w.phrase WHERE most IS NULL OR 100 * most < 100 * a QUALIFY rank <= 2000
+"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Product codes by exhaustive distances; one pair of tables a round."""
+    out = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+q AS MATERIALIZED (SELECT vec_id, e, p, vec[(p * (len(vec) // 4) + 1)::BIGINT:((p + 1) * (len(vec) // 4))::BIGINT] AS x FROM v, range(4) t(p)),
+book0 AS (SELECT p, e, x AS c FROM q WHERE e < 256)"""
+    for k in range(rounds + 1):
+        out += f""",
+near{k} AS MATERIALIZED (
+  SELECT q.e AS row, q.p, min(struct_pack(d := (list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c))::BIGINT, e := b.e)) AS best FROM q JOIN book{k} b ON b.p = q.p GROUP BY 1, 2)"""
+        if k < rounds:
+            out += f""",
+means{k} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT q.p, best.e AS e, i, floor(sum(x[i]) / count(*)) AS m FROM q JOIN near{k} n ON n.row = q.e AND n.p = q.p, range(1, 1025) t(i) WHERE i <= len(x) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m ON m.p = b.p AND m.e = b.e)"""
+    return out + f""",
+coded AS (SELECT row, string_agg(lower(lpad(to_hex(best.e), 2, '0')), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda z: z::BIGINT), ','), ',' ORDER BY p, e)) AS s FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM v JOIN coded ON coded.row = v.e, digest
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op12_collocations": _PHRASES, "op13_va_codes": _codes_sql(), "op3_mix_sources": _MIX, "op6_merge_transforms": _REPEATS, "op9_pivot_top_k": _TOP_K, "op10_chosen_path_dedup": _NEAR}
