@@ -39,28 +39,27 @@ BUCKET_MEMORY = "256MB"
 SALTS = 64
 
 
-def pieces_of(text: bytes) -> Iterator[bytes]:
+def pieces_of(text: bytes, part_words: int = PART_WORDS) -> Iterator[bytes]:
     """The pieces that have words, one space between words; very long ones in marked parts that overlap by MOST_WORDS - 1 words."""
     for piece in text.translate(FOLD).split(b"\n"):
         words = piece.split()
-        if len(words) <= PART_WORDS:
-            if words:
-                yield b" ".join(words)
-            continue
-        for first in range(0, len(words), PART_WORDS):
-            part = words[first : first + PART_WORDS + MOST_WORDS - 1]
-            yield b" ".join([MARK, *part] if first + PART_WORDS < len(words) else part)
+        while len(words) > part_words + MOST_WORDS - 1:
+            yield b" ".join([MARK, *words[: part_words + MOST_WORDS - 1]])
+            words = words[part_words:]
+        if words:
+            yield b" ".join(words)
 
 
 def piece_blocks(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, words (weighted), body (distinct pieces, compressed), weights: blocks of one language's pieces."""
+    part_words = PART_WORDS
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("body")).where("body IS NOT NULL")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple, int] = {}
             for name, body in zip(batch.column("lang").to_pylist(), batch.column("body"), strict=True):
-                for piece in pieces_of(body.as_py()):
+                for piece in pieces_of(body.as_py(), part_words):
                     found[name, piece] = found.get((name, piece), 0) + 1
             columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "piece", "n"])
@@ -71,7 +70,7 @@ def piece_blocks(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
 
         def block(name: str) -> pa.RecordBatch:
             pieces, weights = open_.pop(name)
-            words = sum((1 + p.count(b" ") if p[:1] != MARK else PART_WORDS) * w for p, w in zip(pieces, weights, strict=True))
+            words = sum((1 + p.count(b" ") if p[:1] != MARK else part_words) * w for p, w in zip(pieces, weights, strict=True))
             data = [[name], [words], [zstandard.compress(b"\n".join(pieces), 1)], [zlib.compress(np.array(weights, np.int64).tobytes(), 1)]]
             return pa.RecordBatch.from_arrays([pa.array(d, kind) for d, kind in zip(data, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["lang", "words", "body", "weights"])
 

@@ -72,7 +72,7 @@ def test_small_blocks_buckets_and_parts(spark, monkeypatch):
     long = " ".join(draw.choice("abcdef") for _ in range(3000))
     rows = [*texts(200, 4), (long, "en"), (long, "en"), (long + " tail", "fr"), ("x y z x y z", "en"), ("x y z x y z", "en")]
     monkeypatch.setattr(module, "PART_WORDS", 6)
-    assert [len(p.split()) for p in module.pieces_of(b"a b c d e f g h i j k l m n o")] == [11, 10, 3]
+    assert [len(p.split()) for p in module.pieces_of(b"a b c d e f g h i j k l m n o", 6)] == [10, 9]
     want = plain(rows, 6)
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], SCHEMA).repartition(3)
     monkeypatch.setattr(module, "BUCKET_WORDS", 500)
@@ -83,11 +83,7 @@ def test_small_blocks_buckets_and_parts(spark, monkeypatch):
 
 def test_cut_parts_of_a_long_piece():
     words = [str(k % 7) for k in range(200)]
-    part, module.PART_WORDS = module.PART_WORDS, 16
-    try:
-        pieces = list(module.pieces_of(" ".join(words).encode()))
-    finally:
-        module.PART_WORDS = part
+    pieces = list(module.pieces_of(" ".join(words).encode(), 16))
     for n in range(1, 6):
         got = phrase_counts(b"\n".join(pieces), np.ones(len(pieces), np.int64), n)
         assert got == Counter(" ".join(words[i : i + n]).encode() for i in range(len(words) - n + 1))

@@ -12,7 +12,7 @@ SCHEMA = "vec_id bigint, embedding array<float>, label int"
 def plain(rows, rounds=4):
     """code, error of each usable row, in order, and the digest; rows have one length."""
     kept = [r for r in rows if r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])]
-    x = np.floor(1024 * np.array([np.float32(r[1]).astype(float) for r in kept])).astype(object)
+    x = np.floor(1024 * np.array([np.float32(r[1]).astype(float) for r in kept])).astype(np.int64).astype(object)
     order = sorted(range(len(kept)), key=lambda i: (kept[i][0] is None, kept[i][0] or 0, x[i].tolist()))
     parts = np.array(np.split(x, 4, axis=1))
     books = [p[order[:256]].copy() for p in parts]
