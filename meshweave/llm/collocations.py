@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import duckdb
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, whole_groups
+from .common import checkpointed, give_back, sliced, whole_groups
 from .hashing import Substrings, mix
 
 #: Words of a phrase, occurrences it needs, phrases of a language that are returned, and percent of a phrase's count at which a longer one replaces it.
@@ -33,6 +34,8 @@ PART_WORDS, MARK = 1 << 16, b"\x0b"
 BLOCK_BYTES, BUCKET_WORDS = 2 << 20, 4 << 20
 #: Bits for each frequent phrase, and most bits at all (64 MB).
 FILTER_BITS, MOST_BITS = 16, 1 << 29
+#: Distinct phrases that a task holds before it deals their counts to the buckets, and compressed bytes that are inserted at once.
+HELD_PHRASES, INSERT_BYTES = 300_000, 2 << 20
 #: Memory of DuckDB for one bucket; beyond it the bucket is spilled.
 BUCKET_MEMORY = "256MB"
 #: Parts that a language's candidates are ranked in first.
@@ -105,8 +108,8 @@ class _Filter:
         return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def phrase_counts(body: bytes, weights: np.ndarray, n: int, lang: str = "", known: _Filter | None = None) -> dict[bytes, int]:
-    """Weighted occurrences of the phrases of ``n`` words in pieces (a line each) whose parts of n - 1 words ``known`` may have."""
+def phrase_counts(body: bytes, weights: np.ndarray, n: int, lang: str = "", known: _Filter | None = None, into: Counter | None = None) -> Counter:
+    """``into`` (or a new counter) with the weighted occurrences of the phrases of ``n`` words in pieces (a line each) whose parts of n - 1 words ``known`` may have."""
     data = np.frombuffer(body, np.uint8)
     gaps = np.flatnonzero((data == 32) | (data == 10))
     starts, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(data))
@@ -123,10 +126,11 @@ def phrase_counts(body: bytes, weights: np.ndarray, n: int, lang: str = "", know
         sub, turn = Substrings(body), _hash_of_lang(lang)
         for k in (0, 1):
             at = at[known.has(mix(sub.hashes(starts[at + k], ends[at + k + n - 2]) ^ turn))]
-    found: dict[bytes, int] = {}
-    for a, b, w in zip(starts[at].tolist(), ends[at + n - 1].tolist(), weights[piece[at]].tolist(), strict=True):
-        phrase = body[a:b]
-        found[phrase] = found.get(phrase, 0) + w
+    found = Counter() if into is None else into
+    found.update([body[a:b] for a, b in zip(starts[at].tolist(), ends[at + n - 1].tolist(), strict=True)])
+    again = at[weights[piece[at]] > 1]
+    for a, b, w in zip(starts[again].tolist(), ends[again + n - 1].tolist(), weights[piece[again]].tolist(), strict=True):
+        found[body[a:b]] += w - 1
     return found
 
 
@@ -145,21 +149,34 @@ def _bucket_sums(rows: DataFrame, n: int, least: int) -> DataFrame:
                 phrase = batch.column("phrase").cast(pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("lang").cast(pa.string()), phrase, pa.array(np.full(batch.num_rows, n, np.int32)), batch.column("f").cast(pa.int64())], ["lang", "phrase", "words", "f"])
 
-        last = None
+        last, held = None, []
+
+        def insert(con: duckdb.DuckDBPyConnection) -> None:
+            langs, phrases, counts = [], [], []
+            for lang, p, c in held:
+                phrases += zstandard.decompress(p).split(b"\n")
+                counts.append(np.frombuffer(zlib.decompress(c), np.int64))
+                langs += [lang] * len(counts[-1])
+            held.clear()
+            con.register("block", pa.table({"lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.binary()), "n": np.concatenate(counts)}))
+            con.execute("INSERT INTO part SELECT * FROM block")
+            con.unregister("block")
+
         with tempfile.TemporaryDirectory(prefix="bucket-") as folder:  # spill of this task alone, gone with it
-            con = counted(folder)
-            for batch in batches:
-                for bucket, lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "phrases", "counts")), strict=True):
+            con, size = counted(folder), 0
+            for batch in sliced(batches, 64):
+                for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lang", "phrases", "counts")), strict=True):
+                    if held and (bucket != last or size > INSERT_BYTES):
+                        insert(con)
+                        size = 0
                     if last is not None and bucket != last:
                         yield from sums(con)
                         con.execute("TRUNCATE part")
                     last = bucket
-                    held = zstandard.decompress(phrases).split(b"\n")
-                    block = pa.table({"phrase": pa.array(held, pa.binary()), "n": np.frombuffer(zlib.decompress(counts), np.int64)})
-                    con.register("block", block)
-                    con.execute("INSERT INTO part SELECT ?, phrase, n FROM block", [lang])
-                    con.unregister("block")
+                    held.append(row)
+                    size += len(row[1]) + len(row[2]) + 64
             if last is not None:
+                insert(con)
                 yield from sums(con)
             con.close()
         give_back()
@@ -174,15 +191,25 @@ def _level(blocks: DataFrame, n: int, buckets: int, least: int, bits: bytes | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Filter(sent.value) if sent else None
+        found: dict[str, Counter] = {}
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            for lang, counter in found.items():
+                own: dict[int, list[bytes]] = {}
+                for phrase in counter:
+                    own.setdefault(zlib.crc32(phrase) % buckets, []).append(phrase)
+                counts = [zlib.compress(np.array([counter[p] for p in some], np.int64).tobytes(), 1) for some in own.values()]
+                phrases = [zstandard.compress(b"\n".join(some), 1) for some in own.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([lang] * len(own), pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "lang", "phrases", "counts"])
+            found.clear()
+
         for batch in batches:
-            for lang, body, weights in zip(*(batch.column(c).to_pylist() for c in ("lang", "body", "weights")), strict=True):
-                found = phrase_counts(zstandard.decompress(body), np.frombuffer(zlib.decompress(weights), np.int64), n, lang, known)
-                dealt: dict[int, list[bytes]] = {}
-                for phrase in found:
-                    dealt.setdefault(zlib.crc32(phrase) % buckets, []).append(phrase)
-                counts = [zlib.compress(np.array([found[p] for p in own], np.int64).tobytes(), 1) for own in dealt.values()]
-                phrases = [zstandard.compress(b"\n".join(own), 1) for own in dealt.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([lang] * len(dealt), pa.string()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "lang", "phrases", "counts"])
+            for lang, body, weights in zip(*(batch.column(c) for c in ("lang", "body", "weights")), strict=True):
+                lang = lang.as_py()
+                phrase_counts(zstandard.decompress(body.as_py()), np.frombuffer(zlib.decompress(weights.as_py()), np.int64), n, lang, known, found.setdefault(lang, Counter()))
+                if sum(map(len, found.values())) > HELD_PHRASES:
+                    yield from dealt()
+        yield from dealt()
         give_back()
 
     return checkpointed(_bucket_sums(blocks.mapInArrow(run, "bucket bigint, lang string, phrases binary, counts binary"), n, least))
