@@ -15,8 +15,10 @@ import numpy as np
 
 WIDTH = 16
 LANES, WINDOW = 512, 24
+#: Lanes of scoring, which has no updates to keep frequent.
+SCORING_LANES = 1024
 #: Few words to learn from are put in fewer lanes, for about so many updates.
-UPDATES, LEAST_LANES = 60, 16
+UPDATES, LEAST_LANES = 80, 16
 RATE = 0.2
 #: Gradients are means over a full window times this; with squares that start at 0.1, small ones take small steps.
 SCALE = 16.0
@@ -217,7 +219,7 @@ def score(p: Parameters, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         np.add(total, np.bincount(text, log_p.astype(np.float64), minlength=len(total)), out=total)
         held.clear()
 
-    for target, before, goes_on, text in laid_out(codes, previous(codes, lengths), lengths, np.argsort(-lengths, kind="stable")):
+    for target, before, goes_on, text in laid_out(codes, previous(codes, lengths), lengths, np.argsort(-lengths, kind="stable"), SCORING_LANES):
         state = np.zeros((target.shape[1], WIDTH), np.float32) if state is None else state[: target.shape[1]]
         states, state, _ = _recur(p, before, goes_on, state, False)
         real = target >= 0
