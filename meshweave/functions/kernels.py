@@ -118,57 +118,82 @@ def clip(subject: np.ndarray, n: np.ndarray, window: np.ndarray, m: np.ndarray,
 
 
 def convex(rings: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which counterclockwise planar rings are convex."""
+    """Which counterclockwise rings are convex: none of their corners turns right."""
     out = np.ones(len(rings), bool)
     for k in range(rings.shape[1]):
         a, b = _at(rings, size, k), _at(rings, size, k + 1)
         c = rings[np.arange(len(rings)), np.where(k < size, (k + 2) % np.maximum(size, 1), 0)]
-        turn = (b[:, 0] - a[:, 0]) * (c[:, 1] - b[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - b[:, 0])
+        if rings.shape[2] == 3:
+            turn = np.einsum("ij,ij->i", b, np.cross(c - b, a - b))
+        else:
+            turn = (b[:, 0] - a[:, 0]) * (c[:, 1] - b[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - b[:, 0])
         out &= (k >= size) | (turn >= -1e-12 * (1 + np.abs(a).max(axis=1)) ** 2)
     return out
 
 
-def ear_clip(ring: np.ndarray) -> np.ndarray:
-    """(n - 2, 3, 2) triangles of a simple counterclockwise ring."""
-    left, out = list(range(len(ring))), []
-
-    def turn(a, b, c) -> float:
-        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+def trapezoids(rings: list[np.ndarray]) -> np.ndarray:
+    """(part, 4, 2) counterclockwise trapezoids, with two level sides, that make up a simple polygon and its holes.
 
-    while len(left) > 3:
-        for k in range(len(left)):
-            i, j, h = left[k - 1], left[k], left[(k + 1) % len(left)]
-            a, b, c = ring[i], ring[j], ring[h]
-            if turn(a, b, c) <= 0:
-                continue
-            inside = (p for p in left if p not in (i, j, h) and not any((ring[p] == q).all() for q in (a, b, c)))
-            if not any(turn(a, b, ring[p]) >= 0 and turn(b, c, ring[p]) >= 0 and turn(c, a, ring[p]) >= 0 for p in inside):
-                out.append((a, b, c))
-                del left[k]
-                break
-        else:  # only flat corners are left
-            del left[0]
-    if len(left) == 3:
-        out.append(tuple(ring[i] for i in left))
-    return np.array(out).reshape(-1, 3, 2)
+    The plane is cut at the height of every vertex; between two heights the edges, sorted, bound the inside pairwise.
+    A trapezoid goes on from one height to the next while its two edges do, so there are about as many as vertices.
+    """
+    a = np.concatenate(rings)
+    b = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    up = a[:, 1] < b[:, 1]
+    low, high = np.where(up[:, None], a, b), np.where(up[:, None], b, a)
+    real = low[:, 1] < high[:, 1]
+    low, high = low[real], high[real]
+    y = np.unique(a[:, 1])
+    first, last = np.searchsorted(y, low[:, 1]), np.searchsorted(y, high[:, 1])
+    edge = np.repeat(np.arange(len(low)), last - first)
+    slab = np.arange(len(edge)) - np.repeat(np.cumsum(last - first) - (last - first) - first, last - first)
+    slope = (high[:, 0] - low[:, 0]) / (high[:, 1] - low[:, 1])
+
+    def x(edge: np.ndarray, at: np.ndarray) -> np.ndarray:
+        found = low[edge, 0] + (at - low[edge, 1]) * slope[edge]
+        return np.where(at == high[edge, 1], high[edge, 0], found)
+
+    order = np.lexsort((x(edge, (y[slab] + y[slab + 1]) / 2), slab))
+    left, right, slab = edge[order[::2]], edge[order[1::2]], slab[order[::2]]
+    order = np.lexsort((slab, right, left))
+    left, right, slab = left[order], right[order], slab[order]
+    new = np.ones(len(slab), bool)
+    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (slab[1:] != slab[:-1] + 1)
+    begin = np.flatnonzero(new)
+    bottom, top = y[slab[begin]], y[slab[np.append(begin[1:], len(slab)) - 1] + 1] if len(begin) else y[:0]
+    left, right = left[begin], right[begin]
+    return np.stack([np.column_stack(p) for p in ((x(left, bottom), bottom), (x(right, bottom), bottom), (x(right, top), top), (x(left, top), top))], axis=1)
+
+
+def convex_parts(ring: np.ndarray, holes: list[np.ndarray]) -> list[np.ndarray]:
+    """Convex rings that make up a cell: the ring itself where it is convex, else trapezoids.
+
+    A spherical ring (unit vectors) is cut in the plane that touches the sphere at its middle, where great circles are lines.
+    One that reaches a quarter of the sphere's circumference from there is taken to be convex.
+    """
+    if ring.shape[1] == 2:
+        flat = ring
+    else:
+        middle = ring.mean(axis=0)
+        middle /= max(np.linalg.norm(middle), 1e-300)
+        if (ring @ middle <= 1e-6).any():
+            return [ring]
+        east = np.cross(middle, [1.0, 0, 0] if abs(middle[0]) < 0.7 else [0, 1.0, 0])
+        east /= np.linalg.norm(east)
+        frame = np.stack([east, np.cross(middle, east)])
+        flat = (ring @ frame.T) / (ring @ middle)[:, None]
+    size = np.array([len(flat)])
+    if not holes and convex(counterclockwise(flat[None], size, False), size)[0]:
+        return [ring]
+    parts = trapezoids([flat, *holes])
+    if ring.shape[1] == 2:
+        return list(parts)
+    out = middle + parts @ frame
+    return list(out / np.linalg.norm(out, axis=2, keepdims=True))
 
 
 def intersection_areas(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, spherical: bool) -> np.ndarray:
-    """Unsigned area of each pair's intersection; spherical cells must be convex, planar ones simple."""
+    """Unsigned area of each pair's intersection; all cells are convex."""
     a, b = counterclockwise(a, n, spherical), counterclockwise(b, m, spherical)
-    if spherical:
-        ring, size = clip(a, n, b, m, True)
-        return np.where(size > 2, np.abs(spherical_areas(ring, size)), 0.0)
-    out = np.zeros(len(a))
-    plain = convex(b, m)
-    if plain.any():
-        ring, size = clip(a[plain], n[plain], b[plain], m[plain], False)
-        out[plain] = np.where(size > 2, np.abs(planar_areas(ring, size)), 0.0)
-    for i in np.flatnonzero(~plain):  # triangles are convex, and their clips add up
-        parts = ear_clip(b[i, : m[i]])
-        k = len(parts)
-        if k:
-            # a triangle may meet a non-convex subject in several parts; signed areas of the degenerate bridges cancel
-            ring, size = clip(np.repeat(a[i : i + 1, : n[i]], k, 0), np.full(k, n[i]), parts, np.full(k, 3), False)
-            out[i] = np.abs(planar_areas(ring, size)).sum()
-    return out
+    ring, size = clip(a, n, b, m, spherical)
+    return np.where(size > 2, np.abs(spherical_areas(ring, size) if spherical else planar_areas(ring, size)), 0.0)

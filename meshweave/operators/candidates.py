@@ -22,7 +22,7 @@ LEAST_SHARE = 2.0**-40
 
 
 def _boxes(grid: Grid, side: str) -> DataFrame:
-    """id, ring (holes), extent, and the lower and upper corner of the box to bin, names prefixed by ``side``."""
+    """id, ring, extent, and the lower and upper corner of the box to bin, names prefixed by ``side``."""
     cells = grid.extents().where(~grid.is_ghost())
     if grid.manifold.spherical:
         chord = 2 * F.sin(F.least(F.col("cap.radius"), F.lit(3.141592653589793)) / 2)
@@ -32,8 +32,7 @@ def _boxes(grid: Grid, side: str) -> DataFrame:
     else:
         low, high = [F.col("xmin"), F.col("ymin")], [F.col("xmax"), F.col("ymax")]
         own = [F.col(c).alias(f"{side}{c}") for c in ("xmin", "xmax", "ymin", "ymax")]
-    holes = [F.col("holes").alias(f"{side}holes")] if "holes" in cells.columns else []
-    return cells.select(F.col("cell_id").alias(f"{side}id"), F.col("ring").alias(f"{side}ring"), *holes, *own, F.array(*low).alias(f"{side}low"), F.array(*high).alias(f"{side}high"))
+    return cells.select(F.col("cell_id").alias(f"{side}id"), F.col("ring").alias(f"{side}ring"), *own, F.array(*low).alias(f"{side}low"), F.array(*high).alias(f"{side}high"))
 
 
 def _levelled(boxes: DataFrame, side: str, width: float | None) -> DataFrame:
@@ -71,7 +70,7 @@ def binned_pair(dst: Grid, src: Grid, *, width: float | None = None) -> tuple[Da
 
 
 def candidate_pairs(dst: Grid, src: Grid, *, width: float | None = None) -> DataFrame:
-    """dst_id, dst_ring, src_id, src_ring (and holes) of cells whose extents overlap, each pair once.
+    """dst_id, dst_ring, src_id, src_ring of cells whose extents overlap, each pair once.
 
     ``width`` sets the narrowest bins; the result does not depend on it; ghosts take no part.
     """
@@ -82,7 +81,7 @@ def candidate_pairs(dst: Grid, src: Grid, *, width: float | None = None) -> Data
     once: Column = (F.col("level") == F.greatest("dst_level", "src_level")) & overlap
     for k in range(axes):
         once = once & (F.col(f"bin{k}") == F.greatest(F.get("dst_first", F.lit(k)), F.get("src_first", F.lit(k))))
-    return joined.where(once).select(*[c for c in ("dst_id", "dst_ring", "dst_holes", "src_id", "src_ring", "src_holes") if c in joined.columns])
+    return joined.where(once).select("dst_id", "dst_ring", "src_id", "src_ring")
 
 
 def interval_overlaps(dst: DataFrame, src: DataFrame) -> DataFrame:
@@ -108,4 +107,4 @@ def all_pairs(dst: Grid, src: Grid) -> DataFrame:
     a, b = (F.broadcast(a), b) if small == dst.n_cells else (a, F.broadcast(b))
     overlap = caps_overlap(F.col("dst_cap"), F.col("src_cap")) if dst.manifold.spherical else boxes_overlap("dst_", "src_")
     joined = a.join(b, overlap)
-    return joined.select(*[c for c in ("dst_id", "dst_ring", "dst_holes", "src_id", "src_ring", "src_holes") if c in joined.columns])
+    return joined.select("dst_id", "dst_ring", "src_id", "src_ring")

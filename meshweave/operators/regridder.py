@@ -19,7 +19,10 @@ from ..functions.points import divided
 from ..manifold import Manifold, common_manifold
 from ..sources.grid import Grid, as_grid, rings_of
 from .candidates import all_pairs, candidate_pairs, interval_overlaps
+from .outlines import outline_weights
 
+#: Kinds of grids whose cells are convex; others may have cells of any shape.
+CONVEX = ("regular", "rotated", "rings", "healpix", "cubed")
 #: A callable (src ring, dst ring) -> area, on lists of coordinate tuples.
 Operator = Callable[[list[tuple], list[tuple]], float]
 
@@ -149,7 +152,6 @@ def _summed(weights: DataFrame) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, manifold: Manifold, operator: Operator | None) -> DataFrame:
     """dst, src, area of candidate pairs, with the areas that are positive."""
-    holes = [c for c in ("src_holes", "dst_holes") if c in pairs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,8 +166,6 @@ def _overlaps(pairs: DataFrame, manifold: Manifold, operator: Operator | None) -
                 d, m = rings_of(batch.column("dst_ring"))
                 area = np.concatenate([kernels.intersection_areas(s[i : i + 4096], n[i : i + 4096], d[i : i + 4096], m[i : i + 4096], manifold.spherical) for i in range(0, len(n), 4096)])
                 area *= manifold.radius**2 if manifold.spherical else 1.0
-                if holes:
-                    area = _without_holes(batch, area)
             keep = area > 0  # not NaN either
             yield pa.RecordBatch.from_arrays([batch.column("dst_id").filter(pa.array(keep)), batch.column("src_id").filter(pa.array(keep)), pa.array(area[keep])], ["dst", "src", "area"])
 
@@ -179,24 +179,37 @@ def _applied(operator: Operator, src: list[tuple], dst: list[tuple], src_id: int
         raise ValueError(f"the operator failed for source cell {src_id} and destination cell {dst_id}") from e
 
 
-def _without_holes(batch: pa.RecordBatch, area: np.ndarray) -> np.ndarray:
-    """Overlaps of exteriors, less those with holes, plus those of two holes."""
+def _convex(grid: Grid) -> Grid:
+    """The grid with cells that are not convex, or have holes, in convex parts (of one id), each cell cut once."""
 
-    def parts(name: str, i: int) -> list[np.ndarray]:
-        found = batch.column(name)[i].as_py() if name in batch.schema.names else None
-        return [np.array([list(p.values()) for p in ring]) for ring in found or []]
+    spherical = grid.manifold.spherical
 
-    def overlap(a: np.ndarray, b: np.ndarray) -> float:
-        return float(kernels.intersection_areas(a[None], np.array([len(a)]), b[None], np.array([len(b)]), False)[0])
+    def made(ids: pa.Array, sizes: np.ndarray, coordinates: list[np.ndarray]) -> pa.RecordBatch:
+        points = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in coordinates], list("xyz")[: len(coordinates)])
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), points)], ["cell_id", "ring"])
 
-    out = area.copy()
-    for i in range(batch.num_rows):
-        s_holes, d_holes = parts("src_holes", i), parts("dst_holes", i)
-        if s_holes or d_holes:
-            s, d = ([list(p.values()) for p in batch.column(c)[i].as_py()] for c in ("src_ring", "dst_ring"))
-            s, d = np.array(s), np.array(d)
-            out[i] += -sum(overlap(h, d) for h in s_holes) - sum(overlap(s, h) for h in d_holes) + sum(overlap(g, h) for g in s_holes for h in d_holes)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, whole = batch.schema.names, batch.column("ring")
+            holes = batch.column("holes").to_pylist() if "holes" in names else [None] * batch.num_rows
+            sizes = whole.value_lengths().to_numpy()
+            plain = np.array([not h for h in holes], bool)
+            for size in np.unique(sizes[plain]).tolist():  # rings of one length are judged together
+                at = np.flatnonzero(plain & (sizes == size))
+                rings, n = rings_of(whole.take(pa.array(at)))
+                plain[at] = kernels.convex(kernels.counterclockwise(rings, n, spherical), n)
+            kept = whole.filter(pa.array(plain)).flatten()
+            yield made(batch.column("cell_id").filter(pa.array(plain)), sizes[plain], [kept.field(k).to_numpy() for k in range(kept.type.num_fields)])
+            for i in np.flatnonzero(~plain):
+                ring = np.array([list(p.values()) for p in whole[i].as_py()], float)
+                parts = kernels.convex_parts(ring, [np.array([list(p.values()) for p in h], float) for h in holes[i] or []])
+                if parts:
+                    yield made(pa.array([batch.column("cell_id")[i].as_py()] * len(parts), pa.int64()), np.array([len(p) for p in parts]), list(np.concatenate(parts).T))
+
+    columns = [F.col("cell_id").cast("bigint").alias("cell_id"), "ring", *[c for c in ("holes",) if c in grid.cells.columns]]
+    point = "struct<x: double, y: double, z: double>" if spherical else "struct<x: double, y: double>"
+    cells = grid.cells.where(~grid.is_ghost()).select(*columns).mapInArrow(run, f"cell_id bigint, ring array<{point}>")
+    return replace(grid, cells=cells)
 
 
 def _lattice_overlaps(dst: Grid, src: Grid) -> DataFrame:
@@ -217,6 +230,10 @@ def _lattice_overlaps(dst: Grid, src: Grid) -> DataFrame:
     return met.join(source, ["src_i", "src_j"]).select("dst", "src", area.alias("area")).where("area > 0 AND NOT isnan(area)")
 
 
+def _has_axes(grid: Grid) -> bool:
+    return grid.axes is not None and "is_ghost" not in grid.cells.columns and all(a.rising for a in grid.axes)
+
+
 def build_regridder(dst, src, *, manifold: Manifold | None = None, normalize: bool = False, operator: Operator | None = None, width: float | None = None, nested_loop: bool = False) -> Regridder:
     """The regridder from ``src`` to ``dst`` (grids, or anything ``as_grid`` takes).
 
@@ -231,6 +248,14 @@ def build_regridder(dst, src, *, manifold: Manifold | None = None, normalize: bo
     dst, src = replace(dst, manifold=manifold), replace(src, manifold=manifold)
     if operator is None and not manifold.spherical and dst.kind == src.kind == "regular":
         weights = _lattice_overlaps(dst, src)
+    elif operator is None and not manifold.spherical and not nested_loop and any(_has_axes(g) for g in (dst, src)):
+        if _has_axes(dst):
+            weights = outline_weights(dst, src)
+        else:
+            weights = outline_weights(src, dst).select(F.col("src").alias("dst"), F.col("dst").alias("src"), "area")
+    elif operator is None and any(g.kind not in CONVEX for g in (dst, src)):
+        parts = [g if g.kind in CONVEX else _convex(g) for g in (dst, src)]
+        weights = _summed(_overlaps(all_pairs(*parts) if nested_loop else candidate_pairs(*parts, width=width), manifold, None))
     else:
         weights = _overlaps(all_pairs(dst, src) if nested_loop else candidate_pairs(dst, src, width=width), manifold, operator)
     found = Regridder(weights, dst.areas(), src.areas(), dst.n_cells, src.n_cells, manifold)

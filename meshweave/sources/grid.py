@@ -14,17 +14,43 @@ from ..functions import kernels, polygons
 from ..manifold import Manifold
 
 
+class Axis:
+    """The edges along one axis of a lattice: given, or at equal steps (start, step, n) without a vector."""
+
+    def __init__(self, edges=None, *, start: float = 0.0, step: float = 1.0, n: int = 0):
+        self.edges = None if edges is None else np.asarray(edges, float)
+        self.start, self.step, self.n = start, step, n if edges is None else len(self.edges) - 1
+
+    @property
+    def rising(self) -> bool:
+        return self.step > 0 if self.edges is None else bool((np.diff(self.edges) > 0).all())
+
+    def at(self, k) -> np.ndarray:
+        """Coordinate of edge ``k``, 0-based."""
+        return self.start + np.asarray(k) * self.step if self.edges is None else self.edges[k]
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The interval that holds ``v``, -1 before the first edge and n from the last edge on."""
+        if self.edges is not None:
+            return np.searchsorted(self.edges, v, side="right") - 1
+        k = np.clip(np.floor((v - self.start) / self.step), -1, self.n).astype(np.int64)
+        k = k - (self.at(k) > v)  # as ``at`` rounds
+        return np.clip(k + (self.at(k + 1) <= v), -1, self.n)
+
+
 @dataclass(frozen=True)
 class Grid:
     """``cells``: cell_id (1-based), ring (open array of points) and, where known, i, j, face, holes, is_ghost.
 
     Any table with cell_id and ring makes a grid.  Ghost cells have ids and no area, and never meet other cells.
+    ``axes`` are the edges of a lattice whose ids are column-major.
     """
 
     cells: DataFrame
     shape: tuple[int, ...]
     manifold: Manifold
     kind: str = "cells"
+    axes: tuple[Axis, Axis] | None = None
 
     @property
     def n_cells(self) -> int:
@@ -67,10 +93,10 @@ class Grid:
     def with_ids(self, permutation: DataFrame) -> Grid:
         """Another order of the cells: ``permutation`` has cell_id and new_id."""
         cells = self.cells.join(permutation, "cell_id").drop("cell_id").withColumnRenamed("new_id", "cell_id")
-        return replace(self, cells=cells)
+        return replace(self, cells=cells, axes=None)
 
     def with_offset(self, offset: int) -> Grid:
-        return replace(self, cells=self.cells.withColumn("cell_id", F.col("cell_id") + offset))
+        return replace(self, cells=self.cells.withColumn("cell_id", F.col("cell_id") + offset), axes=None)
 
 
 CAP = "struct<center: struct<x: double, y: double, z: double>, radius: double>"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.points import normalized, planar_point, unit_point
 from ..manifold import PLANAR, Manifold, sphere
-from .grid import Grid, linear_to_cartesian, union_grids
+from .grid import Axis, Grid, linear_to_cartesian, union_grids
 
 
 def _edges(values) -> Column:
@@ -32,7 +32,7 @@ def regular_grid(spark: SparkSession, x, y, *, manifold: Manifold | None = None)
         raise ValueError("a regular grid needs two edges in each direction")
     xs, ys = _edges(x), _edges(y)
     point = unit_point if manifold.spherical else planar_point
-    return Grid(_quads(spark, len(x) - 1, len(y) - 1, lambda i, j: point(F.get(xs, i), F.get(ys, j))), (len(x) - 1, len(y) - 1), manifold, "regular")
+    return Grid(_quads(spark, len(x) - 1, len(y) - 1, lambda i, j: point(F.get(xs, i), F.get(ys, j))), (len(x) - 1, len(y) - 1), manifold, "regular", (Axis(x), Axis(y)))
 
 
 def uniform_grid(spark: SparkSession, nx: int, ny: int, x: tuple[float, float], y: tuple[float, float], *, manifold: Manifold | None = None) -> Grid:
@@ -43,7 +43,8 @@ def uniform_grid(spark: SparkSession, nx: int, ny: int, x: tuple[float, float],
     def corner(i: Column, j: Column) -> Column:
         return point(F.lit(float(x[0])) + i * F.lit((x[1] - x[0]) / nx), F.lit(float(y[0])) + j * F.lit((y[1] - y[0]) / ny))
 
-    return Grid(_quads(spark, nx, ny, corner), (nx, ny), manifold, "regular")
+    axes = tuple(Axis(start=float(ends[0]), step=(ends[1] - ends[0]) / n, n=n) for ends, n in ((x, nx), (y, ny)))
+    return Grid(_quads(spark, nx, ny, corner), (nx, ny), manifold, "regular", axes)
 
 
 def latlon_grid(spark: SparkSession, nx: int, ny: int, *, lon: tuple[float, float] = (0.0, 360.0), lat: tuple[float, float] = (-90.0, 90.0), radius: float = 1.0) -> Grid:
