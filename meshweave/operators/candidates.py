@@ -7,16 +7,25 @@ number of rows however much coarser or finer the other grid is.  Bins are square
 plane and, on a sphere, cubes in space (where there are neither poles nor a date line).
 
 A pair is kept only in the first bin that both extents share, so no exchange is needed to drop duplicates.
+
+Where many small cells meet at the level of a large one, one bin would gather them all.  Bins of more than ``FULL`` cells that
+are small against them are split into halves along each axis, as often as the counts ask (a quadtree, or octree, that is deep where cells are dense); a large cell
+goes to all of the parts that it touches.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.polygons import boxes_overlap, caps_overlap
+from ..functions.shared import written
 from ..sources.grid import Grid
 
+#: Small cells in a bin beyond which it is split.
+FULL = 8192
 #: Cells narrower than this share of their distance from the origin are binned as if they were as wide.
 LEAST_SHARE = 2.0**-40
 
@@ -49,38 +58,83 @@ def _levels(levelled: DataFrame, side: str) -> list[int]:
     return [r[0] for r in levelled.select(f"{side}level").where(f"{side}level IS NOT NULL").distinct().collect()]
 
 
+def _wide(width: float | None, level: Column) -> Column:
+    return F.lit(width or 1.0) * F.pow(F.lit(2.0), level)
+
+
 def _binned(levelled: DataFrame, side: str, others: list[int], width: float | None, axes: int) -> DataFrame:
+    """Adds level, depth (0) and the bins bin0, bin1 ... that a cell's box touches at each level where it meets others."""
     at = F.array_distinct(F.transform(F.array(*[F.lit(x) for x in others]), lambda x: F.greatest(x, F.col(f"{side}level"))))
-    out = levelled.withColumn("level", F.explode(at))
-    wide = F.lit(width or 1.0) * F.pow(F.lit(2.0), F.col("level"))
-    first = F.transform(f"{side}low", lambda v: F.floor(v / wide).cast("bigint"))
-    last = F.transform(f"{side}high", lambda v: F.floor(v / wide).cast("bigint"))
-    out = out.withColumns({f"{side}first": first, f"{side}last": last})
+    out = levelled.withColumn("level", F.explode(at)).withColumn("depth", F.lit(0))
+    wide = _wide(width, F.col("level"))
     for k in range(axes):
-        out = out.withColumn(f"bin{k}", F.explode(F.sequence(F.get(f"{side}first", F.lit(k)), F.get(f"{side}last", F.lit(k)))))
-    return out.drop(f"{side}low", f"{side}high", f"{side}last")
+        ends = [F.floor(F.get(f"{side}{end}", F.lit(k)) / wide).cast("bigint") for end in ("low", "high")]
+        out = out.withColumn(f"bin{k}", F.explode(F.sequence(*ends)))
+    return out
 
 
-def binned_pair(dst: Grid, src: Grid, *, width: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """The rows of both grids that are joined on level and bins."""
+def _key(axes: int) -> list[str]:
+    return ["level", "depth", *[f"bin{k}" for k in range(axes)]]
+
+
+def _halved(rows: DataFrame, side: str, full: DataFrame, width: float | None, axes: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose bins are not in ``full``, and those that are, moved to the halves of their bins that their boxes touch."""
+    same, moved = rows.join(full, _key(axes), "left_anti"), rows.join(full, _key(axes)).withColumn("depth", F.col("depth") + 1)
+    wide = _wide(width, F.col("level") - F.col("depth"))
+    for k in range(axes):
+        low, high = (F.floor(F.get(f"{side}{end}", F.lit(k)) / wide).cast("bigint") for end in ("low", "high"))
+        first = 2 * F.col(f"bin{k}")
+        moved = moved.withColumn(f"bin{k}", F.explode(F.sequence(F.greatest(first, low), F.least(first + 1, high))))
+    return same, written(moved.select(rows.columns))
+
+
+def _split(a: DataFrame, b: DataFrame, width: float | None, axes: int, full: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with bins split until none has more than ``full`` cells that splitting can part."""
+    key = _key(axes)
+
+    def counted(rows: DataFrame, side: str, other: str) -> DataFrame:
+        small = F.col(f"{side}level") < F.col("level") - F.col("depth")
+        return rows.groupBy(*key).agg(F.count(F.lit(1)).alias(side), F.count(F.when(small, 1)).alias(f"{side}small"), F.lit(0).cast("bigint").alias(other), F.lit(0).cast("bigint").alias(f"{other}small"))
+
+    done_a, done_b = [], []
+    a, b = written(a), written(b)
+    while True:
+        both = counted(a, "dst_", "src_").unionByName(counted(b, "src_", "dst_")).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("dst_", "src_", "dst_small", "src_small")])
+        # few: each stands for more than ``full`` rows
+        found = written(both.where((F.col("dst_") > 0) & (F.col("src_") > 0) & (F.greatest("dst_small", "src_small") > full)).select(*key))
+        if found.isEmpty():
+            break
+        (same_a, a), (same_b, b) = _halved(a, "dst_", found, width, axes), _halved(b, "src_", found, width, axes)
+        done_a.append(same_a)
+        done_b.append(same_b)
+    return functools.reduce(DataFrame.unionByName, done_a, a), functools.reduce(DataFrame.unionByName, done_b, b)
+
+
+def binned_pair(dst: Grid, src: Grid, *, width: float | None = None, full: int = FULL) -> tuple[DataFrame, DataFrame]:
+    """The rows of both grids that are joined on level, depth and bins."""
     axes = 3 if dst.manifold.spherical else 2
     a, b = _levelled(_boxes(dst, "dst_"), "dst_", width), _levelled(_boxes(src, "src_"), "src_", width)
     of_a, of_b = _levels(a, "dst_"), _levels(b, "src_")
-    return _binned(a, "dst_", of_b or [0], width, axes), _binned(b, "src_", of_a or [0], width, axes)
+    a, b = _binned(a, "dst_", of_b or [0], width, axes), _binned(b, "src_", of_a or [0], width, axes)
+    # a bin has a cell once at most
+    small = all(g.n_cells <= full and g.kind != "parts" for g in (dst, src))
+    return (a, b) if small else _split(a, b, width, axes, full)
 
 
-def candidate_pairs(dst: Grid, src: Grid, *, width: float | None = None) -> DataFrame:
+def candidate_pairs(dst: Grid, src: Grid, *, width: float | None = None, full: int = FULL) -> DataFrame:
     """dst_id, dst_ring, src_id, src_ring of cells whose extents overlap, each pair once.
 
-    ``width`` sets the narrowest bins; the result does not depend on it; ghosts take no part.
+    ``width`` sets the narrowest bins and ``full`` when bins are split; the result does not depend on them; ghosts take no part.
     """
     spherical, axes = dst.manifold.spherical, 3 if dst.manifold.spherical else 2
-    a, b = binned_pair(dst, src, width=width)
-    joined = a.join(b, ["level", *[f"bin{k}" for k in range(axes)]])
+    a, b = binned_pair(dst, src, width=width, full=full)
+    joined = a.join(b, _key(axes))
     overlap = caps_overlap(F.col("dst_cap"), F.col("src_cap")) if spherical else boxes_overlap("dst_", "src_")
     once: Column = (F.col("level") == F.greatest("dst_level", "src_level")) & overlap
+    wide = _wide(width, F.col("level") - F.col("depth"))
     for k in range(axes):
-        once = once & (F.col(f"bin{k}") == F.greatest(F.get("dst_first", F.lit(k)), F.get("src_first", F.lit(k))))
+        low = F.greatest(F.get("dst_low", F.lit(k)), F.get("src_low", F.lit(k)))
+        once = once & (F.col(f"bin{k}") == F.floor(low / wide).cast("bigint"))
     return joined.where(once).select("dst_id", "dst_ring", "src_id", "src_ring")
 
 
@@ -92,8 +146,9 @@ def interval_overlaps(dst: DataFrame, src: DataFrame) -> DataFrame:
 
     a, b = side(dst, "dst_"), side(src, "src_")
     of_a, of_b = _levels(a, "dst_"), _levels(b, "src_")
-    joined = _binned(a, "dst_", of_b or [0], None, 1).join(_binned(b, "src_", of_a or [0], None, 1), ["level", "bin0"])
-    once = (F.col("level") == F.greatest("dst_level", "src_level")) & (F.col("bin0") == F.greatest(F.get("dst_first", F.lit(0)), F.get("src_first", F.lit(0))))
+    joined = _binned(a, "dst_", of_b or [0], None, 1).join(_binned(b, "src_", of_a or [0], None, 1), _key(1))
+    low = F.floor(F.greatest("dst_from", "src_from") / _wide(None, F.col("level"))).cast("bigint")
+    once = (F.col("level") == F.greatest("dst_level", "src_level")) & (F.col("bin0") == low)
     length = F.least("dst_to", "src_to") - F.greatest("dst_from", "src_from")
     return joined.where(once & (length > 0)).select(F.col("dst_id").alias("dst"), F.col("src_id").alias("src"), length.alias("length"))
 

@@ -209,7 +209,7 @@ def _convex(grid: Grid) -> Grid:
     columns = [F.col("cell_id").cast("bigint").alias("cell_id"), "ring", *[c for c in ("holes",) if c in grid.cells.columns]]
     point = "struct<x: double, y: double, z: double>" if spherical else "struct<x: double, y: double>"
     cells = grid.cells.where(~grid.is_ghost()).select(*columns).mapInArrow(run, f"cell_id bigint, ring array<{point}>")
-    return replace(grid, cells=cells)
+    return replace(grid, cells=cells, kind="parts")
 
 
 def _lattice_overlaps(dst: Grid, src: Grid) -> DataFrame:

@@ -73,7 +73,21 @@ def customers_in_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").alias("ids"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (outlines_on_lattice, outlines_on_parts, customers_near_suppliers, customers_in_triangles)}
+def orders_under_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few large boxes over a box for each order: the bins at the large ones' level are split where orders are dense."""
+
+    def boxes(rows: DataFrame, x, y, width: float, height: float) -> DataFrame:
+        return polygon_grid(spark, rows.select("cell_id", F.array(*[F.struct((x + a).cast("double").alias("x"), (y + b).cast("double").alias("y")) for a, b in ((0, 0), (width, 0), (width, height), (0, height))]).alias("ring")))
+
+    orders = base.table(spark, sf_dir, "orders").withColumn("cell_id", F.col("o_orderkey").cast("bigint"))
+    regions = base.table(spark, sf_dir, "region").withColumn("cell_id", F.col("r_regionkey").cast("bigint") + 1)
+    dst = boxes(regions, F.col("r_regionkey") * 3000 + 0.25, F.lit(-0.5), 4000.5, 400.25)
+    src = boxes(orders, F.pmod("o_custkey", F.lit(15000)), F.floor(F.col("o_totalprice").cast("double") / 1024), 0.75, 0.5)
+    r = build_regridder(dst, src)
+    return r.weights.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 6).alias("area"), F.sum("src").alias("ids"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (outlines_on_lattice, outlines_on_parts, customers_near_suppliers, customers_in_triangles, orders_under_regions)}
 
 _TOPS = """
 WITH c AS (SELECT c_nationkey::BIGINT AS src, (row_number() OVER n - 1) * 0.5::DOUBLE AS x, c_acctbal::DOUBLE / 512 + 2 AS y FROM customer WINDOW n AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
@@ -103,6 +117,10 @@ def _side(a: str, b: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     "outlines_on_lattice": _TOPS + _under("SELECT (i + 1 + j * (SELECT floor(max(n) * 0.5 / 1.25)::BIGINT + 1 FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)))::BIGINT AS dst, i * 1.25::DOUBLE AS x0, (i + 1) * 1.25::DOUBLE AS x1, 0.25::DOUBLE + j * 0.75::DOUBLE AS y0, 0.25::DOUBLE + (j + 1) * 0.75::DOUBLE AS y1 FROM (SELECT unnest(range((SELECT floor(max(n) * 0.5 / 1.25)::BIGINT + 1 FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey)))) AS i), range(30) t(j)"),
     "outlines_on_parts": _TOPS + _under("SELECT p_partkey::BIGINT AS dst, p_size::DOUBLE / 2 AS x0, p_size::DOUBLE / 2 + 0.375::DOUBLE AS x1, floor(p_retailprice::DOUBLE) / 128 AS y0, floor(p_retailprice::DOUBLE) / 128 + 0.5::DOUBLE AS y1 FROM part"),
+    "orders_under_regions": """
+WITH d AS (SELECT r_regionkey::BIGINT + 1 AS dst, r_regionkey * 3000 + 0.25::DOUBLE AS x0, r_regionkey * 3000 + 4000.75::DOUBLE AS x1, -0.5::DOUBLE AS y0, 399.75::DOUBLE AS y1 FROM region),
+s AS (SELECT o_orderkey::BIGINT AS src, (o_custkey % 15000)::DOUBLE AS a0, (o_custkey % 15000) + 0.75::DOUBLE AS a1, floor(o_totalprice::DOUBLE / 1024) AS b0, floor(o_totalprice::DOUBLE / 1024) + 0.5::DOUBLE AS b1 FROM orders)
+SELECT dst, count(*) AS n, round(sum((least(x1, a1) - greatest(x0, a0)) * (least(y1, b1) - greatest(y0, b0))), 6) AS area, sum(src)::BIGINT AS ids FROM d JOIN s ON x0 < a1 AND a0 < x1 AND y0 < b1 AND b0 < y1 GROUP BY dst""",
     "customers_near_suppliers": base._POINTS + f", {_SUPPLIERS} SELECT region_id, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT region_id, s_nationkey, {base._unit('lon', 'lat')} AS a FROM s) u JOIN (SELECT id, {base._unit('lon', 'lat')} AS b FROM p) v ON acos(greatest(least({_DOT}, 1), -1)) <= radians(s_nationkey * 0.375::DOUBLE + 2.7::DOUBLE) GROUP BY region_id",
     "customers_in_triangles": base._POINTS + f", {_SUPPLIERS} SELECT region_id, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT region_id, {base._unit('lon', 'lat')} AS a, {base._unit('(lon + 14.2::DOUBLE)', '(lat + 1.1::DOUBLE)')} AS b, {base._unit('(lon + 3.3::DOUBLE)', '(lat + 9.1::DOUBLE)')} AS c FROM s) u JOIN (SELECT id, {base._unit('lon', 'lat')} AS q FROM p) v ON {_side('a', 'b')} AND {_side('b', 'c')} AND {_side('c', 'a')} GROUP BY region_id",
 }

@@ -5,9 +5,10 @@ import pytest
 from meshweave.functions import kernels
 from meshweave.manifold import sphere
 from meshweave.operators import build_regridder
+from meshweave.operators.candidates import binned_pair, candidate_pairs
 from meshweave.operators.outlines import walk
 from meshweave.operators.pixels import cap_poles, cover, cover_regions, pixel_caps, pixel_of, points_in_regions, polygon_poles
-from meshweave.sources import polygon_grid, regular_grid
+from meshweave.sources import latlon_grid, polygon_grid, regular_grid
 from meshweave.sources.grid import Axis
 from meshweave.sources.grids import uniform_grid
 from pyspark.sql import functions as F
@@ -151,3 +152,32 @@ def test_points_in_caps_and_triangles(spark, depth):
 def test_no_regions(spark):
     none = spark.createDataFrame([], "region_id bigint, poles array<struct<x: double, y: double, z: double, reach: double>>")
     assert cover_regions(none, 4).count() == 0
+
+
+def largest_key(dst, src, **options):
+    a, b = binned_pair(dst, src, **options)
+    keys = [c for c in a.columns if c in ("level", "depth") or c.startswith("bin")]
+    return max(x.groupBy(*keys).count().agg(F.max("count")).first()[0] for x in (a, b))
+
+
+def test_a_box_over_a_fine_lattice_fills_no_bin(spark):
+    """Large boxes over 160,000 cells: no key has 10,000 rows, and each pair is there once."""
+    boxes = polygon_grid(spark, [[(a, b), (a + w, b), (a + w, b + w), (a, b + w)] for a, b, w in ((-1, -1, 402), (10.5, 20.5, 300), (399.5, 399.5, 300), (7.25, 7.25, 0.5))])
+    fine = uniform_grid(spark, 400, 400, (0.0, 400.0), (0.0, 400.0))
+    assert largest_key(boxes, fine, full=10**9) > 100_000
+    assert largest_key(boxes, fine) < 10_000
+    pairs = candidate_pairs(boxes, fine).select("dst_id", "src_id")
+    assert {r[0]: (r[1], r[2]) for r in pairs.groupBy("dst_id").agg(F.count("*"), F.countDistinct("src_id")).collect()} == {1: (160_000, 160_000), 2: (301 * 301,) * 2, 3: (1, 1), 4: (1, 1)}
+
+
+def test_split_bins_change_no_pair(spark):
+    """Clusters of many sizes, on the plane and on a sphere, with identical cells that no split can part."""
+    draw = np.random.default_rng(6)
+    boxes = [(*draw.normal(0, 1, 2), 10 ** draw.uniform(-1.5, 0.5)) for _ in range(300)] + [(0.1, 0.1, 2.0)] * 40
+    one, other = (polygon_grid(spark, [[(a, b), (a + w, b), (a + w, b + w), (a, b + w)] for a, b, w in part]) for part in (boxes[::2], boxes[1::2]))
+    plain = sorted(tuple(r) for r in candidate_pairs(one, other, full=10**9).select("dst_id", "src_id").collect())
+    for full in (12, 40):
+        assert sorted(tuple(r) for r in candidate_pairs(one, other, full=full).select("dst_id", "src_id").collect()) == plain
+    coarse, fine = latlon_grid(spark, 2, 3), latlon_grid(spark, 24, 12)
+    plain = sorted(tuple(r) for r in candidate_pairs(coarse, fine, full=10**9).select("dst_id", "src_id").collect())
+    assert sorted(tuple(r) for r in candidate_pairs(coarse, fine, full=40).select("dst_id", "src_id").collect()) == plain
