@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -17,3 +18,12 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder, as a path of files, below the session's checkpoint folder."""
+    written(spark.range(0))
+    folder = urlparse(spark.sparkContext.getCheckpointDir())
+    if folder.scheme not in ("", "file"):
+        raise ValueError("the checkpoint folder is no folder of files")
+    return tempfile.mkdtemp(prefix="shared-", dir=folder.path)

@@ -36,3 +36,17 @@ def average_coincident(nodes: DataFrame, *, node: str = "global_node", value: st
     """Weighted mean over the copies that neighbouring elements have of one node."""
     own = Window.partitionBy(node)
     return nodes.withColumn(value, divided(F.sum(F.col(value) * F.col(weight)).over(own), F.sum(weight).over(own)))
+
+
+def weight_differences(one: DataFrame, other: DataFrame, *, relative: float = 1e-9, absolute: float = 0.0) -> DataFrame:
+    """dst, src, one, other, off of the pairs on which two tables of weights (dst, src, area) do not agree.
+
+    A pair that only one has counts as 0 in the other.  They may differ by ``absolute`` plus ``relative`` times the largest weight of the
+    destination cell.  Order by ``off``, descending, for the worst.
+    """
+    a = one.groupBy("dst", "src").agg(F.sum("area").alias("one"))
+    b = other.groupBy("dst", "src").agg(F.sum("area").alias("other"))
+    both = a.join(b, ["dst", "src"], "full").fillna(0.0, ["one", "other"])
+    most = F.max(F.greatest(F.abs("one"), F.abs("other"))).over(Window.partitionBy("dst"))
+    off = F.abs(F.col("one") - F.col("other"))
+    return both.withColumns({"off": off, "__most": most}).where(F.col("off") > absolute + relative * F.col("__most")).drop("__most")

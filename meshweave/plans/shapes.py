@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.curves import along_the_curve, hilbert_point
 from ..functions.points import unit_point
+from ..functions.shared import shared_folder
+from ..manifold import sphere
+from ..operators.extents import extents_by
+from ..operators.metrics import weight_differences
 from ..operators.pixels import cap_poles, points_in_regions, polygon_poles
 from ..operators.regridder import build_regridder
 from ..sources import polygon_grid
+from ..sources.grid import Grid
 from ..sources.grids import uniform_grid
+from ..sources.netcdf import load_netcdf_weights, save_netcdf_weights
 from . import queries as base
 
 #: Lattice under the outlines: steps that fit none of their vertices.
@@ -87,7 +94,42 @@ def orders_under_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.weights.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area"), 6).alias("area"), F.sum("src").alias("ids"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (outlines_on_lattice, outlines_on_parts, customers_near_suppliers, customers_in_triangles, orders_under_regions)}
+def items_through_netcdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item counts by weights that went through a NetCDF file, written and read by tasks."""
+    path = save_netcdf_weights(f"{shared_folder(spark)}/items.nc", base.lineitem_regridder(spark), src_grid_name="items")
+    out = load_netcdf_weights(spark, path).regrid(base.lineitem_field(spark, sf_dir))
+    return out.select("cell_id", F.round("value", 6).alias("value"))
+
+
+def nation_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caps around small triangles at the customers of each nation."""
+    points = base.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(base.customer_points(spark, sf_dir), F.col("c_custkey") == F.col("id"))
+    lon, lat = F.col("c_nationkey") * 14 - 180 + F.pmod("lon", F.lit(40)), F.col("lat") / 3
+    ring = F.array(unit_point(lon, lat), unit_point(lon + 0.5, lat), unit_point(lon, lat + 0.5))
+    cells = points.select(F.col("id").cast("bigint").alias("cell_id"), "c_nationkey", ring.alias("ring"))
+    found = extents_by(Grid(cells, (1,), sphere()), ["c_nationkey"])
+    return found.select("c_nationkey", *[F.round(f"cap.center.{a}", 8).alias(a) for a in "xyz"], F.round("cap.radius", 8).alias("radius"))
+
+
+def orders_along_a_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders counted on a 64 x 64 lattice, summed over sixteenths of its space-filling curve: squares of the lattice."""
+    grid = uniform_grid(spark, 64, 64, (0.0, 64.0), (0.0, 64.0))
+    cell = (F.pmod("o_custkey", F.lit(64)) + 1 + F.pmod(F.floor(F.col("o_totalprice").cast("double") / 64), F.lit(64)) * 64).cast("bigint")
+    field = base.table(spark, sf_dir, "orders").groupBy(cell.alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
+    order = along_the_curve(grid, 64)
+    x, y = hilbert_point(F.col("new_id") - 1, 6)
+    placed = field.join(order, "cell_id").select("n", F.floor((F.col("new_id") - 1) / 256).alias("part"), x.alias("x"), y.alias("y"))
+    return placed.groupBy("part").agg(F.sum("n").alias("n"), F.min(F.floor(F.col("x") / 16)).alias("x"), F.max(F.floor(F.col("x") / 16)).alias("xmax"), F.min(F.floor(F.col("y") / 16)).alias("y"), F.max(F.floor(F.col("y") / 16)).alias("ymax"))
+
+
+def compared_part_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where overlaps of parts' boxes differ once the boxes of one side are lower."""
+    a, b, c = (polygon_grid(spark, base.part_boxes(spark, sf_dir, w, h)) for w, h in ((0.5, 2.5), (1.25, 1.5), (1.25, 1.25)))
+    found = weight_differences(build_regridder(a, b).weights, build_regridder(a, c).weights, relative=0.125)
+    return found.select("dst", "src", *[F.round(k, 6).alias(k) for k in ("one", "other", "off")])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (outlines_on_lattice, outlines_on_parts, customers_near_suppliers, customers_in_triangles, orders_under_regions, items_through_netcdf, nation_caps, orders_along_a_curve, compared_part_weights)}
 
 _TOPS = """
 WITH c AS (SELECT c_nationkey::BIGINT AS src, (row_number() OVER n - 1) * 0.5::DOUBLE AS x, c_acctbal::DOUBLE / 512 + 2 AS y FROM customer WINDOW n AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
@@ -121,6 +163,25 @@ ORACLE_SQL: dict[str, str] = {
 WITH d AS (SELECT r_regionkey::BIGINT + 1 AS dst, r_regionkey * 3000 + 0.25::DOUBLE AS x0, r_regionkey * 3000 + 4000.75::DOUBLE AS x1, -0.5::DOUBLE AS y0, 399.75::DOUBLE AS y1 FROM region),
 s AS (SELECT o_orderkey::BIGINT AS src, (o_custkey % 15000)::DOUBLE AS a0, (o_custkey % 15000) + 0.75::DOUBLE AS a1, floor(o_totalprice::DOUBLE / 1024) AS b0, floor(o_totalprice::DOUBLE / 1024) + 0.5::DOUBLE AS b1 FROM orders)
 SELECT dst, count(*) AS n, round(sum((least(x1, a1) - greatest(x0, a0)) * (least(y1, b1) - greatest(y0, b0))), 6) AS area, sum(src)::BIGINT AS ids FROM d JOIN s ON x0 < a1 AND a0 < x1 AND y0 < b1 AND b0 < y1 GROUP BY dst""",
+    "items_through_netcdf": base._GRIDS + "SELECT cell_id, round(value, 6) AS value FROM there",
+    "nation_caps": base._POINTS + f""", t AS (SELECT c_nationkey, c_nationkey * 14 - 180 + ((lon + 360) % 40) AS lo, lat / 3 AS la FROM customer JOIN p ON c_custkey = id),
+v AS (SELECT c_nationkey, {base._unit('lo', 'la')} AS a, {base._unit('(lo + 0.5::DOUBLE)', 'la')} AS b, {base._unit('lo', '(la + 0.5::DOUBLE)')} AS c FROM t),
+q AS (SELECT c_nationkey, unnest([a, b, c]) AS p FROM v),
+m AS (SELECT c_nationkey, avg(p.x) AS x, avg(p.y) AS y, avg(p.z) AS z FROM q GROUP BY 1),
+u AS (SELECT c_nationkey, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z FROM m),
+far AS (SELECT c_nationkey, max(2 * asin(sqrt(pow(p.x - x, 2) + pow(p.y - y, 2) + pow(p.z - z, 2)) / 2)) AS far FROM q JOIN u USING (c_nationkey) GROUP BY 1)
+SELECT c_nationkey, round(x, 8) AS x, round(y, 8) AS y, round(z, 8) AS z, round(far * 1.0001::DOUBLE, 8) AS radius FROM u JOIN far USING (c_nationkey)""",
+    "orders_along_a_curve": """
+WITH RECURSIVE o AS (SELECT (o_custkey % 64)::BIGINT AS x, floor(o_totalprice::DOUBLE / 64)::BIGINT % 64 AS y FROM orders),
+f AS (SELECT x, y, count(*) AS n FROM o GROUP BY 1, 2),
+h AS (SELECT x AS px, y AS py, x, y, 32::BIGINT AS s, 0::BIGINT AS d FROM f
+  UNION ALL SELECT px, py,
+    CASE WHEN y >= s THEN x % s WHEN x >= s THEN s - 1 - y % s ELSE y % s END, CASE WHEN y >= s THEN y % s WHEN x >= s THEN s - 1 - x % s ELSE x % s END,
+    s // 2, 4 * d + CASE WHEN x < s AND y < s THEN 0 WHEN x < s THEN 1 WHEN y >= s THEN 2 ELSE 3 END FROM h WHERE s > 0)
+SELECT d // 256 AS part, sum(n)::BIGINT AS n, min(px // 16) AS x, max(px // 16) AS xmax, min(py // 16) AS y, max(py // 16) AS ymax FROM h JOIN f ON f.x = px AND f.y = py WHERE s = 0 GROUP BY 1""",
+    "compared_part_weights": base._BOXES + """, w AS (SELECT d.id AS dst, s.id AS src, least(d.x1, s.x1) - greatest(d.x0, s.x0) AS wide, least(d.y1, s.y1) - greatest(d.y0, s.y0) AS one, least(d.y1, s.y1 - 0.25::DOUBLE) - greatest(d.y0, s.y0) AS other FROM d JOIN s ON d.x0 < s.x1 AND s.x0 < d.x1 AND d.y0 < s.y1 AND s.y0 < d.y1),
+both_ AS (SELECT dst, src, wide * one AS one, wide * greatest(other, 0) AS other, max(wide * one) OVER (PARTITION BY dst) AS most FROM w)
+SELECT dst, src, round(one, 6) AS one, round(other, 6) AS other, round(one - other, 6) AS off FROM both_ WHERE one - other > 0.125::DOUBLE * most""",
     "customers_near_suppliers": base._POINTS + f", {_SUPPLIERS} SELECT region_id, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT region_id, s_nationkey, {base._unit('lon', 'lat')} AS a FROM s) u JOIN (SELECT id, {base._unit('lon', 'lat')} AS b FROM p) v ON acos(greatest(least({_DOT}, 1), -1)) <= radians(s_nationkey * 0.375::DOUBLE + 2.7::DOUBLE) GROUP BY region_id",
     "customers_in_triangles": base._POINTS + f", {_SUPPLIERS} SELECT region_id, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT region_id, {base._unit('lon', 'lat')} AS a, {base._unit('(lon + 14.2::DOUBLE)', '(lat + 1.1::DOUBLE)')} AS b, {base._unit('(lon + 3.3::DOUBLE)', '(lat + 9.1::DOUBLE)')} AS c FROM s) u JOIN (SELECT id, {base._unit('lon', 'lat')} AS q FROM p) v ON {_side('a', 'b')} AND {_side('b', 'c')} AND {_side('c', 'a')} GROUP BY region_id",
 }
