@@ -76,3 +76,34 @@ def interior(data: DataFrame, shape: tuple[int, int], halo: int) -> DataFrame:
     i, j = F.col("i") - halo, F.col("j") - halo
     inside = data.where(i.between(1, shape[0]) & j.between(1, shape[1]))
     return inside.withColumn("cell_id", (i + (j - 1) * shape[0]).cast("bigint")).drop("i", "j")
+
+
+#: How the sides of a model's array go on: not at all, from the other side, or folded on themselves at the last row's centers.
+SIDES_X, SIDES_Y = ("none", "periodic"), ("none", "periodic", "fold")
+
+
+def with_halo(field: DataFrame, shape: tuple[int, int], halo: int, *, x: str = "periodic", y: str = "none") -> DataFrame:
+    """The other way: cells of a grid (cell_id) as i, j of a model's array, with ``halo`` cells around them filled from those inside.
+
+    ``x`` is none or periodic, ``y`` none, periodic or fold: beyond the folded last row lies the row before it, from right to left.
+    Each cell sends its own copies, at most a few, so nothing is exchanged.
+    """
+    nx, ny = shape
+    if x not in SIDES_X or y not in SIDES_Y:
+        raise ValueError(f"x is one of {SIDES_X}, y of {SIDES_Y}")
+    if not 0 <= halo < min(shape):
+        raise ValueError("a halo is narrower than the array")
+    i, j = F.pmod(F.col("cell_id") - 1, F.lit(nx)) + 1, F.floor((F.col("cell_id") - 1) / nx) + 1
+    place = lambda a, b: F.struct(a.cast("bigint").alias("i"), b.cast("bigint").alias("j"))
+    own = F.col("__at")
+    rows = [own]
+    if y == "periodic":
+        rows += [F.when(own["j"] <= halo, place(own["i"], own["j"] + ny)), F.when(own["j"] > ny - halo, place(own["i"], own["j"] - ny))]
+    if y == "fold":
+        rows += [F.when((own["j"] >= ny - halo) & (own["j"] < ny), place(nx + 1 - own["i"], 2 * ny - own["j"]))]
+    out = field.withColumn("__at", place(i, j)).withColumn("__at", F.explode(F.filter(F.array(*rows), lambda p: p.isNotNull())))
+    columns = [own]
+    if x == "periodic":
+        columns += [F.when(own["i"] <= halo, place(own["i"] + nx, own["j"])), F.when(own["i"] > nx - halo, place(own["i"] - nx, own["j"]))]
+    out = out.withColumn("__at", F.explode(F.filter(F.array(*columns), lambda p: p.isNotNull())))
+    return out.select((own["i"] + halo).alias("i"), (own["j"] + halo).alias("j"), *[c for c in field.columns if c != "cell_id"])

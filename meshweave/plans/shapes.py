@@ -11,7 +11,10 @@ from ..functions.curves import along_the_curve, hilbert_point
 from ..functions.points import unit_point
 from ..functions.shared import shared_folder
 from ..manifold import sphere
+from ..operators.chains import ListField, product, regrid_field
+from ..operators.elements import located
 from ..operators.extents import extents_by
+from ..operators.fields import with_halo
 from ..operators.metrics import weight_differences
 from ..operators.pixels import cap_poles, points_in_regions, polygon_poles
 from ..operators.regridder import build_regridder
@@ -129,7 +132,42 @@ def compared_part_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("dst", "src", *[F.round(k, 6).alias(k) for k in ("one", "other", "off")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (outlines_on_lattice, outlines_on_parts, customers_near_suppliers, customers_in_triangles, orders_under_regions, items_through_netcdf, nation_caps, orders_along_a_curve, compared_part_weights)}
+def items_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item counts there and back by one regridder, the product of both."""
+    there = base.lineitem_regridder(spark)
+    return product(there.transpose(), there).regrid(base.lineitem_field(spark, sf_dir)).select("cell_id", F.round("value", 6).alias("value"))
+
+
+def parts_in_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point in a quadrilateral for each part, and its reference coordinates there."""
+    k, x, y = F.col("p_partkey"), F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")
+    xi, eta = F.pmod(k * 7, F.lit(17)) / 8 - 1, F.pmod(k * 5, F.lit(13)) / 6 - 1
+    corners = [(x, y), (x + 2, y + 0.5), (x + 2.5 + F.pmod(k, F.lit(3)) / 4, y + 3), (x - 0.25, y + 1.5)]
+    shapes = [(1 + a * xi) * (1 + b * eta) / 4 for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+    point = F.struct(*[sum((s * c[n] for s, c in zip(shapes, corners, strict=True)), F.lit(0.0)).alias("xy"[n]) for n in (0, 1)])
+    ring = F.array(*[F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in corners])
+    rows = base.table(spark, sf_dir, "part").select(k.cast("bigint").alias("cell_id"), ring.alias("ring"), point.alias("point"))
+    found = located(rows.select(F.col("cell_id").alias("point_id"), F.col("cell_id").alias("elem_id"), "point"), polygon_grid(spark, rows.select("cell_id", "ring")))
+    return found.select("point_id", (F.round("xi", 6) + 0.0).alias("xi"), (F.round("eta", 6) + 0.0).alias("eta"))
+
+
+def haloed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders counted on 8 x 6 cells, written into an array with two cells of halo: periodic, and folded at its last row."""
+    cell = (F.pmod("o_custkey", F.lit(48)) + 1).cast("bigint")
+    field = base.table(spark, sf_dir, "orders").groupBy(cell.alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
+    return with_halo(field, (8, 6), 2, y="fold")
+
+
+def items_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by line number as one array of values a cell: a field of another kind, regridded as it is."""
+    rows = base.lineitem_field(spark, sf_dir, "l_linenumber")
+    lists = rows.groupBy("cell_id").pivot("l_linenumber", list(range(1, 8))).agg(F.first("value")).fillna(0)
+    field = ListField(lists.select("cell_id", F.array(*[F.col(str(k)).cast("double") for k in range(1, 8)]).alias("values")))
+    out = regrid_field(base.lineitem_regridder(spark), field).data
+    return out.select("cell_id", F.posexplode("values").alias("level", "value")).select("cell_id", "level", F.round("value", 6).alias("value"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (outlines_on_lattice, outlines_on_parts, customers_near_suppliers, customers_in_triangles, orders_under_regions, items_through_netcdf, nation_caps, orders_along_a_curve, compared_part_weights, items_by_product, parts_in_elements, haloed_orders, items_by_level)}
 
 _TOPS = """
 WITH c AS (SELECT c_nationkey::BIGINT AS src, (row_number() OVER n - 1) * 0.5::DOUBLE AS x, c_acctbal::DOUBLE / 512 + 2 AS y FROM customer WINDOW n AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
@@ -182,6 +220,16 @@ SELECT d // 256 AS part, sum(n)::BIGINT AS n, min(px // 16) AS x, max(px // 16)
     "compared_part_weights": base._BOXES + """, w AS (SELECT d.id AS dst, s.id AS src, least(d.x1, s.x1) - greatest(d.x0, s.x0) AS wide, least(d.y1, s.y1) - greatest(d.y0, s.y0) AS one, least(d.y1, s.y1 - 0.25::DOUBLE) - greatest(d.y0, s.y0) AS other FROM d JOIN s ON d.x0 < s.x1 AND s.x0 < d.x1 AND d.y0 < s.y1 AND s.y0 < d.y1),
 both_ AS (SELECT dst, src, wide * one AS one, wide * greatest(other, 0) AS other, max(wide * one) OVER (PARTITION BY dst) AS most FROM w)
 SELECT dst, src, round(one, 6) AS one, round(other, 6) AS other, round(one - other, 6) AS off FROM both_ WHERE one - other > 0.125::DOUBLE * most""",
+    "items_by_product": base._GRIDS + "SELECT cell_id, round(value, 6) AS value FROM back",
+    "parts_in_elements": "SELECT p_partkey::BIGINT AS point_id, round(((p_partkey * 7) % 17)::DOUBLE / 8 - 1, 6) AS xi, round(((p_partkey * 5) % 13)::DOUBLE / 6 - 1, 6) AS eta FROM part",
+    "haloed_orders": """
+WITH f AS (SELECT o_custkey % 48 AS c, count(*) AS n FROM orders GROUP BY 1),
+a AS (SELECT i, j, i - 2 AS x, j - 2 AS y FROM range(1, 13) t(i), range(1, 11) u(j) WHERE j > 2),
+b AS (SELECT i, j, CASE WHEN y > 6 THEN 9 - ((x + 7) % 8 + 1) ELSE (x + 7) % 8 + 1 END AS x, CASE WHEN y > 6 THEN 12 - y ELSE y END AS y FROM a)
+SELECT i, j, n FROM b JOIN f ON c = x - 1 + (y - 1) * 8""",
+    "items_by_level": base._GRIDS + """, g AS (SELECT cell_id, l_linenumber AS k, count(*)::DOUBLE AS value FROM items GROUP BY 1, 2),
+sums AS (SELECT w.dst, g.k, sum(w.area * g.value) AS value FROM w JOIN g ON g.cell_id = w.src GROUP BY 1, 2)
+SELECT da.cell_id, (t.k - 1)::INTEGER AS level, round(coalesce(s.value, 0) / da.area, 6) AS value FROM da CROSS JOIN range(1, 8) t(k) LEFT JOIN sums s ON s.dst = da.cell_id AND s.k = t.k""",
     "customers_near_suppliers": base._POINTS + f", {_SUPPLIERS} SELECT region_id, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT region_id, s_nationkey, {base._unit('lon', 'lat')} AS a FROM s) u JOIN (SELECT id, {base._unit('lon', 'lat')} AS b FROM p) v ON acos(greatest(least({_DOT}, 1), -1)) <= radians(s_nationkey * 0.375::DOUBLE + 2.7::DOUBLE) GROUP BY region_id",
     "customers_in_triangles": base._POINTS + f", {_SUPPLIERS} SELECT region_id, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT region_id, {base._unit('lon', 'lat')} AS a, {base._unit('(lon + 14.2::DOUBLE)', '(lat + 1.1::DOUBLE)')} AS b, {base._unit('(lon + 3.3::DOUBLE)', '(lat + 9.1::DOUBLE)')} AS c FROM s) u JOIN (SELECT id, {base._unit('lon', 'lat')} AS q FROM p) v ON {_side('a', 'b')} AND {_side('b', 'c')} AND {_side('c', 'a')} GROUP BY region_id",
 }
