@@ -113,7 +113,12 @@ def _split(a: DataFrame, b: DataFrame, width: float | None, axes: int, full: int
 def binned_pair(dst: Grid, src: Grid, *, width: float | None = None, full: int = FULL) -> tuple[DataFrame, DataFrame]:
     """The rows of both grids that are joined on level, depth and bins."""
     axes = 3 if dst.manifold.spherical else 2
-    a, b = _levelled(_boxes(dst, "dst_"), "dst_", width), _levelled(_boxes(src, "src_"), "src_", width)
+    boxes = []
+    for grid, side in ((dst, "dst_"), (src, "src_")):
+        own = _boxes(grid, side)
+        # corners and caps of a sphere, and parts of polygons, are computed once; a plane's boxes are a few comparisons
+        boxes.append(_levelled(written(own) if grid.manifold.spherical or grid.kind == "parts" else own, side, width))
+    a, b = boxes
     of_a, of_b = _levels(a, "dst_"), _levels(b, "src_")
     a, b = _binned(a, "dst_", of_b or [0], width, axes), _binned(b, "src_", of_a or [0], width, axes)
     # a bin has a cell once at most

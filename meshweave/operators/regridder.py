@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.points import divided
+from ..functions.shared import written
 from ..manifold import Manifold, common_manifold
 from ..sources.grid import Grid, as_grid, rings_of
 from .candidates import all_pairs, candidate_pairs, interval_overlaps
@@ -246,6 +247,8 @@ def build_regridder(dst, src, *, manifold: Manifold | None = None, normalize: bo
         if grid.manifold.spherical != manifold.spherical:
             raise ValueError(f"a {grid.manifold.kind} grid has no cells on a {manifold.kind} manifold: convert its points first")
     dst, src = replace(dst, manifold=manifold), replace(src, manifold=manifold)
+    if manifold.spherical:  # areas, caps and overlaps all need the corners, which are long expressions
+        dst, src = (replace(g, cells=written(g.cells)) for g in (dst, src))
     if operator is None and not manifold.spherical and dst.kind == src.kind == "regular":
         weights = _lattice_overlaps(dst, src)
     elif operator is None and not manifold.spherical and not nested_loop and any(_has_axes(g) for g in (dst, src)):
