@@ -93,9 +93,9 @@ def misfit_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A field at the centers of cells."""
-    grid = regular_grid(spark, [0, 1, 2, 4, 8], [0, 2, 3])
-    return sample(grid, lambda x, y: 10 * x + y * y).data
+    """A field at the centers of the parts' boxes."""
+    grid = polygon_grid(spark, base.part_boxes(spark, sf_dir, 0.5, 2.5))
+    return sample(grid, lambda x, y: 10 * x + y * y / 1024).data.select("cell_id", F.round("value", 6).alias("value"))
 
 
 def looked_up_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,16 +108,22 @@ def looked_up_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hemisphere_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spherical overlaps cell by cell: slices of hemispheres, whose edges are meridians and the equator."""
+    """Spherical overlaps cell by cell: slices of hemispheres that have customers, whose edges are meridians and the equator."""
     r = build_regridder(latlon_grid(spark, 8, 2), latlon_grid(spark, 36, 2))
-    return r.weights.where("area > 1e-9").select("dst", "src", F.round("area", 7).alias("area"))
+    found = r.weights.where("area > 1e-9").join(customers_by_slice(spark, sf_dir).withColumnRenamed("cell_id", "src"), "src")
+    return found.select("dst", "src", F.round("area", 7).alias("area"), "value")
 
 
-def regrid_hemispheres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer counts on slices of hemispheres, and on coarser slices that do not fit them."""
+def customers_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in 36 slices of each hemisphere."""
     lon, lat = F.pmod(F.col("lon"), F.lit(360.0)), F.col("lat")
     cell = (F.floor(lon / 10) + 1 + F.when(lat >= 0, 36).otherwise(0)).cast("bigint")
-    field = base.customer_points(spark, sf_dir).groupBy(cell.alias("cell_id")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return base.customer_points(spark, sf_dir).groupBy(cell.alias("cell_id")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+
+def regrid_hemispheres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer counts on slices of hemispheres, and on coarser slices that do not fit them."""
+    field = customers_by_slice(spark, sf_dir)
     out = build_regridder(latlon_grid(spark, 8, 2, radius=2.0), latlon_grid(spark, 36, 2, radius=2.0), manifold=sphere(2.0)).regrid(field)
     return out.select("cell_id", F.round("value", 6).alias("value"))
 
@@ -141,8 +147,9 @@ def cubed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rotated_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turning a grid changes no area."""
-    return rotated_latlon_grid(spark, 36, 18, (40.0, 60.0)).areas().select("cell_id", F.round("area", 9).alias("area"))
+    """Turning a grid changes no area; customers by cell, as in latlon_areas."""
+    found = rotated_latlon_grid(spark, 36, 18, (40.0, 60.0)).areas().join(base.customers_by_cell(spark, sf_dir), "cell_id")
+    return found.select("cell_id", F.round("area", 9).alias("area"), "value")
 
 
 def means_of_a_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,9 +210,9 @@ FROM (SELECT b.src, b.sign, b.x0::DOUBLE AS x0, b.y0::DOUBLE AS y0, b.x1::DOUBLE
     "regrid_small_array": "SELECT k::BIGINT AS k, c::BIGINT AS cell_id, CASE c WHEN 1 THEN (v(0) + v(1) + v(3) + v(4)) / 4 ELSE (v(2) + v(5)) / 2 END AS value FROM range(2) a(k), range(1, 3) b(c)".replace("v(0)", "pow(6 * k, 2)").replace("v(1)", "pow(6 * k + 1, 2)").replace("v(2)", "pow(6 * k + 2, 2)").replace("v(3)", "pow(6 * k + 3, 2)").replace("v(4)", "pow(6 * k + 4, 2)").replace("v(5)", "pow(6 * k + 5, 2)"),
     "halo_items": "WITH c AS (SELECT (floor(l_quantity) + 1)::BIGINT - 2 AS i, (floor(round(l_discount * 100)) + 1)::BIGINT - 2 AS j FROM lineitem), k AS (SELECT (i - 1) // 22 AS a, (j - 1) // 3 AS b, count(*) AS n FROM c WHERE i BETWEEN 1 AND 44 AND j BETWEEN 1 AND 6 GROUP BY 1, 2) SELECT (x.a + 1 + y.b * 2)::BIGINT AS cell_id, coalesce(n, 0)::DOUBLE / 66 AS value FROM range(2) x(a) CROSS JOIN range(2) y(b) LEFT JOIN k ON k.a = x.a AND k.b = y.b",
     "misfit_extremes": base._GRIDS + "SELECT round((min(f.value) - min(b.value)) / max(abs(f.value)), 6) AS l_min, round((max(b.value) - max(f.value)) / max(abs(f.value)), 6) AS l_max FROM back b JOIN field f USING (cell_id)",
-    "sampled_centers": "SELECT (i + 1 + j * 4)::BIGINT AS cell_id, 10 * [0.5, 1.5, 3, 6][i + 1]::DOUBLE + pow([1, 2.5][j + 1]::DOUBLE, 2) AS value FROM range(4) a(i), range(2) b(j)",
+    "sampled_centers": "SELECT p_partkey::BIGINT AS cell_id, round(10 * (p_size::DOUBLE + 0.25::DOUBLE) + pow(floor(p_retailprice::DOUBLE) + 1.25::DOUBLE, 2) / 1024, 6) AS value FROM part",
     "looked_up_cells": "SELECT 'lattice' AS grid, 7::BIGINT AS cell_id, 2::DOUBLE AS x, 3::DOUBLE AS y UNION ALL SELECT 'lattice', 4, 4, 2 UNION ALL SELECT 'parts', p_partkey, p_size::DOUBLE, floor(p_retailprice::DOUBLE) + 2.5::DOUBLE FROM part WHERE p_partkey = 3",
-    "hemisphere_weights": _SLICES + "SELECT dst, src, round(area, 7) AS area FROM w",
+    "hemisphere_weights": base._POINTS + ", " + _SLICES.replace("\nWITH ", "", 1) + ", f AS (SELECT (floor(((lon + 360) % 360) / 10) + 1 + CASE WHEN lat >= 0 THEN 36 ELSE 0 END)::BIGINT AS id, count(*)::DOUBLE AS value FROM p GROUP BY 1) SELECT dst, src, round(area, 7) AS area, value FROM w JOIN f ON f.id = w.src",
     "regrid_hemispheres": base._POINTS + ", " + _SLICES.replace("\nWITH ", "", 1) + ", f AS (SELECT (floor(((lon + 360) % 360) / 10) + 1 + CASE WHEN lat >= 0 THEN 36 ELSE 0 END)::BIGINT AS id, count(*)::DOUBLE AS value FROM p GROUP BY 1) SELECT d.id AS cell_id, round(coalesce(sum(w.area * f.value), 0) / radians(45::DOUBLE), 6) AS value FROM d LEFT JOIN w ON w.dst = d.id LEFT JOIN f ON f.id = w.src GROUP BY 1",
     "cube_on_meridians": "SELECT i::BIGINT AS src, round(pi() / 6, 7) AS area, 1::BIGINT AS n FROM range(1, 17) t(i)",
     "healpix_totals": "SELECT i::BIGINT AS cell_id, 3::DOUBLE AS value FROM range(1, 55) t(i)",

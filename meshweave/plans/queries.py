@@ -19,6 +19,7 @@ from ..operators.candidates import candidate_pairs
 from ..operators.metrics import average_coincident, error_metrics, integral, mirror_fold
 from ..operators.regridder import Regridder, build_regridder
 from ..sources import as_grid, cubed_sphere, healpix_grid, latlon_grid, regular_grid, ring_grid, rotated_latlon_grid, union_grids
+from ..sources.grid import Grid
 from ..sources.grids import healpix_nested_to_ring, healpix_parts, uniform_grid
 from ..sources.weights_io import esmf_tables
 
@@ -65,12 +66,21 @@ def regrid_items_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("cell_id", F.round("value", 6).alias("value"))
 
 
+def occupied_regridder(spark: SparkSession, sf_dir: str) -> Regridder:
+    """The same grids, of whose fine cells only those with items are there."""
+    fine = regular_grid(spark, FINE_X, FINE_Y)
+    cells = fine.cells.join(lineitem_field(spark, sf_dir), "cell_id", "left_semi")
+    return build_regridder(regular_grid(spark, COARSE_X, COARSE_Y), Grid(cells, fine.shape, fine.manifold))
+
+
 def overlap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineitem_regridder(spark).weights
+    """Weights of cells that have items, with the items' numbers."""
+    field = lineitem_field(spark, sf_dir).withColumnRenamed("cell_id", "src")
+    return occupied_regridder(spark, sf_dir).weights.join(field, "src").select("dst", "src", F.round("area", 9).alias("area"), "value")
 
 
 def normalized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lineitem_regridder(spark).normalize()
+    r = occupied_regridder(spark, sf_dir).normalize()
     return r.weights.select("dst", "src", F.round("area", 9).alias("area"))
 
 
@@ -80,7 +90,8 @@ def overlap_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineitem_regridder(spark).covered()
+    """Coarse cells under cells with items."""
+    return occupied_regridder(spark, sf_dir).covered()
 
 
 def conserved_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +101,8 @@ def conserved_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def esmf_weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, _, _ = esmf_tables(lineitem_regridder(spark))
-    return weights
+    weights, _, _ = esmf_tables(occupied_regridder(spark, sf_dir))
+    return weights.select("row", "col", F.round("S", 9).alias("S"))
 
 
 def regrid_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +141,12 @@ def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("id"), (F.pmod(k * 37, F.lit(360)) - 180).cast("double").alias("lon"), (F.pmod(k * 53, F.lit(179)) - 89).cast("double").alias("lat"))
 
 
+def customers_by_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in the cells of a longitude-latitude grid of ten degrees."""
+    i, j = F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 10), F.least(F.floor((F.col("lat") + 90) / 10), F.lit(17))
+    return customer_points(spark, sf_dir).groupBy((i + 1 + j * 36).cast("bigint").alias("cell_id")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+
+
 def example_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = F.col("lon"), F.col("lat")
     found = {"longitude": fields.longitude_field(), "sinusoid": fields.sinusoid_field(), "harmonic": fields.harmonic_field(), "gulf_stream": fields.gulf_stream_field(), "vortex": fields.vortex_field()}
@@ -151,14 +168,17 @@ def part_polygon_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latlon_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Areas of longitude-latitude cells with great-circle edges."""
-    return latlon_grid(spark, 36, 18).areas().select("cell_id", F.round("area", 9).alias("area"))
+    """Areas of longitude-latitude cells with great-circle edges, and the customers in them."""
+    found = latlon_grid(spark, 36, 18).areas().join(customers_by_cell(spark, sf_dir), "cell_id")
+    return found.select("cell_id", F.round("area", 9).alias("area"), "value")
 
 
 def healpix_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pix = F.col("id")
+    """Parts and ring numbers of a pixel for each customer."""
+    pix = F.col("pix")
     face, ix, iy = healpix_parts(pix, 8)
-    return spark.range(12 * 64).select(pix.alias("nested"), face.cast("bigint").alias("face"), ix.alias("ix"), iy.alias("iy"), healpix_nested_to_ring(pix, 8).alias("ring"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.pmod(F.col("c_custkey") * 37, F.lit(768)).cast("bigint").alias("pix"))
+    return customers.select("c_custkey", pix.alias("nested"), face.cast("bigint").alias("face"), ix.alias("ix"), iy.alias("iy"), healpix_nested_to_ring(pix, 8).alias("ring"))
 
 
 def ring_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +210,7 @@ def shared_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regrid_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer counts on a longitude-latitude grid, conserved on HEALPix, cubed-sphere, rotated and ring grids."""
     src = latlon_grid(spark, 36, 18)
-    points = customer_points(spark, sf_dir)
-    i, j = F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / 10), F.least(F.floor((F.col("lat") + 90) / 10), F.lit(17))
-    field = points.groupBy((i + 1 + j * 36).cast("bigint").alias("cell_id")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    field = customers_by_cell(spark, sf_dir)
     out = None
     for name, dst in (("healpix", healpix_grid(spark, 4)), ("cubed", cubed_sphere(spark, 5)), ("rotated", rotated_latlon_grid(spark, 20, 10, (40.0, 60.0))), ("rings", ring_grid(spark, [67.5, 22.5, -22.5, -67.5], 8))):
         r = build_regridder(dst, src)
@@ -209,10 +227,11 @@ def dispatched_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regrid_large_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """480,000 cells to 120,000: build and apply, binned join and sums in the JVM."""
+    """Orders on 480,000 cells, and on 120,000: build and apply, binned join and sums in the JVM."""
     dst = uniform_grid(spark, 400, 300, (0.0, 800.0), (0.0, 600.0))
     src = uniform_grid(spark, 800, 600, (0.0, 800.0), (0.0, 600.0))
-    field = src.cells.select("cell_id", F.pmod(F.col("cell_id"), F.lit(1024)).cast("double").alias("value"))
+    cell = F.pmod(F.col("o_orderkey").cast("bigint") * 7919, F.lit(480_000)) + 1
+    field = table(spark, sf_dir, "orders").groupBy(cell.alias("cell_id")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return build_regridder(dst, src).regrid(field)
 
 
@@ -262,6 +281,9 @@ d AS (SELECT id, x AS x0, x + 0.5::DOUBLE AS x1, y AS y0, y + 2.5::DOUBLE AS y1
 s AS (SELECT id, x AS x0, x + 1.25::DOUBLE AS x1, y AS y0, y + 1.5::DOUBLE AS y1 FROM b)
 """
 
+_TENS = "SELECT (i + 1 + j * 36)::BIGINT AS cell_id, i * 10::DOUBLE AS a0, (i + 1) * 10::DOUBLE AS a1, j * 10::DOUBLE - 90 AS b0, (j + 1) * 10::DOUBLE - 90 AS b1 FROM range(36) x(i), range(18) y(j)"
+_BY_CELL = ", f AS (SELECT (floor(((lon + 360) % 360) / 10) + 1 + least(floor((lat + 90) / 10), 17) * 36)::BIGINT AS cell_id, count(*)::DOUBLE AS value FROM p GROUP BY 1)"
+
 _SINUSOID = "2 - cos(pi() * acos(greatest(least(cos(radians(lon)) * cos(radians(lat)), 1), -1)) / (1.2::DOUBLE * pi()))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -271,13 +293,13 @@ ORACLE_SQL: dict[str, str] = {
 sums AS (SELECT w.dst, f2.l_returnflag, sum(w.area * f2.value) AS value FROM w JOIN f2 ON f2.cell_id = w.src GROUP BY 1, 2)
 SELECT da.cell_id, g.l_returnflag, coalesce(s.value, 0) / da.area AS value FROM da CROSS JOIN flags g LEFT JOIN sums s ON s.dst = da.cell_id AND s.l_returnflag IS NOT DISTINCT FROM g.l_returnflag""",
     "regrid_items_and_back": _GRIDS + "SELECT cell_id, round(value, 6) AS value FROM back",
-    "overlap_weights": _GRIDS + "SELECT dst, src, area FROM w",
-    "normalized_weights": _GRIDS + "SELECT dst, src, round(area / (SELECT max(area) FROM w), 9) AS area FROM w",
+    "overlap_weights": _GRIDS + "SELECT dst, src, round(area, 9) AS area, count(*) AS value FROM w JOIN items ON items.cell_id = w.src GROUP BY dst, src, area",
+    "normalized_weights": _GRIDS + ", o AS (SELECT w.* FROM w SEMI JOIN field ON field.cell_id = w.src) SELECT dst, src, round(area / (SELECT max(area) FROM o), 9) AS area FROM o",
     "overlap_fractions": _GRIDS + """SELECT 'dst' AS side, da.cell_id, any_value(da.area) AS area, coalesce(sum(w.area), 0) AS total, coalesce(sum(w.area), 0) / any_value(da.area) AS frac FROM da LEFT JOIN w ON w.dst = da.cell_id GROUP BY 2
 UNION ALL SELECT 'src', sa.cell_id, any_value(sa.area), coalesce(sum(w.area), 0), coalesce(sum(w.area), 0) / any_value(sa.area) FROM sa LEFT JOIN w ON w.src = sa.cell_id GROUP BY 2""",
-    "covered_cells": _GRIDS + "SELECT DISTINCT dst AS cell_id FROM w",
+    "covered_cells": _GRIDS + "SELECT DISTINCT dst AS cell_id FROM w SEMI JOIN field ON field.cell_id = w.src",
     "conserved_integrals": _GRIDS + "SELECT 'dst' AS side, round(sum(t.value * da.area), 6) AS integral FROM there t JOIN da USING (cell_id) UNION ALL SELECT 'src', round(sum(f.value * sa.area), 6) FROM field f JOIN sa USING (cell_id)",
-    "esmf_weight_table": _GRIDS + "SELECT w.dst AS row, w.src AS col, w.area / da.area AS S FROM w JOIN da ON da.cell_id = w.dst",
+    "esmf_weight_table": _GRIDS + "SELECT w.dst AS row, w.src AS col, round(w.area / da.area, 9) AS S FROM w JOIN da ON da.cell_id = w.dst SEMI JOIN field ON field.cell_id = w.src",
     "regrid_errors": _GRIDS + ", e AS (SELECT abs(b.value - f.value) / abs(f.value) AS e FROM back b JOIN field f USING (cell_id)) SELECT round(max(e), 6) AS max_misfit, round(avg(e), 6) AS mean_misfit, round(sqrt(avg(e * e)), 6) AS rms_misfit FROM e",
     "overlapping_parts": _BOXES + "SELECT d.id AS dst_id, s.id AS src_id FROM d JOIN s ON d.x0 <= s.x1 AND s.x0 <= d.x1 AND d.y0 <= s.y1 AND s.y0 <= d.y1",
     "part_overlap_areas": _BOXES + "SELECT d.id AS dst, s.id AS src, round((least(d.x1, s.x1) - greatest(d.x0, s.x0)) * (least(d.y1, s.y1) - greatest(d.y0, s.y0)), 6) AS area FROM d JOIN s ON d.x0 < s.x1 AND s.x0 < d.x1 AND d.y0 < s.y1 AND s.y0 < d.y1",
@@ -289,19 +311,19 @@ SELECT id, round(lon, 6) AS longitude, round(sinusoid, 6) AS sinusoid, round(2 +
   round(2 * (1 + tanh(rho / 5 * sin(ang - 6 * CASE WHEN rho = 0 THEN 0 ELSE 3 * sqrt(3) / 2 / pow(cosh(rho), 2) * tanh(rho) / rho END))), 6) AS vortex FROM h""",
     "customer_triangles": _POINTS + f"SELECT id, round(abs({_excess('a', 'b', 'c')}), 9) AS area FROM (SELECT id, {_unit('lon', 'lat')} AS a, {_unit('lon + 10', 'lat')} AS b, {_unit('lon', 'least(lat + 10, 90)')} AS c FROM p)",
     "part_polygon_areas": "WITH p AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice::DOUBLE AS y FROM part) SELECT p_partkey, round(abs((x * y - (x + 2) * 1) + ((x + 2) * (y / 2) - (-1) * y)) / 2, 6) AS area FROM p",
-    "latlon_areas": _quad_areas("SELECT (i + 1 + j * 36)::BIGINT AS cell_id, i * 10::DOUBLE AS a0, (i + 1) * 10::DOUBLE AS a1, j * 10::DOUBLE - 90 AS b0, (j + 1) * 10::DOUBLE - 90 AS b1 FROM range(36) x(i), range(18) y(j)"),
+    "latlon_areas": _POINTS + _BY_CELL + ", a AS (" + _quad_areas(_TENS) + ") SELECT a.cell_id, area, value FROM a JOIN f ON f.cell_id = a.cell_id",
     "healpix_numbers": """
-WITH p AS (SELECT i AS nested, i // 64 AS face, i % 64 AS k FROM range(768) t(i)),
-xy AS (SELECT nested, face, (k & 1) | ((k >> 1) & 2) | ((k >> 2) & 4) AS ix, ((k >> 1) & 1) | ((k >> 2) & 2) | ((k >> 3) & 4) AS iy FROM p),
+WITH p AS (SELECT c_custkey, i AS nested, i // 64 AS face, i % 64 AS k FROM (SELECT c_custkey, (c_custkey * 37) % 768 AS i FROM customer)),
+xy AS (SELECT c_custkey, nested, face, (k & 1) | ((k >> 1) & 2) | ((k >> 2) & 4) AS ix, ((k >> 1) & 1) | ((k >> 2) & 2) | ((k >> 3) & 4) AS iy FROM p),
 r AS (SELECT *, [2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4][face + 1] * 8 - ix - iy - 1 AS jr, [1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7][face + 1] AS jp FROM xy),
 n AS (SELECT *, CASE WHEN jr < 8 THEN jr WHEN jr > 24 THEN 32 - jr ELSE 8 END AS nr, CASE WHEN jr < 8 OR jr > 24 THEN 0 ELSE (jr - 8) & 1 END AS shift FROM r),
 b AS (SELECT *, CASE WHEN jr < 8 THEN 2 * nr * (nr - 1) WHEN jr > 24 THEN 768 - 2 * nr * (nr + 1) ELSE 112 + (jr - 8) * 32 END AS before, (jp * nr + ix - iy + 1 + shift) // 2 AS q FROM n)
-SELECT nested, face::BIGINT AS face, ix::BIGINT AS ix, iy::BIGINT AS iy, (before + ((q - 1 + 4 * nr) % (4 * nr)))::BIGINT AS ring FROM b""",
+SELECT c_custkey, nested::BIGINT AS nested, face::BIGINT AS face, ix::BIGINT AS ix, iy::BIGINT AS iy, (before + ((q - 1 + 4 * nr) % (4 * nr)))::BIGINT AS ring FROM b""",
     "ring_grid_cells": "SELECT ((3 - j) * 8 + i + 1)::BIGINT AS cell_id, (i + 1)::INTEGER AS i, (j + 1)::INTEGER AS j, round((sin(radians(j * 45::DOUBLE - 90)) + sin(radians(j * 45::DOUBLE - 45))) / 2, 9) AS z FROM range(8) a(i), range(4) b(j)",
     "offset_union": "SELECT i::BIGINT AS cell_id, a::DOUBLE AS area FROM (VALUES (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 1), (7, 1), (8, 1)) t(i, a)",
     "folded_row": "WITH f AS (SELECT (o_custkey % 56 + 1)::BIGINT AS cell_id, count(*)::DOUBLE AS value FROM orders GROUP BY 1), g AS (SELECT *, cell_id - 48 AS r FROM f) SELECT g.cell_id, coalesce(t.value, g.value) AS value FROM g LEFT JOIN g t ON t.r = 9 - g.r AND (t.r BETWEEN 1 AND 2 OR t.r BETWEEN 5 AND 6) AND g.r BETWEEN 1 AND 8",
     "shared_nodes": "SELECT s_suppkey AS node_id, round(sum(floor(s_acctbal)::DOUBLE * (s_suppkey % 4 + 1)) OVER n / sum(s_suppkey % 4 + 1) OVER n, 6) AS value FROM supplier WINDOW n AS (PARTITION BY s_nationkey)",
     "regrid_spheres": _POINTS + ", f AS (SELECT (floor(((lon + 360) % 360) / 10) + 1 + least(floor((lat + 90) / 10), 17) * 36)::BIGINT AS cell_id, count(*)::DOUBLE AS value FROM p GROUP BY 1), a AS (" + _quad_areas("SELECT (i + 1 + j * 36)::BIGINT AS cell_id, i * 10::DOUBLE AS a0, (i + 1) * 10::DOUBLE AS a1, j * 10::DOUBLE - 90 AS b0, (j + 1) * 10::DOUBLE - 90 AS b1 FROM range(36) x(i), range(18) y(j)").replace("round(abs(", "abs((").replace("), 9) AS", ")) AS") + "), t AS (SELECT round(sum(f.value * a.area), 6) AS integral FROM f JOIN a USING (cell_id)) SELECT grid, integral FROM t, (VALUES ('healpix'), ('cubed'), ('rotated'), ('rings')) g(grid)",
     "dispatched_grid": "SELECT 'planar' AS kind, (i + 1 + j * 2)::BIGINT AS cell_id, 4050::DOUBLE AS area FROM range(2) x(i), range(2) y(j) UNION ALL SELECT 'spherical', * FROM (" + _quad_areas("SELECT (i + 1 + j * 2)::BIGINT AS cell_id, i * 90::DOUBLE AS a0, (i + 1) * 90::DOUBLE AS a1, j * 45::DOUBLE AS b0, (j + 1) * 45::DOUBLE AS b1 FROM range(2) x(i), range(2) y(j)") + ")",
-    "regrid_large_lattice": "WITH s AS (SELECT i // 2 + 1 + (j // 2) * 400 AS cell_id, (i + 1 + j * 800) % 1024 AS v FROM range(800) a(i), range(600) b(j)) SELECT cell_id::BIGINT AS cell_id, sum(v)::DOUBLE / 4 AS value FROM s GROUP BY 1",
+    "regrid_large_lattice": "WITH o AS (SELECT (o_orderkey::BIGINT * 7919) % 480000 AS k FROM orders), s AS (SELECT (k % 800) // 2 + 1 + (k // 1600) * 400 AS cell_id, count(*) AS n FROM o GROUP BY 1) SELECT c.i::BIGINT AS cell_id, coalesce(n, 0)::DOUBLE / 4 AS value FROM range(1, 120001) c(i) LEFT JOIN s ON s.cell_id = c.i",
 }
