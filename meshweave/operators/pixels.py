@@ -30,26 +30,39 @@ AT_ONCE = 256
 POLES = "array<struct<x: double, y: double, z: double, reach: double>>"
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often its expression names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pixel_of(p: Column, level: int) -> Column:
     """Nested 0-based number of the pixel, of 12 * 4 ** level, that a unit vector lies in (Gorski et al. 2005)."""
     n = 1 << level
-    z, turn = p["z"], F.pmod(F.atan2(p["y"], p["x"]) / (pi / 2), F.lit(4.0))
-    # equatorial belt: lines that rise and fall; polar caps: distance from the pole, within a quarter
-    rising, falling = (F.floor(n * (F.lit(0.5) + turn + s * z * 0.75)) for s in (-1, 1))
-    one, other = F.floor(rising / n), F.floor(falling / n)
-    belt = F.when(one == other, F.when(one == 4, 4).otherwise(one + 4)).when(one < other, one).otherwise(other + 8)
-    quarter = F.least(F.floor(turn), F.lit(3))
-    far = n * F.sqrt(3 * (1 - F.abs(z)))
-    a, b = (F.least(F.floor(t * far), F.lit(n - 1)) for t in (turn - quarter, 1 - turn + quarter))
-    in_belt, north = F.abs(z) <= 2 / 3, z > 0
-    face = F.when(in_belt, belt).when(north, quarter).otherwise(quarter + 8)
-    ix = F.when(in_belt, F.pmod(falling, F.lit(n))).when(north, n - 1 - b).otherwise(a)
-    iy = F.when(in_belt, n - 1 - F.pmod(rising, F.lit(n))).when(north, n - 1 - a).otherwise(b)
-    out = face.cast("bigint") * (n * n)
-    for k in range(level):
-        for value, place in ((ix, 2 * k), (iy, 2 * k + 1)):
-            out = out + F.shiftleft(F.shiftright(value.cast("bigint"), k).bitwiseAND(F.lit(1).cast("bigint")), place)
-    return out
+
+    def parts(s: Column) -> Column:
+        z, turn = s["z"], s["turn"]
+        # equatorial belt: lines that rise and fall; polar caps: distance from the pole, within a quarter
+        rising, falling = (F.floor(n * (F.lit(0.5) + turn + sign * z * 0.75)) for sign in (-1, 1))
+        one, other = F.floor(rising / n), F.floor(falling / n)
+        belt = F.when(one == other, F.when(one == 4, 4).otherwise(one + 4)).when(one < other, one).otherwise(other + 8)
+        quarter = F.least(F.floor(turn), F.lit(3))
+        far = n * F.sqrt(3 * (1 - F.abs(z)))
+        a, b = (F.least(F.floor(t * far), F.lit(n - 1)) for t in (turn - quarter, 1 - turn + quarter))
+        in_belt, north = F.abs(z) <= 2 / 3, z > 0
+        face = F.when(in_belt, belt).when(north, quarter).otherwise(quarter + 8)
+        ix = F.when(in_belt, F.pmod(falling, F.lit(n))).when(north, n - 1 - b).otherwise(a)
+        iy = F.when(in_belt, n - 1 - F.pmod(rising, F.lit(n))).when(north, n - 1 - a).otherwise(b)
+        return F.named_struct(*[x for k, v in (("face", face), ("ix", ix), ("iy", iy)) for x in (F.lit(k), v.cast("bigint"))])
+
+    def number(s: Column) -> Column:
+        out = s["face"] * (n * n)
+        for k in range(level):
+            for value, place in ((s["ix"], 2 * k), (s["iy"], 2 * k + 1)):
+                out = out + F.shiftleft(F.shiftright(value, k).bitwiseAND(F.lit(1).cast("bigint")), place)
+        return out
+
+    polar = F.struct(p["z"].alias("z"), F.pmod(F.atan2(p["y"], p["x"]) / (pi / 2), F.lit(4.0)).alias("turn"))
+    return _once(_once(polar, parts), number)
 
 
 def pixel_caps(pix: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:

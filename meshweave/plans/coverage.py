@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.points import planar_point
+from ..functions.points import planar_point, unit_point
+from ..functions.shared import written
 from ..manifold import sphere
 from ..operators.fields import Field, cell_means, interior, sample
 from ..operators.metrics import error_metrics
+from ..operators.pixels import points_in_regions, polygon_poles
 from ..operators.regridder import Regridder, build_regridder
 from ..operators.spectral import SpectralSpace, cells_to_nodes, nodes_to_cells
 from ..sources import as_grid, corner_grid, cubed_sphere, fold_grid, healpix_grid, latlon_grid, polygon_grid, regular_grid, rotated_latlon_grid
@@ -55,14 +58,15 @@ def shapes_on_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def squared_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A custom operator in place of the overlap area."""
+    """A custom operator in place of the overlap area, on cells with items."""
 
     def squared(src: list[tuple], dst: list[tuple]) -> float:
         sides = [min(max(p[k] for p in src), max(p[k] for p in dst)) - max(min(p[k] for p in src), min(p[k] for p in dst)) for k in (0, 1)]
         return max(sides[0], 0.0) ** 2 * max(sides[1], 0.0) ** 2
 
     r = build_regridder(regular_grid(spark, base.COARSE_X, base.COARSE_Y), regular_grid(spark, base.FINE_X, base.FINE_Y), operator=squared)
-    return r.weights.select("dst", "src", F.round("area", 9).alias("area"))
+    field = base.lineitem_field(spark, sf_dir).withColumnRenamed("cell_id", "src")
+    return r.weights.join(field, "src").select("dst", "src", F.round("area", 9).alias("area"), "value")
 
 
 def items_by_given_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +146,13 @@ def healpix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cubed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarters of a cube's faces are equal by symmetry."""
-    return cubed_sphere(spark, 2).areas().select("cell_id", F.round("area", 9).alias("area"))
+    """Customers in the quarters of a cube's faces, found by HEALPix keys; the quarters are equal by symmetry."""
+    grid = cubed_sphere(spark, 2)
+    grid = replace(grid, cells=written(grid.cells))  # the corners are long expressions that poles would repeat
+    cells = grid.cells.select(F.col("cell_id").alias("region_id"), polygon_poles(F.col("ring")).alias("poles"))
+    points = base.customer_points(spark, sf_dir).select(F.col("id").alias("point_id"), unit_point(F.col("lon") + 0.37, F.col("lat") * 0.98 + 0.21).alias("point"))
+    counts = points_in_regions(points, cells, depth=4).groupBy(F.col("region_id").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").alias("ids"))
+    return grid.areas().join(counts, "cell_id").select("cell_id", F.round("area", 9).alias("area"), "n", "ids")
 
 
 def rotated_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +214,7 @@ WITH b AS (SELECT * FROM (VALUES (1, 1, 0.5, 0.25, 1.5, 3.75), (1, 1, 1.5, 0.25,
 c AS (SELECT (i + 1 + j * 4)::BIGINT AS dst, i AS a, j AS b FROM range(4) x(i), range(4) y(j))
 SELECT dst, src::BIGINT AS src, round(sum(sign * greatest(0, least(x1, a + 1) - greatest(x0, a)) * greatest(0, least(y1, b.b + 1) - greatest(y0, b.b)))::DOUBLE, 9) AS area
 FROM (SELECT b.src, b.sign, b.x0::DOUBLE AS x0, b.y0::DOUBLE AS y0, b.x1::DOUBLE AS x1, b.y1::DOUBLE AS y1, c.dst, c.a, c.b FROM b CROSS JOIN c) b GROUP BY 1, 2 HAVING sum(sign * greatest(0, least(x1, a + 1) - greatest(x0, a)) * greatest(0, least(y1, b.b + 1) - greatest(y0, b.b))) > 0""",
-    "squared_overlaps": base._GRIDS + "SELECT dst, src, round(area * area, 9) AS area FROM w",
+    "squared_overlaps": base._GRIDS + "SELECT dst, src, round(area * area, 9) AS area, count(*) AS value FROM w JOIN items ON items.cell_id = w.src GROUP BY dst, src, area",
     "items_by_given_weights": base._GRIDS + "SELECT cell_id, value FROM there",
     "regrid_small_array": "SELECT k::BIGINT AS k, c::BIGINT AS cell_id, CASE c WHEN 1 THEN (v(0) + v(1) + v(3) + v(4)) / 4 ELSE (v(2) + v(5)) / 2 END AS value FROM range(2) a(k), range(1, 3) b(c)".replace("v(0)", "pow(6 * k, 2)").replace("v(1)", "pow(6 * k + 1, 2)").replace("v(2)", "pow(6 * k + 2, 2)").replace("v(3)", "pow(6 * k + 3, 2)").replace("v(4)", "pow(6 * k + 4, 2)").replace("v(5)", "pow(6 * k + 5, 2)"),
     "halo_items": "WITH c AS (SELECT (floor(l_quantity) + 1)::BIGINT - 2 AS i, (floor(round(l_discount * 100)) + 1)::BIGINT - 2 AS j FROM lineitem), k AS (SELECT (i - 1) // 22 AS a, (j - 1) // 3 AS b, count(*) AS n FROM c WHERE i BETWEEN 1 AND 44 AND j BETWEEN 1 AND 6 GROUP BY 1, 2) SELECT (x.a + 1 + y.b * 2)::BIGINT AS cell_id, coalesce(n, 0)::DOUBLE / 66 AS value FROM range(2) x(a) CROSS JOIN range(2) y(b) LEFT JOIN k ON k.a = x.a AND k.b = y.b",
@@ -216,7 +225,11 @@ FROM (SELECT b.src, b.sign, b.x0::DOUBLE AS x0, b.y0::DOUBLE AS y0, b.x1::DOUBLE
     "regrid_hemispheres": base._POINTS + ", " + _SLICES.replace("\nWITH ", "", 1) + ", f AS (SELECT (floor(((lon + 360) % 360) / 10) + 1 + CASE WHEN lat >= 0 THEN 36 ELSE 0 END)::BIGINT AS id, count(*)::DOUBLE AS value FROM p GROUP BY 1) SELECT d.id AS cell_id, round(coalesce(sum(w.area * f.value), 0) / radians(45::DOUBLE), 6) AS value FROM d LEFT JOIN w ON w.dst = d.id LEFT JOIN f ON f.id = w.src GROUP BY 1",
     "cube_on_meridians": "SELECT i::BIGINT AS src, round(pi() / 6, 7) AS area, 1::BIGINT AS n FROM range(1, 17) t(i)",
     "healpix_totals": "SELECT i::BIGINT AS cell_id, 3::DOUBLE AS value FROM range(1, 55) t(i)",
-    "cubed_areas": "SELECT i::BIGINT AS cell_id, round(pi() / 6, 9) AS area FROM range(1, 25) t(i)",
+    "cubed_areas": base._POINTS + f""", q AS (SELECT id, {base._unit('(lon + 0.37::DOUBLE)', '(lat * 0.98::DOUBLE + 0.21::DOUBLE)')} AS p FROM p),
+f AS (SELECT id, p.x AS x, p.y AS y, p.z AS z, greatest(abs(p.x), abs(p.y), abs(p.z)) AS most FROM q),
+g AS (SELECT id, CASE WHEN x = most THEN 0 WHEN y = most THEN 1 WHEN -x = most THEN 2 WHEN -y = most THEN 3 WHEN z = most THEN 4 ELSE 5 END AS face,
+  CASE WHEN x = most THEN y WHEN y = most THEN -x WHEN -x = most THEN -y WHEN -y = most THEN x ELSE y END AS u, CASE WHEN z = most THEN -x WHEN -z = most THEN x ELSE z END AS v FROM f)
+SELECT (face * 4 + CASE WHEN u > 0 THEN 1 ELSE 0 END + CASE WHEN v > 0 THEN 2 ELSE 0 END + 1)::BIGINT AS cell_id, round(pi() / 6, 9) AS area, count(*) AS n, sum(id)::BIGINT AS ids FROM g GROUP BY 1""",
     "rotated_areas": base.ORACLE_SQL["latlon_areas"],
     "means_of_a_constant": "SELECT i::BIGINT AS cell_id, 2.5::DOUBLE AS value FROM range(1, 25) t(i)",
     "spectral_to_cells": "SELECT i::BIGINT AS cell_id, 2::DOUBLE AS value FROM range(1, 33) t(i)",

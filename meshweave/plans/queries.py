@@ -85,8 +85,10 @@ def normalized_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dst, src = lineitem_regridder(spark).marginals()
-    return dst.select(F.lit("dst").alias("side"), "cell_id", "area", "total", "frac").unionByName(src.select(F.lit("src").alias("side"), "cell_id", "area", "total", "frac"))
+    """How much of each cell lies under cells of the other side that have items, or, of theirs, over any."""
+    found = zip(("dst", "src"), occupied_regridder(spark, sf_dir).marginals(), strict=True)
+    dst, src = (t.select(F.lit(side).alias("side"), "cell_id", *[F.round(c, 9).alias(c) for c in ("area", "total", "frac")]) for side, t in found)
+    return dst.unionByName(src)
 
 
 def covered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,8 +297,9 @@ SELECT da.cell_id, g.l_returnflag, coalesce(s.value, 0) / da.area AS value FROM
     "regrid_items_and_back": _GRIDS + "SELECT cell_id, round(value, 6) AS value FROM back",
     "overlap_weights": _GRIDS + "SELECT dst, src, round(area, 9) AS area, count(*) AS value FROM w JOIN items ON items.cell_id = w.src GROUP BY dst, src, area",
     "normalized_weights": _GRIDS + ", o AS (SELECT w.* FROM w SEMI JOIN field ON field.cell_id = w.src) SELECT dst, src, round(area / (SELECT max(area) FROM o), 9) AS area FROM o",
-    "overlap_fractions": _GRIDS + """SELECT 'dst' AS side, da.cell_id, any_value(da.area) AS area, coalesce(sum(w.area), 0) AS total, coalesce(sum(w.area), 0) / any_value(da.area) AS frac FROM da LEFT JOIN w ON w.dst = da.cell_id GROUP BY 2
-UNION ALL SELECT 'src', sa.cell_id, any_value(sa.area), coalesce(sum(w.area), 0), coalesce(sum(w.area), 0) / any_value(sa.area) FROM sa LEFT JOIN w ON w.src = sa.cell_id GROUP BY 2""",
+    "overlap_fractions": _GRIDS + """, o AS (SELECT w.* FROM w SEMI JOIN field ON field.cell_id = w.src)
+SELECT 'dst' AS side, da.cell_id, round(any_value(da.area), 9) AS area, round(coalesce(sum(o.area), 0), 9) AS total, round(coalesce(sum(o.area), 0) / any_value(da.area), 9) AS frac FROM da LEFT JOIN o ON o.dst = da.cell_id GROUP BY 2
+UNION ALL SELECT 'src', sa.cell_id, round(any_value(sa.area), 9), round(coalesce(sum(o.area), 0), 9), round(coalesce(sum(o.area), 0) / any_value(sa.area), 9) FROM sa LEFT JOIN o ON o.src = sa.cell_id WHERE sa.cell_id IN (SELECT cell_id FROM field) GROUP BY 2""",
     "covered_cells": _GRIDS + "SELECT DISTINCT dst AS cell_id FROM w SEMI JOIN field ON field.cell_id = w.src",
     "conserved_integrals": _GRIDS + "SELECT 'dst' AS side, round(sum(t.value * da.area), 6) AS integral FROM there t JOIN da USING (cell_id) UNION ALL SELECT 'src', round(sum(f.value * sa.area), 6) FROM field f JOIN sa USING (cell_id)",
     "esmf_weight_table": _GRIDS + "SELECT w.dst AS row, w.src AS col, round(w.area / da.area, 9) AS S FROM w JOIN da ON da.cell_id = w.dst SEMI JOIN field ON field.cell_id = w.src",
