@@ -44,18 +44,27 @@ def planar_triangle_area(a, b, c) -> float:
     return abs((b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])) / 2
 
 
-def spherical_mean(ring: np.ndarray, f, degree: int = 8) -> float:
-    """Mean of ``f`` (of unit vectors, vectorised) over a spherical polygon; 0 for one without area."""
+def spherical_means(rings: np.ndarray, size: np.ndarray, f, degree: int = 8) -> np.ndarray:
+    """Means of ``f`` (of unit vectors, vectorised) over padded spherical polygons; 0 for those without area.
+
+    Each is a fan of triangles from its first vertex; ``f`` is called once for the points of all.
+    """
     points, weights = reference_rule(degree)
-    total = area = 0.0
-    for b, c in zip(ring[1:-1], ring[2:], strict=True):
-        a = ring[0]
-        p = points @ np.stack([a, b, c])
-        size = np.linalg.norm(p, axis=1)
-        j = weights * abs(np.dot(a, np.cross(b, c))) / size**3
-        total += float((j * f(p / size[:, None])).sum())
-        area += float(j.sum())
-    return total / area if area else 0.0
+    of, k = np.nonzero(np.arange(2, rings.shape[1])[None, :] < size[:, None])
+    triangles = np.stack([rings[of, 0], rings[of, k + 1], rings[of, k + 2]], axis=1)
+    p = points @ triangles
+    length = np.maximum(np.linalg.norm(p, axis=2), 1e-300)
+    volume = np.abs((triangles[:, 0] * np.cross(triangles[:, 1], triangles[:, 2])).sum(axis=1))
+    j = weights[None, :] * volume[:, None] / length**3
+    values = np.asarray(f((p / length[:, :, None]).reshape(-1, 3)), float).reshape(j.shape)
+    total = np.bincount(of, (j * values).sum(axis=1), len(rings))
+    area = np.bincount(of, j.sum(axis=1), len(rings))
+    return np.where(area > 0, total / np.where(area > 0, area, 1), 0.0)
+
+
+def spherical_mean(ring: np.ndarray, f, degree: int = 8) -> float:
+    """The same for one polygon."""
+    return float(spherical_means(np.asarray(ring, float)[None], np.array([len(ring)]), f, degree)[0])
 
 
 def gauss_lobatto(n: int) -> tuple[np.ndarray, np.ndarray]:

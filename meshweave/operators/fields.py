@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import quadrature
 from ..functions.fields import Field as FieldFunction
 from ..functions.points import lonlat
-from ..sources.grid import Grid
+from ..sources.grid import Grid, rings_of
 from .metrics import mirror_fold
 from .regridder import Regridder
 
@@ -64,9 +64,10 @@ def cell_means(grid: Grid, f: Callable[[np.ndarray, np.ndarray], np.ndarray], de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rings = [np.array([[p["x"], p["y"], p["z"]] for p in ring]) for ring in batch.column("ring").to_pylist()]
-            means = [quadrature.spherical_mean(ring, of_points, degree) for ring in rings]
-            yield pa.RecordBatch.from_arrays([batch.column("cell_id"), pa.array(means, pa.float64())], ["cell_id", "value"])
+            for first in range(0, batch.num_rows, 4096):
+                part = batch.slice(first, 4096)
+                means = quadrature.spherical_means(*rings_of(part.column("ring")), of_points, degree)
+                yield pa.RecordBatch.from_arrays([part.column("cell_id"), pa.array(means, pa.float64())], ["cell_id", "value"])
 
     return Field(grid, grid.cells.select("cell_id", "ring").mapInArrow(run, "cell_id bigint, value double"))
 

@@ -55,15 +55,16 @@ class SpectralSpace:
         ne, nq, radius = self.ne, self.nq, self.radius
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            xi, w = gauss_lobatto(nq)
-            eta_at, xi_at = np.meshgrid(xi, xi, indexing="ij")
-            for batch in batches:
-                for elem in batch.column("elem_id").to_pylist():
-                    points = element_points(elem, ne, xi_at.ravel(), eta_at.ravel())
-                    wj = (w[None, :] * w[:, None]).ravel() * element_jacobian(elem, ne, xi_at.ravel(), eta_at.ravel()) * radius**2
-                    number = np.arange(nq * nq)
-                    columns = [(elem - 1) * nq * nq + number + 1, np.full(nq * nq, elem), number % nq + 1, number // nq + 1, *points.T, wj]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node_id", "elem_id", "p", "q", "x", "y", "z", "wj"])
+            x, w = gauss_lobatto(nq)
+            eta, xi = (g.ravel() for g in np.meshgrid(x, x, indexing="ij"))
+            number, weight = np.arange(nq * nq), (w[:, None] * w[None, :]).ravel()
+            for batch in sliced_batches(batches, AT_ONCE):
+                elem = batch.column("elem_id").to_numpy()[:, None]
+                points = element_points(elem, ne, xi, eta).reshape(-1, 3)
+                wj = weight * element_jacobian(elem, ne, xi, eta) * radius**2
+                p, q = (np.tile(k, len(elem)) for k in (number % nq + 1, number // nq + 1))
+                columns = [((elem - 1) * nq * nq + number + 1).ravel(), np.repeat(elem, nq * nq), p, q, *points.T, wj.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["node_id", "elem_id", "p", "q", "x", "y", "z", "wj"])
 
         elements = self.spark.range(1, self.n_elements + 1).withColumnRenamed("id", "elem_id")
         return elements.mapInArrow(run, "node_id bigint, elem_id bigint, p bigint, q bigint, x double, y double, z double, wj double")
@@ -76,31 +77,39 @@ class SpectralSpace:
         return nodes.join(first, "place").select("node_id", "global_node", F.col("wj").alias("weight"))
 
 
-def _face(elem: int, ne: int) -> tuple[np.ndarray, int, int]:
-    face, rest = divmod(elem - 1, ne * ne)
-    return np.array(CUBE[face], float), rest % ne, rest // ne
+#: Elements or overlaps that a task works on together.
+AT_ONCE = 2048
+#: Face, then center and two axes.
+FACES = np.array(CUBE, float)
 
 
-def element_points(elem: int, ne: int, xi: np.ndarray, eta: np.ndarray) -> np.ndarray:
-    """Unit vectors at reference coordinates in [-1, 1]^2."""
-    (c, a, b), i, j = _face(elem, ne)
+def sliced_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def _face(elem: int | np.ndarray, ne: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    face, rest = np.divmod(np.asarray(elem) - 1, ne * ne)
+    return FACES[face], rest % ne, rest // ne
+
+
+def element_points(elem: int | np.ndarray, ne: int, xi: np.ndarray, eta: np.ndarray) -> np.ndarray:
+    """Unit vectors at reference coordinates in [-1, 1]^2; elements and coordinates broadcast against one another."""
+    axes, i, j = _face(elem, ne)
     u, v = (np.tan(np.pi / 4 * ((k + (s + 1) / 2) * 2 / ne - 1)) for k, s in ((i, xi), (j, eta)))
-    p = c + u[:, None] * a + v[:, None] * b
-    return p / np.linalg.norm(p, axis=1, keepdims=True)
+    p = axes[..., 0, :] + u[..., None] * axes[..., 1, :] + v[..., None] * axes[..., 2, :]
+    return p / np.linalg.norm(p, axis=-1, keepdims=True)
 
 
-def element_coordinates(elem: int, ne: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def element_coordinates(elem: int | np.ndarray, ne: int, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The inverse of ``element_points``, in closed form."""
-    (c, a, b), i, j = _face(elem, ne)
-    depth = points @ c
-    out = []
-    for axis, k in ((a, i), (b, j)):
-        angle = np.arctan2(points @ axis, depth) / (np.pi / 4)
-        out.append(((angle + 1) * ne / 2 - k) * 2 - 1)
-    return out[0], out[1]
+    axes, i, j = _face(elem, ne)
+    depth, a, b = ((points * axes[..., k, :]).sum(axis=-1) for k in range(3))
+    return tuple(((np.arctan2(along, depth) / (np.pi / 4) + 1) * ne / 2 - k) * 2 - 1 for along, k in ((a, i), (b, j)))
 
 
-def element_jacobian(elem: int, ne: int, xi: np.ndarray, eta: np.ndarray) -> np.ndarray:
+def element_jacobian(elem: int | np.ndarray, ne: int, xi: np.ndarray, eta: np.ndarray) -> np.ndarray:
     """Area of the unit sphere per area of reference coordinates."""
     _, i, j = _face(elem, ne)
     alpha, beta = (np.pi / 4 * ((k + (s + 1) / 2) * 2 / ne - 1) for k, s in ((i, xi), (j, eta)))
@@ -108,21 +117,26 @@ def element_jacobian(elem: int, ne: int, xi: np.ndarray, eta: np.ndarray) -> np.
     return (1 + u * u) * (1 + v * v) / (1 + u * u + v * v) ** 1.5 * (np.pi / (4 * ne)) ** 2
 
 
-def _basis_integrals(elem: int, ne: int, nq: int, ring: np.ndarray, degree: int) -> np.ndarray:
-    """Integral of each node's basis function over a polygon within the element (unit sphere); q runs slowest."""
+def basis_integrals(elem: np.ndarray, ne: int, nq: int, rings: np.ndarray, size: np.ndarray, degree: int) -> np.ndarray:
+    """(polygon, node) integrals of basis functions over polygons within elements (unit sphere); q runs slowest.
+
+    Each polygon is a fan of triangles around its middle; all fans of a call are integrated together.
+    """
     bary, weights = reference_rule(degree)
-    middle = ring.mean(axis=0)
-    middle /= np.linalg.norm(middle)
-    total, (nodes, _) = np.zeros(nq * nq), gauss_lobatto(nq)
-    for b, c in zip(ring, np.roll(ring, -1, axis=0), strict=True):
-        area = abs(kernels.spherical_areas(np.array([[middle, b, c]]), np.array([3]))[0])
-        if area > 0:
-            p = bary @ np.stack([middle, b, c])
-            p /= np.linalg.norm(p, axis=1, keepdims=True)
-            xi, eta = element_coordinates(elem, ne, p)
-            values = lagrange(nodes, eta)[:, :, None] * lagrange(nodes, xi)[:, None, :]
-            total += np.tensordot(2 * area * weights, values, axes=1).ravel()
-    return total
+    nodes, _ = gauss_lobatto(nq)
+    real = np.arange(rings.shape[1])[None, :] < size[:, None]
+    middle = (rings * real[:, :, None]).sum(axis=1)
+    middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-300)
+    of, k = np.nonzero(real)
+    triangles = np.stack([middle[of], rings[of, k], rings[of, (k + 1) % size[of]]], axis=1)
+    area = np.abs(kernels.spherical_areas(triangles, np.full(len(of), 3)))
+    p = bary @ triangles
+    p /= np.maximum(np.linalg.norm(p, axis=2, keepdims=True), 1e-300)
+    xi, eta = (lagrange(nodes, s.ravel()).reshape(*s.shape, nq) for s in element_coordinates(elem[of, None], ne, p))
+    values = np.einsum("tgq,tgp->tqp", eta * (2 * area[:, None] * weights)[:, :, None], xi)
+    out = np.zeros((len(elem), nq * nq))
+    np.add.at(out, of, values.reshape(len(of), nq * nq))
+    return out
 
 
 def _integrals(space: SpectralSpace, cells: Grid, degree: int) -> DataFrame:
@@ -131,21 +145,17 @@ def _integrals(space: SpectralSpace, cells: Grid, degree: int) -> DataFrame:
     ne, nq, scale = space.ne, space.nq, space.radius**2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced_batches(batches, AT_ONCE):
             s, n = rings_of(batch.column("src_ring"))
             d, m = rings_of(batch.column("dst_ring"))
             s, d = kernels.counterclockwise(s, n, True), kernels.counterclockwise(d, m, True)
             ring, size = kernels.clip(s, n, d, m, True)
-            elem, cell = batch.column("src_id").to_pylist(), batch.column("dst_id").to_pylist()
-            out: tuple[list, list, list] = ([], [], [])
-            for k in np.flatnonzero(size > 2):
-                b = _basis_integrals(elem[k], ne, nq, ring[k, : size[k]], degree) * scale
-                if b.any():
-                    for column, value in zip(out, (elem[k], cell[k], b.tolist()), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.float64()))], ["elem", "cell", "b"])
+            elem, cell = (batch.column(c).to_numpy() for c in ("src_id", "dst_id"))
+            some = np.flatnonzero(size > 2)
+            b = basis_integrals(elem[some], ne, nq, ring[some], size[some], degree) * scale
+            some, b = some[b.any(axis=1)], b[b.any(axis=1)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1) * nq * nq, pa.int32()), pa.array(b.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(elem[some]), pa.array(cell[some]), lists], ["elem", "cell", "b"])
 
     return pairs.mapInArrow(run, "elem bigint, cell bigint, b array<double>")
 
@@ -173,6 +183,22 @@ def local_mass(elem: int, ne: int, nq: int) -> np.ndarray:
     return np.einsum("gi,g,gj->ij", basis, weight, basis)
 
 
+def element_masses(space: SpectralSpace) -> DataFrame:
+    """elem_id, node_id, other_id, mass: the mass matrices of all elements, a row for each pair of an element's nodes."""
+    ne, nq, scale = space.ne, space.nq, space.radius**2
+    names = ["elem_id", "node_id", "other_id", "mass"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, other = (g.ravel() + 1 for g in np.meshgrid(np.arange(nq * nq), np.arange(nq * nq), indexing="ij"))
+        for batch in batches:
+            for elem in batch.column("elem_id").to_pylist():
+                first = (elem - 1) * nq * nq
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(nq**4, elem), first + own, first + other, local_mass(elem, ne, nq).ravel() * scale)], names)
+
+    elements = space.spark.range(1, space.n_elements + 1).withColumnRenamed("id", "elem_id")
+    return elements.mapInArrow(run, "elem_id bigint, node_id bigint, other_id bigint, mass double")
+
+
 def cells_to_nodes(space: SpectralSpace, cells: Grid, *, degree: int | None = None) -> Regridder:
     """The regridder from cells to nodes: in each element, the L2 projection onto the nodes that cells cover.
 

@@ -150,6 +150,23 @@ def union_grids(parts: list[Grid], *, faces: bool = False) -> Grid:
     return Grid(cells, (offset,), parts[0].manifold, "union")
 
 
+def with_ghosts(grid: Grid, n: int) -> Grid:
+    """The grid and ``n`` more cells, ghosts without geometry, after its own: a part as long as its slots in a field."""
+    spark, kind = grid.cells.sparkSession, grid.cells.schema["ring"].dataType
+    own = grid.cells if "is_ghost" in grid.cells.columns else grid.cells.withColumn("is_ghost", F.lit(False))
+    first = grid.n_cells + 1
+    ghosts = spark.range(first, first + n).select(F.col("id").alias("cell_id"), F.array().cast(kind).alias("ring"), F.lit(True).alias("is_ghost"))
+    return Grid(own.unionByName(ghosts, allowMissingColumns=True), (first + n - 1,), grid.manifold, "padded")
+
+
+def part_of(cell_id: Column, sizes: list[int]) -> tuple[Column, Column]:
+    """The part (1-based) of a union that holds a cell, and the cell's number there: the last part that begins before it."""
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
+    before = F.array(*[F.lit(s).cast("bigint") for s in starts])
+    part = F.size(F.filter(before, lambda s: s < cell_id))
+    return part, cell_id - F.get(before, part - 1)
+
+
 def as_grid(obj, spark: SparkSession | None = None, manifold: Manifold | None = None) -> Grid:
     """A grid from a grid, a pair of edge vectors, a matrix of corner points, polygons, or a table cell_id, ring."""
     from .grids import corner_grid, polygon_grid, regular_grid
