@@ -20,18 +20,36 @@ from ..operators.spectral import SpectralSpace, cells_to_nodes, nodes_to_cells
 from ..sources import as_grid, corner_grid, cubed_sphere, fold_grid, healpix_grid, latlon_grid, polygon_grid, regular_grid, rotated_latlon_grid
 from . import queries as base
 
-#: An L of two boxes, a square with a square hole, and a triangle.
-SHAPES = [
-    [(0.5, 0.25), (3.5, 0.25), (3.5, 1.5), (1.5, 1.5), (1.5, 3.75), (0.5, 3.75)],
-    {"exterior": [(0.25, 0.5), (3.75, 0.5), (3.75, 3.5), (0.25, 3.5)], "holes": [[(1.5, 1.25), (2.75, 1.25), (2.75, 2.5), (1.5, 2.5)]]},
-]
+#: An L of two boxes, and a square with a square hole: exterior and holes.
+SHAPES = (
+    ([(0.5, 0.25), (3.5, 0.25), (3.5, 1.5), (1.5, 1.5), (1.5, 3.75), (0.5, 3.75)], []),
+    ([(0.25, 0.5), (3.75, 0.5), (3.75, 3.5), (0.25, 3.5)], [[(1.5, 1.25), (2.75, 1.25), (2.75, 2.5), (1.5, 2.5)]]),
+)
+
+
+def supplier_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cell_id, ring, holes: a shape for each supplier, placed by its key."""
+    k = F.col("s_suppkey")
+    x, y = F.pmod(k * 7, F.lit(97)) / 8, F.pmod(k * 11, F.lit(89)) / 8
+    ring = lambda points: F.array(*[planar_point(x + a, y + b) for a, b in points])
+    (one, _), (other, holes) = SHAPES
+    none = F.array().cast("array<array<struct<x: double, y: double>>>")
+    odd = F.pmod(k, F.lit(2)) == 1
+    return base.table(spark, sf_dir, "supplier").select(k.cast("bigint").alias("cell_id"), F.when(odd, ring(one)).otherwise(ring(other)).alias("ring"), F.when(odd, none).otherwise(F.array(*map(ring, holes))).alias("holes"))
+
+
+def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of orders of each priority: a constant for each."""
+    return base.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
 def corner_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parallelograms between the points of a sheared lattice whose columns grow wider."""
-    i, j = (F.floor(F.col("id") / 9) + 1).cast("int"), (F.pmod("id", F.lit(9)) + 1).cast("int")
-    corners = spark.range(11 * 9).select(i.alias("i"), j.alias("j"), planar_point((i * i).cast("double") / 2 + j.cast("double") / 4, j.cast("double") * 2).alias("point"))
-    return corner_grid(spark, corners, (10, 8)).areas().select("cell_id", F.round("area", 9).alias("area"))
+    """Quadrilaterals between points of a lattice, each moved by the number of items of its quantity and line."""
+    n = F.count(F.lit(1))
+    i, j = F.col("l_quantity").cast("int"), F.col("l_linenumber").cast("int")
+    corners = base.table(spark, sf_dir, "lineitem").groupBy(i.alias("i"), j.alias("j")).agg(n.alias("n"))
+    corners = corners.select("i", "j", planar_point(F.col("i") + F.pmod("n", F.lit(16)) / 64, F.col("j") * 2 + F.pmod("n", F.lit(5)) / 16).alias("point"))
+    return corner_grid(spark, corners, (49, 6)).areas().select("cell_id", F.round("area", 9).alias("area"))
 
 
 def permuted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +70,9 @@ def folded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes_on_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps of polygons with a notch and with a hole and the cells of a lattice."""
-    r = build_regridder(regular_grid(spark, range(5), range(5)), polygon_grid(spark, SHAPES))
-    return r.weights.select("dst", "src", F.round("area", 9).alias("area"))
+    """Overlaps of the suppliers' shapes, with a notch or a hole, and the cells of a lattice."""
+    r = build_regridder(regular_grid(spark, range(17), range(17)), polygon_grid(spark, supplier_shapes(spark, sf_dir)))
+    return r.weights.where("area > 1e-9").select("dst", "src", F.round("area", 9).alias("area"))
 
 
 def squared_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +95,15 @@ def items_by_given_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regrid_small_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A numpy array with the cells along its second axis."""
-    r = build_regridder(regular_grid(spark, [0, 2, 3], [0, 2]), regular_grid(spark, [0, 1, 2, 3], [0, 1, 2]))
-    out = r.regrid_array(np.arange(12.0).reshape(2, 6) ** 2, dims=2)
-    return spark.createDataFrame([(k, c + 1, float(out[k, c])) for k in range(2) for c in range(2)], "k bigint, cell_id bigint, value double")
+    """Item counts as a numpy array, lines by quantities, with the cells along its second axis."""
+    k, c = (F.col("l_linenumber") - 1).cast("int"), (F.col("l_quantity") - 1).cast("int")
+    counts = base.table(spark, sf_dir, "lineitem").groupBy(k.alias("k"), c.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    array = np.zeros((7, 50))
+    for row in counts.collect():  # 7 x 50 at most
+        array[row.k, row.c] = row.n
+    r = build_regridder(regular_grid(spark, [0, 2, 3, 7, 10], [0, 2, 5]), regular_grid(spark, range(11), range(6)))
+    out = r.regrid_array(array, dims=2)
+    return spark.createDataFrame([(k, c + 1, float(out[k, c])) for k in range(7) for c in range(8)], "k bigint, cell_id bigint, value double").select("k", "cell_id", F.round("value", 6).alias("value"))
 
 
 def halo_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,16 +156,19 @@ def regrid_hemispheres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cube_on_meridians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps of a cube's equatorial faces, quartered, and octants of the sphere."""
+    """Overlaps of a cube's equatorial faces, quartered, and octants of the sphere; customers are dealt to the quarters."""
     r = build_regridder(latlon_grid(spark, 4, 2), cubed_sphere(spark, 2))
-    return r.weights.where("src <= 16 AND area > 1e-9").groupBy("src").agg(F.round(F.sum("area"), 7).alias("area"), F.count(F.lit(1)).alias("n"))
+    cell = (F.pmod("c_custkey", F.lit(24)) + 1).cast("bigint")
+    dealt = base.table(spark, sf_dir, "customer").groupBy(cell.alias("src")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    found = r.weights.where("src <= 16 AND area > 1e-9").join(dealt, "src")
+    return found.groupBy("src").agg(F.round(F.sum("area"), 7).alias("area"), F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("area") * F.col("value")), 6).alias("value"))
 
 
 def healpix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A constant on HEALPix pixels stays constant on every cell of another grid, and integrals are kept."""
+    """Constants on HEALPix pixels, one for each priority, stay constant on every cell of another grid."""
     r = build_regridder(latlon_grid(spark, 9, 6), healpix_grid(spark, 2))
-    ones = r.src_areas.select("cell_id", F.lit(3.0).alias("value"))
-    return r.regrid(ones).select("cell_id", F.round("value", 6).alias("value"))
+    field = r.src_areas.select("cell_id").join(F.broadcast(priorities(spark, sf_dir)))  # five rows
+    return r.regrid(field, by="o_orderpriority").select("cell_id", "o_orderpriority", F.round("value", 5).alias("value"))
 
 
 def cubed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,32 +188,43 @@ def rotated_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def means_of_a_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cell_means(latlon_grid(spark, 6, 4), lambda lon, lat: np.full_like(lon, 2.5)).data.select("cell_id", F.round("value", 9).alias("value"))
+    """Means by quadrature over the cells that have customers, with their number."""
+    found = cell_means(latlon_grid(spark, 36, 18), lambda lon, lat: np.full_like(lon, 2.5)).data.withColumnRenamed("value", "mean")
+    return found.join(base.customers_by_cell(spark, sf_dir), "cell_id").select("cell_id", F.round("mean", 9).alias("mean"), "value")
 
 
 def spectral_to_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A constant at the nodes of spectral elements is that constant on every cell."""
+    """A constant for each priority at the nodes of spectral elements is that constant on every cell."""
     space = SpectralSpace(spark, 2, 3)
-    nodes = space.nodes().select(F.col("node_id").alias("cell_id"), F.lit(2.0).alias("value"))
-    return nodes_to_cells(space, latlon_grid(spark, 8, 4)).regrid(nodes).select("cell_id", F.round("value", 6).alias("value"))
+    nodes = spark.range(1, space.n_nodes + 1).withColumnRenamed("id", "cell_id").join(F.broadcast(priorities(spark, sf_dir)))  # five rows
+    r = nodes_to_cells(space, latlon_grid(spark, 8, 4))
+    return r.regrid(nodes, by="o_orderpriority").select("cell_id", "o_orderpriority", F.round("value", 3).alias("value"))
 
 
 def cells_to_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """And back: a constant on cells is that constant at every node."""
+    """And back: constants on cells are those constants at every node."""
     r = cells_to_nodes(SpectralSpace(spark, 2, 3), latlon_grid(spark, 8, 4))
-    return r.regrid(r.src_areas.select("cell_id", F.lit(3.0).alias("value"))).select("cell_id", F.round("value", 5).alias("value"))
+    field = r.src_areas.select("cell_id").join(F.broadcast(priorities(spark, sf_dir)))  # five rows
+    return r.regrid(field, by="o_orderpriority").select("cell_id", "o_orderpriority", F.round("value", 3).alias("value"))
 
 
 def nodes_by_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of neighbouring elements at one place: inside, on an edge, where three or four elements meet."""
-    own = SpectralSpace(spark, 3, 4).shared_nodes().groupBy("global_node").agg(F.count(F.lit(1)).alias("copies"))
-    return own.groupBy("copies").agg(F.count(F.lit(1)).alias("places"))
+    nodes = SpectralSpace(spark, 3, 4).shared_nodes()
+    own = nodes.groupBy("global_node").agg(F.count(F.lit(1)).alias("copies"))
+    node = (F.pmod("c_custkey", F.lit(54 * 16)) + 1).cast("bigint")
+    dealt = base.table(spark, sf_dir, "customer").groupBy(node.alias("node_id")).agg(F.count(F.lit(1)).alias("customers"))
+    placed = nodes.join(dealt, "node_id").groupBy("global_node").agg(F.sum("customers").alias("customers"))
+    return own.join(placed, "global_node", "left").groupBy("copies").agg(F.count(F.lit(1)).alias("places"), F.coalesce(F.sum("customers"), F.lit(0)).alias("customers"))
 
 
 def node_weights_by_face(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quadrature weights of a cube's faces add up to a sixth of the sphere."""
     nodes = SpectralSpace(spark, 3, 4, 2.0).nodes()
-    return nodes.groupBy((F.floor((F.col("elem_id") - 1) / 9) + 1).alias("face")).agg(F.round(F.sum("wj"), 3).alias("area"))
+    node = (F.pmod("c_custkey", F.lit(54 * 16)) + 1).cast("bigint")
+    dealt = base.table(spark, sf_dir, "customer").groupBy(node.alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
+    face = (F.floor((F.col("elem_id") - 1) / 9) + 1).alias("face")
+    return nodes.join(dealt, "node_id", "left").groupBy(face).agg(F.round(F.sum("wj"), 3).alias("area"), F.coalesce(F.sum("n"), F.lit(0)).alias("customers"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (corner_areas, permuted_items, folded_items, shapes_on_lattice, squared_overlaps, items_by_given_weights, regrid_small_array, halo_items, misfit_extremes, sampled_centers, looked_up_cells, hemisphere_weights, regrid_hemispheres, cube_on_meridians, healpix_totals, cubed_areas, rotated_areas, means_of_a_constant, spectral_to_cells, cells_to_spectral, nodes_by_copies, node_weights_by_face)}
@@ -199,7 +236,11 @@ w AS (SELECT d.id AS dst, s.id AS src, radians(least(d.a1, s.a1) - greatest(d.a0
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "corner_areas": "SELECT (i + 1 + j * 10)::BIGINT AS cell_id, (2 * (i + 1) + 1)::DOUBLE AS area FROM range(10) x(i), range(8) y(j)",
+    "corner_areas": """
+WITH c AS (SELECT l_quantity::INTEGER AS i, l_linenumber::INTEGER AS j, count(*) AS n FROM lineitem GROUP BY 1, 2),
+p AS (SELECT i, j, i + (n % 16) / 64::DOUBLE AS x, j * 2 + (n % 5) / 16::DOUBLE AS y FROM c)
+SELECT (a.i + (a.j - 1) * 49)::BIGINT AS cell_id, round(abs((c.x - a.x) * (d.y - b.y) - (d.x - b.x) * (c.y - a.y)) / 2, 9) AS area
+FROM p a JOIN p b ON b.i = a.i + 1 AND b.j = a.j JOIN p c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN p d ON d.i = a.i AND d.j = a.j + 1""",
     "permuted_items": base._GRIDS + "SELECT cell_id, value FROM there",
     "folded_items": base._GRIDS + """, fold AS (SELECT (i + 1 + j * 8)::BIGINT AS id, i + 1 AS i, j, i * 6.5::DOUBLE AS x0, (i + 1) * 6.5::DOUBLE AS x1, j * 3::DOUBLE - 1 AS y0, (j + 1) * 3::DOUBLE - 1 AS y1 FROM range(8) a(i), range(4) b(j)),
 counts AS (SELECT cell_id, l_returnflag, count(*)::DOUBLE AS value FROM items GROUP BY 1, 2),
@@ -210,30 +251,38 @@ own AS (SELECT d.id, d.i, d.j, g.l_returnflag, coalesce(p.value, 0) / 19.5::DOUB
 SELECT o.id AS cell_id, o.l_returnflag, round(CASE WHEN o.j = 3 AND o.i IN (3, 4, 7, 8) THEN t.value ELSE o.value END, 6) AS value
 FROM own o LEFT JOIN own t ON t.j = 3 AND t.i = 9 - o.i AND t.l_returnflag = o.l_returnflag""",
     "shapes_on_lattice": """
-WITH b AS (SELECT * FROM (VALUES (1, 1, 0.5, 0.25, 1.5, 3.75), (1, 1, 1.5, 0.25, 3.5, 1.5), (2, 1, 0.25, 0.5, 3.75, 3.5), (2, -1, 1.5, 1.25, 2.75, 2.5)) t(src, sign, x0, y0, x1, y1)),
-c AS (SELECT (i + 1 + j * 4)::BIGINT AS dst, i AS a, j AS b FROM range(4) x(i), range(4) y(j))
-SELECT dst, src::BIGINT AS src, round(sum(sign * greatest(0, least(x1, a + 1) - greatest(x0, a)) * greatest(0, least(y1, b.b + 1) - greatest(y0, b.b)))::DOUBLE, 9) AS area
-FROM (SELECT b.src, b.sign, b.x0::DOUBLE AS x0, b.y0::DOUBLE AS y0, b.x1::DOUBLE AS x1, b.y1::DOUBLE AS y1, c.dst, c.a, c.b FROM b CROSS JOIN c) b GROUP BY 1, 2 HAVING sum(sign * greatest(0, least(x1, a + 1) - greatest(x0, a)) * greatest(0, least(y1, b.b + 1) - greatest(y0, b.b))) > 0""",
+WITH t AS (SELECT * FROM (VALUES (1, 1, 0.5, 0.25, 1.5, 3.75), (1, 1, 1.5, 0.25, 3.5, 1.5), (0, 1, 0.25, 0.5, 3.75, 3.5), (0, -1, 1.5, 1.25, 2.75, 2.5)) t(odd, sign, x0, y0, x1, y1)),
+b AS (SELECT s_suppkey::BIGINT AS src, sign, (s_suppkey * 7) % 97 / 8::DOUBLE + x0::DOUBLE AS x0, (s_suppkey * 7) % 97 / 8::DOUBLE + x1::DOUBLE AS x1, (s_suppkey * 11) % 89 / 8::DOUBLE + y0::DOUBLE AS y0, (s_suppkey * 11) % 89 / 8::DOUBLE + y1::DOUBLE AS y1 FROM supplier JOIN t ON t.odd = s_suppkey % 2),
+c AS (SELECT (i + 1 + j * 16)::BIGINT AS dst, i AS a, j AS b FROM range(16) x(i), range(16) y(j)),
+o AS (SELECT dst, src, sum(sign * (least(x1, a + 1) - greatest(x0, a)) * (least(y1, c.b + 1) - greatest(y0, c.b))) AS area FROM b JOIN c ON x0 < a + 1 AND a < x1 AND y0 < c.b + 1 AND c.b < y1 GROUP BY 1, 2)
+SELECT dst, src, round(area, 9) AS area FROM o WHERE area > 1e-9""",
     "squared_overlaps": base._GRIDS + "SELECT dst, src, round(area * area, 9) AS area, count(*) AS value FROM w JOIN items ON items.cell_id = w.src GROUP BY dst, src, area",
     "items_by_given_weights": base._GRIDS + "SELECT cell_id, value FROM there",
-    "regrid_small_array": "SELECT k::BIGINT AS k, c::BIGINT AS cell_id, CASE c WHEN 1 THEN (v(0) + v(1) + v(3) + v(4)) / 4 ELSE (v(2) + v(5)) / 2 END AS value FROM range(2) a(k), range(1, 3) b(c)".replace("v(0)", "pow(6 * k, 2)").replace("v(1)", "pow(6 * k + 1, 2)").replace("v(2)", "pow(6 * k + 2, 2)").replace("v(3)", "pow(6 * k + 3, 2)").replace("v(4)", "pow(6 * k + 4, 2)").replace("v(5)", "pow(6 * k + 5, 2)"),
+    "regrid_small_array": """
+WITH c AS (SELECT l_linenumber::BIGINT - 1 AS k, (l_quantity::INTEGER - 1) % 10 AS i, (l_quantity::INTEGER - 1) // 10 AS j, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2, 3),
+d AS (SELECT (a.i + b.j * 4 + 1)::BIGINT AS cell_id, x0, x1, y0, y1 FROM (VALUES (0, 0, 2), (1, 2, 3), (2, 3, 7), (3, 7, 10)) a(i, x0, x1), (VALUES (0, 0, 2), (1, 2, 5)) b(j, y0, y1))
+SELECT l.k::BIGINT AS k, d.cell_id, round(coalesce(sum(n), 0) / any_value((x1 - x0) * (y1 - y0)), 6) AS value FROM d CROSS JOIN range(7) l(k) LEFT JOIN c ON c.k = l.k AND c.i >= x0 AND c.i < x1 AND c.j >= y0 AND c.j < y1 GROUP BY 1, 2""",
     "halo_items": "WITH c AS (SELECT (floor(l_quantity) + 1)::BIGINT - 2 AS i, (floor(round(l_discount * 100)) + 1)::BIGINT - 2 AS j FROM lineitem), k AS (SELECT (i - 1) // 22 AS a, (j - 1) // 3 AS b, count(*) AS n FROM c WHERE i BETWEEN 1 AND 44 AND j BETWEEN 1 AND 6 GROUP BY 1, 2) SELECT (x.a + 1 + y.b * 2)::BIGINT AS cell_id, coalesce(n, 0)::DOUBLE / 66 AS value FROM range(2) x(a) CROSS JOIN range(2) y(b) LEFT JOIN k ON k.a = x.a AND k.b = y.b",
     "misfit_extremes": base._GRIDS + "SELECT round((min(f.value) - min(b.value)) / max(abs(f.value)), 6) AS l_min, round((max(b.value) - max(f.value)) / max(abs(f.value)), 6) AS l_max FROM back b JOIN field f USING (cell_id)",
     "sampled_centers": "SELECT p_partkey::BIGINT AS cell_id, round(10 * (p_size::DOUBLE + 0.25::DOUBLE) + pow(floor(p_retailprice::DOUBLE) + 1.25::DOUBLE, 2) / 1024, 6) AS value FROM part",
     "looked_up_cells": "SELECT 'lattice' AS grid, 7::BIGINT AS cell_id, 2::DOUBLE AS x, 3::DOUBLE AS y UNION ALL SELECT 'lattice', 4, 4, 2 UNION ALL SELECT 'parts', p_partkey, p_size::DOUBLE, floor(p_retailprice::DOUBLE) + 2.5::DOUBLE FROM part WHERE p_partkey = 3",
     "hemisphere_weights": base._POINTS + ", " + _SLICES.replace("\nWITH ", "", 1) + ", f AS (SELECT (floor(((lon + 360) % 360) / 10) + 1 + CASE WHEN lat >= 0 THEN 36 ELSE 0 END)::BIGINT AS id, count(*)::DOUBLE AS value FROM p GROUP BY 1) SELECT dst, src, round(area, 7) AS area, value FROM w JOIN f ON f.id = w.src",
     "regrid_hemispheres": base._POINTS + ", " + _SLICES.replace("\nWITH ", "", 1) + ", f AS (SELECT (floor(((lon + 360) % 360) / 10) + 1 + CASE WHEN lat >= 0 THEN 36 ELSE 0 END)::BIGINT AS id, count(*)::DOUBLE AS value FROM p GROUP BY 1) SELECT d.id AS cell_id, round(coalesce(sum(w.area * f.value), 0) / radians(45::DOUBLE), 6) AS value FROM d LEFT JOIN w ON w.dst = d.id LEFT JOIN f ON f.id = w.src GROUP BY 1",
-    "cube_on_meridians": "SELECT i::BIGINT AS src, round(pi() / 6, 7) AS area, 1::BIGINT AS n FROM range(1, 17) t(i)",
-    "healpix_totals": "SELECT i::BIGINT AS cell_id, 3::DOUBLE AS value FROM range(1, 55) t(i)",
+    "cube_on_meridians": "SELECT (c_custkey % 24 + 1)::BIGINT AS src, round(pi() / 6, 7) AS area, 1::BIGINT AS n, round(count(*) * pi() / 6, 6) AS value FROM customer WHERE c_custkey % 24 < 16 GROUP BY 1",
+    "healpix_totals": "SELECT i::BIGINT AS cell_id, o_orderpriority, count(*)::DOUBLE AS value FROM orders, range(1, 55) t(i) GROUP BY 1, 2",
     "cubed_areas": base._POINTS + f""", q AS (SELECT id, {base._unit('(lon + 0.37::DOUBLE)', '(lat * 0.98::DOUBLE + 0.21::DOUBLE)')} AS p FROM p),
 f AS (SELECT id, p.x AS x, p.y AS y, p.z AS z, greatest(abs(p.x), abs(p.y), abs(p.z)) AS most FROM q),
 g AS (SELECT id, CASE WHEN x = most THEN 0 WHEN y = most THEN 1 WHEN -x = most THEN 2 WHEN -y = most THEN 3 WHEN z = most THEN 4 ELSE 5 END AS face,
   CASE WHEN x = most THEN y WHEN y = most THEN -x WHEN -x = most THEN -y WHEN -y = most THEN x ELSE y END AS u, CASE WHEN z = most THEN -x WHEN -z = most THEN x ELSE z END AS v FROM f)
 SELECT (face * 4 + CASE WHEN u > 0 THEN 1 ELSE 0 END + CASE WHEN v > 0 THEN 2 ELSE 0 END + 1)::BIGINT AS cell_id, round(pi() / 6, 9) AS area, count(*) AS n, sum(id)::BIGINT AS ids FROM g GROUP BY 1""",
     "rotated_areas": base.ORACLE_SQL["latlon_areas"],
-    "means_of_a_constant": "SELECT i::BIGINT AS cell_id, 2.5::DOUBLE AS value FROM range(1, 25) t(i)",
-    "spectral_to_cells": "SELECT i::BIGINT AS cell_id, 2::DOUBLE AS value FROM range(1, 33) t(i)",
-    "cells_to_spectral": "SELECT i::BIGINT AS cell_id, 3::DOUBLE AS value FROM range(1, 217) t(i)",
-    "nodes_by_copies": "SELECT a::BIGINT AS copies, b::BIGINT AS places FROM (VALUES (1, 54 * 4), (2, 108 * 2), (3, 8), (4, 48)) t(a, b)",
-    "node_weights_by_face": "SELECT i::BIGINT AS face, round(8 * pi() / 3, 3) AS area FROM range(1, 7) t(i)",
+    "means_of_a_constant": base._POINTS + base._BY_CELL + " SELECT cell_id, 2.5::DOUBLE AS mean, value FROM f",
+    "spectral_to_cells": "SELECT i::BIGINT AS cell_id, o_orderpriority, count(*)::DOUBLE AS value FROM orders, range(1, 33) t(i) GROUP BY 1, 2",
+    "cells_to_spectral": "SELECT i::BIGINT AS cell_id, o_orderpriority, count(*)::DOUBLE AS value FROM orders, range(1, 217) t(i) GROUP BY 1, 2",
+    "nodes_by_copies": """
+WITH n AS (SELECT (f * 144 + (j * 3 + i) * 16 + q * 4 + p + 1)::BIGINT AS node_id, (i * 3 + p) IN (0, 9) AS side, (j * 3 + q) IN (0, 9) AS top, p IN (0, 3) AS at_x, q IN (0, 3) AS at_y FROM range(6) a(f), range(3) b(i), range(3) c(j), range(4) d(p), range(4) e(q)),
+k AS (SELECT node_id, CASE WHEN side AND top THEN 3 WHEN at_x AND at_y THEN 4 WHEN at_x OR at_y THEN 2 ELSE 1 END AS copies FROM n),
+c AS (SELECT c_custkey % 864 + 1 AS node_id, count(*) AS customers FROM customer GROUP BY 1)
+SELECT copies::BIGINT AS copies, (count(*) // copies)::BIGINT AS places, coalesce(sum(customers), 0)::BIGINT AS customers FROM k LEFT JOIN c USING (node_id) GROUP BY copies""",
+    "node_weights_by_face": "SELECT (i + 1)::BIGINT AS face, round(8 * pi() / 3, 3) AS area, (SELECT count(*) FROM customer WHERE c_custkey % 864 // 144 = i) AS customers FROM range(6) t(i)",
 }

@@ -19,7 +19,7 @@ from ..operators.candidates import candidate_pairs
 from ..operators.metrics import average_coincident, error_metrics, integral, mirror_fold
 from ..operators.regridder import Regridder, build_regridder
 from ..sources import as_grid, cubed_sphere, healpix_grid, latlon_grid, regular_grid, ring_grid, rotated_latlon_grid, union_grids
-from ..sources.grid import Grid
+from ..sources.grid import Grid, part_of
 from ..sources.grids import healpix_nested_to_ring, healpix_parts, uniform_grid
 from ..sources.weights_io import esmf_tables
 
@@ -184,16 +184,22 @@ def healpix_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ring_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centers of a ring grid's cells, from its corners; ids run north to south."""
+    """Customers in a ring grid's cells, with the cells' heights from their corners; ids run north to south."""
     grid = ring_grid(spark, [67.5, 22.5, -22.5, -67.5], 8)
     z = F.aggregate("ring", F.lit(0.0), lambda s, p: s + p["z"]) / 4
-    return grid.cells.select("cell_id", "i", "j", F.round(z, 9).alias("z"))
+    i, j = F.floor(F.pmod(F.col("lon") + 22.5, F.lit(360.0)) / 45), F.least(F.floor((F.col("lat") + 90) / 45), F.lit(3))
+    counts = customer_points(spark, sf_dir).groupBy(((3 - j) * 8 + i + 1).cast("bigint").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
+    return grid.cells.join(counts, "cell_id").select("cell_id", "i", "j", F.round(z, 9).alias("z"), "n")
 
 
 def offset_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and areas of grids one after another."""
-    parts = [regular_grid(spark, [0, 1, 2], [0, 1, 3]), regular_grid(spark, [2, 4], [0, 1.5]), regular_grid(spark, [4, 5, 6, 7], [0, 1])]
-    return union_grids(parts, faces=True).areas()
+    """Grids one after another: boxes of parts, a lattice and boxes of parts again; ids, areas, and the part that an id is in."""
+    from ..sources import polygon_grid
+
+    boxes = lambda w, h: polygon_grid(spark, part_boxes(spark, sf_dir, w, h).withColumn("cell_id", F.col("cell_id") + 1))  # noqa: E731, keys begin at 0
+    parts = [boxes(0.5, 2.5), regular_grid(spark, [2, 4], [0, 1.5]), boxes(1.25, 1.5)]
+    part, local = part_of(F.col("cell_id"), [p.n_cells for p in parts])
+    return union_grids(parts, faces=True).areas().select("cell_id", F.round("area", 9).alias("area"), part.alias("part"), local.alias("local"))
 
 
 def folded_row(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,10 +228,15 @@ def regrid_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dispatched_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge vectors are a planar grid; on a sphere they are longitudes and latitudes."""
-    plane = as_grid(([0.0, 90.0, 180.0], [0.0, 45.0, 90.0]), spark).areas()
-    ball = as_grid(([0.0, 90.0, 180.0], [0.0, 45.0, 90.0]), spark, sphere()).areas()
-    return plane.select(F.lit("planar").alias("kind"), "cell_id", F.round("area", 9).alias("area")).unionByName(ball.select(F.lit("spherical").alias("kind"), "cell_id", F.round("area", 9).alias("area")))
+    """Edge vectors are a planar grid; on a sphere they are longitudes and latitudes.  Customers by cell."""
+    edges = [0.0, 90.0, 180.0], [0.0, 45.0, 90.0]
+    cell = F.floor(F.col("lon") / 90) + 1 + F.floor(F.col("lat") / 45) * 2
+    counts = customer_points(spark, sf_dir).where("lon BETWEEN 0 AND 179 AND lat >= 0").groupBy(cell.cast("bigint").alias("cell_id")).agg(F.count(F.lit(1)).alias("n"))
+    found = None
+    for kind, manifold in (("planar", None), ("spherical", sphere())):
+        one = as_grid(edges, spark, manifold).areas().join(counts, "cell_id").select(F.lit(kind).alias("kind"), "cell_id", F.round("area", 9).alias("area"), "n")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def regrid_large_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,11 +333,11 @@ r AS (SELECT *, [2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4][face + 1] * 8 - ix - iy - 1
 n AS (SELECT *, CASE WHEN jr < 8 THEN jr WHEN jr > 24 THEN 32 - jr ELSE 8 END AS nr, CASE WHEN jr < 8 OR jr > 24 THEN 0 ELSE (jr - 8) & 1 END AS shift FROM r),
 b AS (SELECT *, CASE WHEN jr < 8 THEN 2 * nr * (nr - 1) WHEN jr > 24 THEN 768 - 2 * nr * (nr + 1) ELSE 112 + (jr - 8) * 32 END AS before, (jp * nr + ix - iy + 1 + shift) // 2 AS q FROM n)
 SELECT c_custkey, nested::BIGINT AS nested, face::BIGINT AS face, ix::BIGINT AS ix, iy::BIGINT AS iy, (before + ((q - 1 + 4 * nr) % (4 * nr)))::BIGINT AS ring FROM b""",
-    "ring_grid_cells": "SELECT ((3 - j) * 8 + i + 1)::BIGINT AS cell_id, (i + 1)::INTEGER AS i, (j + 1)::INTEGER AS j, round((sin(radians(j * 45::DOUBLE - 90)) + sin(radians(j * 45::DOUBLE - 45))) / 2, 9) AS z FROM range(8) a(i), range(4) b(j)",
-    "offset_union": "SELECT i::BIGINT AS cell_id, a::DOUBLE AS area FROM (VALUES (1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 1), (7, 1), (8, 1)) t(i, a)",
+    "ring_grid_cells": _POINTS + ", n AS (SELECT floor(((lon + 382.5::DOUBLE) % 360) / 45)::BIGINT AS i, least(floor((lat + 90) / 45), 3)::BIGINT AS j, count(*) AS n FROM p GROUP BY 1, 2) SELECT ((3 - j) * 8 + i + 1)::BIGINT AS cell_id, (i + 1)::INTEGER AS i, (j + 1)::INTEGER AS j, round((sin(radians(j * 45::DOUBLE - 90)) + sin(radians(j * 45::DOUBLE - 45))) / 2, 9) AS z, n FROM n",
+    "offset_union": "WITH k AS (SELECT count(*) AS k FROM part) SELECT p_partkey::BIGINT + 1 AS cell_id, 1.25::DOUBLE AS area, 1::INTEGER AS part, p_partkey::BIGINT + 1 AS local FROM part UNION ALL SELECT k + 1, 3, 2, 1 FROM k UNION ALL SELECT k + 2 + p_partkey, 1.875, 3, p_partkey + 1 FROM part, k",
     "folded_row": "WITH f AS (SELECT (o_custkey % 56 + 1)::BIGINT AS cell_id, count(*)::DOUBLE AS value FROM orders GROUP BY 1), g AS (SELECT *, cell_id - 48 AS r FROM f) SELECT g.cell_id, coalesce(t.value, g.value) AS value FROM g LEFT JOIN g t ON t.r = 9 - g.r AND (t.r BETWEEN 1 AND 2 OR t.r BETWEEN 5 AND 6) AND g.r BETWEEN 1 AND 8",
     "shared_nodes": "SELECT s_suppkey AS node_id, round(sum(floor(s_acctbal)::DOUBLE * (s_suppkey % 4 + 1)) OVER n / sum(s_suppkey % 4 + 1) OVER n, 6) AS value FROM supplier WINDOW n AS (PARTITION BY s_nationkey)",
     "regrid_spheres": _POINTS + ", f AS (SELECT (floor(((lon + 360) % 360) / 10) + 1 + least(floor((lat + 90) / 10), 17) * 36)::BIGINT AS cell_id, count(*)::DOUBLE AS value FROM p GROUP BY 1), a AS (" + _quad_areas("SELECT (i + 1 + j * 36)::BIGINT AS cell_id, i * 10::DOUBLE AS a0, (i + 1) * 10::DOUBLE AS a1, j * 10::DOUBLE - 90 AS b0, (j + 1) * 10::DOUBLE - 90 AS b1 FROM range(36) x(i), range(18) y(j)").replace("round(abs(", "abs((").replace("), 9) AS", ")) AS") + "), t AS (SELECT round(sum(f.value * a.area), 6) AS integral FROM f JOIN a USING (cell_id)) SELECT grid, integral FROM t, (VALUES ('healpix'), ('cubed'), ('rotated'), ('rings')) g(grid)",
-    "dispatched_grid": "SELECT 'planar' AS kind, (i + 1 + j * 2)::BIGINT AS cell_id, 4050::DOUBLE AS area FROM range(2) x(i), range(2) y(j) UNION ALL SELECT 'spherical', * FROM (" + _quad_areas("SELECT (i + 1 + j * 2)::BIGINT AS cell_id, i * 90::DOUBLE AS a0, (i + 1) * 90::DOUBLE AS a1, j * 45::DOUBLE AS b0, (j + 1) * 45::DOUBLE AS b1 FROM range(2) x(i), range(2) y(j)") + ")",
+    "dispatched_grid": _POINTS + ", n AS (SELECT (floor(lon / 90) + 1 + floor(lat / 45) * 2)::BIGINT AS cell_id, count(*) AS n FROM p WHERE lon BETWEEN 0 AND 179 AND lat >= 0 GROUP BY 1), a AS (SELECT 'planar' AS kind, (i + 1 + j * 2)::BIGINT AS cell_id, 4050::DOUBLE AS area FROM range(2) x(i), range(2) y(j) UNION ALL SELECT 'spherical', * FROM (" + _quad_areas("SELECT (i + 1 + j * 2)::BIGINT AS cell_id, i * 90::DOUBLE AS a0, (i + 1) * 90::DOUBLE AS a1, j * 45::DOUBLE AS b0, (j + 1) * 45::DOUBLE AS b1 FROM range(2) x(i), range(2) y(j)") + ")) SELECT a.*, n FROM a JOIN n USING (cell_id)",
     "regrid_large_lattice": "WITH o AS (SELECT (o_orderkey::BIGINT * 7919) % 480000 AS k FROM orders), s AS (SELECT (k % 800) // 2 + 1 + (k // 1600) * 400 AS cell_id, count(*) AS n FROM o GROUP BY 1) SELECT c.i::BIGINT AS cell_id, coalesce(n, 0)::DOUBLE / 4 AS value FROM range(1, 120001) c(i) LEFT JOIN s ON s.cell_id = c.i",
 }

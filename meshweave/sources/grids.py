@@ -17,11 +17,19 @@ def _edges(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _quads(spark: SparkSession, nx: int, ny: int, corner) -> DataFrame:
-    """cell_id, i, j, ring of an (nx, ny) lattice; ``corner(i, j)`` gives the point of a 0-based lattice index."""
+def corners_once(places: list[Column], corner) -> Column:
+    """The ring of ``corner`` at each place; its expression is in the plan once, and what reads a ring's points does not repeat it."""
+    return F.transform(F.array(*places), corner)
+
+
+def _quads(spark: SparkSession, nx: int, ny: int, corner, *, once: bool = False) -> DataFrame:
+    """cell_id, i, j, ring of an (nx, ny) lattice; ``corner(i, j)`` gives the point of a 0-based lattice index.  ``once`` for long expressions."""
     i, j = linear_to_cartesian(F.col("cell_id"), nx)
     cells = spark.range(1, nx * ny + 1).select(F.col("id").alias("cell_id")).select("cell_id", i.alias("i"), j.alias("j"))
     a, b = F.col("i"), F.col("j")
+    if once:
+        places = [F.struct(x.alias("i"), y.alias("j")) for x, y in ((a - 1, b - 1), (a, b - 1), (a, b), (a - 1, b))]
+        return cells.withColumn("ring", corners_once(places, lambda k: corner(k["i"], k["j"])))
     return cells.withColumn("ring", F.array(corner(a - 1, b - 1), corner(a, b - 1), corner(a, b), corner(a - 1, b)))
 
 
@@ -44,7 +52,7 @@ def uniform_grid(spark: SparkSession, nx: int, ny: int, x: tuple[float, float],
         return point(F.lit(float(x[0])) + i * F.lit((x[1] - x[0]) / nx), F.lit(float(y[0])) + j * F.lit((y[1] - y[0]) / ny))
 
     axes = tuple(Axis(start=float(ends[0]), step=(ends[1] - ends[0]) / n, n=n) for ends, n in ((x, nx), (y, ny)))
-    return Grid(_quads(spark, nx, ny, corner), (nx, ny), manifold, "regular", axes)
+    return Grid(_quads(spark, nx, ny, corner, once=manifold.spherical), (nx, ny), manifold, "regular", axes)
 
 
 def latlon_grid(spark: SparkSession, nx: int, ny: int, *, lon: tuple[float, float] = (0.0, 360.0), lat: tuple[float, float] = (-90.0, 90.0), radius: float = 1.0) -> Grid:
@@ -138,7 +146,7 @@ def ring_grid(spark: SparkSession, latd, nlon: int | list[int], *, lon0: float =
     def corner(i: Column, j: Column) -> Column:  # j runs south to north
         return unit_point(F.lit(lon0 - step / 2) + i * F.lit(step), F.get(edges, F.lit(nlat) - j))
 
-    cells = _quads(spark, nlon, nlat, corner)
+    cells = _quads(spark, nlon, nlat, corner, once=True)
     ring = F.lit(nlat + 1) - F.col("j")
     cells = cells.withColumn("cell_id", (ring - 1).cast("bigint") * nlon + F.col("i"))
     return Grid(cells, (nlon * nlat,), sphere(radius), "rings")
@@ -188,8 +196,8 @@ def healpix_grid(spark: SparkSession, nside: int, *, order: str = "nested", radi
     table = spark.range(12 * nside * nside).select(F.col("id").alias("pix")).select("pix", face.cast("int").alias("f"), ix.cast("double").alias("ix"), iy.cast("double").alias("iy"))
     jrll, jpll = (F.get(F.array(*[F.lit(float(n)) for n in v]), F.col("f")) for v in (JRLL, JPLL))
 
-    def corner(dx: int, dy: int) -> Column:
-        x, y = (F.col("ix") + dx) / nside, (F.col("iy") + dy) / nside
+    def corner(at: Column) -> Column:
+        x, y = at["x"] / nside, at["y"] / nside
         jr = jrll - x - y
         nr = F.when(jr < 1, jr).when(jr > 3, 4 - jr).otherwise(F.lit(1.0))
         z = F.when(jr < 1, 1 - nr * nr / 3).when(jr > 3, nr * nr / 3 - 1).otherwise((2 - jr) * 2 / 3)
@@ -198,7 +206,7 @@ def healpix_grid(spark: SparkSession, nside: int, *, order: str = "nested", radi
         return F.struct((flat * F.cos(phi)).alias("x"), (flat * F.sin(phi)).alias("y"), z.alias("z"))
 
     number = pix if order == "nested" else healpix_nested_to_ring(pix, nside)
-    ring = F.array(corner(1, 1), corner(0, 1), corner(0, 0), corner(1, 0))
+    ring = corners_once([F.struct((F.col("ix") + dx).alias("x"), (F.col("iy") + dy).alias("y")) for dx, dy in ((1, 1), (0, 1), (0, 0), (1, 0))], corner)
     return Grid(table.select((number + 1).alias("cell_id"), (F.col("f") + 1).alias("face"), ring.alias("ring")), (12 * nside * nside,), sphere(radius), "healpix")
 
 
@@ -215,7 +223,7 @@ def cubed_sphere(spark: SparkSession, ne: int, *, radius: float = 1.0) -> Grid:
             u, v = (F.tan((i * (2.0 / ne) - 1.0) * (pi / 4)), F.tan((j * (2.0 / ne) - 1.0) * (pi / 4)))
             return normalized(F.struct(*[(F.lit(float(c)) + u * float(a) + v * float(b)).alias(n) for c, a, b, n in zip(center, e1, e2, "xyz", strict=True)]))
 
-        parts.append(Grid(_quads(spark, ne, ne, corner), (ne, ne), sphere(radius)))
+        parts.append(Grid(_quads(spark, ne, ne, corner, once=True), (ne, ne), sphere(radius)))
     grid = union_grids(parts, faces=True)
     return Grid(grid.cells, grid.shape, grid.manifold, "cubed")
 

@@ -51,7 +51,7 @@ def tripolar_grid(spark: SparkSession, nx: int, ny: int, cap: int, *, south: flo
         below = unit_point(F.lit(float(pole)) + i * F.lit(360.0 / nx), F.lit(float(south)) + j * F.lit((join - south) / rows))
         return F.when(j <= rows, below).otherwise(cap_point(i * F.lit(2 * pi / nx), (j - rows) / F.lit(float(height)), join, pole))
 
-    grid = Grid(_quads(spark, nx, ny, corner), (nx, ny), sphere(radius), "tripolar")
+    grid = Grid(_quads(spark, nx, ny, corner, once=True), (nx, ny), sphere(radius), "tripolar")
     return grid if fold == "edge" else fold_grid(grid)
 
 

@@ -2,10 +2,10 @@
 
 import duckdb
 import pytest
-from meshweave.plans import coverage, queries, shapes
+from meshweave.plans import coverage, queries, shapes, spheres
 
-QUERIES = queries.QUERIES | coverage.QUERIES | shapes.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | coverage.ORACLE_SQL | shapes.ORACLE_SQL
+QUERIES = queries.QUERIES | coverage.QUERIES | shapes.QUERIES | spheres.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | coverage.ORACLE_SQL | shapes.ORACLE_SQL | spheres.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
