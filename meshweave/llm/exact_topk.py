@@ -4,7 +4,10 @@ Every row's distances to a set of pivots are computed once.  By the triangle
 inequality the largest difference of a query's and a row's distances to a pivot is
 a lower bound of their own distance, hence an upper bound of their score.  A
 query evaluates rows in bound order and stops once no bound reaches its k-th
-best score.  A first floor under that score comes from a sample of the rows, the same
+best score.  All distances together say more than the largest difference: they fix the two
+points' projections onto the pivots' span, and what is left of their product is at most the product
+of what is left of their lengths.  Rows that single pivots leave are bounded so.  A first floor under
+the k-th best score comes from a sample of at most a tenth of the rows, the same
 for all tasks; only rows that reach it leave a task.
 
 Largest inner product is made a nearest-point question by one more coordinate,
@@ -26,8 +29,10 @@ from .vectors import best, matrix, usable
 #: Pivots for a dimension; fixed, so their vectors can go to every task.
 PIVOTS = 48
 ROWS_IN_BLOCK, QUERIES_IN_BLOCK = 8192, 512
-#: Rows of a dimension, by a hash of their ids, among which a query's first k-th best score is found.
-FLOOR_ROWS = 4096
+#: Rows of a dimension, by a hash of their ids, among which a query's first k-th best score is found: a tenth of them, and no more than this.
+FLOOR_ROWS, FLOOR_PART = 4096, 10
+#: Directions of the pivots' span that matter, as part of the largest eigenvalue, and what rounding may take from a squared length.
+SPAN, ROUNDING = 1e-6, 1e-10
 #: Rows that a query evaluates at first; doubled until it may stop.
 FIRST_ROWS = 64
 
@@ -47,6 +52,20 @@ def pivot_distances(x: np.ndarray, norms: np.ndarray, pivots: np.ndarray, most:
     return np.sqrt(np.maximum(0, length[:, None] + most - 2 * (x @ pivots.T) - 2 * own[:, None] * theirs[None, :]))
 
 
+def span_of(pivots: np.ndarray, most: float) -> np.ndarray:
+    """(pivot, direction): turns products with the pivots into coordinates along an orthonormal basis of their span."""
+    own = np.sqrt(np.maximum(0, most - (pivots * pivots).sum(1)))
+    size, along = np.linalg.eigh(pivots @ pivots.T + own[:, None] * own[None, :])
+    kept = size > SPAN * max(size.max(initial=0), 1e-300)
+    return along[:, kept] / np.sqrt(size[kept])
+
+
+def projected(far: np.ndarray, length: np.ndarray, most: float, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates in the pivots' span, from squared lengths and distances (point, pivot), and the length of what is outside."""
+    y = (length[:, None] + most - far * far) / 2 @ span
+    return y, np.sqrt(np.maximum(0, length - (y * y).sum(1)) + ROUNDING * most)
+
+
 def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int = 1024, pivots: int = PIVOTS, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score (long): each query's k largest integer inner products.
 
@@ -61,12 +80,14 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
     vectors = usable(rows, key, vector).withColumn("dim", F.size("vec"))
     vectors = vectors.select("vec_id", "dim", F.transform("vec", lambda x: F.floor(x * scale).cast("bigint")).alias("vec"))
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    largest = {r["dim"]: r["most"] for r in vectors.groupBy("dim").agg(F.max(square).alias("most")).collect()}
+    sizes = vectors.groupBy("dim").agg(F.max(square).alias("most"), F.count(F.lit(1)).alias("n")).collect()  # a row a dimension
+    largest, counts = ({r["dim"]: r[c] for r in sizes} for c in ("most", "n"))
     chosen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in largest:  # by a hash of the id, so that every run has the same ones
-        own = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(max(pivots, FLOOR_ROWS)).collect()
+        own = vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(max(pivots, min(FLOOR_ROWS, counts[dim] // FLOOR_PART))).collect()
         chosen[dim] = np.array([r["vec"] for r in own], np.int64), np.array([r["vec_id"] for r in own])
-    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+    spans = {dim: span_of(sample[:pivots].astype(np.float64), largest[dim]) for dim, (sample, _) in chosen.items()}
+    shared = rows.sparkSession.sparkContext.broadcast((chosen, spans))
 
     def measure(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,9 +96,9 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
                 for dim in np.unique(dims):
                     part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                     x = matrix(part.column("vec"))
-                    d = pivot_distances(x, (x * x).sum(1), shared.value[int(dim)][0][:pivots].astype(np.float64), largest[int(dim)], query)
+                    d = pivot_distances(x, (x * x).sum(1), shared.value[0][int(dim)][0][:pivots].astype(np.float64), largest[int(dim)], query)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
-                    sample, names = shared.value[int(dim)]
+                    sample, names = (v[: counts[int(dim)] // FLOOR_PART] for v in shared.value[0][int(dim)])
                     floor = [floor_of(v, i, sample, names, k) for v, i in zip(x.astype(np.int64), part.column("vec_id").to_pylist(), strict=True)] if query else np.zeros(len(x), np.int64)
                     yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("dim"), part.column("vec"), lists, pa.array(floor, pa.int64())], ["vec_id", "dim", "vec", "far", "floor"])
 
@@ -100,18 +121,24 @@ def exact_top_k(rows: DataFrame, is_query: Column, *, k: int = 10, scale: int =
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if found.num_rows and queries.num_rows:
             x, ids = matrix(found.column("vec")).astype(np.int64), found.column("vec_id").to_numpy()
-            far = np.ascontiguousarray(matrix(found.column("far")).T)
-            most = largest[found.column("dim")[0].as_py()]
+            dim = found.column("dim")[0].as_py()
+            most, span = largest[dim], shared.value[1][dim]
             q = matrix(queries.column("query")).astype(np.int64)
-            floors = queries.column("floor").to_numpy()
-            for v, d, i, floor in zip(q, matrix(queries.column("query_far")), queries.column("query_id").to_numpy(), floors, strict=True):
+            asked_far, lengths = matrix(queries.column("query_far")), (q.astype(np.float64) ** 2).sum(1)
+            rows_far = matrix(found.column("far"))
+            y, rest = projected(rows_far, np.full(len(x), most), most, span)
+            query_y, query_rest = projected(asked_far, lengths, most, span)
+            far = np.ascontiguousarray(rows_far.T)
+            names, floors = (queries.column(c).to_numpy() for c in ("query_id", "floor"))
+            for v, d, length, i, floor, along, outside in zip(q, asked_far, lengths, names, floors, query_y, query_rest, strict=True):
                 bound = np.abs(far[0] - d[0])
                 for p in range(1, len(far)):
                     np.maximum(bound, np.abs(far[p] - d[p]), out=bound)
-                length = float((v.astype(np.float64) ** 2).sum())
-                upper = (length + most - bound * bound) / 2
-                upper += 1e-9 * (length + most) + 1e-6
+                slack = 1e-9 * (length + most) + 1e-6
+                upper = (length + most - bound * bound) / 2 + slack
                 upper[ids == i] = -np.inf
+                left = np.flatnonzero(upper >= floor)
+                upper[left] = np.minimum(upper[left], y[left] @ along + rest[left] * outside + slack)
                 upper[upper < floor] = -np.inf
                 at, score = bounded_search(v, x, ids, upper, k)
                 at, score = at[score >= floor], score[score >= floor]

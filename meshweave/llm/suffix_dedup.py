@@ -238,6 +238,16 @@ def _dealt(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np
     return present, order, np.append(begins, len(order))
 
 
+def _kinds(table: pa.Table) -> pa.Table:
+    """Kinds of a bucket's minimisers: 0 occurs once, 1 more often, 2 more than HOT times.  A block names each once, with a count."""
+    lists, times = zip(*(_unpacked(x.as_py(), 2) for x in table.column("anchors")), strict=True)
+    _, where = np.unique(np.concatenate([np.cumsum(x) for x in lists]), return_inverse=True)
+    total = np.bincount(where, np.concatenate(times))[where]
+    kind = np.where(total > HOT, 2, np.where(total > 1, 1, 0)).astype(np.uint8)
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "kinds": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(kind, cuts)], pa.binary())})
+
+
 def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """block, kept, ids, sizes, body, ranges (packed document, start, number of repeated starts) of every block."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -248,20 +258,14 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
         for batch in batches:
             for row in batch.to_pylist():
                 _, cut = _cut(row["ids"], row["sizes"], row["body"])
-                present, order, begins = _dealt(cut["anchor"], buckets)
-                ordered = cut["anchor"][order].view(np.int64)
-                data = [_packed(steps=np.diff(ordered[a:b], prepend=0)) for a, b in zip(begins, begins[1:], strict=False)]
+                own, times = np.unique(cut["anchor"], return_counts=True)
+                present, order, begins = _dealt(own, buckets)
+                ordered, times = own[order].view(np.int64), np.minimum(times[order], HOT + 1)
+                data = [_packed(steps=np.diff(ordered[a:b], prepend=0), times=times[a:b]) for a, b in zip(begins, begins[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(present), row["block"]), pa.int64()), pa.array(present, pa.int32()), pa.array(data, pa.binary())], ["block", "bucket", "anchors"])
 
-    def often(table: pa.Table) -> pa.Table:
-        lists = [np.cumsum(_unpacked(x.as_py(), 1)[0]) for x in table.column("anchors")]
-        _, where, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        kind = np.where(times > HOT, 2, np.where(times > 1, 1, 0)).astype(np.uint8)[where]
-        cuts = np.cumsum([len(x) for x in lists])[:-1]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "kinds": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(kind, cuts)], pa.binary())})
-
     counted = blocks.select("block", "ids", "sizes", "body").mapInArrow(anchors, "block bigint, bucket int, anchors binary")
-    kinds = counted.groupBy("bucket").applyInArrow(often, "block bigint, bucket int, kinds binary")
+    kinds = counted.groupBy("bucket").applyInArrow(_kinds, "block bigint, bucket int, kinds binary")
     # a block has at most as many buckets as minimisers
     kinds = kinds.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "kinds"))).alias("kinds"))
 
@@ -270,7 +274,9 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
             for row in batch.to_pylist():
                 texts, cut = _cut(row["ids"], row["sizes"], row["body"])
                 _, order, _ = _dealt(cut["anchor"], buckets)
-                kind = np.frombuffer(b"".join(zlib.decompress(k["kinds"]) for k in row["kinds"]), np.uint8)
+                ordered = cut["anchor"][order]
+                first = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+                kind = np.frombuffer(b"".join(zlib.decompress(k["kinds"]) for k in row["kinds"]), np.uint8)[np.cumsum(first) - 1]
                 anchor, doc, start, n = (cut[c][order[kind == 1]] for c in ("anchor", "doc", "start", "n"))
                 hot = order[kind == 2]
                 if len(hot):  # one piece for each string

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from meshweave.llm import suffix_dedup
 from meshweave.llm.suffix_dedup import LENGTH, merge_transforms, repeat_digests, repeated_starts, shard_transform
@@ -116,3 +118,26 @@ def test_no_task_gathers_the_repeats_within_all_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
     rows = planted()
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_a_block_names_a_minimiser_once(spark, monkeypatch):
+    """A line that every document repeats sends its group a row's worth for each block, whatever the number of its occurrences."""
+    sizes, plain = [], suffix_dedup._kinds
+
+    def block(anchors, times):
+        return suffix_dedup._packed(steps=np.diff(np.array(anchors), prepend=0), times=np.array(times))
+
+    table = pa.table({"block": [0, 1, 2], "bucket": [0, 0, 0], "anchors": [block([5, 9, 12], [1, suffix_dedup.HOT, 1]), block([9, 30], [1, 2]), block([12], [1])]})
+    kinds = [list(zlib.decompress(x.as_py())) for x in plain(table).column("kinds")]
+    assert kinds == [[0, 2, 1], [2, 1], [1]]
+
+    def counted(table):
+        sizes.append([len(suffix_dedup._unpacked(x.as_py(), 2)[0]) for x in table.column("anchors")])
+        assert all(len(np.unique(np.cumsum(suffix_dedup._unpacked(x.as_py(), 2)[0]))) == n for x, n in zip(table.column("anchors"), sizes[-1], strict=True))
+        return plain(table)
+
+    monkeypatch.setattr(suffix_dedup, "_kinds", counted)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    line = "a line that stands in every document of this table, word for word, and is longer than a hundred bytes. "
+    rows = [(i, line * 5 + f"document {i} " * 3) for i in range(60)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

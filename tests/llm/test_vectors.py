@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from meshweave.llm import exact_topk
 from meshweave.llm.ann import hadamard, nearest_neighbours
 from meshweave.llm.exact_topk import exact_top_k
 from pyspark.sql import functions as F
@@ -99,3 +100,51 @@ def test_recall_with_unequal_norms_and_few_rows(spark, lengths):
     got = {(r.query_id, r.vec_id) for r in nearest_neighbours(docs, F.pmod("vec_id", F.lit(every)) == 0).collect()}
     assert len(got) == len(want)
     assert len(got & want) >= (len(want) if lengths == "few" else 0.9 * len(want))
+
+
+def test_joint_bounds_hold_and_rule_out_rows():
+    """Bounds of all pivots together are never below the product, and leave fewer rows than single pivots do."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1000, 1000, (3000, 32)).astype(np.int64)
+    norms = (x.astype(float) ** 2).sum(1)
+    most = norms.max()
+    pivots = x[:24].astype(float)
+    span = exact_topk.span_of(np.vstack([pivots, pivots[:3]]), most)
+    assert span.shape == (27, 24)
+    span = exact_topk.span_of(pivots, most)
+    far = exact_topk.pivot_distances(x.astype(float), norms, pivots, most, False)
+    y, rest = exact_topk.projected(far, np.full(len(x), most), most, span)
+    single = joint = 0
+    for i in range(0, 3000, 100):
+        d = exact_topk.pivot_distances(x[[i]].astype(float), norms[[i]], pivots, most, True)
+        along, outside = exact_topk.projected(d, norms[[i]], most, span)
+        true = x @ x[i]
+        one = (norms[i] + most - np.abs(far - d).max(axis=1) ** 2) / 2 + 1e-6 * most
+        both = y @ along[0] + rest * outside[0] + 1e-6
+        assert (both >= true).all() and (one >= true).all()
+        tenth = np.sort(np.delete(true, i))[-10]
+        single, joint = single + (one >= tenth).sum(), joint + (both >= tenth).sum()
+    assert joint < 0.7 * single
+
+
+def test_more_rows_than_the_floor_samples(spark):
+    """Above FLOOR_ROWS rows of a dimension, in more than one block of rows, results are those of brute force."""
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(size=(9000, 12)) * 1024).astype(np.int64)
+    docs = spark.createDataFrame([(i, [v / 1024 for v in row]) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = exact_top_k(docs, F.col("vec_id") % 500 == 0).collect()
+    want = []
+    for i in range(0, 9000, 500):
+        true = x @ x[i]
+        order = [j for j in np.lexsort((np.arange(9000), -true)).tolist() if j != i][:10]
+        want += [(i, n + 1, j, int(true[j])) for n, j in enumerate(order)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_searches_beside_clashing_columns(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in rng.normal(size=8)], "a", "b", 1.5) for i in range(60)]
+    plain = spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>")
+    clashing = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim string, far string, score double")
+    for search in (lambda d: exact_top_k(d, F.col("vec_id") % 20 == 0), lambda d: nearest_neighbours(d, F.col("vec_id") % 20 == 0)):
+        assert sorted(map(tuple, search(clashing).collect())) == sorted(map(tuple, search(plain).collect()))
