@@ -1,7 +1,8 @@
 """A gated recurrent language model in numpy, with a class-factored output.
 
 Word w of class k has probability p(k | state) * p(w | k, state).  Classes hold
-words of neighbouring frequency, about as many classes as words in a class.
+words of neighbouring frequency, few of the frequent ones and more of the rare ones: under
+Zipf's law a class as large as the root of its words' ranks costs least.
 Texts run side by side in lanes; a lane's state goes on from window to window
 and starts afresh with a text, and gradients stop at a window's edge.  For learning, long texts
 are cut into parts, each of which starts from the state that its text has there.
@@ -17,6 +18,8 @@ WIDTH = 16
 LANES, WINDOW = 512, 24
 #: Lanes of scoring, which has no updates to keep frequent.
 SCORING_LANES = 1024
+#: Rows of one product with outputs, so that it stays in a core's cache.
+AT_ONCE = 2048
 #: Few words to learn from are put in fewer lanes, for about so many updates.
 UPDATES, LEAST_LANES = 80, 16
 RATE = 0.2
@@ -28,28 +31,28 @@ SEGMENT = 512
 Parameters = dict[str, np.ndarray]
 
 
-def shape(counts: np.ndarray) -> tuple[int, int]:
-    members = max(2, int(np.ceil(np.sqrt(len(counts)))))
-    return -(-len(counts) // members), members
+def classes(words: int) -> np.ndarray:
+    """First word of each class, and the end of the last: class k of n begins at ``words * (k / n) ** 2``."""
+    n = max(1, int(np.ceil(0.6 * np.sqrt(words))))
+    return np.unique(np.round(words * (np.arange(n + 1) / n) ** 2).astype(np.int64))
 
 
 def initial(counts: np.ndarray, seed: int = 11) -> Parameters:
     """Starts from the words' frequencies: without any state the output is their distribution."""
-    classes, members = shape(counts)
+    begins = classes(len(counts))
     random = np.random.default_rng(seed)
-    mass = np.full(classes * members, 1e-30)
-    mass[: len(counts)] = np.maximum(counts, 0.1)
-    mass = mass.reshape(classes, members)
+    mass = np.maximum(counts, 0.1)
+    total = np.add.reduceat(mass, begins[:-1])
     small = lambda *n: random.normal(0, 0.1, n).astype(np.float32)
     return {
-        "embed": small(classes * members, WIDTH),
+        "embed": small(len(counts), WIDTH),
         "wx": small(WIDTH, 3 * WIDTH),
         "wh": small(WIDTH, 3 * WIDTH),
         "b": np.zeros(3 * WIDTH, np.float32),
-        "wc": np.zeros((WIDTH, classes), np.float32),
-        "bc": np.log(mass.sum(1) / mass.sum()).astype(np.float32),
-        "ww": np.zeros((classes, WIDTH, members), np.float32),
-        "bw": np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32),
+        "wc": np.zeros((WIDTH, len(total)), np.float32),
+        "bc": np.log(total / total.sum()).astype(np.float32),
+        "ww": np.zeros((len(counts), WIDTH), np.float32),
+        "bw": np.log(mass / np.repeat(total, np.diff(begins))).astype(np.float32),
     }
 
 
@@ -133,70 +136,102 @@ def segments(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
+def _sigmoid_of_twice(x: np.ndarray) -> np.ndarray:
     np.tanh(x, out=x)
     x *= 0.5
     x += 0.5
     return x
 
 
+def _gates(w: np.ndarray) -> np.ndarray:
+    """The three gates' columns, each an array of its own: steps work on whole arrays."""
+    return np.stack(np.split(w, 3, axis=1))
+
+
 def _recur(p: Parameters, before: np.ndarray, goes_on: np.ndarray, state: np.ndarray, keep: bool, begins: np.ndarray | None = None, carried: np.ndarray | None = None):
     """States of all steps.  Where ``begins`` is not 0, a text goes on from that row of ``carried``."""
-    gx = (p["embed"] @ p["wx"] + p["b"])[before] if before.size > len(p["embed"]) else p["embed"][before] @ p["wx"] + p["b"]
-    out = np.empty((*before.shape, WIDTH), np.float32)
+    by_word = before.size > len(p["embed"])
+    embed = p["embed"] if by_word else p["embed"][before]
+    half = np.array([0.5, 0.5, 1], embed.dtype)  # of what the sigmoids take
+    gx = [(embed @ w + b) * c for w, b, c in zip(_gates(p["wx"]), np.split(p["b"], 3), half, strict=True)]
+    gx = np.stack([np.take(x, before, axis=0) for x in gx] if by_word else gx)
+    wh = _gates(p["wh"]) * half[:, None, None]
+    out = np.empty((*before.shape, WIDTH), gx.dtype)
     kept = []
     for t in range(len(before)):
         h = state * goes_on[t][:, None]
         if begins is not None and begins[t].any():
             lane = np.flatnonzero(begins[t])
             h[lane] = carried[begins[t, lane]]
-        g = h @ p["wh"]
-        zr = _sigmoid(gx[t, :, : 2 * WIDTH] + g[:, : 2 * WIDTH])
-        n = np.tanh(gx[t, :, 2 * WIDTH :] + zr[:, WIDTH:] * g[:, 2 * WIDTH :])
-        state = n + zr[:, :WIDTH] * (h - n)
+        g = h @ wh
+        zr = g[:2]
+        zr += gx[:2, t]
+        z, r = _sigmoid_of_twice(zr)
+        n = r * g[2]
+        n += gx[2, t]
+        np.tanh(n, out=n)
+        state = h - n
+        state *= z
+        state += n
         out[t] = state
         if keep:
-            kept.append((h, zr, n, g[:, 2 * WIDTH :]))
+            kept.append((h, z, r, n, g[2]))
     return out, state, kept
 
 
-def _softmax(x: np.ndarray, at: np.ndarray, learn: bool) -> np.ndarray:
-    """Log probability at ``at``; with ``learn``, x becomes the gradient of its negative.
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, learn: bool):
+    """Log probability at ``at`` among outputs (output, WIDTH); with ``learn`` also gradients of its negative sum by h, w and b.
 
     Logits start at log frequencies and move by bounded steps; they are cut where a float32 would overflow.
     """
+    x = h @ w.T
+    x += b
     rows = np.arange(len(x))
-    np.minimum(x, 80, out=x)
+    if (np.abs(w).sum(axis=1) + b).max() > 80:  # no component of a state is beyond 1
+        np.minimum(x, 80, out=x)
     own = x[rows, at]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
-    if learn:
-        x /= total[:, None]
-        x[rows, at] -= 1
-    return own - np.log(total)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    log_p = own - np.log(total)
+    if not learn:
+        return log_p, None, None, None
+    # the gradient is (x - total at the target) / total; the narrow sides of the products are divided
+    x[rows, at] -= total
+    part = 1 / total
+    back = x @ w
+    back *= part[:, None]
+    return log_p, back, x.T @ (h * part[:, None]), part @ x
 
 
 def _predict(p: Parameters, states: np.ndarray, target: np.ndarray, learn: bool):
     """Natural log probability of each target; with ``learn`` also gradients of its negative sum."""
-    members = p["ww"].shape[2]
-    kind, member = target // members, target % members
-    order = np.argsort(kind.astype(np.uint16), kind="stable")
-    h, kind, member = states[order], kind[order], member[order]
-    d = h @ p["wc"] + p["bc"]
-    log_p = _softmax(d, kind, learn)
-    grads: Parameters = {}
-    if learn:
-        grads = {"wc": h.T @ d, "bc": d.sum(0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        dh = d @ p["wc"].T
-    cuts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, int)
-    for a, b in zip(cuts, np.append(cuts[1:], len(kind)), strict=True):
-        k = kind[a]
-        d = h[a:b] @ p["ww"][k] + p["bw"][k]
-        log_p[a:b] += _softmax(d, member[a:b], learn)
+    begins = classes(len(p["bw"]))
+    kind = np.repeat(np.arange(len(begins) - 1, dtype=np.uint16 if len(begins) <= 2**16 else np.int64), np.diff(begins))[target]
+    order = np.argsort(kind, kind="stable")
+    h, kind = states[order], kind[order].astype(np.int64)
+    member = target[order] - begins[kind]
+    log_p, dh = np.empty(len(h), h.dtype), np.empty_like(h)
+    grads: Parameters = {k: np.zeros_like(p[k]) for k in ("wc", "bc", "ww", "bw")} if learn else {}
+    wc = np.ascontiguousarray(p["wc"].T)
+    for first in range(0, len(h), AT_ONCE):
+        own = slice(first, first + AT_ONCE)
+        log_p[own], dh[own], w, b = _softmax(h[own], wc, p["bc"], kind[own], learn) if learn else (_softmax(h[own], wc, p["bc"], kind[own], False)[0], 0, None, None)
         if learn:
-            grads["ww"][k], grads["bw"][k] = h[a:b].T @ d, d.sum(0)
-            dh[a:b] += d @ p["ww"][k].T
+            grads["wc"] += w.T
+            grads["bc"] += b
+    cuts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, int)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(kind)], strict=True):
+        words = slice(begins[kind[a]], begins[kind[a] + 1])
+        if words.stop - words.start == 1:  # the class says it all
+            continue
+        for first in range(a, b, AT_ONCE):
+            own = slice(first, min(b, first + AT_ONCE))
+            own_p, back, w, bias = _softmax(h[own], p["ww"][words], p["bw"][words], member[own], learn)
+            log_p[own] += own_p
+            if learn:
+                dh[own] += back
+                grads["ww"][words] += w
+                grads["bw"][words] += bias
     out = np.empty_like(log_p)
     out[order] = log_p
     if not learn:
@@ -270,29 +305,32 @@ class Learner:
         dout = np.zeros_like(states)
         dout[real] = back
         carry = np.zeros_like(state)
-        dgx, dg, hs = np.empty((*before.shape, 3 * WIDTH), np.float32), np.empty((*before.shape, 3 * WIDTH), np.float32), np.empty_like(states)
-        back_h = np.ascontiguousarray(p["wh"].T)
+        dgx, dgn, hs = np.empty((3, *before.shape, WIDTH), states.dtype), np.empty_like(states), np.empty_like(states)
+        back_h = np.ascontiguousarray(_gates(p["wh"]).transpose(0, 2, 1))
         for t in range(len(target) - 1, -1, -1):
-            h, zr, n, gn = kept[t]
-            z, r = zr[:, :WIDTH], zr[:, WIDTH:]
-            dh = dout[t] + carry
+            h, z, r, n, gn = kept[t]
+            dh = dout[t]
+            dh += carry
             through = dh * z
-            dn = (dh - through) * (1 - n * n)
-            own = dgx[t]
-            own[:, :WIDTH] = (through - through * z) * (h - n)
-            own[:, WIDTH : 2 * WIDTH] = dn * gn * (r - r * r)
-            own[:, 2 * WIDTH :] = dn
-            dg[t] = own
-            dg[t, :, 2 * WIDTH :] *= r
-            carry = (through + dg[t] @ back_h) * goes_on[t][:, None]
+            dh -= through
+            dn = dgx[2, t]
+            np.multiply(dh, 1 - n * n, out=dn)
+            np.multiply(through - through * z, h - n, out=dgx[0, t])
+            np.multiply(dn, r, out=dgn[t])
+            np.multiply(dgn[t] * gn, 1 - r, out=dgx[1, t])
+            through += dgx[0, t] @ back_h[0]
+            through += dgx[1, t] @ back_h[1]
+            through += dgn[t] @ back_h[2]
+            carry = through * goes_on[t][:, None]
             hs[t] = h
-        grads["wh"] = hs.reshape(-1, WIDTH).T @ dg.reshape(-1, 3 * WIDTH)
+        flat = hs.reshape(-1, WIDTH).T
+        grads["wh"] = np.concatenate([flat @ d.reshape(-1, WIDTH) for d in (dgx[0], dgx[1], dgn)], axis=1)
         # summed by word first: a window has far fewer words than tokens
         order = np.argsort(before.ravel().astype(np.uint16) if len(p["embed"]) <= 2**16 else before.ravel(), kind="stable")
         ordered = before.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         words = ordered[first]
-        by_word = np.add.reduceat(dgx.reshape(-1, 3 * WIDTH)[order], first, axis=0)
+        by_word = np.concatenate([np.add.reduceat(d.reshape(-1, WIDTH)[order], first, axis=0) for d in dgx], axis=1)
         grads["b"] = by_word.sum(0)
         grads["wx"] = p["embed"][words].T @ by_word
         grads["embed"] = (words, by_word @ p["wx"].T)

@@ -135,11 +135,13 @@ def plain_states(p, codes):
 
 
 def plain_score(p, codes):
-    members = p["ww"].shape[2]
+    begins = gru.classes(len(p["bw"]))
     total = 0.0
     for h, w in zip(plain_states(p, codes), codes, strict=True):
-        a, b = h @ p["wc"] + p["bc"], h @ p["ww"][w // members] + p["bw"][w // members]
-        total += a[w // members] - np.log(np.exp(a).sum()) + b[w % members] - np.log(np.exp(b).sum())
+        k = max(i for i, first in enumerate(begins[:-1]) if first <= w)
+        words = slice(begins[k], begins[k + 1])
+        a, b = h @ p["wc"] + p["bc"], p["ww"][words] @ h + p["bw"][words]
+        total += a[k] - np.log(np.exp(a).sum()) + b[w - begins[k]] - np.log(np.exp(b).sum())
     return total
 
 
