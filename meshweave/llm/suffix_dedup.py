@@ -14,11 +14,14 @@ starts but the first are reported.
 
 Equal pieces of a block of documents travel as one.  A minimiser that occurs more than ``HOT``
 times is replaced by the hash of the whole string, piece by piece, so that no task
-gathers all of its surroundings.
+gathers all of its surroundings.  Such strings may be in every block, so they meet in two
+levels: each of about the root of the blocks' number of groups keeps the first, and
+only those go on to their bucket.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -252,6 +255,7 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
     """block, kept, ids, sizes, body, ranges (packed document, start, number of repeated starts) of every block."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    spread, merge, thin = max(1, math.isqrt(total // BLOCK_BYTES)), _merge_bucket, _first_of_equals
     blocks = checkpointed(text_blocks(docs, keep, key, text))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +273,8 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
     # a block has at most as many buckets as minimisers
     kinds = kinds.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "kinds"))).alias("kinds"))
 
+    names = ["bucket", "block", "pieces", "strings", "salt"]
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -278,7 +284,7 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
                 first = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
                 kind = np.frombuffer(b"".join(zlib.decompress(k["kinds"]) for k in row["kinds"]), np.uint8)[np.cumsum(first) - 1]
                 anchor, doc, start, n = (cut[c][order[kind == 1]] for c in ("anchor", "doc", "start", "n"))
-                hot = order[kind == 2]
+                hot, plain = order[kind == 2], len(anchor)
                 if len(hot):  # one piece for each string
                     times = cut["n"][hot]
                     more = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -290,18 +296,30 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
                 least = _least(strings, ids[doc], start) if strings else np.zeros(0, bool)
                 # known already: a group of the block's own, below all buckets
                 done = _packed(doc=doc[~least], start=start[~least], n=n[~least])
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - row["block"]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([done], pa.binary()), pa.array([None], pa.binary())], ["bucket", "block", "pieces", "strings"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - row["block"]], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([done], pa.binary()), pa.array([None], pa.binary()), pa.array([0], pa.int32())], names)
                 kept = np.flatnonzero(least)
-                present, order, begins = _dealt(anchor[kept], buckets)
-                for b, x, y in zip(present.tolist(), begins, begins[1:], strict=False):
-                    own = kept[order[x:y]]
-                    pieces = _packed(anchor=anchor[own].view(np.int64), id=ids[doc[own]], doc=doc[own], start=start[own], n=n[own])
-                    data = zlib.compress(b"".join([strings[i] for i in own]), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([pieces], pa.binary()), pa.array([data], pa.binary())], ["bucket", "block", "pieces", "strings"])
+                salt = 1 + zlib.crc32(str(row["block"]).encode()) % spread
+                for group, share in ((kept[kept < plain], 0), (kept[kept >= plain], salt)):
+                    present, order, begins = _dealt(anchor[group], buckets)
+                    for b, x, y in zip(present.tolist(), begins, begins[1:], strict=False):
+                        own = group[order[x:y]]
+                        pieces = _packed(anchor=anchor[own].view(np.int64), id=ids[doc[own]], doc=doc[own], start=start[own], n=n[own])
+                        data = zlib.compress(b"".join([strings[i] for i in own]), 1)
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([row["block"]], pa.int64()), pa.array([pieces], pa.binary()), pa.array([data], pa.binary()), pa.array([share], pa.int32())], names)
 
     joined = blocks.select("block", "ids", "sizes", "body").join(kinds, "block")
-    cut = joined.mapInArrow(candidates, "bucket bigint, block bigint, pieces binary, strings binary")
-    ranges = cut.groupBy("bucket").applyInArrow(_merge_bucket, "block bigint, ranges binary")
+
+    def first_level(table: pa.Table) -> pa.Table:
+        if table.column("salt")[0].as_py():
+            return thin(table)
+        found = merge(table)
+        none = pa.nulls(found.num_rows, pa.binary())
+        return found.append_column("bucket", pa.nulls(found.num_rows, pa.int64())).append_column("pieces", none).append_column("strings", none)
+
+    cut = joined.mapInArrow(candidates, "bucket bigint, block bigint, pieces binary, strings binary, salt int")
+    met = checkpointed(cut.groupBy("bucket", "salt").applyInArrow(first_level, "block bigint, ranges binary, bucket bigint, pieces binary, strings binary"))
+    last = met.where("strings IS NOT NULL").select("bucket", "block", "pieces", "strings").groupBy("bucket").applyInArrow(merge, "block bigint, ranges binary")
+    ranges = met.where("strings IS NULL").select("block", "ranges").unionByName(last)
     return blocks.join(ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges")), "block", "left")
 
 
@@ -317,6 +335,29 @@ def _least(strings: list[bytes], ids: np.ndarray, start: np.ndarray) -> np.ndarr
     return least
 
 
+def _first_of_equals(table: pa.Table) -> pa.Table:
+    """Of equal strings of whole pieces the first goes on, as rows of pieces and strings; the others are ranges."""
+    columns, strings, block = [], [], []
+    for row in table.to_pylist():
+        own = _unpacked(row["pieces"], 5)
+        data, ends = zlib.decompress(row["strings"]), np.cumsum(own[4] + LENGTH - 1).tolist()
+        strings += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        columns.append(own)
+        block.append(np.full(len(own[0]), row["block"]))
+    anchor, ids, doc, start, n = (np.concatenate(c) for c in zip(*columns, strict=True))
+    block = np.concatenate(block)
+    least = _least(strings, ids, start)
+    out: list[dict] = []
+    for name in np.unique(block).tolist():
+        gone, own = np.flatnonzero((block == name) & ~least), np.flatnonzero((block == name) & least)
+        if len(gone):
+            out.append({"block": name, "ranges": _packed(doc=doc[gone], start=start[gone], n=n[gone])})
+        if len(own):
+            pieces = _packed(anchor=anchor[own], id=ids[own], doc=doc[own], start=start[own], n=n[own])
+            out.append({"block": name, "bucket": table.column("bucket")[0].as_py(), "pieces": pieces, "strings": zlib.compress(b"".join([strings[i] for i in own]), 1)})
+    return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("ranges", pa.binary()), ("bucket", pa.int64()), ("pieces", pa.binary()), ("strings", pa.binary())]))
+
+
 def _merge_bucket(table: pa.Table) -> pa.Table:
     """Repeated starts among the pieces of one bucket, as packed ranges for each block."""
     blocks, packed = [], []

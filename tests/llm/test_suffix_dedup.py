@@ -141,3 +141,20 @@ def test_a_block_names_a_minimiser_once(spark, monkeypatch):
     line = "a line that stands in every document of this table, word for word, and is longer than a hundred bytes. "
     rows = [(i, line * 5 + f"document {i} " * 3) for i in range(60)]
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_a_string_of_every_block_meets_in_two_levels(spark, monkeypatch):
+    plain = suffix_dedup._first_of_equals
+
+    def thin(table):
+        out = plain(table)
+        assert table.num_rows < 30  # of 60 blocks and more
+        assert sum(x.is_valid for x in out.column("strings")) == 1  # all of a group's first ones are in one block
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_first_of_equals", thin)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    line = "a line that stands in every document of this table, word for word, and is longer than a hundred bytes. "
+    rows = [(i, line * 2 + f"{i} document {i} " * 80) for i in range(240)]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
