@@ -103,8 +103,10 @@ def conserved_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def esmf_weight_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, _, _ = esmf_tables(occupied_regridder(spark, sf_dir))
-    return weights.select("row", "col", F.round("S", 9).alias("S"))
+    """All weights, those of cells without items too, with the number of items that each applies to."""
+    weights, _, _ = esmf_tables(lineitem_regridder(spark))
+    field = lineitem_field(spark, sf_dir).withColumnRenamed("cell_id", "col")
+    return weights.join(field, "col", "left").select("row", "col", "S", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def regrid_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +315,7 @@ SELECT 'dst' AS side, da.cell_id, round(any_value(da.area), 9) AS area, round(co
 UNION ALL SELECT 'src', sa.cell_id, round(any_value(sa.area), 9), round(coalesce(sum(o.area), 0), 9), round(coalesce(sum(o.area), 0) / any_value(sa.area), 9) FROM sa LEFT JOIN o ON o.src = sa.cell_id WHERE sa.cell_id IN (SELECT cell_id FROM field) GROUP BY 2""",
     "covered_cells": _GRIDS + "SELECT DISTINCT dst AS cell_id FROM w SEMI JOIN field ON field.cell_id = w.src",
     "conserved_integrals": _GRIDS + "SELECT 'dst' AS side, round(sum(t.value * da.area), 6) AS integral FROM there t JOIN da USING (cell_id) UNION ALL SELECT 'src', round(sum(f.value * sa.area), 6) FROM field f JOIN sa USING (cell_id)",
-    "esmf_weight_table": _GRIDS + "SELECT w.dst AS row, w.src AS col, round(w.area / da.area, 9) AS S FROM w JOIN da ON da.cell_id = w.dst SEMI JOIN field ON field.cell_id = w.src",
+    "esmf_weight_table": _GRIDS + "SELECT w.dst AS row, w.src AS col, w.area / da.area AS S, coalesce(f.value, 0)::BIGINT AS value FROM w JOIN da ON da.cell_id = w.dst LEFT JOIN field f ON f.cell_id = w.src",
     "regrid_errors": _GRIDS + ", e AS (SELECT abs(b.value - f.value) / abs(f.value) AS e FROM back b JOIN field f USING (cell_id)) SELECT round(max(e), 6) AS max_misfit, round(avg(e), 6) AS mean_misfit, round(sqrt(avg(e * e)), 6) AS rms_misfit FROM e",
     "overlapping_parts": _BOXES + "SELECT d.id AS dst_id, s.id AS src_id FROM d JOIN s ON d.x0 <= s.x1 AND s.x0 <= d.x1 AND d.y0 <= s.y1 AND s.y0 <= d.y1",
     "part_overlap_areas": _BOXES + "SELECT d.id AS dst, s.id AS src, round((least(d.x1, s.x1) - greatest(d.x0, s.x0)) * (least(d.y1, s.y1) - greatest(d.y0, s.y0)), 6) AS area FROM d JOIN s ON d.x0 < s.x1 AND s.x0 < d.x1 AND d.y0 < s.y1 AND s.y0 < d.y1",

@@ -28,3 +28,12 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_weight_table_has_the_weights_of_cells_without_items(spark):
+    found = queries.esmf_weight_table(spark, SF).collect()
+    occupied = {r.cell_id for r in queries.lineitem_field(spark, SF).collect()}
+    want = {(r.dst, r.src) for r in queries.lineitem_regridder(spark).weights.collect()}
+    assert {(r.row, r.col) for r in found} == want and len(found) == len(want)
+    assert any(r.col not in occupied for r in found)
+    assert all((r.value > 0) == (r.col in occupied) for r in found)
