@@ -33,7 +33,8 @@ WINDOW = 4096
 END = 2
 #: UTF-8 bytes of text of one bucket; bounds the memory of a packing task.
 BUCKET_BYTES = 8 << 20
-TEXTS_AT_ONCE = 256
+#: UTF-8 bytes of text encoded at once, or one longer text.
+BYTES_AT_ONCE = 1 << 20
 #: Sources beyond so many share queues: a window cannot mix more than it has tokens.
 MOST_QUEUES = 1024
 #: Rounds worked out at once.
@@ -49,8 +50,10 @@ def encode_documents(docs: DataFrame, path: str, buckets: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(first, TEXTS_AT_ONCE)
+            size = np.cumsum(pa.compute.binary_length(batch.column("body")).to_numpy()) // BYTES_AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(first, last - first)
                 ids, lengths = own.encode(part.column("body").to_pylist())
                 kind = "<u2" if not len(ids) or ids.max() < 2**16 else "<u4"
                 ends = np.cumsum(lengths + 1)

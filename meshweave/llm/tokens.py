@@ -9,12 +9,14 @@ A very long run is encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct runs an encoder remembers before it forgets the rare ones; bounds a Python worker's memory.
@@ -59,6 +61,9 @@ def _kinds() -> np.ndarray:
 
 
 KINDS = _kinds()
+#: The same of whole texts, where control characters are white space too.
+KINDS_OF_TEXT = KINDS.copy()
+KINDS_OF_TEXT[9:14] = 0
 #: A pre-token of clean runs.
 PRETOKEN = re.compile(rb"[a-zA-Z\x80-\xff]+|[0-9]|[^a-zA-Z0-9\x80-\xff ]+")
 
@@ -121,6 +126,32 @@ def word_ends(path: str) -> np.ndarray:
     return _word_ends[path]
 
 
+#: Steps before the model for which lower-cased clean pre-tokens need only their bytes named.
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+_short: dict[str, object] = {}
+
+
+def short_tokenizer(path: str):
+    """The same model behind a split at spaces, for lower-cased clean pre-tokens; none where the tokenizer's steps are not the known ones."""
+    if path not in _short:
+        tokenizer = load_tokenizer(path)
+        steps = {k: getattr(tokenizer, k) for k in KNOWN_STEPS}
+        steps = {k: None if x is None else json.loads(x.__getstate__()) for k, x in steps.items()}
+        _short[path] = None
+        if steps == KNOWN_STEPS and type(tokenizer.model).__name__ == "BPE" and not tokenizer.model.dropout:
+            from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+            tokenizer.model._resize_cache(0)  # pre-tokens come once
+            _short[path] = Tokenizer(tokenizer.model)
+            _short[path].pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    return _short[path]
+
+
 def encode_runs(path: str, clean: list[bytes], odd: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The runs in the order in which they were encoded, their numbers of ids, and all ids one after another.
 
@@ -132,8 +163,11 @@ def encode_runs(path: str, clean: list[bytes], odd: list[bytes]) -> tuple[list[b
         clean, odd = [], clean + odd
     groups = [clean[i : i + RUNS_AT_ONCE] for i in range(0, len(clean), RUNS_AT_ONCE)]
     joined = [b" ".join(g) for g in groups]
+    texts = joined
+    if groups and (short := short_tokenizer(path)):
+        tokenizer, texts = short, [b" ".join(PRETOKEN.findall(j)) for j in joined]
     done, lengths, ids = [], [], []
-    for group, text, e in zip(groups, joined, tokenizer.encode_batch_fast([j.decode("utf-8") for j in joined], add_special_tokens=False), strict=True):
+    for group, text, e in zip(groups, joined, tokenizer.encode_batch_fast([t.decode("utf-8").lower() if texts is not joined else t.decode("utf-8") for t in texts], add_special_tokens=False), strict=True):
         own, starts = np.array(e.ids, np.uint32), pretoken_starts(text)
         cuts = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), len(text))
         pretokens = np.cumsum(starts)[cuts - 1]  # of the runs up to each
@@ -144,7 +178,7 @@ def encode_runs(path: str, clean: list[bytes], odd: list[bytes]) -> tuple[list[b
         done += group
         lengths.append(np.diff(last[pretokens - 1] + 1, prepend=0))
         ids.append(own)
-    encoded = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast([r.decode("utf-8") for r in odd], add_special_tokens=False)]
+    encoded = [np.array(e.ids, np.uint32) for e in load_tokenizer(path).encode_batch_fast([r.decode("utf-8") for r in odd], add_special_tokens=False)]
     lengths.append(np.array([len(x) for x in encoded], np.int64))
     ids += encoded
     return done + odd, np.concatenate(lengths).astype(np.int64), np.concatenate(ids) if ids else np.zeros(0, np.uint32)
@@ -202,10 +236,9 @@ class Remembered:
         self.used = np.concatenate([self.used, np.zeros(len(names), np.int64)])
         self.ids = np.concatenate([self.ids, ids])
 
-    def find(self, names: Iterable[bytes], count: int) -> np.ndarray:
-        at = np.fromiter(map(self.places.__getitem__, names), np.int64, count)
-        self.used += np.bincount(at, minlength=len(self.used))
-        return at
+    def find(self, names: list[bytes]) -> np.ndarray:
+        """Places of strings; -1 of those not seen before."""
+        return np.fromiter(map(self.places.get, names, repeat(-1)), np.int64, len(names))
 
     def take(self, at: np.ndarray) -> np.ndarray:
         """Ids of the strings at these places, one after another."""
@@ -214,40 +247,59 @@ class Remembered:
         return self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
 
 
+def units(joined: bytes, whole: bool) -> tuple[np.ndarray, pa.Array]:
+    """Where pre-tokens of clean runs, and other runs, begin in a text, and their bytes; ``whole`` cuts no run."""
+    data = np.frombuffer(joined, np.uint8)
+    kind = KINDS_OF_TEXT[data]
+    inner = kind > 0
+    starts = inner.copy()
+    starts[1:] &= ~inner[:-1]
+    if not whole:
+        odd = ODD[data]
+        odd &= inner
+        for one, two in ODD_PAIRS:
+            odd[:-1] |= (data[:-1] == one) & (data[1:] == two)
+        new = starts.copy()
+        new[1:] |= kind[1:] != kind[:-1]
+        new |= kind == 2
+        new &= inner
+        if odd.any():
+            begin = np.flatnonzero(starts)
+            runs = np.unique(np.searchsorted(begin, np.flatnonzero(odd), "right") - 1)
+            inside = np.zeros(len(data) + 1, np.int8)
+            inside[begin[runs]] = 1
+            ends = np.flatnonzero(inner & ~np.append(inner[1:], False)) + 1
+            inside[ends[runs]] -= 1
+            new &= ~np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+            new |= starts
+        starts = new
+    offsets = np.append(np.flatnonzero(starts[inner]), int(inner.sum())).astype(np.int32)
+    return np.flatnonzero(starts), pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data[inner])])
+
+
 class RunEncoder:
     """Ids of whole texts; every distinct pre-token of clean runs, and every distinct other run, is encoded once."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.path = path
-        self.runs, self.pretokens = Remembered(remembered), Remembered(remembered)
-
-    def _learn(self, new: Iterable[bytes]) -> None:
-        clean, odd = clean_and_odd(new)
-        if not word_ends(self.path).any():
-            clean, odd = [], clean + odd
-        if clean:
-            joined = b" ".join(clean)
-            found = PRETOKEN.findall(joined)
-            self.pretokens.forget()
-            self.pretokens.add(*encode_runs(self.path, list(set(found).difference(self.pretokens.places)), []))
-            at = self.pretokens.find(found, len(found))
-            cuts = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
-            pretokens = np.cumsum(pretoken_starts(joined))[cuts - 1]
-            self.runs.add(clean, np.diff(np.cumsum(self.pretokens.lengths[at])[pretokens - 1], prepend=0), self.pretokens.take(at))
-        if odd:
-            self.runs.add(*encode_runs(self.path, [], odd))
+        self.known = Remembered(remembered)
 
     def encode(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of the texts one after another, and the number of each; call it with some hundred texts at a time."""
-        split = [fold(text).split() for text in texts]
-        self.runs.forget()
-        new = set().union(*split).difference(self.runs.places) if split else set()
-        if new:
-            self._learn(new)
-        sizes = np.array([len(runs) for runs in split], np.int64)
-        at = self.runs.find(chain.from_iterable(split), int(sizes.sum()))
-        ends = np.concatenate([[0], np.cumsum(self.runs.lengths[at])])
-        return self.runs.take(at), np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+        texts = list(texts)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        starts, names = units(b" ".join(map(fold, texts)), not word_ends(self.path).any())
+        encoded = names.dictionary_encode()
+        which, distinct = encoded.indices.to_numpy(), encoded.dictionary.to_numpy(zero_copy_only=False)
+        self.known.forget()
+        at = self.known.find(distinct.tolist())
+        if len(new := np.flatnonzero(at < 0)):
+            self.known.add(*encode_runs(self.path, *clean_and_odd(distinct[new].tolist())))
+            at[new] = self.known.find(distinct[new].tolist())
+        self.known.used[at] += np.bincount(which, minlength=len(at))
+        at = at[which]
+        total = np.concatenate([[0], np.cumsum(self.known.lengths[at])])
+        return self.known.take(at), np.diff(total[np.searchsorted(starts, np.concatenate([[0], ends]))])
 
 
 _encoders: dict[str, RunEncoder] = {}

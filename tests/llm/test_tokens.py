@@ -1,10 +1,11 @@
+import json
 import zlib
 from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
-from meshweave.llm import packing
+from meshweave.llm import packing, tokens
 from meshweave.llm.packing import laid_down, pack_documents, pieces_of, schedule
 from meshweave.llm.token_counts import count_tokens
 from meshweave.llm.tokens import RunEncoder, load_tokenizer, tokenizer_path
@@ -129,3 +130,24 @@ def test_an_encoder_that_forgets(small_docs, remembered):
         ids, lengths = own.encode([t.encode() for t in texts[i : i + 20]])
         for t, x in zip(texts[i : i + 20], np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
             assert x.tolist() == ids_of(t)
+
+
+def test_pretokens_take_the_short_way_and_are_met_once(monkeypatch):
+    path, asked, encoded = tokenizer_path(), [], tokens.encode_runs
+    monkeypatch.setattr(tokens, "encode_runs", lambda path, clean, odd: asked.extend([*clean, *odd]) or encoded(path, clean, odd))
+    texts = ["Word word, WORD! ŸÉtÉ 12", "", "it's\tword\x0bword", "<|x ÀLA WORD", " \x1c\x85 "] * 3
+    ids, lengths = RunEncoder(path).encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [ids_of(t) for t in texts]
+    assert len(asked) == len(set(asked)) and tokens.short_tokenizer(path) is not None
+    assert RunEncoder(path).encode([])[1].tolist() == []
+    assert RunEncoder(path).encode([b"", b" \n"])[1].tolist() == [0, 0]
+
+
+def test_another_tokenizer_is_not_shortened(tmp_path):
+    changed = json.loads(load_tokenizer(tokenizer_path()).to_str())
+    changed["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(changed))
+    assert tokens.short_tokenizer(str(path)) is None
+    text = "Words AND wOrds, 12 more"
+    assert RunEncoder(str(path)).encode([text.lower().encode()])[0].tolist() == load_tokenizer(str(path)).encode(text.lower(), add_special_tokens=False).ids
