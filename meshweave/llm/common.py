@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, whose worker returns memory to the system once all that it held is free."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], at_once: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with where each begins (and the end), from batches sorted by integer ``keys``.
 

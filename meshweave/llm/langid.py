@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, give_back
+from .common import crc_fold, giving_back
 
 #: Symbols of words: 0 ends a word, a to z, and the bytes of other letters folded onto the rest.
 SYMBOLS = 64
@@ -101,7 +101,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Languag
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would be too large to send to every task")
-    counted = rows.mapInArrow(count, "lang string, trigram bigint, n bigint").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInArrow(giving_back(count), "lang string, trigram bigint, n bigint").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counted["lang"].unique())
     if not languages:
         return LanguageModel([], np.zeros((TRIGRAMS, 0), np.float32))
@@ -220,9 +220,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, keep: list[str], text: st
                 lang, score, mixed = predict(texts[part])
                 kept = batch.column("kept").slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mixed, kind)], names)
-        give_back()
 
-    return rows.mapInArrow(run, schema).select("kept.*", *names[1:])
+    return rows.mapInArrow(giving_back(run), schema).select("kept.*", *names[1:])
 
 
 def held_out(key: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, few_files, give_back, sliced, whole_groups
+from .common import checkpointed, few_files, give_back, giving_back, sliced, whole_groups
 from .components import components
 from .hashing import mix, shingles
 
@@ -79,9 +79,8 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
                 signed.append(signature(tokens).tobytes() if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(signed, pa.binary())], ["doc_id", "text_hash", "n_shingles", "class", "signature"])
-        give_back()
 
-    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, class binary, signature binary")
+    return rows.mapInArrow(giving_back(run), "doc_id bigint, text_hash bigint, n_shingles bigint, class binary, signature binary")
 
 
 def _branch(node: np.ndarray, signed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +113,7 @@ def _expand(rows: DataFrame, depth: int, trees: int | None) -> DataFrame:
             at = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("class").take(at), batch.column("n_shingles").take(at)], ["node", "class", "n_shingles"])
 
-    return rows.mapInArrow(run, "node bigint, class binary, n_shingles bigint")
+    return rows.mapInArrow(giving_back(run), "node bigint, class binary, n_shingles bigint")
 
 
 def _members(nodes: DataFrame, rows: int) -> DataFrame:
@@ -186,7 +185,7 @@ def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
                 yield from table.append_column("score", pa.array(scores, pa.int64())).to_batches()
 
         kind = "node bigint, n bigint, class binary, signature binary, score bigint"
-        own = large.repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(central, kind)
+        own = large.repartition("node", "part").sortWithinPartitions("node", "part").mapInArrow(giving_back(central), kind)
         best = own.groupBy("node", "n").agg(F.max(F.struct("score", "class", "signature")).alias("best"))
         every = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
         rows = rows.unionByName(best.select("node", every.alias("part"), "n", "best.class", "best.signature", F.lit(True).alias("hub")))
@@ -207,7 +206,7 @@ def _candidates(members: DataFrame, sketches: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(agree, pa.int32())], ["a", "b", "agree"])
 
     dealt = rows.repartition("node", "part").sortWithinPartitions("node", "part", "class")
-    found = dealt.mapInArrow(run, "a binary, b binary, agree int").where("a <> b")
+    found = dealt.mapInArrow(giving_back(run), "a binary, b binary, agree int").where("a <> b")
     return found.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
@@ -229,7 +228,7 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, most: int) -> DataFrame:
                 kept.append(100 * both >= PERCENT * (len(own) + len(known) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return checkpointed(joined.select("a", "b", "body_a", "body_b").coalesce(-(-most // PAIRS_PER_TASK) or 1).mapInArrow(run, "a binary, b binary"))
+    return checkpointed(joined.select("a", "b", "body_a", "body_b").coalesce(-(-most // PAIRS_PER_TASK) or 1).mapInArrow(giving_back(run), "a binary, b binary"))
 
 
 def _links_of_node(labels: np.ndarray, signed: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -279,7 +278,7 @@ def _links_within(members: DataFrame, sketches: DataFrame, bodies: DataFrame) ->
         give_back()
 
     dealt = rows.select("node", "class", "label", "signature", "body").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(giving_back(run), "a binary, b binary")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, name: str = "class", label: str = "label") -> DataFrame:
@@ -367,7 +366,7 @@ def _bodies(docs: DataFrame, classes: DataFrame, needed: DataFrame, key: str, te
                     data.append(zlib.compress(body, 1))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["class", "body"])
 
-    return found.mapInArrow(run, "class binary, body binary").dropDuplicates(["class"])
+    return found.mapInArrow(giving_back(run), "class binary, body binary").dropDuplicates(["class"])
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

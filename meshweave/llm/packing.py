@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back, running_total
+from .common import checkpointed, giving_back, running_total
 from .tokens import encoder, tokenizer_path
 
 WINDOW = 4096
@@ -63,9 +63,8 @@ def encode_documents(docs: DataFrame, path: str, buckets: int) -> DataFrame:
                 closed[inner] = ids
                 data = [zlib.compress(closed[a:b].tobytes(), 1) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("queue"), part.column("bucket"), pa.array(lengths + 1, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "queue", "bucket", "n", "ids"])
-        give_back()
 
-    return rows.mapInArrow(encode, "doc_id bigint, queue string, bucket int, n bigint, ids binary")
+    return rows.mapInArrow(giving_back(encode), "doc_id bigint, queue string, bucket int, n bigint, ids binary")
 
 
 @dataclass(frozen=True)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, give_back
+from .common import checkpointed, give_back, giving_back
 from .hashing import Substrings
 
 LENGTH = 100
@@ -216,7 +216,7 @@ def text_blocks(docs: DataFrame, keep: list[str], key: str, text: str) -> DataFr
         if held:
             yield block()
 
-    return rows.mapInArrow(build, f"block bigint, kept array<{rows.schema['kept'].dataType.simpleString()}>, ids array<bigint>, sizes array<bigint>, body binary")
+    return rows.mapInArrow(giving_back(build), f"block bigint, kept array<{rows.schema['kept'].dataType.simpleString()}>, ids array<bigint>, sizes array<bigint>, body binary")
 
 
 def _cut(ids: list[int], sizes: list[int], body: bytes) -> tuple[list[bytes], dict[str, np.ndarray]]:
@@ -268,7 +268,7 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
                 data = [_packed(steps=np.diff(ordered[a:b], prepend=0), times=times[a:b]) for a, b in zip(begins, begins[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(present), row["block"]), pa.int64()), pa.array(present, pa.int32()), pa.array(data, pa.binary())], ["block", "bucket", "anchors"])
 
-    counted = blocks.select("block", "ids", "sizes", "body").mapInArrow(anchors, "block bigint, bucket int, anchors binary")
+    counted = blocks.select("block", "ids", "sizes", "body").mapInArrow(giving_back(anchors), "block bigint, bucket int, anchors binary")
     kinds = counted.groupBy("bucket").applyInArrow(_kinds, "block bigint, bucket int, kinds binary")
     # a block has at most as many buckets as minimisers
     kinds = kinds.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "kinds"))).alias("kinds"))
@@ -316,7 +316,7 @@ def find_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text:
         none = pa.nulls(found.num_rows, pa.binary())
         return found.append_column("bucket", pa.nulls(found.num_rows, pa.int64())).append_column("pieces", none).append_column("strings", none)
 
-    cut = joined.mapInArrow(candidates, "bucket bigint, block bigint, pieces binary, strings binary, salt int")
+    cut = joined.mapInArrow(giving_back(candidates), "bucket bigint, block bigint, pieces binary, strings binary, salt int")
     met = checkpointed(cut.groupBy("bucket", "salt").applyInArrow(first_level, "block bigint, ranges binary, bucket bigint, pieces binary, strings binary"))
     last = met.where("strings IS NOT NULL").select("bucket", "block", "pieces", "strings").groupBy("bucket").applyInArrow(merge, "block bigint, ranges binary")
     ranges = met.where("strings IS NULL").select("block", "ranges").unionByName(last)
@@ -433,12 +433,12 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", tex
                 sizes = np.array(batch.column("sizes")[i].as_py(), np.int64)
                 data = np.frombuffer(zlib.decompress(batch.column("body")[i].as_py()), np.uint8)
                 begins = np.cumsum(sizes) - sizes
-                cover = np.zeros(len(data) + 1, np.int64)
+                cover = np.zeros(len(data) + 1, np.int32)
                 for packed in batch.column("ranges")[i].as_py() or []:
                     doc, start, n = _unpacked(packed, 3)
                     np.add.at(cover, begins[doc] + start, 1)
                     np.add.at(cover, begins[doc] + start + n + LENGTH - 1, -1)
-                gone = np.cumsum(cover)[:-1] > 0
+                gone = np.cumsum(cover, dtype=np.int32)[:-1] > 0
                 bodies, removed, spans = [], [], []
                 for a, size in zip(begins, sizes, strict=True):
                     own = gone[a : a + size]
@@ -447,7 +447,7 @@ def remove_repeats(docs: DataFrame, *, keep: list[str], key: str = "doc_id", tex
                     spans.append(len(_ranges(own)[0]))
                 yield pa.RecordBatch.from_arrays([batch.column("kept")[i].values, pa.array(bodies, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["kept", "__body", "__n_bytes", "__n_removed", "__n_spans"])
 
-    rows = found.mapInArrow(run, f"kept {kind}, __body binary, __n_bytes bigint, __n_removed bigint, __n_spans bigint")
+    rows = found.mapInArrow(giving_back(run), f"kept {kind}, __body binary, __n_bytes bigint, __n_removed bigint, __n_spans bigint")
     return rows.select("kept.*", "__body", "__n_bytes", "__n_removed", "__n_spans")
 
 
@@ -468,8 +468,11 @@ def without_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     found = remove_repeats(named, keep=["row", "null"], key="id")
 
     @F.pandas_udf("string")
-    def readable(body: pd.Series) -> pd.Series:
-        return body.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+    def readable(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for body in bodies:
+            yield body.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+        body = None
+        give_back()
 
     found = found.withColumn("left", F.when(~F.col("null"), readable("__body")))
     columns = {c: F.col("row").getField(c) for c in rest} | {text: F.col("left")}
