@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, sliced
+from .tokens import units as units_of
 
 BLOCK_BYTES = 24 << 20
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1024
+#: UTF-8 bytes of text cut into words at once.
+BYTES_AT_ONCE = 2 << 20
 SCHEMA = "block bigint, doc_ids array<bigint>, n_bytes array<bigint>, n_words array<bigint>, flags array<boolean>, pairs binary, buckets array<struct<bucket: int, words: binary, flagged: binary>>"
 Units = Callable[[list[bytes]], tuple[list[bytes], np.ndarray, np.ndarray]]
 _BUCKET = pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("flagged", pa.binary())])
@@ -98,6 +101,14 @@ def _runs(sizes: list[int], begun: int) -> Iterator[tuple[int, int]]:
             first, begun = i + 1, 0 if begun >= BLOCK_BYTES else begun
 
 
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in lists of about BYTES_AT_ONCE, or of one longer text."""
+    part = np.cumsum([0, *map(len, texts[:-1])]) // BYTES_AT_ONCE
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        yield texts[first:last]
+
+
 def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool = False, units: Units | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Block rows of all documents.  ``flag`` marks documents whose frequencies are also summed by word.
 
@@ -116,11 +127,19 @@ def build_blocks(docs: DataFrame, *, lower: bool, flag: Column, ordered: bool =
         for batch in sliced(batches, TEXTS_AT_ONCE):
             keys, texts, flags = (batch.column(i).to_pylist() for i in range(3))
             for first, last in _runs(list(map(len, texts)), size):
-                split = [(t.lower() if lower else t).split() for t in texts[first:last]]
-                new = set().union(*split).difference(places)
-                places.update(zip(new, range(len(places), len(places) + len(new)), strict=True))
-                n = [len(x) for x in split]
-                flat = np.fromiter(map(places.__getitem__, chain.from_iterable(split)), np.uint32, sum(n))
+                n, flat = [], []
+                for some in _parts(texts[first:last]):
+                    joined = b" ".join(some)
+                    starts, words = units_of(joined.lower() if lower else joined, True)
+                    encoded = words.dictionary_encode()
+                    distinct = encoded.dictionary.to_numpy(zero_copy_only=False)
+                    at = np.fromiter(map(places.get, distinct.tolist(), repeat(-1)), np.int64, len(distinct))
+                    new = np.flatnonzero(at < 0)
+                    at[new] = np.arange(len(places), len(places) + len(new))
+                    places.update(zip(distinct[new].tolist(), at[new].tolist(), strict=True))
+                    flat.append(at.astype(np.uint32)[encoded.indices.to_numpy()])
+                    n += np.diff(np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in some]]))).tolist()
+                flat = np.concatenate(flat)
                 docs += zip(keys[first:last], map(len, texts[first:last]), flags[first:last], np.split(flat, np.cumsum(n)[:-1]), strict=True)
                 size += sum(map(len, texts[first:last]))
                 if size >= BLOCK_BYTES:
