@@ -122,8 +122,11 @@ def binned_pair(dst: Grid, src: Grid, *, width: float | None = None, full: int =
     of_a, of_b = _levels(a, "dst_"), _levels(b, "src_")
     a, b = _binned(a, "dst_", of_b or [0], width, axes), _binned(b, "src_", of_a or [0], width, axes)
     # a bin has a cell once at most
-    small = all(g.n_cells <= full and g.kind != "parts" for g in (dst, src))
-    return (a, b) if small else _split(a, b, width, axes, full)
+    return (a, b) if _small(dst, src, full) else _split(a, b, width, axes, full)
+
+
+def _small(dst: Grid, src: Grid, full: int) -> bool:
+    return all(g.n_cells <= full and g.kind != "parts" for g in (dst, src))
 
 
 def candidate_pairs(dst: Grid, src: Grid, *, width: float | None = None, full: int = FULL) -> DataFrame:
@@ -133,7 +136,8 @@ def candidate_pairs(dst: Grid, src: Grid, *, width: float | None = None, full: i
     """
     spherical, axes = dst.manifold.spherical, 3 if dst.manifold.spherical else 2
     a, b = binned_pair(dst, src, width=width, full=full)
-    joined = a.join(b, _key(axes))
+    # the planner takes rows with many bins and long rings for as small as the file they come from, and would send them through the driver
+    joined = (a if _small(dst, src, full) else a.hint("merge")).join(b, _key(axes))
     overlap = caps_overlap(F.col("dst_cap"), F.col("src_cap")) if spherical else boxes_overlap("dst_", "src_")
     once: Column = (F.col("level") == F.greatest("dst_level", "src_level")) & overlap
     wide = _wide(width, F.col("level") - F.col("depth"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.points import divided
+from .merged import common_classes, rounded, spread
+from .regridder import Regridder
 
 
 def integral(field: DataFrame, areas: DataFrame, *, by: list[str] = ()) -> DataFrame:
@@ -46,7 +48,34 @@ def weight_differences(one: DataFrame, other: DataFrame, *, relative: float = 1e
     """
     a = one.groupBy("dst", "src").agg(F.sum("area").alias("one"))
     b = other.groupBy("dst", "src").agg(F.sum("area").alias("other"))
+    return _apart(a, b, relative, absolute)
+
+
+def _apart(a: DataFrame, b: DataFrame, relative: float, absolute: float) -> DataFrame:
+    """Where two tables (dst, src, one) and (dst, src, other), pairs once in each, do not agree."""
     both = a.join(b, ["dst", "src"], "full").fillna(0.0, ["one", "other"])
     most = F.max(F.greatest(F.abs("one"), F.abs("other"))).over(Window.partitionBy("dst"))
     off = F.abs(F.col("one") - F.col("other"))
     return both.withColumns({"off": off, "__most": most}).where(F.col("off") > absolute + relative * F.col("__most")).drop("__most")
+
+
+def regridder_differences(one: Regridder, other: Regridder, *, relative: float = 1e-9, absolute: float = 0.0, digits: int | None = None) -> DataFrame:
+    """``weight_differences`` of the weights of two regridders, rounded after they are compared.
+
+    Where both have classes of equal cells, classes are compared, cells that are together in both, and only what differs is spread over their cells.
+    """
+    names = ("one", "other", "off")
+    a, b = one.classes, other.classes
+    if a is None or b is None or any((getattr(a, s) is None) != (getattr(b, s) is None) for s in ("dst", "src")):
+        found = weight_differences(one.weights, other.weights, relative=relative, absolute=absolute)
+        return found.withColumns({c: rounded(F.col(c), digits) for c in names})
+    sides, members = {"one": a.weights, "other": b.weights}, {}
+    for side in ("dst", "src"):
+        members[side] = None
+        if getattr(a, side) is not None:
+            classes, members[side] = common_classes(getattr(a, side), getattr(b, side))
+            for name, weights in sides.items():
+                of = classes.select("of", F.col(name).alias(side))
+                sides[name] = weights.join(of, side).drop(side).withColumnRenamed("of", side)
+    found = _apart(*[w.select("dst", "src", F.col("area").alias(name)) for name, w in sides.items()], relative, absolute)
+    return spread(found.withColumns({c: rounded(F.col(c), digits) for c in names}), members)

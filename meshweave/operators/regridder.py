@@ -20,6 +20,7 @@ from ..functions.shared import written
 from ..manifold import Manifold, common_manifold
 from ..sources.grid import Grid, as_grid, rings_of
 from .candidates import all_pairs, candidate_pairs, interval_overlaps
+from .merged import Merged, rounded, spread
 from .outlines import outline_weights
 
 #: Kinds of grids whose cells are convex; others may have cells of any shape.
@@ -28,11 +29,25 @@ CONVEX = ("regular", "rotated", "rings", "healpix", "cubed")
 Operator = Callable[[list[tuple], list[tuple]], float]
 
 
+@dataclass(frozen=True)
+class Classes:
+    """Weights dst, src, area whose dst and src are classes where there are members of them, else cells."""
+
+    weights: DataFrame
+    dst: DataFrame | None
+    src: DataFrame | None
+
+    def spread(self, digits: int | None = None) -> DataFrame:
+        found = self.weights if digits is None else self.weights.withColumn("area", rounded(F.col("area"), digits))
+        return spread(found, {"dst": self.dst, "src": self.src})
+
+
 @dataclass(frozen=True)
 class Regridder:
     """``weights``: dst, src, area; ``dst_areas`` and ``src_areas``: cell_id, area.
 
     ``divide`` says whether applying divides by destination areas at all (spectral destinations do not).
+    ``classes``: weights between classes of equal cells, of which ``weights`` are spread (see ``merged``), and the members of both sides.
     """
 
     weights: DataFrame
@@ -43,6 +58,7 @@ class Regridder:
     manifold: Manifold
     kind: str = "cells"
     divide: bool = True
+    classes: Classes | None = None
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -69,7 +85,7 @@ class Regridder:
         if self.kind == "spectral":
             raise NotImplementedError("the transpose of a spectral regridder is not conservative: build the other direction")
         swapped = self.weights.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "area")
-        return replace(self, weights=swapped, dst_areas=self.src_areas, src_areas=self.dst_areas, n_dst=self.n_src, n_src=self.n_dst)
+        return replace(self, weights=swapped, dst_areas=self.src_areas, src_areas=self.dst_areas, n_dst=self.n_src, n_src=self.n_dst, classes=None)
 
     def normalize(self) -> Regridder:
         """Weights and areas divided by the largest weight; applying gives the same fields."""
@@ -78,7 +94,7 @@ class Regridder:
         def scaled(table: DataFrame) -> DataFrame:
             return table.crossJoin(most).withColumn("area", F.col("area") / F.coalesce("most", F.lit(1.0))).drop("most")
 
-        return replace(self, weights=scaled(self.weights), dst_areas=scaled(self.dst_areas), src_areas=scaled(self.src_areas))
+        return replace(self, weights=scaled(self.weights), dst_areas=scaled(self.dst_areas), src_areas=scaled(self.src_areas), classes=None)
 
     def marginals(self) -> tuple[DataFrame, DataFrame]:
         """(cell_id, area, total, frac) of destination and source cells: the overlap of each and its share of the cell."""
@@ -90,6 +106,10 @@ class Regridder:
 
         return side("dst", self.dst_areas), side("src", self.src_areas)
 
+    def rounded(self, digits: int) -> DataFrame:
+        """The weights with rounded areas; where classes of cells have them, each is rounded once."""
+        return self.classes.spread(digits) if self.classes else self.weights.withColumn("area", F.round("area", digits))
+
     def covered(self) -> DataFrame:
         """cell_id of destination cells that some source cell overlaps."""
         return self.dst_areas.join(self.weights.select(F.col("dst").alias("cell_id")), "cell_id", "left_semi").select("cell_id")
@@ -236,11 +256,13 @@ def _has_axes(grid: Grid) -> bool:
 
 
 def build_regridder(dst, src, *, manifold: Manifold | None = None, normalize: bool = False, operator: Operator | None = None, width: float | None = None, nested_loop: bool = False) -> Regridder:
-    """The regridder from ``src`` to ``dst`` (grids, or anything ``as_grid`` takes).
+    """The regridder from ``src`` to ``dst`` (grids, merged grids, or anything ``as_grid`` takes).
 
     ``operator(src_ring, dst_ring)`` replaces the overlap area; pairs for which it is not positive are left out.
     ``width`` (of the bins) and ``nested_loop`` change how candidates are found, never the result.
     """
+    if isinstance(dst, Merged) or isinstance(src, Merged):
+        return _of_classes(dst, src, normalize, manifold=manifold, operator=operator, width=width, nested_loop=nested_loop)
     dst, src = as_grid(dst), as_grid(src)
     manifold = manifold or common_manifold(dst.manifold, src.manifold)
     for grid in (dst, src):
@@ -263,3 +285,15 @@ def build_regridder(dst, src, *, manifold: Manifold | None = None, normalize: bo
         weights = _overlaps(all_pairs(dst, src) if nested_loop else candidate_pairs(dst, src, width=width), manifold, operator)
     found = Regridder(weights, dst.areas(), src.areas(), dst.n_cells, src.n_cells, manifold)
     return found.normalize() if normalize else found
+
+
+def _of_classes(dst, src, normalize: bool, **options) -> Regridder:
+    """The regridder of grids of which one at least is merged: weights of classes, spread over their members."""
+    grids = [g.grid if isinstance(g, Merged) else g for g in (dst, src)]
+    found = build_regridder(*grids, **options)
+    # an operator may be asked for the parts of a class one by one
+    classes = Classes(_summed(found.weights), *[g.members if isinstance(g, Merged) else None for g in (dst, src)])
+    whole = [as_grid(g.whole if isinstance(g, Merged) else g) for g in (dst, src)]
+    dst, src = (replace(g, manifold=found.manifold) for g in whole)
+    found = replace(found, weights=classes.spread(), dst_areas=dst.areas(), src_areas=src.areas(), n_dst=dst.n_cells, n_src=src.n_cells, classes=classes)
+    return found.normalize() if normalize else found

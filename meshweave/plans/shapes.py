@@ -15,7 +15,8 @@ from ..operators.chains import ListField, product, regrid_field
 from ..operators.elements import located
 from ..operators.extents import extents_by
 from ..operators.fields import with_halo
-from ..operators.metrics import weight_differences
+from ..operators.merged import merged
+from ..operators.metrics import regridder_differences
 from ..operators.pixels import cap_poles, points_in_regions, polygon_poles
 from ..operators.regridder import build_regridder
 from ..sources import polygon_grid
@@ -127,9 +128,8 @@ def orders_along_a_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compared_part_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where overlaps of parts' boxes differ once the boxes of one side are lower."""
-    a, b, c = (polygon_grid(spark, base.part_boxes(spark, sf_dir, w, h)) for w, h in ((0.5, 2.5), (1.25, 1.5), (1.25, 1.25)))
-    found = weight_differences(build_regridder(a, b).weights, build_regridder(a, c).weights, relative=0.125)
-    return found.select("dst", "src", *[F.round(k, 6).alias(k) for k in ("one", "other", "off")])
+    a, b, c = (merged(polygon_grid(spark, base.part_boxes(spark, sf_dir, w, h))) for w, h in ((0.5, 2.5), (1.25, 1.5), (1.25, 1.25)))
+    return regridder_differences(build_regridder(a, b), build_regridder(a, c), relative=0.125, digits=6).select("dst", "src", "one", "other", "off")
 
 
 def items_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
