@@ -16,6 +16,7 @@ from ..functions import fields, polygons
 from ..functions.points import unit_point
 from ..manifold import sphere
 from ..operators.candidates import candidate_pairs
+from ..operators.merged import merged
 from ..operators.metrics import average_coincident, error_metrics, integral, mirror_fold
 from ..operators.regridder import Regridder, build_regridder
 from ..sources import as_grid, cubed_sphere, healpix_grid, latlon_grid, regular_grid, ring_grid, rotated_latlon_grid, union_grids
@@ -135,9 +136,8 @@ def part_overlap_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pairs with the areas of their polygons' intersections, by the clipping kernel."""
     from ..sources import polygon_grid
 
-    a, b = (polygon_grid(spark, part_boxes(spark, sf_dir, w, h)) for w, h in ((0.5, 2.5), (1.25, 1.5)))
-    r = build_regridder(a, b, width=4.0)
-    return r.weights.select("dst", "src", F.round("area", 6).alias("area"))
+    a, b = (merged(polygon_grid(spark, part_boxes(spark, sf_dir, w, h))) for w, h in ((0.5, 2.5), (1.25, 1.5)))
+    return build_regridder(a, b, width=4.0).rounded(6)
 
 
 def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:

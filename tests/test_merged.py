@@ -5,8 +5,11 @@ from meshweave.operators import build_regridder
 from meshweave.operators.candidates import candidate_pairs
 from meshweave.operators.merged import AT_ONCE, merged
 from meshweave.operators.metrics import regridder_differences, weight_differences
+from meshweave.plans import queries
 from meshweave.sources import polygon_grid
 
+SF = "/root/testdata/sf0.001"
+
 
 def box(x, y, w, h):
     return [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
@@ -72,3 +75,9 @@ def test_large_candidate_joins_send_nothing_through_the_driver(spark):
     pairs = candidate_pairs(polygon_grid(spark, table), polygon_grid(spark, table.where("cell_id % 10 = 0")))
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert pairs.count() == 900 * 3 - 1
+
+
+def test_overlap_areas_are_spread_after_they_are_clipped(spark):
+    """What is large, the rows of the result, comes last: no exchange, no sum and no Python after it."""
+    plan = queries.part_overlap_areas(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < min(plan.index(step) for step in ("Exchange", "Aggregate", "MapInArrow", "Join"))
