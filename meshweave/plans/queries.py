@@ -16,7 +16,7 @@ from ..functions import fields, polygons
 from ..functions.points import unit_point
 from ..manifold import sphere
 from ..operators.candidates import candidate_pairs
-from ..operators.merged import merged
+from ..operators.merged import merged, spread
 from ..operators.metrics import average_coincident, error_metrics, integral, mirror_fold
 from ..operators.regridder import Regridder, build_regridder
 from ..sources import as_grid, cubed_sphere, healpix_grid, latlon_grid, regular_grid, ring_grid, rotated_latlon_grid, union_grids
@@ -128,8 +128,9 @@ def overlapping_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spatial join of two sets of rectangles that form no lattice."""
     from ..sources import polygon_grid
 
-    a, b = (polygon_grid(spark, part_boxes(spark, sf_dir, w, h)) for w, h in ((0.5, 2.5), (1.25, 1.5)))
-    return candidate_pairs(a, b, width=4.0).select("dst_id", "src_id")
+    a, b = (merged(polygon_grid(spark, part_boxes(spark, sf_dir, w, h))) for w, h in ((0.5, 2.5), (1.25, 1.5)))
+    pairs = candidate_pairs(a.grid, b.grid, width=4.0).select("dst_id", "src_id")
+    return spread(pairs, {"dst_id": a.members, "src_id": b.members})
 
 
 def part_overlap_areas(spark: SparkSession, sf_dir: str) -> DataFrame:

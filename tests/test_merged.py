@@ -81,3 +81,8 @@ def test_overlap_areas_are_spread_after_they_are_clipped(spark):
     """What is large, the rows of the result, comes last: no exchange, no sum and no Python after it."""
     plan = queries.part_overlap_areas(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode") < min(plan.index(step) for step in ("Exchange", "Aggregate", "MapInArrow", "Join"))
+
+
+def test_overlapping_parts_are_spread_after_they_are_found(spark):
+    plan = queries.overlapping_parts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < min(plan.index(step) for step in ("Exchange", "Join"))
