@@ -77,8 +77,11 @@ def outline_weights(lattice: Grid, outlines: Grid) -> DataFrame:
     rings = cells.select(F.col("cell_id").alias("src"), "ring", F.lit(1.0).alias("side"))
     if "holes" in cells.columns:
         rings = rings.unionByName(cells.select(F.col("cell_id").alias("src"), F.explode("holes").alias("ring"), F.lit(-1.0).alias("side")))
-    turned = rings.select("src", (F.when(signed(F.col("ring")) < 0, -1.0).otherwise(1.0) * F.col("side")).alias("turn"), F.explode(edges(F.col("ring"))).alias("e"))
-    rows = turned.select("src", "turn", "e.*")
+    # the turn of a ring is found before its edges are parted, else it would be found again for each of them
+    turned = rings.select("src", (F.when(signed(F.col("ring")) < 0, -1.0).otherwise(1.0) * F.col("side")).alias("turn"), edges(F.col("ring")).alias("edges"))
+    rows = turned.select("src", "turn", F.explode("edges").alias("e")).select("src", "turn", "e.*")
+    # a few rings have all edges
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "x0", "y0")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
