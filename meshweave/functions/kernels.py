@@ -22,9 +22,25 @@ def _at(rings: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
     return rings[np.arange(len(rings)), np.where(k < size, k, 0)]
 
 
+#: Rings of more vertices are taken whole instead of vertex by vertex.
+LONG = 256
+#: Crossings of edges and slabs looked at together when a polygon is cut.
+AT_ONCE = 1 << 21
+
+
+def _following(rings: np.ndarray, size: np.ndarray, by: int = 1) -> np.ndarray:
+    """All rings turned by ``by`` vertices."""
+    place = (np.arange(rings.shape[1])[None, :] + by) % np.maximum(size, 1)[:, None]
+    return np.take_along_axis(rings, place[:, :, None], 1)
+
+
 def planar_areas(rings: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Signed areas; vertices are taken from the first one, so that small cells lose no digits."""
     origin = rings[:, :1]
+    if rings.shape[1] > LONG:
+        a, b = rings - origin, _following(rings, size) - origin
+        real = np.arange(rings.shape[1])[None, :] < size[:, None]
+        return np.where(real, a[:, :, 0] * b[:, :, 1] - b[:, :, 0] * a[:, :, 1], 0.0).sum(axis=1) / 2
     total = np.zeros(len(rings))
     for k in range(rings.shape[1]):
         a, b = _at(rings, size, k) - origin[:, 0], _at(rings, size, k + 1) - origin[:, 0]
@@ -119,6 +135,11 @@ def clip(subject: np.ndarray, n: np.ndarray, window: np.ndarray, m: np.ndarray,
 
 def convex(rings: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Which counterclockwise rings are convex: none of their corners turns right."""
+    if rings.shape[1] > LONG and rings.shape[2] == 2:
+        a, b, c = rings, _following(rings, size), _following(rings, size, 2)
+        turn = (b[:, :, 0] - a[:, :, 0]) * (c[:, :, 1] - b[:, :, 1]) - (b[:, :, 1] - a[:, :, 1]) * (c[:, :, 0] - b[:, :, 0])
+        real = np.arange(rings.shape[1])[None, :] < size[:, None]
+        return (~real | (turn >= -1e-12 * (1 + np.abs(a).max(axis=2)) ** 2)).all(axis=1)
     out = np.ones(len(rings), bool)
     for k in range(rings.shape[1]):
         a, b = _at(rings, size, k), _at(rings, size, k + 1)
@@ -132,36 +153,65 @@ def convex(rings: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def trapezoids(rings: list[np.ndarray]) -> np.ndarray:
-    """(part, 4, 2) counterclockwise trapezoids, with two level sides, that make up a simple polygon and its holes.
+    """(part, 4, 2) counterclockwise trapezoids, with two sides along an axis, that make up a simple polygon and its holes.
 
-    The plane is cut at the height of every vertex; between two heights the edges, sorted, bound the inside pairwise.
-    A trapezoid goes on from one height to the next while its two edges do, so there are about as many as vertices.
+    The plane is cut at every vertex, at its height or, where edges then go through fewer slabs, at its abscissa.
     """
     a = np.concatenate(rings)
     b = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    through = []
+    for axis in (0, 1):
+        ends = np.searchsorted(np.unique(a[:, axis]), [a[:, axis], b[:, axis]])
+        through.append(int(np.abs(ends[1] - ends[0]).sum()))
+    # coordinates changed about are seen in a mirror, which turns the parts
+    return _level_trapezoids(a, b) if through[1] <= through[0] else _level_trapezoids(a[:, ::-1], b[:, ::-1])[:, ::-1, ::-1]
+
+
+def _runs(left: np.ndarray, right: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Slabs first to last between the same two edges, where one follows another as one."""
+    order = np.lexsort((first, right, left))
+    left, right, first, last = left[order], right[order], first[order], last[order]
+    new = np.ones(len(left), bool)
+    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (first[1:] != last[:-1])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(left))[: len(begin)] - 1
+    return left[begin], right[begin], first[begin], last[end]
+
+
+def _level_trapezoids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Trapezoids with level sides inside the edges from ``a`` to ``b``.
+
+    The plane is cut at the height of every vertex; between two heights the edges, sorted, bound the inside pairwise.
+    A trapezoid goes on from one height to the next while its two edges do, so there are about as many as vertices.
+    Slabs are taken a few at a time, as many as have ``AT_ONCE`` edges.
+    """
     up = a[:, 1] < b[:, 1]
     low, high = np.where(up[:, None], a, b), np.where(up[:, None], b, a)
     real = low[:, 1] < high[:, 1]
     low, high = low[real], high[real]
     y = np.unique(a[:, 1])
     first, last = np.searchsorted(y, low[:, 1]), np.searchsorted(y, high[:, 1])
-    edge = np.repeat(np.arange(len(low)), last - first)
-    slab = np.arange(len(edge)) - np.repeat(np.cumsum(last - first) - (last - first) - first, last - first)
     slope = (high[:, 0] - low[:, 0]) / (high[:, 1] - low[:, 1])
 
     def x(edge: np.ndarray, at: np.ndarray) -> np.ndarray:
         found = low[edge, 0] + (at - low[edge, 1]) * slope[edge]
         return np.where(at == high[edge, 1], high[edge, 0], found)
 
-    order = np.lexsort((x(edge, (y[slab] + y[slab + 1]) / 2), slab))
-    left, right, slab = edge[order[::2]], edge[order[1::2]], slab[order[::2]]
-    order = np.lexsort((slab, right, left))
-    left, right, slab = left[order], right[order], slab[order]
-    new = np.ones(len(slab), bool)
-    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (slab[1:] != slab[:-1] + 1)
-    begin = np.flatnonzero(new)
-    bottom, top = y[slab[begin]], y[slab[np.append(begin[1:], len(slab)) - 1] + 1] if len(begin) else y[:0]
-    left, right = left[begin], right[begin]
+    crossed = np.cumsum(np.cumsum(np.bincount(first, minlength=len(y)) - np.bincount(last, minlength=len(y)))[: len(y) - 1])
+    found, begin = [], 0
+    while begin < len(crossed):
+        before = crossed[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(crossed, before + AT_ONCE, side="right")))
+        some = np.flatnonzero((first < end) & (last > begin))
+        start, count = np.maximum(first[some], begin), np.minimum(last[some], end) - np.maximum(first[some], begin)
+        edge = np.repeat(some, count)
+        slab = np.arange(len(edge)) - np.repeat(np.cumsum(count) - count - start, count)
+        order = np.lexsort((x(edge, (y[slab] + y[slab + 1]) / 2), slab))
+        left, right, slab = edge[order[::2]], edge[order[1::2]], slab[order[::2]]
+        found.append(_runs(left, right, slab, slab + 1))
+        begin = end
+    left, right, bottom, top = _runs(*map(np.concatenate, zip(*found, strict=True))) if found else [np.zeros(0, int)] * 4
+    bottom, top = y[bottom], y[top]
     return np.stack([np.column_stack(p) for p in ((x(left, bottom), bottom), (x(right, bottom), bottom), (x(right, top), top), (x(left, top), top))], axis=1)
 
 

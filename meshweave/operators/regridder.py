@@ -37,8 +37,8 @@ class Classes:
     dst: DataFrame | None
     src: DataFrame | None
 
-    def spread(self, digits: int | None = None) -> DataFrame:
-        found = self.weights if digits is None else self.weights.withColumn("area", rounded(F.col("area"), digits))
+    def spread(self, digits: int | None = None, above: float = 0.0) -> DataFrame:
+        found = self.weights.where(F.col("area") > above).withColumn("area", rounded(F.col("area"), digits))
         return spread(found, {"dst": self.dst, "src": self.src})
 
 
@@ -106,9 +106,9 @@ class Regridder:
 
         return side("dst", self.dst_areas), side("src", self.src_areas)
 
-    def rounded(self, digits: int) -> DataFrame:
-        """The weights with rounded areas; where classes of cells have them, each is rounded once."""
-        return self.classes.spread(digits) if self.classes else self.weights.withColumn("area", F.round("area", digits))
+    def rounded(self, digits: int, above: float = 0.0) -> DataFrame:
+        """The weights ``above`` some area, then rounded; where classes of cells have them, each is rounded once."""
+        return self.classes.spread(digits, above) if self.classes else self.weights.where(F.col("area") > above).withColumn("area", F.round("area", digits))
 
     def covered(self) -> DataFrame:
         """cell_id of destination cells that some source cell overlaps."""

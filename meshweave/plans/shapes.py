@@ -56,8 +56,8 @@ def outlines_on_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of the same outlines, which are not convex, and rectangles that form no lattice: outlines are cut once, before the join."""
     part = base.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("cell_id"), (F.col("p_size").cast("double") / 2).alias("x"), (F.floor(F.col("p_retailprice").cast("double")) / 128).alias("y"))
     ring = F.array(*[F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in ((0.0, 0.0), (0.375, 0.0), (0.375, 0.5), (0.0, 0.5))])
-    r = build_regridder(polygon_grid(spark, part.select("cell_id", ring.alias("ring"))), polygon_grid(spark, profile_outlines(spark, sf_dir)))
-    return r.weights.where("area > 1e-7").select("dst", "src", F.round("area", 6).alias("area"))
+    r = build_regridder(merged(polygon_grid(spark, part.select("cell_id", ring.alias("ring")))), polygon_grid(spark, profile_outlines(spark, sf_dir)))
+    return r.rounded(6, above=1e-7)
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
