@@ -27,7 +27,7 @@ class Merged:
     whole: Grid
 
 
-def _classed(cells: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+def classed(cells: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Classes (of, key) of cells (cell_id, key), ids once each, and their members; null is a key as any other."""
     classes = written(cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.monotonically_increasing_id()))
     named = classes.select("of", "n", *[F.col(c).alias(f"__{c}") for c in key])
@@ -44,7 +44,7 @@ def merged(grid: Grid) -> Merged:
     """The grid with cells of equal rings as one; ghosts, which meet no cell, are left out."""
     shape = [c for c in ("ring", "holes") if c in grid.cells.columns]
     cells = grid.cells.where(~grid.is_ghost()).select(F.col("cell_id").cast("bigint").alias("cell_id"), F.struct(*shape).alias("shape"))
-    classes, members = _classed(cells.groupBy("cell_id").agg(F.array_sort(F.collect_list("shape")).alias("shapes")), ["shapes"])
+    classes, members = classed(cells.groupBy("cell_id").agg(F.array_sort(F.collect_list("shape")).alias("shapes")), ["shapes"])
     rings = classes.select(F.col("of").alias("cell_id"), F.explode("shapes").alias("shape")).select("cell_id", "shape.*")
     return Merged(replace(grid, cells=rings, shape=(rings.count(),), axes=None), members, grid)
 
@@ -55,7 +55,7 @@ def common_classes(one: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFra
         return one.select("of", F.col("of").alias("one"), F.col("of").alias("other")).distinct(), one
     a, b = (m.select(F.col("of").alias(name), F.explode("ids").alias(f"{name}_id")) for m, name in ((one, "one"), (other, "other")))
     both = a.join(b, F.col("one_id").eqNullSafe(F.col("other_id")), "full")
-    return _classed(both.select(F.coalesce("one_id", "other_id").alias("cell_id"), "one", "other"), ["one", "other"])
+    return classed(both.select(F.coalesce("one_id", "other_id").alias("cell_id"), "one", "other"), ["one", "other"])
 
 
 def spread(pairs: DataFrame, members: dict[str, DataFrame | None]) -> DataFrame:

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.kernels import angles
 from ..functions.points import clamp, cross, dot
 from ..functions.polygons import following
+from ..functions.shared import written
 from ..sources.grids import JPLL, JRLL
+from .merged import classed
 
 #: Levels between the finest keys and the coarsest: a point has a key on each, and coarser inner pixels are split, so that no key gathers much of the sphere.
 SPREAD = 3
@@ -139,6 +141,10 @@ def polygon_poles(ring: Column) -> Column:
     return F.zip_with(ring, following(ring), pole)
 
 
+def _within() -> Column:
+    return F.forall("poles", lambda p: F.acos(clamp(dot(p, F.col("point")))) <= p["reach"])
+
+
 def points_in_regions(points: DataFrame, regions: DataFrame, depth: int = 6) -> DataFrame:
     """point_id, region_id of every point (point_id, point) in every region (region_id, poles).
 
@@ -148,7 +154,32 @@ def points_in_regions(points: DataFrame, regions: DataFrame, depth: int = 6) ->
     keys = cover_regions(regions, depth, coarsest)
     at = points.select("point_id", "point", pixel_of(F.col("point"), depth).alias("at"), F.explode(F.sequence(F.lit(coarsest), F.lit(depth))).alias("level"))
     keyed = at.withColumn("pix", F.expr(f"shiftright(at, 2 * ({depth} - level))")).drop("at")
-    met = keyed.join(keys, ["level", "pix"]).select("point_id", "point", "region_id", "inner")
+    # the planner takes keys for as few as the regions they come from, and would send them through the driver
+    met = keyed.join(keys.hint("merge"), ["level", "pix"]).select("point_id", "point", "region_id", "inner")
     tested = met.where("NOT inner").join(regions.select(F.col("region_id").cast("bigint").alias("region_id"), "poles"), "region_id")
-    within = F.forall("poles", lambda p: F.acos(clamp(dot(p, F.col("point")))) <= p["reach"])
+    within = _within()
     return met.where("inner").select("point_id", "region_id").unionByName(tested.where(within).select("point_id", "region_id"))
+
+
+def sums_in_regions(points: DataFrame, regions: DataFrame, depth: int = 6) -> DataFrame:
+    """region_id, n, ids: the number of points in each region that has any, and the sum of their point_id.
+
+    Equal points and equal regions are one.  What lies in inner pixels is added up pixel by pixel before it meets a region, so only points in the
+    pixels of borders meet regions one by one, and no pair of them is moved.
+    """
+    coarsest = max(0, depth - SPREAD)
+    regions, members = classed(regions.select(F.col("region_id").cast("bigint").alias("cell_id"), "poles"), ["poles"])
+    keys = written(cover_regions(regions.select(F.col("of").alias("region_id"), "poles"), depth, coarsest).withColumnRenamed("region_id", "of"))
+    sums = [F.sum("n").alias("n"), F.sum("ids").alias("ids")]
+    places = points.groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").alias("ids")).withColumn("at", pixel_of(F.col("point"), depth))
+    places = written(places)
+
+    levels = places.groupBy("at").agg(*sums).withColumn("level", F.explode(F.sequence(F.lit(coarsest), F.lit(depth))))
+    pixels = levels.groupBy("level", F.expr(f"shiftright(at, 2 * ({depth} - level))").alias("pix")).agg(*sums)
+    whole = keys.where("inner").hint("merge").join(pixels, ["level", "pix"]).groupBy("of").agg(*sums)
+
+    # keys of borders are all of the finest level
+    border = keys.where("NOT inner").join(regions.hint("merge"), "of").select(F.col("pix").alias("at"), "of", "poles")
+    tested = border.hint("merge").join(places, "at").where(_within()).groupBy("of").agg(*sums)
+    found = whole.unionByName(tested).groupBy("of").agg(*sums)
+    return found.join(members.withColumnRenamed("ids", "ids_of").hint("merge"), "of").select(F.explode("ids_of").alias("region_id"), "n", "ids")

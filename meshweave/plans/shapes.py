@@ -17,7 +17,7 @@ from ..operators.extents import extents_by
 from ..operators.fields import with_halo
 from ..operators.merged import merged
 from ..operators.metrics import regridder_differences
-from ..operators.pixels import cap_poles, points_in_regions, polygon_poles
+from ..operators.pixels import cap_poles, points_in_regions, polygon_poles, sums_in_regions
 from ..operators.regridder import build_regridder
 from ..sources import polygon_grid
 from ..sources.grid import Grid
@@ -70,8 +70,7 @@ def customers_near_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers within caps around suppliers, found by the ancestors of their HEALPix pixels."""
     caps = suppliers(spark, sf_dir).select("region_id", cap_poles(unit_point(F.col("lon"), F.col("lat")), F.radians(F.col("s_nationkey") * 0.375 + 2.7)).alias("poles"))
     points = base.customer_points(spark, sf_dir).select(F.col("id").alias("point_id"), unit_point(F.col("lon"), F.col("lat")).alias("point"))
-    met = points_in_regions(points, caps)
-    return met.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").alias("ids"))
+    return sums_in_regions(points, caps)
 
 
 def customers_in_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
