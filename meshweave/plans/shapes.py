@@ -17,7 +17,7 @@ from ..operators.extents import extents_by
 from ..operators.fields import with_halo
 from ..operators.merged import merged
 from ..operators.metrics import regridder_differences
-from ..operators.pixels import cap_poles, points_in_regions, polygon_poles, sums_in_regions
+from ..operators.pixels import cap_poles, polygon_poles, sums_in_regions
 from ..operators.regridder import build_regridder
 from ..sources import polygon_grid
 from ..sources.grid import Grid
@@ -79,8 +79,7 @@ def customers_in_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(unit_point(lon, lat), unit_point(lon + 14.2, lat + 1.1), unit_point(lon + 3.3, lat + 9.1))
     triangles = suppliers(spark, sf_dir).select("region_id", polygon_poles(ring).alias("poles"))
     points = base.customer_points(spark, sf_dir).select(F.col("id").alias("point_id"), unit_point(lon, lat).alias("point"))
-    met = points_in_regions(points, triangles, depth=5)
-    return met.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.sum("point_id").alias("ids"))
+    return sums_in_regions(points, triangles, depth=5)
 
 
 def orders_under_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

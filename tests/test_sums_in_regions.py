@@ -37,7 +37,7 @@ def test_sums_are_those_of_the_points_met(spark):
     assert sorted(map(tuple, sums_in_regions(points, table, 3).collect())) == sorted(map(tuple, met.collect()))
 
 
-@pytest.mark.parametrize("name", ["customers_near_suppliers"])
+@pytest.mark.parametrize("name", ["customers_near_suppliers", "customers_in_triangles"])
 def test_keys_and_pairs_are_neither_broadcast_nor_moved(spark, name):
     """Nothing goes through the driver, and what points and regions make up is summed in the task that finds it."""
     plan = shapes.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
