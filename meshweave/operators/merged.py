@@ -1,7 +1,8 @@
 """Cells of equal geometry as one: pairs are looked for and clipped once for each pair of distinct cells, then given to all cells that they stand for.
 
 ``members`` (of, ids) has the cells of each class, at most ``AT_ONCE`` in a row, so no row grows with a class.  A cell is all rings of its id, so
-classes share no cell and a pair of cells comes from one pair of classes.
+classes share no cell and a pair of cells comes from one pair of classes.  Joins are shuffled: the planner cannot know how long arrays are, and would
+send many classes and their members through the driver.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def classed(cells: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
         match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
     part = F.pmod(F.xxhash64("cell_id"), F.ceil(F.col("n") / AT_ONCE))
     # an array of arrays keeps null ids
-    members = cells.join(named, match).groupBy("of", part.alias("part")).agg(F.flatten(F.collect_list(F.array("cell_id"))).alias("ids"))
+    members = cells.join(named.hint("merge"), match).groupBy("of", part.alias("part")).agg(F.flatten(F.collect_list(F.array("cell_id"))).alias("ids"))
     return classes.select("of", *key), written(members.select("of", "ids"))
 
 
@@ -66,7 +67,7 @@ def spread(pairs: DataFrame, members: dict[str, DataFrame | None]) -> DataFrame:
     columns = pairs.columns
     for name, own in members.items():
         if own is not None:
-            pairs = pairs.join(own.select(F.col("of").alias(name), F.col("ids").alias(f"__{name}")), name)
+            pairs = pairs.join(own.select(F.col("of").alias(name), F.col("ids").alias(f"__{name}")).hint("merge"), name)
     pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for name, own in members.items():
         if own is not None:

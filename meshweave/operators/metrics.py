@@ -76,6 +76,6 @@ def regridder_differences(one: Regridder, other: Regridder, *, relative: float =
             classes, members[side] = common_classes(getattr(a, side), getattr(b, side))
             for name, weights in sides.items():
                 of = classes.select("of", F.col(name).alias(side))
-                sides[name] = weights.join(of, side).drop(side).withColumnRenamed("of", side)
+                sides[name] = weights.join(of.hint("merge"), side).drop(side).withColumnRenamed("of", side)
     found = _apart(*[w.select("dst", "src", F.col("area").alias(name)) for name, w in sides.items()], relative, absolute)
     return spread(found.withColumns({c: rounded(F.col(c), digits) for c in names}), members)

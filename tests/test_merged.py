@@ -86,3 +86,8 @@ def test_overlap_areas_are_spread_after_they_are_clipped(spark):
 def test_overlapping_parts_are_spread_after_they_are_found(spark):
     plan = queries.overlapping_parts(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode") < min(plan.index(step) for step in ("Exchange", "Join"))
+
+
+def test_members_are_not_sent_through_the_driver(spark):
+    plan = build_regridder(*map(merged, grids(spark))).weights._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan[: plan.index("MapInArrow")]
